@@ -1,0 +1,138 @@
+"""Derived review tables (F0 prs, F1 deliveries, F2 agent_outputs).
+
+The driver tables hold no diffs, webhook deliveries or model outputs, so these views
+derive them from ``documents`` and ``events``. They are lazy DataFrames: their work
+grows with the input tables and nothing is written back. F0 regroups four documents
+per PR (one small shuffle on ``pr_id``); F1 and F2 are row-wise projections.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .tables import read_table
+
+FIXTURE_KEY = "fixture-key"
+BIG_PR_ID = 1000000
+EMPTY_PR_ID = 1000001
+BIG_PR_LINES = 450
+
+
+def hmac_pads(key: str) -> tuple[str, str]:
+    """HMAC-SHA256 inner / outer pads of ``key`` as hex (key hashed first when > 64 bytes)."""
+    kb = key.encode("utf-8")
+    if len(kb) > 64:
+        kb = hashlib.sha256(kb).digest()
+    kb = kb.ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in kb).hex().upper(), bytes(b ^ 0x5C for b in kb).hex().upper()
+
+
+def fixture_path(doc_id: Column) -> Column:
+    """The file path a document plays in the derived diffs."""
+    m = doc_id % 8
+    return (F.when(m == 0, F.concat(F.lit("src/mod_"), doc_id.cast("string"), F.lit(".py")))
+            .when(m == 1, F.concat(F.lit("tests/test_"), doc_id.cast("string"), F.lit(".py")))
+            .when(m == 2, F.lit("package-lock.json"))
+            .when(m == 3, F.lit("dist/app.min.js"))
+            .when(m == 4, F.concat(F.lit("vendor/lib_"), doc_id.cast("string"), F.lit(".py")))
+            .otherwise(F.concat(F.lit("src/pkg/f_"), doc_id.cast("string"), F.lit(".py"))))
+
+
+def prs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F0 ``prs(pr_id BIGINT, diff STRING)``: four documents per PR as added files."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    doc_id = F.col("doc_id")
+    pr_id = F.expr("doc_id div 4")
+    pa = F.when(F.expr("(doc_id div 4) div 2 % 2 = 0"), F.lit("a/")).otherwise(F.lit(""))
+    pb = F.when(F.expr("(doc_id div 4) div 2 % 2 = 0"), F.lit("b/")).otherwise(F.lit(""))
+    path = fixture_path(doc_id)
+    n_lines = (F.length("text") - F.length(F.regexp_replace("text", "\n", "")) + 1).cast("string")
+    hunk = F.concat(
+        F.lit("diff --git "), pa, path, F.lit(" "), pb, path, F.lit("\n"),
+        F.lit("--- /dev/null\n+++ "), pb, path, F.lit("\n"),
+        F.lit("@@ -0,0 +1,"), n_lines, F.lit(" @@\n+"),
+        F.regexp_replace("text", "\n", "\n+"), F.lit("\n"))
+    g = d.select(pr_id.alias("pr_id"), doc_id, hunk.alias("hunk"))
+    agg = g.groupBy("pr_id").agg(
+        F.expr("listagg(hunk, '') WITHIN GROUP (ORDER BY doc_id)").alias("diff"))
+    spark_ = agg.sparkSession
+    big = spark_.range(1).select(
+        F.lit(BIG_PR_ID).cast("bigint").alias("pr_id"),
+        F.concat(F.lit("diff --git a/big.py b/big.py\n@@ -0,0 +1,450 @@\n"),
+                 F.repeat(F.lit("+x\n"), BIG_PR_LINES)).alias("diff"))
+    empty = spark_.range(1).select(F.lit(EMPTY_PR_ID).cast("bigint").alias("pr_id"),
+                                   F.lit("").alias("diff"))
+    return agg.select(F.col("pr_id").cast("bigint"), "diff").unionByName(big).unionByName(empty)
+
+
+def deliveries(spark: SparkSession, sf_dir: str, key: str = FIXTURE_KEY) -> DataFrame:
+    """F1 ``deliveries(delivery_id BIGINT, raw_body STRING, signature_header STRING)``."""
+    e = read_table(spark, sf_dir, "events").select("event_id", "event_type")
+    eid = F.col("event_id")
+    s = lambda c: c.cast("string")
+    action = (F.when(F.col("event_type") == "signup", "opened")
+              .when(F.col("event_type") == "click", "synchronize").otherwise("closed"))
+    number = F.when(eid % 31 == 0, F.lit("")).otherwise(
+        F.concat(F.lit('"number":'), s(eid % 250), F.lit(",")))
+    title = F.when(eid % 5 == 0, F.lit("null")).otherwise(
+        F.concat(F.lit('"'), F.col("event_type"), F.lit(" "), s(eid), F.lit('"')))
+    repo = F.when(eid % 41 == 0, F.lit('""')).otherwise(F.lit('"org/repo"'))
+    body = F.when(eid % 97 == 0, F.lit('{"action":')).otherwise(F.concat(
+        F.lit('{"action":"'), action, F.lit('","pull_request":{'), number, F.lit('"title":'), title,
+        F.lit(',"diff_url":"https://example.invalid/'), s(eid % 250),
+        F.lit('.diff"},"repository":{"full_name":'), repo, F.lit("}}")))
+    b = e.select(eid.alias("delivery_id"), body.alias("raw_body"))
+    ipad, opad = hmac_pads(key)
+    sig = F.concat(F.lit("sha256="), F.expr(
+        f"sha2(concat(X'{opad}', unhex(sha2(concat(X'{ipad}', encode(raw_body, 'UTF-8')), 256))), 256)"))
+    did = F.col("delivery_id")
+    header = (F.when(did % 53 == 0, F.lit(None).cast("string"))
+              .when(did % 59 == 0, F.lit("sha256=bad")).otherwise(sig))
+    return b.select(did, "raw_body", header.alias("signature_header"))
+
+
+def agent_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 ``agent_outputs(pr_id, agent, attempt, provider, latency_s, raw_text)``: three
+    attempts per (PR, agent), attempt 3 on the fallback provider."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id")
+    doc_id = F.col("doc_id")
+    s = lambda c: c.cast("string")
+    agent = (F.when(doc_id % 4 == 0, "security").when(doc_id % 4 == 1, "architecture")
+             .when(doc_id % 4 == 2, "testing").otherwise("critic"))
+    a = d.select(doc_id, F.expr("doc_id div 4").alias("pr_id"), agent.alias("agent"),
+                 fixture_path(doc_id).alias("path"),
+                 F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("attempt"))
+    att = F.col("attempt")
+    ag = F.col("agent")
+    st = (F.when((att == 1) & (doc_id % 13 == 0), "maybe").when(doc_id % 3 == 0, "pass")
+          .when(ag.isin("architecture", "critic") & (doc_id % 3 == 1), "warn")
+          .when(ag == "testing", "warn").otherwise("fail"))
+    conf = F.when((att == 1) & (doc_id % 11 == 0), F.lit("1.5")).otherwise(
+        F.concat(F.lit("0."), F.lpad(s(doc_id % 100), 2, "0")))
+    fnd = F.concat(F.lit('[{"description":"finding '), s(doc_id % 50), F.lit('","file_reference":"'),
+                   F.col("path"), F.lit('","line_number":'), s(doc_id % 12),
+                   F.lit(',"confidence_score":'), conf, F.lit("}]"))
+    e = a.select("*", st.alias("st"), fnd.alias("fnd"))
+    st, fnd = F.col("st"), F.col("fnd")
+    body = (F.when(ag == "security", F.concat(
+                F.lit('{"status":"'), st, F.lit('","severity_level":"'),
+                F.when(doc_id % 8 == 0, "high").otherwise("low"), F.lit('","findings_summary":'), fnd, F.lit("}")))
+            .when(ag == "architecture", F.concat(
+                F.lit('{"status":"'), st, F.lit('","complexity_score":'), s(doc_id % 10 + 1),
+                F.lit(',"refactor_suggestions":'), fnd, F.lit("}")))
+            .when(ag == "testing", F.concat(
+                F.lit('{"status":"'), st, F.lit('","test_coverage_adequate":'),
+                F.when(doc_id % 8 == 2, "true").otherwise("false"), F.lit(',"qa_notes":'), fnd, F.lit("}")))
+            .otherwise(F.concat(
+                F.lit('{"overall_status":"'), st, F.lit('","approved_findings":'), fnd,
+                F.lit(',"vetoed_count":'), s(doc_id % 3), F.lit(',"summary":"s '), s(doc_id), F.lit('"}'))))
+    raw = (F.when((att == 1) & (doc_id % 7 == 0), F.lit("not json"))
+           .when(doc_id % 91 == 0, F.lit('{"status":'))
+           .otherwise(F.concat(F.lit("```json\n"), body, F.lit("\n```"))))
+    return e.select(
+        F.col("pr_id").cast("bigint"), "agent", att.cast("int").alias("attempt"),
+        F.when(att == 3, "fallback").otherwise("primary").alias("provider"),
+        (doc_id % 50).cast("double").alias("latency_s"), raw.alias("raw_text"))
