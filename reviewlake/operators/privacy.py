@@ -123,7 +123,13 @@ def mask_persons(df: DataFrame, col: str, key: str, names: DataFrame,
     n_names = names.limit(broadcast_limit + 1).count()
     nt = names.select(F.col("name").alias("__tok")).distinct()
     nt = F.broadcast(nt) if n_names <= broadcast_limit else nt
-    rows = df.select(key, F.col(col).alias("__text")).filter(F.col("__text").rlike("[A-Z]"))
+    rows = df.select(key, F.col(col).alias("__text"))
+    if n_names <= 1000:
+        # Small dictionary: a single rlike skips rows without any candidate name, so
+        # only those rows are exploded, joined and regrouped.
+        import re as _re
+        alts = "|".join(_re.escape(r["name"]) for r in names.select("name").distinct().collect())
+        rows = rows.filter(F.col("__text").rlike(f"(?U)\\b(?:{alts})\\b")) if alts else rows.limit(0)
     toks = rows.select(key, F.posexplode(F.split("__text", r"(?U)\b", -1)).alias("__pos", "__tok"))
     hit = toks.join(nt.withColumn("__hit", F.lit(True)), "__tok", "left")
     piece = F.when(F.col("__hit"), F.lit("<PERSON>")).otherwise(F.col("__tok"))
@@ -173,7 +179,7 @@ SECRET_RULES = [
     ("jwt", "Gitleaks", "MEDIUM", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     ("curl-pipe-shell", "Trivy", "HIGH", r"(?i)curl[^|]*\|\s*(ba)?sh"),
     ("world-writable-chmod", "Trivy", "HIGH", r"chmod\s+(-R\s+)?777"),
-    ("tls-verify-disabled", "Trivy", "HIGH", r"(?i)verify\s*=\s*False|(?i)ssl_verify\s*[:=]\s*false"),
+    ("tls-verify-disabled", "Trivy", "HIGH", r"(?i)verify\s*=\s*False|ssl_verify\s*[:=]\s*false"),
     ("docker-latest-tag", "Trivy", "MEDIUM", r"(?i)^\s*FROM\s+[^\s:]+:latest"),
 ]
 TOOL_ORDER = ["Gitleaks", "Trivy"]

@@ -105,3 +105,63 @@ def n_matches(x: str, pat: str) -> str:
 
 def replace_all(x: str, pat: str, label: str) -> str:
     return f"regexp_replace({x}, {q(pat)}, {q(label)}, 'g')"
+
+
+def luhn_ok(x: str) -> str:
+    d = f"reverse(regexp_replace({x}, '[^0-9]', '', 'g'))"
+    dg = f"CAST(substr({d}, li, 1) AS INTEGER)"
+    return (f"(list_sum(list_transform(range(1, length({d}) + 1), lambda li: CASE WHEN li % 2 = 0 THEN "
+            f"(CASE WHEN 2 * {dg} > 9 THEN 2 * {dg} - 9 ELSE 2 * {dg} END) ELSE {dg} END)) % 10 = 0)")
+
+
+def mod97_ok(x: str) -> str:
+    s = f"upper(replace({x}, ' ', ''))"
+    r = f"concat(substr({s}, 5), substr({s}, 1, 4))"
+    vals = (f"list_transform(range(1, length({r}) + 1), lambda mi: CASE WHEN regexp_matches(substr({r}, mi, 1), '[0-9]') "
+            f"THEN CAST(substr({r}, mi, 1) AS BIGINT) ELSE CAST(ascii(substr({r}, mi, 1)) - 55 AS BIGINT) END)")
+    return (f"(list_reduce({vals}, lambda macc, v: CASE WHEN v < 10 THEN (macc * 10 + v) % 97 "
+            f"ELSE (macc * 100 + v) % 97 END, CAST(0 AS BIGINT)) = 1)")
+
+
+CHECKS = {"luhn": luhn_ok, "mod97": mod97_ok}
+
+
+def validated_replace(x: str, pat: str, label: str, check) -> str:
+    p, h = f"string_split_regex({x}, {q(pat)})", f"regexp_extract_all({x}, {q(pat)})"
+    return (f"(CASE WHEN regexp_matches({x}, {q(pat)}) THEN concat(array_to_string(list_transform("
+            f"list_slice({p}, 1, len({h})), lambda vq, vi: concat(vq, CASE WHEN {check(f'{h}[vi]')} THEN {q(label)} "
+            f"ELSE {h}[vi] END)), ''), {p}[len({p})]) ELSE {x} END)")
+
+
+def count_validated(x: str, pat: str, check) -> str:
+    return f"CAST(len(list_filter(regexp_extract_all({x}, {q(pat)}), lambda vh: {check('vh')})) AS BIGINT)"
+
+
+def mask_entity(x: str, name: str, pat: str) -> str:
+    chk = P.VALIDATED_ENTITIES.get(name)
+    if chk:
+        return validated_replace(x, pat, f"<{name}>", CHECKS[chk])
+    return replace_all(x, pat, f"<{name}>")
+
+
+def mask_chain_ctes(src_cte: str, key_cols: str, col: str, out_cte: str, with_counts: bool = False) -> str:
+    """CTEs masking ``col`` entity by entity (priority order) -> ``out_cte(key_cols, t7, n_*)``."""
+    parts, prev, prev_col, counts = [], src_cte, col, []
+    for i, (name, pat) in enumerate(P.ENTITY_PATTERNS, 1):
+        chk = P.VALIDATED_ENTITIES.get(name)
+        cnt = count_validated(prev_col, pat, CHECKS[chk]) if chk else n_matches(prev_col, pat)
+        cname = f"n_{name.lower()}"
+        cte = f"{out_cte}_{i}" if i < len(P.ENTITY_PATTERNS) else out_cte
+        keep = ", ".join([key_cols] + counts)
+        parts.append(f"{cte} AS (SELECT {keep}, {cnt} AS {cname}, {mask_entity(prev_col, name, pat)} AS t{i} FROM {prev})")
+        counts.append(cname)
+        prev, prev_col = cte, f"t{i}"
+    return ",\n".join(parts)
+
+
+def mask_secrets(x: str, aws_exact: bool = False) -> str:
+    """PEM, AWS key ids (look-arounds emulated with captured boundaries), secret assignments."""
+    pem = replace_all(x, "(?s)" + P.PEM_PATTERN, P.PEM_LABEL)
+    aws = (f"regexp_replace({pem}, '(^|[^A-Z0-9])(AKIA|AGPA|AIPA|ANPA|ANVA|ASIA)[A-Z0-9]{{16}}([^A-Z0-9]|$)', "
+           f"'\\1{P.AWS_KEY_LABEL}\\3', 'g')")
+    return replace_all(aws, "(?s)" + P.SECRET_ASSIGN_PATTERN, P.SECRET_LABEL)
