@@ -117,3 +117,52 @@ def list_state(v: str, path: str) -> str:
 def list_items(v: str, path: str) -> str:
     """``array<variant>`` of a list field ([] when missing)."""
     return f"coalesce(try_variant_get({v}, '{path}', 'array<variant>'), array())"
+
+
+# ---------------------------------------------------------------------------
+# Field extraction once, checks on the extracted columns (keeps plans small).
+# ---------------------------------------------------------------------------
+
+def field_struct_sql(v: str, path: str) -> str:
+    """named_struct(t, s, d, b): type name, string, double and boolean views of a field."""
+    g = vget(v, path)
+    return (f"named_struct('t', schema_of_variant({g}), 's', try_variant_get({g}, '$', 'string'), "
+            f"'d', try_variant_get({g}, '$', 'double'), 'b', try_variant_get({g}, '$', 'boolean'))")
+
+
+def f_is_str(x: str) -> str:
+    return f"coalesce({x}.t = 'STRING', false)"
+
+
+def _f_num(x: str) -> str:
+    return f"({x}.t IN ('BIGINT', 'INT', 'SMALLINT', 'TINYINT', 'DOUBLE', 'FLOAT') OR startswith({x}.t, 'DECIMAL'))"
+
+
+def f_is_int(x: str) -> str:
+    return (f"coalesce({x}.t IN ('BIGINT', 'INT', 'SMALLINT', 'TINYINT', 'BOOLEAN') OR "
+            f"({_f_num(x)} AND {x}.d = floor({x}.d)) OR ({x}.t = 'STRING' AND trim({x}.s) rlike '^[+-]?[0-9]+$'), false)")
+
+
+def f_int(x: str) -> str:
+    return f"CASE WHEN {x}.t = 'BOOLEAN' THEN CAST({x}.b AS BIGINT) ELSE CAST({x}.d AS BIGINT) END"
+
+
+def f_is_float(x: str) -> str:
+    return (f"coalesce({_f_num(x)} OR {x}.t = 'BOOLEAN' OR "
+            f"({x}.t = 'STRING' AND try_cast(trim({x}.s) AS DOUBLE) IS NOT NULL), false)")
+
+
+def f_float(x: str) -> str:
+    return f"CASE WHEN {x}.t = 'BOOLEAN' THEN CAST(CAST({x}.b AS INT) AS DOUBLE) ELSE {x}.d END"
+
+
+def f_is_bool(x: str) -> str:
+    w = f"lower(trim({x}.s))"
+    return (f"coalesce({x}.t = 'BOOLEAN' OR ({x}.t = 'BIGINT' AND {x}.d IN (0, 1)) OR "
+            f"({x}.t = 'STRING' AND ({w} IN {_TRUE_WORDS} OR {w} IN {_FALSE_WORDS})), false)")
+
+
+def f_bool(x: str) -> str:
+    w = f"lower(trim({x}.s))"
+    return (f"CASE WHEN {x}.t = 'BOOLEAN' THEN {x}.b WHEN {x}.t = 'BIGINT' THEN {x}.d = 1 "
+            f"WHEN {x}.t = 'STRING' THEN {w} IN {_TRUE_WORDS} END")
