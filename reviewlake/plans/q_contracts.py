@@ -184,8 +184,9 @@ results AS (SELECT c.pr_id, c.agent, c.outcome,
   CAST(CASE WHEN outcome = 'failed' AND agent = 'critic' THEN 0
     WHEN outcome = 'ok' THEN CAST(json_extract(j, '$.vetoed_count') AS DOUBLE) END AS INTEGER) AS vetoed_count,
   CASE WHEN outcome = 'timeout' THEN 'Timeout' WHEN outcome = 'failed' THEN coalesce(last_error, 'no output') END AS error,
-  CASE WHEN outcome = 'ok' THEN json_extract(j, '$.' || CASE agent WHEN 'security' THEN 'findings_summary'
-    WHEN 'architecture' THEN 'refactor_suggestions' WHEN 'testing' THEN 'qa_notes' ELSE 'approved_findings' END || '[*]') END AS fl,
+  CASE WHEN outcome = 'ok' THEN CASE agent WHEN 'security' THEN json_extract(j, '$.findings_summary[*]')
+    WHEN 'architecture' THEN json_extract(j, '$.refactor_suggestions[*]') WHEN 'testing' THEN json_extract(j, '$.qa_notes[*]')
+    ELSE json_extract(j, '$.approved_findings[*]') END END AS fl,
   hf.pr_id IS NOT NULL AS has_scan
   FROM chosen c LEFT JOIN hf ON c.pr_id = hf.pr_id)"""
 
