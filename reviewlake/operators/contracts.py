@@ -220,7 +220,7 @@ def _na_finding(desc):
                             F.lit(0).alias("line_number"), F.lit(1.0).alias("confidence_score")))
 
 
-def with_defaults(resolved: DataFrame, scans: DataFrame | None = None) -> DataFrame:
+def with_defaults(resolved: DataFrame, scans: DataFrame | None = None, prs: DataFrame | None = None) -> DataFrame:
     """D12 + D13: final per-(pr, agent) result row.
 
     ok -> the validated report; timeout -> status fail, error 'Timeout', no report
@@ -228,6 +228,15 @@ def with_defaults(resolved: DataFrame, scans: DataFrame | None = None) -> DataFr
     found something else unknown; architecture fail, 1; testing warn, false; critic
     fail, no findings, 0). Expects typed report columns (see :func:`typed_report`).
     """
+    if prs is not None:
+        # Every PR gets every agent: a generated (pr, agent) grid, left-joined to what
+        # was resolved; a PR with no landed output fails like an agent that raised.
+        grid = prs.select("pr_id").distinct().withColumn("agent", F.explode(F.array(*[F.lit(a) for a in P.ALL_AGENTS])))
+        resolved = grid.join(resolved, ["pr_id", "agent"], "left").withColumn(
+            "outcome", F.coalesce(F.col("outcome"), F.lit("failed"))).withColumn(
+            "attempts_made", F.coalesce(F.col("attempts_made"), F.lit(0))).withColumn(
+            "elapsed_s", F.coalesce(F.col("elapsed_s"), F.lit(0.0))).withColumn(
+            "last_error", F.coalesce(F.col("last_error"), F.lit("no output")))
     x = sla_outcome(resolved)
     if scans is not None:
         x = x.join(scans.select("pr_id", F.col("scan_summary")), "pr_id", "left")
@@ -315,3 +324,23 @@ def build_requests(prs: DataFrame, prompts: DataFrame, scans: DataFrame | None =
     j = agents.join(pt, "agent", "left")
     return j.select("pr_id", "agent", F.coalesce(F.col("system"), F.lit("")).alias("system"), user.alias("user"),
                     F.col("d").contains(P.PAYLOAD_CLOSE).alias("breakout"))
+
+
+def final_results(resolved: DataFrame, scans: DataFrame, prs: DataFrame,
+                  diff_col: str = "sanitized_diff") -> DataFrame:
+    """D12 + B5: per-(PR, agent) results for every PR, with the large-PR rule applied to
+    architecture results that did not time out (it follows the fallback, not a timeout).
+    ``prs`` carries the masked, capped diff whose lines are counted."""
+    from .diffs import line_count
+    r = with_defaults(resolved, scans, prs)
+    n = prs.select("pr_id", line_count(F.col(diff_col)).alias("n_lines"))
+    x = r.join(n, "pr_id", "left")
+    hit = ((F.col("agent") == "architecture") & (F.col("outcome") != "timeout")
+           & (F.coalesce(F.col("n_lines"), F.lit(0)) > P.LARGE_PR_THRESHOLD))
+    note = F.struct(F.lit(P.LARGE_PR_NOTE).alias("description"), F.lit("N/A").alias("file_reference"),
+                    F.lit(0).alias("line_number"), F.lit(1.0).alias("confidence_score"))
+    fl = F.coalesce(F.col("findings"), F.array().cast(FINDINGS_TYPE))
+    return x.withColumn("status", F.when(hit & (F.col("status") == "pass"), F.lit("warn")).otherwise(F.col("status"))) \
+        .withColumn("findings", F.when(hit & ~F.array_contains(fl, note), F.array_append(fl, note))
+                    .otherwise(F.col("findings"))) \
+        .withColumn("large_pr", hit)

@@ -38,13 +38,14 @@ def mean_confidence(critic: DataFrame) -> DataFrame:
     return x.groupBy("pr_id").agg(F.avg(score).alias("mean_confidence"))
 
 
-_SEV = F.create_map(*[x for i, s in enumerate(P.SEVERITY_LEVELS) for x in (F.lit(s), F.lit(i))])
+def _severity_map() -> F.Column:
+    return F.create_map(*[x for i, s in enumerate(P.SEVERITY_LEVELS) for x in (F.lit(s), F.lit(i))])
 
 
 def max_severity(df: DataFrame, col: str = "severity") -> DataFrame:
     """highest severity per PR (low < medium < high < critical; others ignored)."""
     s = F.lower(F.col(col))
-    r = F.element_at(_SEV, s)
+    r = F.element_at(_severity_map(), s)
     return df.filter(r.isNotNull()).groupBy("pr_id").agg(
         F.max(F.struct(r.alias("rank"), s.alias("level"))).alias("m")).select(
         "pr_id", F.col("m.level").alias("max_severity"))
