@@ -112,6 +112,17 @@ ENTITY_PATTERNS = [
     ("PHONE_NUMBER", r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}"),
 ]
 ENTITY_PRIORITY = {name: i for i, (name, _) in enumerate(ENTITY_PATTERNS)}
+
+# Cheap necessary conditions: a row can only match an entity pattern when its guard
+# holds, so the full pattern runs on fewer rows and results cannot change.
+# ("contains", literal) or ("rlike", simple pattern).
+ENTITY_GUARDS = {
+    "EMAIL_ADDRESS": ("contains", "@"),
+    "IBAN_CODE": ("rlike", "[A-Z]{2}[0-9]{2}"),
+    "US_SSN": ("rlike", "[0-9]{3}-[0-9]{2}-[0-9]{4}"),
+    "IP_ADDRESS": ("rlike", "[0-9][.][0-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]"),
+    "PHONE_NUMBER": ("rlike", "[0-9]{3}[ .-][0-9]{4}"),
+}
 ENTITY_PRIORITY["PERSON"] = len(ENTITY_PATTERNS)
 VALIDATED_ENTITIES = {"CREDIT_CARD": "luhn", "IBAN_CODE": "mod97"}
 

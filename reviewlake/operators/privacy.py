@@ -28,12 +28,27 @@ def _entity_list(entities):
     return [(e, p) for e, p in P.ENTITY_PATTERNS if e in wanted]
 
 
+_SENTINEL = "\ue000"  # private-use character standing in for one match while counting
+
+
+def guard_sql(col_sql: str, name: str) -> str:
+    """SQL predicate that must hold for ``name`` to match (``true`` when none is known)."""
+    g = P.ENTITY_GUARDS.get(name)
+    if g is None:
+        return "true"
+    kind, val = g
+    return f"contains({col_sql}, {lit_str(val)})" if kind == "contains" else f"({col_sql} rlike {lit_str(val)})"
+
+
 def mask_entity_col(col_sql: str, name: str, pattern: str) -> Column:
-    """Mask one entity in column ``col_sql`` (validated entities only when the check holds)."""
+    """Mask one entity in column ``col_sql`` (validated entities only when the check
+    holds); rows failing the entity's cheap guard are passed through untouched."""
     check = P.VALIDATED_ENTITIES.get(name)
     if check:
-        return validated_replace(col_sql, pattern, entity_label(name), _CHECKS[check])
-    return F.regexp_replace(F.col(col_sql), pattern, entity_label(name))
+        masked = validated_replace(col_sql, pattern, entity_label(name), _CHECKS[check])
+    else:
+        masked = F.regexp_replace(F.col(col_sql), pattern, entity_label(name))
+    return F.when(F.expr(guard_sql(col_sql, name)), masked).otherwise(F.col(col_sql))
 
 
 def mask_entities(df: DataFrame, col: str, entities=None, out: str | None = None) -> DataFrame:
@@ -61,8 +76,23 @@ def entity_counts(df: DataFrame, col: str, key: str, entities=None) -> DataFrame
     for name, pat in _entity_list(entities):
         cname = f"n_{name.lower()}"
         check = P.VALIDATED_ENTITIES.get(name)
-        c = count_validated(tmp, pat, _CHECKS[check]) if check else count_matches(F.col(tmp), pat)
-        df = df.withColumn(cname, c).withColumn(tmp, mask_entity_col(tmp, name, pat))
+        guard = F.expr(guard_sql(tmp, name))
+        if check:
+            df = df.withColumn(cname, F.when(guard, count_validated(tmp, pat, _CHECKS[check])).otherwise(F.lit(0))
+                               .cast("bigint")).withColumn(tmp, mask_entity_col(tmp, name, pat))
+        else:
+            # One regex pass: matches become a sentinel character, counted by length
+            # difference, then swapped for the label. Texts that already hold the
+            # sentinel take the two-pass path.
+            t = F.col(tmp)
+            marked = F.regexp_replace(t, pat, _SENTINEL)
+            safe = ~t.contains(_SENTINEL)
+            df = df.withColumn("__marked", F.when(guard & safe, marked))
+            m = F.col("__marked")
+            df = df.withColumn(cname, F.when(~guard, F.lit(0)).when(safe, F.length(m) - F.length(
+                F.replace(m, F.lit(_SENTINEL), F.lit("")))).otherwise(count_matches(t, pat)).cast("bigint"))
+            df = df.withColumn(tmp, F.when(~guard, t).when(safe, F.replace(m, F.lit(_SENTINEL), F.lit(entity_label(name))))
+                               .otherwise(F.regexp_replace(t, pat, entity_label(name)))).drop("__marked")
         counts.append(cname)
     return df.select(key, *counts)
 
@@ -93,7 +123,7 @@ def entity_spans(df: DataFrame, col: str, key: str, entities=None) -> DataFrame:
     text is never emitted.
     """
     ents = _entity_list(entities)
-    guarded = [f"CASE WHEN {col} rlike {lit_str(p)} THEN {_spans_expr(col, n, p)} "
+    guarded = [f"CASE WHEN {guard_sql(col, n)} AND {col} rlike {lit_str(p)} THEN {_spans_expr(col, n, p)} "
                f"ELSE array() END" for n, p in ents]
     all_spans = "flatten(array(" + ", ".join(guarded) + "))"
     better = ("(b.prio < a.prio OR (b.prio = a.prio AND (b.len > a.len OR "

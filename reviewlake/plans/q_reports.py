@@ -52,8 +52,10 @@ def result_documents(spark, sf_dir):
     """The nested result document per PR (missing agent -> {})."""
     rep, r = reports_df(spark, sf_dir)
     d = G.result_document(rep, r)
-    return d.select("pr_id", "summary", F.length("document").cast("bigint").alias("document_len"),
-                    F.get_json_object("document", "$.results.critic.status").alias("critic_status"))
+    return d.select("pr_id", F.get_json_object("document", "$.summary").alias("summary"),
+                    F.md5(F.get_json_object("document", "$.markdown_report")).alias("report_md5"),
+                    F.get_json_object("document", "$.results.critic.status").alias("critic_status"),
+                    F.get_json_object("document", "$.results.security.status").alias("security_status"))
 
 
 @register("audit_rows")
@@ -218,6 +220,7 @@ def fx_cost():
 
 
 from .catalog import ORACLES  # noqa: E402
+from .oracle_fixtures import q as O_q  # noqa: E402
 
 ORACLES["large_pr"] = f"""WITH {_oracle_results_sql()}
 SELECT pr_id, n_lines, large_pr, outcome, status, CAST(len(findings) AS INTEGER) AS n_findings FROM final
@@ -229,3 +232,8 @@ w AS (SELECT pr_id, arg_max(status, (CASE lower(status) WHEN 'pass' THEN 0 WHEN
   - CASE agent WHEN 'security' THEN 1 WHEN 'architecture' THEN 2 ELSE 3 END) AS worst_status FROM final
   WHERE agent IN ('security', 'architecture', 'testing') GROUP BY pr_id)
 SELECT md.pr_id, critic_outcome, worst_status, latency_s, md5(markdown_report) AS report_md5 FROM md JOIN w ON md.pr_id = w.pr_id"""
+
+ORACLES["result_documents"] = f"""{_oracle_reports_sql()}
+SELECT md.pr_id, {O_q(G.SUMMARY_TEXT)} AS summary, md5(markdown_report) AS report_md5, c.status AS critic_status,
+  s.status AS security_status
+FROM md JOIN final c ON c.pr_id = md.pr_id AND c.agent = 'critic' JOIN final s ON s.pr_id = md.pr_id AND s.agent = 'security'"""
