@@ -123,9 +123,13 @@ def list_items(v: str, path: str) -> str:
 # Field extraction once, checks on the extracted columns (keeps plans small).
 # ---------------------------------------------------------------------------
 
-def field_struct_sql(v: str, path: str) -> str:
-    """named_struct(t, s, d, b): type name, string, double and boolean views of a field."""
+def field_struct_sql(v: str, path: str, text_only: bool = False) -> str:
+    """named_struct(t, s, d, b): type name, string, double and boolean views of a field
+    (``text_only``: type and string only, for string and enum fields)."""
     g = vget(v, path)
+    if text_only:
+        return (f"named_struct('t', schema_of_variant({g}), 's', try_variant_get({g}, '$', 'string'), "
+                f"'d', CAST(NULL AS DOUBLE), 'b', CAST(NULL AS BOOLEAN))")
     return (f"named_struct('t', schema_of_variant({g}), 's', try_variant_get({g}, '$', 'string'), "
             f"'d', try_variant_get({g}, '$', 'double'), 'b', try_variant_get({g}, '$', 'boolean'))")
 

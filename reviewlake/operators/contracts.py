@@ -35,6 +35,7 @@ def _in(values) -> str:
 # Scalar report fields: name -> JSON path. Extracted once per row into struct columns.
 SCALAR_FIELDS = ["status", "overall_status", "severity_level", "complexity_score", "test_coverage_adequate",
                  "vetoed_count", "summary", "mean_confidence_score"]
+TEXT_FIELDS = {"status", "overall_status", "severity_level", "summary"}
 
 
 def _fv(name: str) -> str:
@@ -95,25 +96,31 @@ def _reason_sql() -> str:
 def _extract(df: DataFrame, v: str = "payload") -> DataFrame:
     """Add one struct column per scalar field, the agent's findings list (items and
     state) and per-finding extracted structs. Each VARIANT path is read once."""
-    cols = [F.expr(J.field_struct_sql(v, "$." + f)).alias(_fv(f)) for f in SCALAR_FIELDS]
+    cols = [F.expr(J.field_struct_sql(v, "$." + f, f in TEXT_FIELDS)).alias(_fv(f)) for f in SCALAR_FIELDS]
     lpath = "CASE " + " ".join(f"WHEN agent = '{a}' THEN '$.{f}'" for a, (f, _) in AGENT_FIELDS.items()) + " END"
-    x = df.select("*", F.expr(J.is_object(v)).alias("__is_obj"), *cols,
-                  F.expr(f"try_variant_get({v}, {lpath}, 'variant')").alias("__list"))
-    x = x.withColumn("__list_state", F.expr(
-        "CASE WHEN schema_of_variant(__list) IS NULL THEN 'missing' "
-        "WHEN startswith(schema_of_variant(__list), 'ARRAY') THEN 'list' ELSE 'bad' END"))
-    items = ("transform(coalesce(try_variant_get(__list, '$', 'array<variant>'), array()), fv -> named_struct("
+    lst = f"try_variant_get({v}, {lpath}, 'variant')"
+    state = (f"CASE WHEN schema_of_variant({lst}) IS NULL THEN 'missing' "
+             f"WHEN startswith(schema_of_variant({lst}), 'ARRAY') THEN 'list' ELSE 'bad' END")
+    items = (f"transform(coalesce(try_variant_get({lst}, '$', 'array<variant>'), array()), fv -> named_struct("
              "'t', schema_of_variant(fv), "
-             f"'desc', {J.field_struct_sql('fv', '$.description')}, 'file', {J.field_struct_sql('fv', '$.file_reference')}, "
+             f"'desc', {J.field_struct_sql('fv', '$.description', True)}, "
+             f"'file', {J.field_struct_sql('fv', '$.file_reference', True)}, "
              f"'line', {J.field_struct_sql('fv', '$.line_number')}, 'conf', {J.field_struct_sql('fv', '$.confidence_score')}))")
-    return x.withColumn("__items", F.expr(items))
+    return df.select("*", F.expr(J.is_object(v)).alias("__is_obj"), *cols, F.expr(state).alias("__list_state"),
+                     F.expr(items).alias("__items"))
 
 
 def parse_reports(df: DataFrame, text: str = "raw_text") -> DataFrame:
     """D1 + D2: strip the fence, parse strictly. Adds ``cleaned``, ``payload`` (VARIANT,
     NULL when not JSON) and ``parse_error`` (with the first 200 characters)."""
     x = df.withColumn("cleaned", F.expr(J.strip_fence_sql(text)))
-    x = x.withColumn("payload", F.expr(J.strict_parse_sql("cleaned")))
+    # Parse the bracket-wrapped text once; the value is its only element. The object
+    # wrap is a second, independent check against trailing text.
+    x = x.withColumn("__arr", F.expr("try_parse_json(concat('[', cleaned, ']'))"))
+    ok = ("__arr IS NOT NULL AND try_variant_get(__arr, '$[0]', 'variant') IS NOT NULL "
+          "AND try_variant_get(__arr, '$[1]', 'variant') IS NULL "
+          "AND try_parse_json(concat('{\"x\":', cleaned, '}')) IS NOT NULL")
+    x = x.withColumn("payload", F.expr(f"CASE WHEN {ok} THEN try_variant_get(__arr, '$[0]', 'variant') END")).drop("__arr")
     return x.withColumn("parse_error", F.when(F.col("payload").isNull(), F.concat(
         F.lit("LLM returned non-JSON content\n---\n"), F.substring("cleaned", 1, 200))))
 

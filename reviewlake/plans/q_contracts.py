@@ -100,7 +100,10 @@ validated AS (SELECT *, reason IS NULL AS valid FROM v2)"""
 
 
 def validated(spark, sf_dir):
-    return C.validate_reports(C.parse_reports(fx.agent_outputs(spark, sf_dir)))
+    # Shuffle the attempt log on (pr_id, agent) first: validation (CPU-heavy per row)
+    # then runs on every core, and attempt resolution reuses this partitioning.
+    log = fx.agent_outputs(spark, sf_dir).repartition("pr_id", "agent")
+    return C.validate_reports(C.parse_reports(log))
 
 
 @register("report_validation", f"""WITH {VALIDATED_SQL}
