@@ -12,6 +12,7 @@ from ..operators import privacy as PV
 from ..sources import fixtures as fx
 from . import oracle_fixtures as O
 from .catalog import register
+from .context import ReviewContext
 
 # ---------------------------------------------------------------------------
 # DuckDB twin of the contract checks (JSON type names: VARCHAR, UBIGINT, BIGINT,
@@ -100,10 +101,7 @@ validated AS (SELECT *, reason IS NULL AS valid FROM v2)"""
 
 
 def validated(spark, sf_dir):
-    # Shuffle the attempt log on (pr_id, agent) first: validation (CPU-heavy per row)
-    # then runs on every core, and attempt resolution reuses this partitioning.
-    log = fx.agent_outputs(spark, sf_dir).repartition("pr_id", "agent")
-    return C.validate_reports(C.parse_reports(log))
+    return ReviewContext(spark, sf_dir).validated
 
 
 @register("report_validation", f"""WITH {VALIDATED_SQL}
@@ -145,7 +143,7 @@ resolved2 AS (SELECT *, CASE WHEN elapsed_s > {P.SUBAGENT_TIMEOUT_SECONDS} THEN
 
 
 def resolved(spark, sf_dir):
-    return C.resolve_attempts(C.typed_report(validated(spark, sf_dir)))
+    return ReviewContext(spark, sf_dir).resolved
 
 
 @register("resolved_reports", f"""WITH {_RESOLVED_SQL}
@@ -194,10 +192,8 @@ results AS (SELECT c.pr_id, c.agent, c.outcome,
   FROM chosen c LEFT JOIN hf ON c.pr_id = hf.pr_id)"""
 
 
-def agent_results_df(spark, sf_dir):
-    prs = fx.prs(spark, sf_dir)
-    scans = PV.scan_summary(PV.filter_severity(PV.secret_findings(D.diff_lines(D.split_hunks(prs)))), prs)
-    return C.with_defaults(resolved(spark, sf_dir), scans)
+def agent_results_df(spark, sf_dir, ctx=None):
+    return (ctx or ReviewContext(spark, sf_dir)).results
 
 
 @register("agent_results", f"""WITH {_RESULTS_SQL}
@@ -261,9 +257,7 @@ u AS (SELECT pr_id, agent, concat({O.q(P.PAYLOAD_OPEN + chr(10))}, d, {O.q(chr(1
 SELECT pr_id, agent, md5("user") AS user_md5, CAST(length("user") AS BIGINT) AS user_len, breakout FROM u""")
 def review_requests(spark, sf_dir):
     """D15 for the three reviewers: masked diff in payload tags, scan text for security."""
-    prs = fx.prs(spark, sf_dir)
-    scans = PV.scan_summary(PV.filter_severity(PV.secret_findings(D.diff_lines(D.split_hunks(prs)))), prs)
-    san = PV.sanitize(D.guard_diff(prs))
-    r = C.build_requests(san, prompt_table(spark), scans).filter(F.col("agent") != "critic")
+    ctx = ReviewContext(spark, sf_dir)
+    r = C.build_requests(ctx.sanitized, prompt_table(spark), ctx.scans).filter(F.col("agent") != "critic")
     return r.select("pr_id", "agent", F.md5("user").alias("user_md5"), F.length("user").cast("bigint").alias("user_len"),
                     "breakout")

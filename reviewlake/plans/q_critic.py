@@ -13,6 +13,7 @@ from ..operators import privacy as PV
 from ..operators import verdict as V
 from ..sources import fixtures as fx
 from .catalog import register
+from .context import ReviewContext
 from .q_contracts import _RESULTS_SQL, agent_results_df
 from .q_diffs import _LINES_SQL
 
@@ -22,16 +23,9 @@ def _ok_findings(results):
     return C.explode_findings(ok)
 
 
-def _diff_tables(spark, sf_dir):
-    lines = D.diff_lines(D.split_hunks(fx.prs(spark, sf_dir)))
-    files = D.changed_files(lines).select("pr_id", "path")
-    new_lines = lines.filter(F.col("sign").isin("+", " ")).select("pr_id", "path", "new_line")
-    return files, new_lines
-
-
 def vetted(spark, sf_dir):
-    files, new_lines = _diff_tables(spark, sf_dir)
-    return E.veto(_ok_findings(agent_results_df(spark, sf_dir)), files, new_lines)
+    ctx = ReviewContext(spark, sf_dir)
+    return E.veto(_ok_findings(ctx.results), ctx.changed_files.select("pr_id", "path"), ctx.new_lines)
 
 
 # The results CTE chain of the contract oracle (it already holds the F0 line table),
@@ -107,10 +101,9 @@ SELECT r.pr_id, r.severity_level, CASE WHEN lower(r.severity_level) IN ('critica
 FROM results r LEFT JOIN hf ON r.pr_id = hf.pr_id WHERE r.agent = 'security' AND r.outcome = 'ok'""")
 def downgraded_security(spark, sf_dir):
     """Unsupported high / critical security severities drop one level."""
-    prs = fx.prs(spark, sf_dir)
-    scans = PV.secret_findings(D.diff_lines(D.split_hunks(prs)))
-    sec = agent_results_df(spark, sf_dir).filter((F.col("agent") == "security") & (F.col("outcome") == "ok"))
-    return E.downgrade(sec.select("pr_id", "severity_level"), scans).select(
+    ctx = ReviewContext(spark, sf_dir)
+    sec = ctx.results.filter((F.col("agent") == "security") & (F.col("outcome") == "ok"))
+    return E.downgrade(sec.select("pr_id", "severity_level"), ctx.scan_hits).select(
         "pr_id", "severity_level", "final_severity", "downgraded")
 
 

@@ -13,16 +13,14 @@ from ..operators import report as G
 from ..operators import verdict as V
 from ..sources import fixtures as fx
 from .catalog import register
+from .context import ReviewContext
 from .q_contracts import resolved
 
 REPORT_TS = "2024-01-01 00:00 UTC"
 
 
 def final(spark, sf_dir):
-    prs = fx.prs(spark, sf_dir)
-    scans = PV.scan_summary(PV.filter_severity(PV.secret_findings(D.diff_lines(D.split_hunks(prs)))), prs)
-    san = PV.sanitize(D.guard_diff(prs))
-    return C.final_results(resolved(spark, sf_dir), scans, san)
+    return ReviewContext(spark, sf_dir).final
 
 
 def reports_df(spark, sf_dir):

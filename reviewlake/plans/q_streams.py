@@ -6,12 +6,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import diffs as D
-from ..operators import privacy as PV
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..streaming import streams as S
 from .catalog import ORACLES, register
+from .context import ReviewContext
 from .q_reports import REPORT_TS
 
 
@@ -47,11 +46,9 @@ def stream_reports(spark, sf_dir):
     """S3: agent outputs arrive over several micro-batches (one file per attempt
     number); each batch re-resolves the PRs it touched; the newest report wins."""
     base = scratch_path(spark, "stream-reports")
-    prs = fx.prs(spark, sf_dir)
-    scans = PV.scan_summary(PV.filter_severity(PV.secret_findings(D.diff_lines(D.split_hunks(prs)))), prs)
-    san = PV.sanitize(D.guard_diff(prs))
-    san_path = _land(san.select("pr_id", "sanitized_diff"), f"{base}/prs")
-    scan_path = _land(scans, f"{base}/scans")
+    ctx = ReviewContext(spark, sf_dir)
+    san_path = _land(ctx.sanitized.select("pr_id", "sanitized_diff"), f"{base}/prs")
+    scan_path = _land(ctx.scans, f"{base}/scans")
     landing = _land(fx.agent_outputs(spark, sf_dir), f"{base}/landing", 3, F.col("attempt"))
     q = S.stream_reports(spark, landing, spark.read.parquet(san_path), spark.read.parquet(scan_path),
                          f"{base}/out", f"{base}/ckpt", REPORT_TS, max_files_per_trigger=1)
