@@ -19,8 +19,11 @@ def sql_str(s: str) -> str:
 
 def strip_fence_sql(x: str) -> str:
     """The first fenced body, else the text trimmed of Unicode whitespace."""
-    return (f"CASE WHEN {x} rlike {sql_str(FENCE)} THEN regexp_extract({x}, {sql_str(FENCE)}, 1) "
-            f"ELSE regexp_replace(regexp_replace({x}, '(?U)^\\\\s+', ''), '(?U)\\\\s+\\\\z', '') END")
+    # One regex pass decides and extracts: regexp_extract alone returns '' for both
+    # "no fence" and "empty fence", the first element of regexp_extract_all does not.
+    hit = f"try_element_at(regexp_extract_all({x}, {sql_str(FENCE)}, 1), 1)"
+    return (f"coalesce({hit}, "
+            f"regexp_replace(regexp_replace({x}, '(?U)^\\\\s+', ''), '(?U)\\\\s+\\\\z', ''))")
 
 
 def strict_valid_sql(x: str) -> str:

@@ -97,8 +97,11 @@ def _extract(df: DataFrame, v: str = "payload") -> DataFrame:
     """Add one struct column per scalar field, the agent's findings list (items and
     state) and per-finding extracted structs. Each VARIANT path is read once."""
     cols = [F.expr(J.field_struct_sql(v, "$." + f, f in TEXT_FIELDS)).alias(_fv(f)) for f in SCALAR_FIELDS]
-    lpath = "CASE " + " ".join(f"WHEN agent = '{a}' THEN '$.{f}'" for a, (f, _) in AGENT_FIELDS.items()) + " END"
-    lst = f"try_variant_get({v}, {lpath}, 'variant')"
+    # One literal path per agent, so each VARIANT path is parsed once per plan, not per row.
+    lst = "CASE " + " ".join(f"WHEN agent = '{a}' THEN try_variant_get({v}, '$.{f}', 'variant')"
+                             for a, (f, _) in AGENT_FIELDS.items()) + " END"
+    x = df.select("*", F.expr(lst).alias("__list"))
+    lst = "__list"
     state = (f"CASE WHEN schema_of_variant({lst}) IS NULL THEN 'missing' "
              f"WHEN startswith(schema_of_variant({lst}), 'ARRAY') THEN 'list' ELSE 'bad' END")
     items = (f"transform(coalesce(try_variant_get({lst}, '$', 'array<variant>'), array()), fv -> named_struct("
@@ -106,8 +109,8 @@ def _extract(df: DataFrame, v: str = "payload") -> DataFrame:
              f"'desc', {J.field_struct_sql('fv', '$.description', True)}, "
              f"'file', {J.field_struct_sql('fv', '$.file_reference', True)}, "
              f"'line', {J.field_struct_sql('fv', '$.line_number')}, 'conf', {J.field_struct_sql('fv', '$.confidence_score')}))")
-    return df.select("*", F.expr(J.is_object(v)).alias("__is_obj"), *cols, F.expr(state).alias("__list_state"),
-                     F.expr(items).alias("__items"))
+    return x.select(*df.columns, F.expr(J.is_object(v)).alias("__is_obj"), *cols, F.expr(state).alias("__list_state"),
+                    F.expr(items).alias("__items"))
 
 
 def parse_reports(df: DataFrame, text: str = "raw_text") -> DataFrame:
@@ -120,9 +123,11 @@ def parse_reports(df: DataFrame, text: str = "raw_text") -> DataFrame:
     ok = ("__arr IS NOT NULL AND try_variant_get(__arr, '$[0]', 'variant') IS NOT NULL "
           "AND try_variant_get(__arr, '$[1]', 'variant') IS NULL "
           "AND try_parse_json(concat('{\"x\":', cleaned, '}')) IS NOT NULL")
-    x = x.withColumn("payload", F.expr(f"CASE WHEN {ok} THEN try_variant_get(__arr, '$[0]', 'variant') END")).drop("__arr")
-    return x.withColumn("parse_error", F.when(F.col("payload").isNull(), F.concat(
-        F.lit("LLM returned non-JSON content\n---\n"), F.substring("cleaned", 1, 200))))
+    payload = F.expr(f"CASE WHEN {ok} THEN try_variant_get(__arr, '$[0]', 'variant') END")
+    err = F.when(payload.isNull(), F.concat(F.lit("LLM returned non-JSON content\n---\n"), F.substring("cleaned", 1, 200)))
+    # The parse result leaves through a one-row generator so that the many later
+    # references to ``payload`` read one computed value instead of re-parsing.
+    return x.select(*df.columns, "cleaned", F.inline(F.array(F.struct(payload.alias("payload"), err.alias("parse_error")))))
 
 
 def validate_reports(df: DataFrame) -> DataFrame:

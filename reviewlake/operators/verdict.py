@@ -45,7 +45,7 @@ def _severity_map() -> F.Column:
 def max_severity(df: DataFrame, col: str = "severity") -> DataFrame:
     """highest severity per PR (low < medium < high < critical; others ignored)."""
     s = F.lower(F.col(col))
-    r = F.element_at(_severity_map(), s)
+    r = F.try_element_at(_severity_map(), s)
     return df.filter(r.isNotNull()).groupBy("pr_id").agg(
         F.max(F.struct(r.alias("rank"), s.alias("level"))).alias("m")).select(
         "pr_id", F.col("m.level").alias("max_severity"))
