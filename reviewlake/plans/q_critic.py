@@ -72,8 +72,8 @@ def merged_findings(spark, sf_dir):
   AND coalesce(line_number, 0) > 0),
 g AS (SELECT *, coalesce(line_number - lag(line_number) OVER w > 3, true) AS gap FROM x
   WINDOW w AS (PARTITION BY pr_id, file_reference ORDER BY line_number, agent, description)),
-i AS (SELECT *, sum(CAST(gap AS INTEGER)) OVER (PARTITION BY pr_id, file_reference ORDER BY line_number, agent, description
-  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM g)
+i AS (SELECT *, CAST(sum(CAST(gap AS INTEGER)) OVER (PARTITION BY pr_id, file_reference ORDER BY line_number, agent,
+  description ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS island FROM g)
 SELECT pr_id, file_reference, island, min(line_number) AS first_line, max(line_number) AS last_line,
   CAST(count(*) AS BIGINT) AS n_findings, max(confidence_score) AS confidence_score FROM i GROUP BY ALL"""))
 def overlap_islands(spark, sf_dir):

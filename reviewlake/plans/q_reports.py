@@ -120,7 +120,8 @@ fr2 AS (SELECT *, CASE WHEN outcome = 'ok' THEN {f_ok}
 src AS (SELECT pr_id, {O.capped(O.filtered('diff'))} AS capped FROM prs),
 {O.mask_chain_ctes('src', 'pr_id, capped', 'capped', 'm')},
 san AS (SELECT pr_id, CASE WHEN capped = '' THEN '' ELSE {O.mask_secrets('t7')} END AS d FROM m),
-nlines AS (SELECT pr_id, CASE WHEN d = '' THEN 0 ELSE len(string_split(regexp_replace(d, '\\n$', ''), chr(10))) END AS n_lines
+nlines AS (SELECT pr_id, CAST(CASE WHEN d = '' THEN 0 ELSE len(string_split(regexp_replace(d, '\\n$', ''), chr(10))) END
+  AS INTEGER) AS n_lines
   FROM san),
 final AS (SELECT fr2.* REPLACE (
     CASE WHEN agent = 'architecture' AND outcome <> 'timeout' AND n_lines > {fx_threshold()} AND status = 'pass' THEN 'warn'
