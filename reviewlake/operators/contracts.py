@@ -189,7 +189,8 @@ def resolve_attempts(log: DataFrame, max_retries: int = P.MAX_RETRIES, fallback_
     if "retryable" not in log.columns:
         log = log.withColumn("retryable", F.lit(True))
     prank = F.when(F.col("provider") == "primary", 0).otherwise(1)
-    x = log.withColumn("prank", prank)
+    # Primary attempts past the retry budget are never made: drop them before the shuffle.
+    x = log.withColumn("prank", prank).filter((F.col("prank") == 1) | (F.col("attempt") <= max_retries))
     w = Window.partitionBy("pr_id", "agent").orderBy("prank", "attempt")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     nonretry = (~F.col("valid") & ~F.col("retryable")).cast("int")

@@ -72,15 +72,22 @@ def merge_duplicates(findings: DataFrame) -> DataFrame:
 
 def merge_overlapping(findings: DataFrame, k: int = 3) -> DataFrame:
     """E5: findings in one file whose lines are at most ``k`` apart form one island
-    (gaps-and-islands: ``lag`` + running ``sum`` over the file's findings)."""
+    (gaps-and-islands: ``lag`` + running ``sum``).
+
+    Islands depend only on the distinct line numbers, so findings are first reduced to
+    one row per (pr, file, line) with partial aggregation; the window then orders the
+    distinct lines of one file (bounded by that file's diff), however many findings pile
+    onto a single file or line."""
     x = findings.filter(F.coalesce(F.col("line_number"), F.lit(0)) > 0)
-    w = Window.partitionBy("pr_id", "file_reference").orderBy("line_number", "agent", "description")
-    x = x.withColumn("__gap", (F.col("line_number") - F.lag("line_number").over(w)) > k)
-    x = x.withColumn("island", F.sum(F.coalesce(F.col("__gap"), F.lit(True)).cast("int")).over(
-        w.rowsBetween(Window.unboundedPreceding, 0)))
-    return x.groupBy("pr_id", "file_reference", "island").agg(
+    per_line = x.groupBy("pr_id", "file_reference", "line_number").agg(
+        F.count("*").alias("__n"), F.max("confidence_score").alias("__conf"))
+    w = Window.partitionBy("pr_id", "file_reference").orderBy("line_number")
+    y = per_line.withColumn("__gap", (F.col("line_number") - F.lag("line_number").over(w)) > k)
+    y = y.withColumn("island", F.sum(F.coalesce(F.col("__gap"), F.lit(True)).cast("int")).over(
+        w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
+    return y.groupBy("pr_id", "file_reference", "island").agg(
         F.min("line_number").alias("first_line"), F.max("line_number").alias("last_line"),
-        F.count("*").cast("bigint").alias("n_findings"), F.max("confidence_score").alias("confidence_score"))
+        F.sum("__n").cast("bigint").alias("n_findings"), F.max("__conf").alias("confidence_score"))
 
 
 _DOWN = {"critical": "high", "high": "medium"}
