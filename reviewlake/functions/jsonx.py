@@ -173,3 +173,14 @@ def f_bool(x: str) -> str:
     w = f"lower(trim({x}.s))"
     return (f"CASE WHEN {x}.t = 'BOOLEAN' THEN {x}.b WHEN {x}.t = 'BIGINT' THEN {x}.d = 1 "
             f"WHEN {x}.t = 'STRING' THEN {w} IN {_TRUE_WORDS} END")
+
+
+def py_str_sql(v: str, path: str) -> str:
+    """``str()`` of the parsed value as a Python service would print it: booleans as
+    True/False, JSON null as None, numbers through double; NULL when the path is missing."""
+    g = vget(v, path)
+    t = f"schema_of_variant({g})"
+    return (f"CASE WHEN {t} IS NULL THEN NULL WHEN {t} = 'VOID' THEN 'None' "
+            f"WHEN {t} = 'BOOLEAN' THEN CASE WHEN try_variant_get({g}, '$', 'boolean') THEN 'True' ELSE 'False' END "
+            f"WHEN {t} = 'DOUBLE' OR startswith({t}, 'DECIMAL') THEN CAST(try_variant_get({g}, '$', 'double') AS STRING) "
+            f"ELSE try_variant_get({g}, '$', 'string') END")

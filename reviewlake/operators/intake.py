@@ -41,6 +41,7 @@ def route_deliveries(df: DataFrame, secret: str | None, body: str = "raw_body",
     x = verify_signature(df, secret, body, header)
     x = x.withColumn("payload", F.expr(J.strict_parse_sql(body)))
     action = F.expr(J.str_val("payload", "$.action"))
+    shown = F.expr(J.py_str_sql("payload", "$.action"))
     is_obj = F.expr(J.is_object("payload"))
     acts = F.lit(None).cast("string")
     outcome = (F.when(~F.col("sig_ok"), F.lit("401"))
@@ -50,7 +51,7 @@ def route_deliveries(df: DataFrame, secret: str | None, body: str = "raw_body",
     reason = (F.when(outcome == "401", F.lit(UNAUTHORIZED_REASON))
               .when(outcome == "400", F.lit(BAD_JSON_REASON))
               .when(outcome == "ignored",
-                    F.concat(F.lit("Action '"), F.coalesce(action, F.lit("None")), F.lit("' not processed")))
+                    F.concat(F.lit("Action '"), F.coalesce(shown, F.lit("None")), F.lit("' not processed")))
               .otherwise(acts))
     return x.withColumn("outcome", outcome).withColumn("reason", reason)
 
@@ -61,7 +62,7 @@ def project_pr(accepted: DataFrame) -> DataFrame:
     v = "payload"
     num_t = J.vtype(v, "$.pull_request.number")
     number = F.expr(f"CASE WHEN {num_t} IS NULL OR {num_t} = 'VOID' THEN 'unknown' "
-                    f"ELSE {J.str_val(v, '$.pull_request.number')} END")
+                    f"ELSE {J.py_str_sql(v, '$.pull_request.number')} END")
     title = F.expr(f"coalesce(nullif({J.str_val(v, '$.pull_request.title')}, ''), '')")
     repo = F.expr(f"coalesce({J.str_val(v, '$.repository.full_name')}, '')")
     url = F.expr(f"coalesce(nullif({J.str_val(v, '$.pull_request.diff_url')}, ''), '')")

@@ -65,3 +65,11 @@ def test_attach_diff_defaults_empty(spark):
 def test_audit_drops_diffs(spark):
     df = spark.createDataFrame([(1, "raw", "san", "ok")], "pr_id long, raw_diff string, sanitized_diff string, s string")
     assert I.audit_rows(df).columns == ["pr_id", "s"]
+
+
+def test_reason_prints_values_like_python(spark):
+    bodies = ['{"action":true}', '{"action":5}', '{"action":null}']
+    df = spark.createDataFrame([(i, b, sig(b)) for i, b in enumerate(bodies)],
+                               "delivery_id long, raw_body string, signature_header string")
+    got = [r[0] for r in I.route_deliveries(df, KEY).orderBy("delivery_id").select("reason").collect()]
+    assert got == ["Action 'True' not processed", "Action '5' not processed", "Action 'None' not processed"]
