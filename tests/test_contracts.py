@@ -92,3 +92,42 @@ def test_classify_errors(spark):
     df = spark.createDataFrame([("timeout", None), ("http", "HTTP 503 from upstream"), ("http", "HTTP 401"),
                                 ("Validation", "x")], "error_type string, error string")
     assert [r[0] for r in C.classify_errors(df).select("retryable").collect()] == [True, True, False, True]
+
+
+def test_build_requests_shapes(spark):
+    from reviewlake.functions import patterns as P
+    prs = spark.createDataFrame([(1, "diff text"), (2, "")], "pr_id long, sanitized_diff string")
+    prompts = spark.createDataFrame([(a, f"sys {a}") for a in P.ALL_AGENTS], "agent string, system string")
+    scans = spark.createDataFrame([(1, "=== Gitleaks findings ===\nHIGH r a.py:1"), (2, "")], "pr_id long, scan_summary string")
+    rep = spark.createDataFrame([(1, "security", "fail", "high", None, None, None, None)],
+                                f"pr_id long, agent string, status string, severity_level string, complexity_score int, "
+                                f"test_coverage_adequate boolean, findings {C.FINDINGS_TYPE}, error string")
+    r = {(a, b): (c, d, e) for a, b, c, d, e in rows(C.build_requests(prs, prompts, scans, rep),
+                                                     "pr_id", "agent", "system", "user", "breakout")}
+    assert r[(1, "testing")] == ("sys testing", "<UNTRUSTED_PAYLOAD>\ndiff text\n</UNTRUSTED_PAYLOAD>", False)
+    assert r[(1, "security")][1].startswith("<UNTRUSTED_PAYLOAD>\ndiff text\n</UNTRUSTED_PAYLOAD>\n\n---\n")
+    assert r[(1, "security")][1].endswith("HIGH r a.py:1")
+    assert r[(2, "security")][1] == "<UNTRUSTED_PAYLOAD>\n\n</UNTRUSTED_PAYLOAD>"
+    critic = r[(1, "critic")][1]
+    assert critic.startswith(C.CRITIC_INTRO) and '"security_agent_output"' in critic and "diff text" in critic
+    assert "<UNTRUSTED_PAYLOAD>" not in r[(2, "critic")][1]  # no diff, no payload block
+
+
+def test_final_results_large_pr_skips_timeouts(spark):
+    from reviewlake.functions import patterns as P
+    big = "+x\n" * (P.LARGE_PR_THRESHOLD + 1)
+    prs = spark.createDataFrame([(1, big), (2, big), (3, big)], "pr_id long, sanitized_diff string")
+    res = spark.createDataFrame([
+        (1, "architecture", "ok", 1, 1, 5.0, None, True, "pass", 3, []),
+        (2, "architecture", "timeout", 1, 2, 60.0, "e", True, "pass", 3, []),
+    ], f"pr_id long, agent string, outcome string, attempt_used int, attempts_made int, elapsed_s double, "
+       f"last_error string, valid boolean, status string, complexity_score int, findings {C.FINDINGS_TYPE}")
+    for c, t in [("severity_level", "string"), ("test_coverage_adequate", "boolean"), ("vetoed_count", "int"),
+                 ("summary", "string")]:
+        res = res.withColumn(c, F.lit(None).cast(t))
+    scans = spark.createDataFrame([(1, ""), (2, ""), (3, "")], "pr_id long, scan_summary string")
+    out = C.final_results(res, scans, prs).filter("agent = 'architecture'")
+    got = {a: (b, c, d) for a, b, c, d in rows(out, "pr_id", "outcome", "status", F.size("findings"))}
+    assert got[1] == ("ok", "warn", 1)          # pass -> warn + High Risk note
+    assert got[2] == ("timeout", "fail", None)  # a timeout carries no report and no note
+    assert got[3] == ("failed", "fail", 2)      # no output: fallback finding + note
