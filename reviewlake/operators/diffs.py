@@ -155,9 +155,12 @@ def diff_lines(hunks: DataFrame) -> DataFrame:
             .when(first == "\\", "\\").when(first == " ", " ").otherwise(F.lit("?")))
     x = x.withColumn("sign", sign)
     is_new = F.col("sign").isin("+", " ")
-    ws = Window.partitionBy("pr_id", "hunk_no", "sec").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("n_new", F.sum(is_new.cast("int")).over(ws))
-    new_line = F.when(is_new, F.col("base") + F.col("n_new") - 1)
+    # Running count of new-side lines over the hunk, minus its value at the last "@@"
+    # header, numbers lines within a section. One window spec throughout, so the line
+    # table is shuffled and sorted once.
+    x = x.withColumn("cum_new", F.sum(is_new.cast("int")).over(run))
+    x = x.withColumn("cum_at_hdr", F.max(F.when(is_hdr, F.col("cum_new"))).over(run))
+    new_line = F.when(is_new, F.col("base") + F.col("cum_new") - F.col("cum_at_hdr") - 1)
     return x.select("pr_id", "hunk_no", F.col("pos").cast("int"), "path", "sign",
                     new_line.cast("int").alias("new_line"),
                     F.when(F.col("sign").isin("+", "-", " "), F.expr("substring(line, 2)"))
