@@ -176,7 +176,8 @@ def mask_secrets_col(c: Column) -> Column:
     """
     pem = F.when(c.contains(_PEM_GUARD), F.regexp_replace(c, "(?s)" + P.PEM_PATTERN, P.PEM_LABEL)).otherwise(c)
     aws = F.regexp_replace(pem, P.AWS_KEY_PATTERN, P.AWS_KEY_LABEL)
-    return F.regexp_replace(aws, "(?s)" + P.SECRET_ASSIGN_PATTERN, P.SECRET_LABEL)
+    # (?U): \\s and case folding are Unicode, as in the Python service (Java's are ASCII).
+    return F.regexp_replace(aws, "(?sU)" + P.SECRET_ASSIGN_PATTERN, P.SECRET_LABEL)
 
 
 def mask_secrets(df: DataFrame, col: str, out: str | None = None) -> DataFrame:

@@ -14,7 +14,8 @@ from .catalog import register
 
 EMAIL = dict(P.ENTITY_PATTERNS)["EMAIL_ADDRESS"]
 IP = dict(P.ENTITY_PATTERNS)["IP_ADDRESS"]
-SECRET = "(?s)" + P.SECRET_ASSIGN_PATTERN
+SECRET = "(?s)" + P.SECRET_ASSIGN_PATTERN            # DuckDB / RE2 (its (?U) means "ungreedy")
+SECRET_SPARK = "(?sU)" + P.SECRET_ASSIGN_PATTERN     # Java: Unicode \s like the Python service
 
 
 def _mask_counts_oracle() -> str:
@@ -40,8 +41,8 @@ def sanitized_mask_counts(spark, sf_dir):
          .withColumn("t1", F.regexp_replace("capped", EMAIL, "<EMAIL_ADDRESS>"))
     x = x.withColumn("n_ip", count_matches(F.col("t1"), IP)) \
          .withColumn("t2", F.regexp_replace("t1", IP, "<IP_ADDRESS>"))
-    x = x.withColumn("n_secret", count_matches(F.col("t2"), SECRET)) \
-         .withColumn("t3", F.regexp_replace("t2", SECRET, P.SECRET_LABEL))
+    x = x.withColumn("n_secret", count_matches(F.col("t2"), SECRET_SPARK)) \
+         .withColumn("t3", F.regexp_replace("t2", SECRET_SPARK, P.SECRET_LABEL))
     return x.select("pr_id", F.length("capped").cast("bigint").alias("capped_len"), "n_email", "n_ip",
                     "n_secret", F.length("t3").cast("bigint").alias("sanitized_len"),
                     F.md5("t3").alias("sanitized_md5"))

@@ -85,3 +85,9 @@ def test_luhn_sql_matches_python(spark, nums):
     df = spark.createDataFrame([(n,) for n in nums], "n string")
     got = [r[0] for r in df.select(F.expr(luhn_ok_sql("n"))).collect()]
     assert got == [luhn(n) for n in nums]
+
+
+def test_secret_assignment_unicode_space(spark):
+    # the service's \s is Unicode: a no-break space between key and value still matches
+    df = spark.createDataFrame([("token\u00a0=\u00a0abcdef12 end",)], "t string")
+    assert rows(PV.mask_secrets(df, "t"), "t")[0][0] == "<REDACTED_SECRET> end"
