@@ -13,6 +13,13 @@ from __future__ import annotations
 FENCE = r"(?i)```(?:json)?\s*([\s\S]*?)\s*```"
 
 
+def python_json_semantics(spark) -> None:
+    """Duplicate object keys: keep the last value, as Python's json.loads does (Spark's
+    VARIANT parser rejects the whole text by default). A session SQL conf, set by the
+    operators that parse untrusted JSON."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def sql_str(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 

@@ -116,6 +116,7 @@ def _extract(df: DataFrame, v: str = "payload") -> DataFrame:
 def parse_reports(df: DataFrame, text: str = "raw_text") -> DataFrame:
     """D1 + D2: strip the fence, parse strictly. Adds ``cleaned``, ``payload`` (VARIANT,
     NULL when not JSON) and ``parse_error`` (with the first 200 characters)."""
+    J.python_json_semantics(df.sparkSession)
     x = df.withColumn("cleaned", F.expr(J.strip_fence_sql(text)))
     # Parse the bracket-wrapped text once; the value is its only element. The object
     # wrap is a second, independent check against trailing text.

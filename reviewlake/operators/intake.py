@@ -38,6 +38,7 @@ def route_deliveries(df: DataFrame, secret: str | None, body: str = "raw_body",
     """A3: ordered outcomes. Bad signature -> '401'; body not one JSON object -> '400';
     action not opened/synchronize -> 'ignored' with reason; else 'accepted'. The
     signature is checked before parsing. Adds ``payload`` (VARIANT), ``outcome``, ``reason``."""
+    J.python_json_semantics(df.sparkSession)
     x = verify_signature(df, secret, body, header)
     x = x.withColumn("payload", F.expr(J.strict_parse_sql(body)))
     action = F.expr(J.str_val("payload", "$.action"))

@@ -50,6 +50,7 @@ def validate(spark, agent, text):
     ("critic", '{"overall_status":"fail","vetoed_count":0,"summary":"s","mean_confidence_score":1.5}', False),
     ("critic", '{"overall_status":"fail","vetoed_count":0,"summary":3}', False),
     ("critic", '[1]', False),
+    ("security", '{"status":"fail","status":"pass","severity_level":"low"}', True),  # last duplicate wins
 ])
 def test_contracts(spark, agent, text, ok):
     valid, reason = validate(spark, agent, text)
