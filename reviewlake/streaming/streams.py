@@ -25,9 +25,14 @@ AGENT_OUTPUT_SCHEMA = ("pr_id BIGINT, agent STRING, attempt INT, provider STRING
                        "raw_text STRING")
 
 
-def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+def _write_batch(df: DataFrame, path: str, batch_id: int, extra_partitions=()) -> None:
     (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*extra_partitions, "batch_id").parquet(path))
+
+
+def pr_bucket(col: str = "pr_id", buckets: int = 256) -> F.Column:
+    """Stable hash bucket of a PR id, used to partition the attempts table."""
+    return F.pmod(F.xxhash64(F.col(col)), F.lit(buckets)).cast("int")
 
 
 def _trigger(w, available_now: bool, interval: str):
@@ -76,7 +81,7 @@ def start_sanitize(spark: SparkSession, in_path: str, out_path: str, ckpt: str,
 
 def stream_reports(spark: SparkSession, in_path: str, prs: DataFrame, scans: DataFrame, out_path: str, ckpt: str,
                    ts: str, available_now: bool = True, interval: str = "30 seconds",
-                   max_files_per_trigger: int | None = None):
+                   max_files_per_trigger: int | None = None, buckets: int = 64):
     """S3: landed agent outputs -> validated attempts (appended per batch) -> for the PRs
     a batch touched, all their attempts so far are resolved, defaulted and rendered, and
     the reports written under the batch id. ``prs`` holds the sanitized diffs (static),
@@ -89,9 +94,15 @@ def stream_reports(spark: SparkSession, in_path: str, prs: DataFrame, scans: Dat
 
     def batch(df: DataFrame, batch_id: int) -> None:
         v = C.validate_reports(C.parse_reports(df)).drop("payload", "cleaned", "parse_error")
-        _write_batch(v, attempts_path, batch_id)
+        # one file per touched bucket instead of one per (task, bucket)
+        v = v.withColumn("pr_bucket", pr_bucket("pr_id", buckets)).repartition("pr_bucket")
+        _write_batch(v, attempts_path, batch_id, ("pr_bucket",))
         touched = df.select("pr_id").distinct()
-        allv = spark.read.parquet(attempts_path).drop("batch_id").join(touched, "pr_id", "left_semi")
+        # Only the hash buckets this batch touched are listed and read (static partition
+        # pruning; at most ``buckets`` small ints reach the driver), not the whole history.
+        hit = [r[0] for r in touched.select(pr_bucket("pr_id", buckets).alias("b")).distinct().collect()]
+        allv = (spark.read.parquet(attempts_path).filter(F.col("pr_bucket").isin(hit))
+                .drop("batch_id", "pr_bucket").join(touched, "pr_id", "left_semi"))
         res = C.final_results(C.resolve_attempts(allv), scans, prs.join(touched, "pr_id", "left_semi"))
         rep = G.assemble_reports(res, V.pipeline_latency(res), ts)
         _write_batch(rep, f"{out_path}/reports", batch_id)
