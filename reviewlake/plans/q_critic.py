@@ -140,8 +140,8 @@ def verdicts(spark, sf_dir):
 
 
 @register("review_metrics", f"""WITH {_RESULTS_SQL},
-lat AS (SELECT pr_id, coalesce(max(CASE WHEN agent IN ('security', 'architecture', 'testing') THEN elapsed_s END), 0.0)
-  + coalesce(max(CASE WHEN agent = 'critic' THEN elapsed_s END), 0.0) AS latency_s FROM resolved2 GROUP BY pr_id),
+lat AS (SELECT pr_id, coalesce(max(CASE WHEN agent IN ('security', 'architecture', 'testing') THEN least(elapsed_s, 40.0) END), 0.0)
+  + coalesce(max(CASE WHEN agent = 'critic' THEN least(elapsed_s, 40.0) END), 0.0) AS latency_s FROM resolved2 GROUP BY pr_id),
 cf AS (SELECT pr_id, avg(CAST(json_extract(f, '$.confidence_score') AS DOUBLE)) AS mean_confidence
   FROM (SELECT pr_id, unnest(fl) AS f FROM results WHERE agent = 'critic' AND outcome = 'ok') GROUP BY pr_id),
 m AS (SELECT lat.pr_id, latency_s, latency_s * {P.COST_PER_SECOND_USD} AS cost_usd, mean_confidence

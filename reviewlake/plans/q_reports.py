@@ -192,8 +192,8 @@ def _oracle_reports_sql() -> str:
   coalesce(cr.summary, ''),
   {q(chr(10) + chr(10) + '---' + chr(10) + chr(10) + '<sub>Generated by ' + gen + ' · Critic (Lead Reviewer) stage</sub>' + chr(10))})"""
     return f"""WITH {_oracle_results_sql()},
-lat AS (SELECT pr_id, coalesce(max(CASE WHEN agent IN ('security', 'architecture', 'testing') THEN elapsed_s END), 0.0)
-  + coalesce(max(CASE WHEN agent = 'critic' THEN elapsed_s END), 0.0) AS latency_s FROM final GROUP BY pr_id),
+lat AS (SELECT pr_id, coalesce(max(CASE WHEN agent IN ('security', 'architecture', 'testing') THEN least(elapsed_s, 40.0) END), 0.0)
+  + coalesce(max(CASE WHEN agent = 'critic' THEN least(elapsed_s, 40.0) END), 0.0) AS latency_s FROM final GROUP BY pr_id),
 mc AS (SELECT pr_id, CASE WHEN outcome = 'ok' AND len(findings) > 0 THEN
   list_sum(list_transform(findings, lambda x: coalesce(x.confidence_score, 0.0))) / len(findings) END AS mean_confidence
   FROM final WHERE agent = 'critic'),

@@ -79,3 +79,9 @@ def test_cost_is_latency_based(spark):
 
 def test_findings_type_roundtrip(spark):
     assert spark.range(1).select(F.array().cast(FINDINGS_TYPE)).schema.fields[0].dataType.simpleString() == FINDINGS_TYPE
+
+
+def test_pipeline_latency_caps_timed_out_agents(spark):
+    res = spark.createDataFrame([(1, "security", 60.0), (1, "architecture", 10.0), (1, "testing", 5.0),
+                                 (1, "critic", 3.0)], "pr_id long, agent string, elapsed_s double")
+    assert rows(V.pipeline_latency(res), "latency_s") == [(43.0,)]  # slowest reviewer cut at 40 s + critic
