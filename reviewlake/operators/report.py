@@ -165,17 +165,30 @@ def assemble_reports(results: DataFrame, latency: DataFrame, ts: str,
 SUMMARY_TEXT = "Code Review Orchestrator completed."
 
 
+def _agent_json(agent: str) -> Column:
+    """One agent's result as the service shapes it: its contract fields (or the
+    fallback with the same fields), or ``{error, status, agent}`` after a timeout."""
+    f = F.col("findings")
+    shapes = {
+        "security": [F.col("status"), F.col("severity_level"), f.alias("findings_summary")],
+        "architecture": [F.col("status"), F.col("complexity_score"), f.alias("refactor_suggestions")],
+        "testing": [F.col("status"), F.col("test_coverage_adequate"), f.alias("qa_notes")],
+        "critic": [F.col("status"), f.alias("approved_findings"), F.col("vetoed_count"), F.col("summary")],
+    }
+    timeout = F.to_json(F.struct(F.col("error"), F.col("status"), F.col("agent")))
+    return F.when(F.col("outcome") == "timeout", timeout).otherwise(F.to_json(F.struct(*shapes[agent])))
+
+
 def result_document(reports: DataFrame, results: DataFrame) -> DataFrame:
-    """One nested JSON document per PR; a missing agent result is ``{}``."""
+    """One nested JSON document per PR ``{pr_id, summary, markdown_report, results}``;
+    a missing agent result is ``{}``."""
     piv = results.groupBy("pr_id").agg(*[
-        F.first(F.when(F.col("agent") == a, F.to_json(F.struct(
-            "status", "severity_level", "complexity_score", "test_coverage_adequate", "vetoed_count",
-            "summary", "error", "findings"))), ignorenulls=True).alias(a) for a in P.ALL_AGENTS])
+        F.first(F.when(F.col("agent") == a, _agent_json(a)), ignorenulls=True).alias(a) for a in P.ALL_AGENTS])
     x = reports.join(piv, "pr_id", "left")
     res = F.concat(F.lit("{"), F.concat_ws(",", *[
         F.concat(F.lit(f'"{a}":'), F.coalesce(F.col(a), F.lit("{}"))) for a in P.ALL_AGENTS]), F.lit("}"))
-    document = F.to_json(F.struct(F.col("pr_id").cast("string").alias("pr_id"), F.lit(SUMMARY_TEXT).alias("summary"),
-                                  F.col("markdown_report")))
+    head = F.to_json(F.struct(F.col("pr_id").cast("string").alias("pr_id"), F.lit(SUMMARY_TEXT).alias("summary"),
+                              F.col("markdown_report")))
     full = F.concat(F.expr("substring(__doc, 1, length(__doc) - 1)"), F.lit(',"results":'), res, F.lit("}"))
-    return x.withColumn("__doc", document).select("pr_id", F.lit(SUMMARY_TEXT).alias("summary"), "markdown_report",
-                                                  full.alias("document"))
+    return x.withColumn("__doc", head).select("pr_id", F.lit(SUMMARY_TEXT).alias("summary"), "markdown_report",
+                                              full.alias("document"))

@@ -85,3 +85,36 @@ def test_pipeline_latency_caps_timed_out_agents(spark):
     res = spark.createDataFrame([(1, "security", 60.0), (1, "architecture", 10.0), (1, "testing", 5.0),
                                  (1, "critic", 3.0)], "pr_id long, agent string, elapsed_s double")
     assert rows(V.pipeline_latency(res), "latency_s") == [(43.0,)]  # slowest reviewer cut at 40 s + critic
+
+
+def test_result_document_shapes(spark):
+    import json
+    from reviewlake.operators.contracts import FINDINGS_TYPE as FT
+    res = spark.createDataFrame([
+        (3, "security", "ok", "pass", "low", None, None, None, None, None, []),
+        (3, "architecture", "timeout", "fail", None, None, None, None, None, "Timeout", None),
+        (3, "testing", "failed", "warn", None, None, False, None, None, "x", [("Testing evaluation failed: x", "N/A", 0, 1.0)]),
+    ], f"pr_id long, agent string, outcome string, status string, severity_level string, complexity_score int, "
+       f"test_coverage_adequate boolean, vetoed_count int, summary string, error string, findings {FT}")
+    rep = spark.createDataFrame([(3, "# md")], "pr_id long, markdown_report string")
+    doc = json.loads(G.result_document(rep, res).first()["document"])
+    assert doc["pr_id"] == "3" and doc["summary"] == G.SUMMARY_TEXT and doc["markdown_report"] == "# md"
+    assert doc["results"]["security"] == {"status": "pass", "severity_level": "low", "findings_summary": []}
+    assert doc["results"]["architecture"] == {"error": "Timeout", "status": "fail", "agent": "architecture"}
+    assert doc["results"]["testing"]["qa_notes"][0]["file_reference"] == "N/A"
+    assert doc["results"]["critic"] == {}
+
+
+def test_fallback_report_like_the_service_tests(spark):
+    # worst status across the three reviewers, id in the title, sections and _None_ for empty lists
+    res = spark.createDataFrame([(42, "security", "pass"), (42, "architecture", "pass"), (42, "testing", "pass")],
+                                "pr_id long, agent string, status string")
+    piv = res.groupBy("pr_id").agg(*[F.first(F.when(F.col("agent") == a, F.struct(
+        "status", F.lit(None).cast("string").alias("severity_level"), F.lit(None).cast("int").alias("complexity_score"),
+        F.lit(True).alias("test_coverage_adequate"), F.array().cast(f"array<{FIND}>").alias("findings"))),
+        ignorenulls=True).alias(a) for a in ["security", "architecture", "testing"]])
+    md = piv.select(G.agent_report(F.col("pr_id"), F.col("security"), F.col("architecture"), F.col("testing"),
+                                   "2024-01-01 00:00 UTC")).first()[0]
+    assert "PR #42" in md and "**Overall result: ✅ Pass**" in md and md.count("_None_") == 3
+    for section in ("Security Analysis", "Architecture Review", "Testing Evaluation"):
+        assert section in md
