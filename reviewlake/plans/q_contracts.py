@@ -8,7 +8,6 @@ from ..functions import jsonx as J
 from ..functions import patterns as P
 from ..operators import contracts as C
 from ..operators import diffs as D
-from ..operators import privacy as PV
 from ..sources import fixtures as fx
 from . import oracle_fixtures as O
 from .catalog import register

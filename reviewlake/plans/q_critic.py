@@ -8,14 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..operators import contracts as C
 from ..operators import critic as E
-from ..operators import diffs as D
-from ..operators import privacy as PV
 from ..operators import verdict as V
-from ..sources import fixtures as fx
 from .catalog import register
 from .context import ReviewContext
 from .q_contracts import _RESULTS_SQL, agent_results_df
-from .q_diffs import _LINES_SQL
 
 
 def _ok_findings(results):

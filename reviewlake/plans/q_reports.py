@@ -5,16 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import contracts as C
-from ..operators import diffs as D
+from ..functions import patterns as P
 from ..operators import intake as I
-from ..operators import privacy as PV
 from ..operators import report as G
 from ..operators import verdict as V
-from ..sources import fixtures as fx
-from .catalog import register
+from . import oracle_fixtures as O
+from .catalog import ORACLES, register
 from .context import ReviewContext
-from .q_contracts import resolved
 
 REPORT_TS = "2024-01-01 00:00 UTC"
 
@@ -72,15 +69,12 @@ def audit_rows(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 def _oracle_results_sql() -> str:
-    from . import oracle_fixtures as O
     from .q_contracts import _RESULTS_SQL
-    P_ = G  # noqa: N806  (report constants)
     f_ok = ("list_transform(fl, lambda f: {'description': json_extract_string(f, '$.description'), "
             "'file_reference': json_extract_string(f, '$.file_reference'), "
             "'line_number': CAST(CAST(json_extract(f, '$.line_number') AS DOUBLE) AS INTEGER), "
             "'confidence_score': CAST(json_extract(f, '$.confidence_score') AS DOUBLE)})")
     na = ("[{'description': %s, 'file_reference': 'N/A', 'line_number': 0, 'confidence_score': 1.0}]")
-    del P_
     return f"""{_RESULTS_SQL},
 spt AS (SELECT pr_id, tool, CASE tool WHEN 'Gitleaks' THEN 1 WHEN 'Trivy' THEN 2 ELSE 0 END AS o,
   string_agg(concat_ws(' ', severity, rule_id, concat(path, ':', CAST(line AS VARCHAR))), chr(10)
@@ -124,27 +118,16 @@ nlines AS (SELECT pr_id, CAST(CASE WHEN d = '' THEN 0 ELSE len(string_split(rege
   AS INTEGER) AS n_lines
   FROM san),
 final AS (SELECT fr2.* REPLACE (
-    CASE WHEN agent = 'architecture' AND outcome <> 'timeout' AND n_lines > {fx_threshold()} AND status = 'pass' THEN 'warn'
+    CASE WHEN agent = 'architecture' AND outcome <> 'timeout' AND n_lines > {P.LARGE_PR_THRESHOLD} AND status = 'pass' THEN 'warn'
       ELSE status END AS status,
-    CASE WHEN agent = 'architecture' AND outcome <> 'timeout' AND n_lines > {fx_threshold()}
-      THEN list_append(coalesce(findings, []), {{'description': {O.q(large_note())}, 'file_reference': 'N/A',
+    CASE WHEN agent = 'architecture' AND outcome <> 'timeout' AND n_lines > {P.LARGE_PR_THRESHOLD}
+      THEN list_append(coalesce(findings, []), {{'description': {O.q(P.LARGE_PR_NOTE)}, 'file_reference': 'N/A',
         'line_number': 0, 'confidence_score': 1.0}}) ELSE findings END AS findings),
-  n_lines, agent = 'architecture' AND outcome <> 'timeout' AND n_lines > {fx_threshold()} AS large_pr
+  n_lines, agent = 'architecture' AND outcome <> 'timeout' AND n_lines > {P.LARGE_PR_THRESHOLD} AS large_pr
   FROM fr2 LEFT JOIN nlines ON fr2.pr_id = nlines.pr_id)"""
 
 
-def fx_threshold():
-    from ..functions import patterns as P
-    return P.LARGE_PR_THRESHOLD
-
-
-def large_note():
-    from ..functions import patterns as P
-    return P.LARGE_PR_NOTE
-
-
 def _oracle_reports_sql() -> str:
-    from . import oracle_fixtures as O
     q = O.q
     badge = ("(CASE lower({s}) WHEN 'pass' THEN '✅ Pass' WHEN 'warn' THEN '⚠️ Warn' WHEN 'fail' THEN '❌ Fail' "
              "ELSE concat('❓ ', {s}) END)")
@@ -208,18 +191,11 @@ md0 AS (SELECT p.pr_id, cr.outcome AS critic_outcome, mc.mean_confidence, lat.la
   JOIN mc ON mc.pr_id = p.pr_id JOIN lat ON lat.pr_id = p.pr_id),
 md AS (SELECT *, CASE WHEN md <> '' AND NOT contains(md, {q(G.METRICS_MARKER)}) THEN concat(regexp_replace(md, '\\s+$', ''),
   {nl}, {q(G.METRICS_HEAD)}, '| **Pipeline Latency** | `', printf('%.2f', latency_s), 's` |', {nl},
-  '| **Estimated LLM Cost** | `$', printf('%.4f', latency_s * {fx_cost()}), '` |',
+  '| **Estimated LLM Cost** | `$', printf('%.4f', latency_s * {P.COST_PER_SECOND_USD}), '` |',
   CASE WHEN mean_confidence IS NOT NULL THEN concat({nl}, '| **Mean Confidence Score** | `', {pct.format(m='mean_confidence')}, '` |')
     ELSE '' END, {nl}) ELSE md END AS markdown_report FROM md0)"""
 
 
-def fx_cost():
-    from ..functions import patterns as P
-    return P.COST_PER_SECOND_USD
-
-
-from .catalog import ORACLES  # noqa: E402
-from .oracle_fixtures import q as O_q  # noqa: E402
 
 ORACLES["large_pr"] = f"""WITH {_oracle_results_sql()}
 SELECT pr_id, n_lines, large_pr, outcome, status, CAST(len(findings) AS INTEGER) AS n_findings FROM final
@@ -233,6 +209,6 @@ w AS (SELECT pr_id, arg_max(status, (CASE lower(status) WHEN 'pass' THEN 0 WHEN
 SELECT md.pr_id, critic_outcome, worst_status, latency_s, md5(markdown_report) AS report_md5 FROM md JOIN w ON md.pr_id = w.pr_id"""
 
 ORACLES["result_documents"] = f"""{_oracle_reports_sql()}
-SELECT md.pr_id, {O_q(G.SUMMARY_TEXT)} AS summary, md5(markdown_report) AS report_md5, c.status AS critic_status,
+SELECT md.pr_id, {O.q(G.SUMMARY_TEXT)} AS summary, md5(markdown_report) AS report_md5, c.status AS critic_status,
   s.status AS security_status
 FROM md JOIN final c ON c.pr_id = md.pr_id AND c.agent = 'critic' JOIN final s ON s.pr_id = md.pr_id AND s.agent = 'security'"""

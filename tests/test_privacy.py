@@ -3,7 +3,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import rows
-from reviewlake.functions import patterns as P
 from reviewlake.functions.text import luhn_ok_sql
 from reviewlake.operators import privacy as PV
 
