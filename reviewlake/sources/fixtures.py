@@ -49,12 +49,13 @@ def prs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pa = F.when(F.expr("(doc_id div 4) div 2 % 2 = 0"), F.lit("a/")).otherwise(F.lit(""))
     pb = F.when(F.expr("(doc_id div 4) div 2 % 2 = 0"), F.lit("b/")).otherwise(F.lit(""))
     path = fixture_path(doc_id)
-    n_lines = (F.length("text") - F.length(F.regexp_replace("text", "\n", "")) + 1).cast("string")
+    nl = F.lit("\n")
+    n_lines = (F.length("text") - F.length(F.replace(F.col("text"), nl, F.lit(""))) + 1).cast("string")
     hunk = F.concat(
         F.lit("diff --git "), pa, path, F.lit(" "), pb, path, F.lit("\n"),
         F.lit("--- /dev/null\n+++ "), pb, path, F.lit("\n"),
         F.lit("@@ -0,0 +1,"), n_lines, F.lit(" @@\n+"),
-        F.regexp_replace("text", "\n", "\n+"), F.lit("\n"))
+        F.replace(F.col("text"), nl, F.lit("\n+")), F.lit("\n"))
     g = d.select(pr_id.alias("pr_id"), doc_id, hunk.alias("hunk"))
     agg = g.groupBy("pr_id").agg(
         F.expr("listagg(hunk, '') WITHIN GROUP (ORDER BY doc_id)").alias("diff"))
