@@ -60,7 +60,10 @@ class ReviewContext:
     def validated(self) -> DataFrame:
         # Shuffle the attempt log on (pr_id, agent) first: validation (CPU-heavy per
         # row) runs on every core, and attempt resolution reuses this partitioning.
-        log = fx.agent_outputs(self.spark, self.sf_dir).repartition("pr_id", "agent")
+        # An explicit count (the cluster's shuffle width): AQE would otherwise coalesce
+        # this small, highly compressible shuffle into one CPU-bound task.
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        log = fx.agent_outputs(self.spark, self.sf_dir).repartition(n, "pr_id", "agent")
         return C.validate_reports(C.parse_reports(log))
 
     @cached_property

@@ -24,6 +24,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     b = (b.config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
+         # Text shuffles compress well; a small floor keeps regex-heavy stages after a
+         # shuffle from being coalesced into a handful of CPU-bound tasks.
+         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false"))
