@@ -170,6 +170,12 @@ def diff_lines(hunks: DataFrame) -> DataFrame:
 TEST_PATH = r"(?i)(^|/)(tests?|spec|__tests__)/|(^|/)test_[^/]*$|_test\.[a-z]+$|\.spec\.[a-z]+$|\.test\.[a-z]+$"
 
 
+def hunk_files(hunks: DataFrame) -> DataFrame:
+    """Distinct (pr, path) with test flag straight from hunk headers (no line explode)."""
+    return hunks.filter(F.col("path") != "").select("pr_id", "path").distinct() \
+        .withColumn("is_test", F.col("path").rlike(TEST_PATH))
+
+
 def changed_files(lines: DataFrame) -> DataFrame:
     """Distinct (pr, path) with test flag and added / removed counts."""
     body = lines.filter(F.col("path") != "")

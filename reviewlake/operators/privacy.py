@@ -235,6 +235,41 @@ def secret_findings(lines: DataFrame, rules=None) -> DataFrame:
                     F.col("h.severity").alias("severity"), "path", F.col("line").cast("int").alias("line"))
 
 
+def hunk_prefilter(patterns) -> str:
+    """One pattern that matches a whole hunk whenever any line rule could match one of
+    its lines: the rules OR-ed, each in its own group (scoped flags), with start-of-line
+    anchors dropped so the screen can only over-approximate."""
+    def loose(p: str) -> str:
+        flags = "(?i)" if p.startswith("(?i)") else ""
+        return flags + _drop_anchors(p[len(flags):])
+    return "|".join(f"(?:{loose(p)})" for p in patterns)
+
+
+def _drop_anchors(p: str) -> str:
+    out, i, in_class = [], 0, False
+    while i < len(p):
+        c = p[i]
+        if c == "\\":
+            out.append(p[i:i + 2])
+            i += 2
+            continue
+        if c == "[":
+            in_class = True
+        elif c == "]":
+            in_class = False
+        if c == "^" and not in_class:
+            i += 1
+            continue
+        out.append(c)
+        i += 1
+    return "".join(out)
+
+
+def screen_hunks(hunks: DataFrame, patterns) -> DataFrame:
+    """Hunks that may hold a rule hit (map-side ``rlike``); only these are exploded."""
+    return hunks.filter(F.col("hunk").rlike(hunk_prefilter(patterns)))
+
+
 def filter_severity(df: DataFrame, levels=("HIGH", "CRITICAL"), col: str = "severity") -> DataFrame:
     """Keep the listed severities."""
     return df.filter(F.upper(F.col(col)).isin(*[lv.upper() for lv in levels]))

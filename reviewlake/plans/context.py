@@ -38,7 +38,9 @@ class ReviewContext:
 
     @cached_property
     def scan_hits(self) -> DataFrame:
-        return PV.secret_findings(self.lines)
+        # Only hunks that can hold a rule hit are exploded into lines (map-side screen).
+        screened = PV.screen_hunks(self.hunks, [p for *_, p in PV.SECRET_RULES])
+        return PV.secret_findings(D.diff_lines(screened))
 
     @cached_property
     def scans(self) -> DataFrame:
@@ -50,7 +52,7 @@ class ReviewContext:
 
     @cached_property
     def changed_files(self) -> DataFrame:
-        return D.changed_files(self.lines)
+        return D.hunk_files(self.hunks)
 
     @cached_property
     def new_lines(self) -> DataFrame:

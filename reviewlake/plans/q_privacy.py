@@ -11,6 +11,7 @@ from ..operators import privacy as PV
 from ..sources import fixtures as fx
 from . import oracle_fixtures as O
 from .catalog import register
+from .context import ReviewContext
 
 EMAIL = dict(P.ENTITY_PATTERNS)["EMAIL_ADDRESS"]
 IP = dict(P.ENTITY_PATTERNS)["IP_ADDRESS"]
@@ -166,7 +167,7 @@ def _findings_oracle(tail: str) -> str:
 @register("secret_findings", _findings_oracle("SELECT * FROM fnd"))
 def secret_findings(spark, sf_dir):
     """C14: rule hits on raw diff lines (rule, file, line; never the matched text)."""
-    return PV.secret_findings(D.diff_lines(D.split_hunks(fx.prs(spark, sf_dir))))
+    return ReviewContext(spark, sf_dir).scan_hits
 
 
 @register("scan_summary", _findings_oracle(f""",
@@ -180,6 +181,4 @@ SELECT prs.pr_id, coalesce(scan_summary, '') AS scan_summary, coalesce(n_tools,
 FROM prs LEFT JOIN pp ON prs.pr_id = pp.pr_id"""))
 def scan_summary(spark, sf_dir):
     """C15 + C16: HIGH/CRITICAL hits rendered as per-tool sections per PR ('' if none)."""
-    prs = fx.prs(spark, sf_dir)
-    f = PV.filter_severity(PV.secret_findings(D.diff_lines(D.split_hunks(prs))))
-    return PV.scan_summary(f, prs)
+    return ReviewContext(spark, sf_dir).scans

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from ..operators import diffs as D
+from ..operators import privacy as PV
 from ..operators import rules as H
 from ..sources import fixtures as fx
 from . import oracle_fixtures as O
@@ -38,7 +40,10 @@ HAVING bool_or(sign = '+' AND regexp_matches(text, {O.q(H.NETWORK)})) AND NOT bo
 def rule_findings(spark, sf_dir):
     """H1 + H2 + H6: sleep in tests, unmocked network calls in tests, injection-prone
     calls; findings in the common Finding schema."""
-    lines = _lines(spark, sf_dir)
+    # Only hunks that can hold a hit are exploded; a file's hunk carries all its lines,
+    # so the mock check of H2 still sees the whole file.
+    hunks = D.split_hunks(fx.prs(spark, sf_dir))
+    lines = D.diff_lines(PV.screen_hunks(hunks, [p for *_, p in H.LINE_RULES] + [H.NETWORK]))
     return H.rule_findings(lines).unionByName(H.unmocked_network(lines))
 
 
@@ -49,8 +54,7 @@ g AS (SELECT pr_id, CAST(count(*) FILTER (WHERE NOT is_test AND regexp_matches(p
 SELECT *, NOT (n_source_files > 0 AND n_test_files = 0) AS coverage_adequate FROM g""")
 def coverage_gap(spark, sf_dir):
     """H3: PRs that change source files without touching any test file."""
-    files = D.changed_files(_lines(spark, sf_dir))
-    return H.coverage_gap(files)
+    return H.coverage_gap(D.hunk_files(D.split_hunks(fx.prs(spark, sf_dir))))
 
 
 @register("duplicate_blocks", f"""WITH {O.F0}, {_LINES_SQL},
@@ -77,4 +81,5 @@ d AS (SELECT pr_id, path AS file_reference, CAST(new_line AS INTEGER) AS line_nu
 SELECT * FROM d WHERE dependency IS NOT NULL AND dependency <> ''""")
 def added_dependencies(spark, sf_dir):
     """H5: dependencies added in manifest files."""
-    return H.added_dependencies(_lines(spark, sf_dir))
+    hunks = D.split_hunks(fx.prs(spark, sf_dir)).filter(F.col("path").rlike(H.MANIFESTS))
+    return H.added_dependencies(D.diff_lines(hunks))

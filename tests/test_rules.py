@@ -60,3 +60,21 @@ def test_veto_and_merge(spark):
     assert m == [("security,testing", 0.9)]
     isl = sorted(rows(E.merge_overlapping(f.filter("file_reference = 'a.py'"), k=3), "first_line", "last_line"))
     assert isl == [(2, 5), (50, 50)]
+
+
+def test_hunk_screen_keeps_every_hit(spark):
+    from reviewlake.operators import diffs as D
+    from reviewlake.operators import privacy as PV
+    diff = ("diff --git a/Dockerfile b/Dockerfile\n@@ -0,0 +1,2 @@\n+RUN x\n+FROM python:latest\n"
+            "diff --git a/tests/test_n.py b/tests/test_n.py\n@@ -0,0 +1,2 @@\n+x = 1\n+time.sleep(1)\n"
+            "diff --git a/src/ok.py b/src/ok.py\n@@ -0,0 +1,1 @@\n+print('hi')\n")
+    hunks = D.split_hunks(spark.createDataFrame([(1, diff)], "pr_id long, diff string"))
+    full = D.diff_lines(hunks)
+    sec = [p for *_, p in PV.SECRET_RULES]
+    line = [p for *_, p in H.LINE_RULES] + [H.NETWORK]
+    screened_sec = PV.secret_findings(D.diff_lines(PV.screen_hunks(hunks, sec)))
+    assert sorted(rows(screened_sec)) == sorted(rows(PV.secret_findings(full)))
+    assert rows(screened_sec, "rule_id") == [("docker-latest-tag",)]
+    screened = D.diff_lines(PV.screen_hunks(hunks, line))
+    assert sorted(rows(H.rule_findings(screened))) == sorted(rows(H.rule_findings(full)))
+    assert PV.screen_hunks(hunks, sec).count() == 1 and PV.screen_hunks(hunks, line).count() == 1
