@@ -135,16 +135,20 @@ def append_metrics(md: Column, latency: Column, mean_conf: Column) -> Column:
     return F.when(add, F.concat(stripped, F.lit("\n"), F.lit(METRICS_HEAD), rows)).otherwise(F.coalesce(md, F.lit("")))
 
 
-def assemble_reports(results: DataFrame, latency: DataFrame, ts: str,
+def assemble_reports(results: DataFrame, latency: DataFrame | None, ts: str,
                      generator: str = DEFAULT_GENERATOR) -> DataFrame:
-    """G4-G7 per PR: pivot the agent results (one group-by on ``pr_id``), render the
-    critic report or, when the critic timed out, the fallback layout; then append the
-    metrics footer. Output: ``pr_id, critic_outcome, mean_confidence, markdown_report``."""
+    """G4-G7 per PR: pivot the agent results (one group-by on ``pr_id``, which also
+    computes the pipeline latency unless ``latency`` is given), render the critic report
+    or, when the critic timed out, the fallback layout; then append the metrics footer.
+    Output: ``pr_id, critic_outcome, mean_confidence, markdown_report``."""
+    from .verdict import latency_agg
     cols = ["status", "severity_level", "complexity_score", "test_coverage_adequate", "findings",
             "outcome", "error", "vetoed_count", "summary"]
-    piv = results.groupBy("pr_id").agg(*[
-        F.first(F.when(F.col("agent") == a, F.struct(*cols)), ignorenulls=True).alias(a) for a in P.ALL_AGENTS])
-    x = piv.join(latency, "pr_id", "left")
+    aggs = [F.first(F.when(F.col("agent") == a, F.struct(*cols)), ignorenulls=True).alias(a) for a in P.ALL_AGENTS]
+    if latency is None:
+        x = results.groupBy("pr_id").agg(*aggs, latency_agg().alias("latency_s"))
+    else:
+        x = results.groupBy("pr_id").agg(*aggs).join(latency, "pr_id", "left")
     cr = F.col("critic")
     approved = F.when(cr["outcome"] == "ok", cr["findings"])
     mean_conf = F.when(F.coalesce(F.size(approved), F.lit(0)) > 0, F.aggregate(

@@ -56,13 +56,17 @@ def cost_estimate(latency) -> F.Column:
     return latency * F.lit(P.COST_PER_SECOND_USD)
 
 
-def pipeline_latency(results: DataFrame, sla_seconds: float = P.SUBAGENT_TIMEOUT_SECONDS) -> DataFrame:
-    """Per PR: slowest of the three parallel reviewers plus the critic. A node is cut
-    off at the SLA, so a timed-out agent adds the limit, not its full elapsed time."""
+def latency_agg(sla_seconds: float = P.SUBAGENT_TIMEOUT_SECONDS) -> F.Column:
+    """Aggregate over one PR's agent rows: slowest of the three parallel reviewers plus
+    the critic. A node is cut off at the SLA, so a timed-out agent adds the limit."""
     t = F.least(F.col("elapsed_s"), F.lit(sla_seconds))
-    return results.groupBy("pr_id").agg(
-        (F.coalesce(F.max(F.when(F.col("agent").isin(*P.REVIEW_AGENTS), t)), F.lit(0.0))
-         + F.coalesce(F.max(F.when(F.col("agent") == "critic", t)), F.lit(0.0))).alias("latency_s"))
+    return (F.coalesce(F.max(F.when(F.col("agent").isin(*P.REVIEW_AGENTS), t)), F.lit(0.0))
+            + F.coalesce(F.max(F.when(F.col("agent") == "critic", t)), F.lit(0.0)))
+
+
+def pipeline_latency(results: DataFrame, sla_seconds: float = P.SUBAGENT_TIMEOUT_SECONDS) -> DataFrame:
+    """Per PR pipeline latency (see :func:`latency_agg`)."""
+    return results.groupBy("pr_id").agg(latency_agg(sla_seconds).alias("latency_s"))
 
 
 def review_metrics(latency: DataFrame, mean_conf: DataFrame) -> DataFrame:

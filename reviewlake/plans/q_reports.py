@@ -22,7 +22,7 @@ def final(spark, sf_dir):
 
 def reports_df(spark, sf_dir):
     r = final(spark, sf_dir)
-    return G.assemble_reports(r, V.pipeline_latency(r), REPORT_TS), r
+    return G.assemble_reports(r, None, REPORT_TS), r
 
 
 @register("large_pr")

@@ -17,7 +17,6 @@ from ..operators import diffs as D
 from ..operators import intake as I
 from ..operators import privacy as PV
 from ..operators import report as G
-from ..operators import verdict as V
 from ..sources.io import DELIVERY_SCHEMA
 
 PRS_SCHEMA = "pr_id BIGINT, diff STRING"
@@ -104,7 +103,7 @@ def stream_reports(spark: SparkSession, in_path: str, prs: DataFrame, scans: Dat
         allv = (spark.read.parquet(attempts_path).filter(F.col("pr_bucket").isin(hit))
                 .drop("batch_id", "pr_bucket").join(touched, "pr_id", "left_semi"))
         res = C.final_results(C.resolve_attempts(allv), scans, prs.join(touched, "pr_id", "left_semi"))
-        rep = G.assemble_reports(res, V.pipeline_latency(res), ts)
+        rep = G.assemble_reports(res, None, ts)
         _write_batch(rep, f"{out_path}/reports", batch_id)
 
     w = src.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
