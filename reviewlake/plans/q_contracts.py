@@ -260,3 +260,22 @@ def review_requests(spark, sf_dir):
     r = C.build_requests(ctx.sanitized, prompt_table(spark), ctx.scans).filter(F.col("agent") != "critic")
     return r.select("pr_id", "agent", F.md5("user").alias("user_md5"), F.length("user").cast("bigint").alias("user_len"),
                     "breakout")
+
+
+@register("valid_reports", f"""WITH {VALIDATED_SQL}
+SELECT pr_id, agent, attempt,
+  CASE WHEN agent = 'critic' THEN json_extract_string(j, '$.overall_status') ELSE json_extract_string(j, '$.status') END
+    AS status,
+  json_extract_string(j, '$.severity_level') AS severity_level,
+  CAST(CAST(json_extract(j, '$.complexity_score') AS DOUBLE) AS INTEGER) AS complexity_score,
+  CAST(json_extract(j, '$.test_coverage_adequate') AS BOOLEAN) AS test_coverage_adequate,
+  CAST(CAST(json_extract(j, '$.vetoed_count') AS DOUBLE) AS INTEGER) AS vetoed_count,
+  CAST(coalesce(json_array_length(j, CASE agent WHEN 'security' THEN '$.findings_summary'
+    WHEN 'architecture' THEN '$.refactor_suggestions' WHEN 'testing' THEN '$.qa_notes' ELSE '$.approved_findings' END), 0)
+    AS INTEGER) AS n_findings
+FROM validated WHERE valid""")
+def valid_reports(spark, sf_dir):
+    """Reports that passed their contract, as typed columns."""
+    v = validated(spark, sf_dir).filter(F.col("valid"))
+    return v.select("pr_id", "agent", "attempt", "status", "severity_level", "complexity_score",
+                    "test_coverage_adequate", "vetoed_count", F.size("findings").cast("int").alias("n_findings"))
