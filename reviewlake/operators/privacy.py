@@ -237,8 +237,8 @@ def secret_findings(lines: DataFrame, rules=None) -> DataFrame:
 
 def hunk_prefilter(patterns) -> str:
     """One pattern that matches a whole hunk whenever any line rule could match one of
-    its lines: the rules OR-ed, each in its own group (scoped flags), with start-of-line
-    anchors dropped so the screen can only over-approximate."""
+    its lines: the rules OR-ed, each in its own group (scoped flags), with line anchors
+    (``^``, ``$`` outside classes) dropped so the screen can only over-approximate."""
     def loose(p: str) -> str:
         flags = "(?i)" if p.startswith("(?i)") else ""
         return flags + _drop_anchors(p[len(flags):])
@@ -257,7 +257,7 @@ def _drop_anchors(p: str) -> str:
             in_class = True
         elif c == "]":
             in_class = False
-        if c == "^" and not in_class:
+        if c in "^$" and not in_class:  # line anchors do not hold inside a hunk
             i += 1
             continue
         out.append(c)

@@ -78,3 +78,8 @@ def test_hunk_screen_keeps_every_hit(spark):
     screened = D.diff_lines(PV.screen_hunks(hunks, line))
     assert sorted(rows(H.rule_findings(screened))) == sorted(rows(H.rule_findings(full)))
     assert PV.screen_hunks(hunks, sec).count() == 1 and PV.screen_hunks(hunks, line).count() == 1
+
+
+def test_prefilter_drops_line_anchors_only():
+    from reviewlake.operators.privacy import hunk_prefilter
+    assert hunk_prefilter([r"(?i)^\s*FROM\s+x$", r"[^$^]\$"]) == r"(?:(?i)\s*FROM\s+x)|(?:[^$^]\$)"
