@@ -345,16 +345,7 @@ def final_results(resolved: DataFrame, scans: DataFrame, prs: DataFrame,
     """D12 + B5: per-(PR, agent) results for every PR, with the large-PR rule applied to
     architecture results that did not time out (it follows the fallback, not a timeout).
     ``prs`` carries the masked, capped diff whose lines are counted."""
-    from .diffs import line_count
+    from .diffs import apply_large_pr_rule
     r = with_defaults(resolved, scans, prs)
-    n = prs.select("pr_id", line_count(F.col(diff_col)).alias("n_lines"))
-    x = r.join(n, "pr_id", "left")
-    hit = ((F.col("agent") == "architecture") & (F.col("outcome") != "timeout")
-           & (F.coalesce(F.col("n_lines"), F.lit(0)) > P.LARGE_PR_THRESHOLD))
-    note = F.struct(F.lit(P.LARGE_PR_NOTE).alias("description"), F.lit("N/A").alias("file_reference"),
-                    F.lit(0).alias("line_number"), F.lit(1.0).alias("confidence_score"))
-    fl = F.coalesce(F.col("findings"), F.array().cast(FINDINGS_TYPE))
-    return x.withColumn("status", F.when(hit & (F.col("status") == "pass"), F.lit("warn")).otherwise(F.col("status"))) \
-        .withColumn("findings", F.when(hit & ~F.array_contains(fl, note), F.array_append(fl, note))
-                    .otherwise(F.col("findings"))) \
-        .withColumn("large_pr", hit)
+    applies = (F.col("agent") == "architecture") & (F.col("outcome") != "timeout")
+    return apply_large_pr_rule(r, prs, diff_col, applies=applies).withColumnRenamed("is_large", "large_pr")

@@ -186,20 +186,21 @@ def changed_files(lines: DataFrame) -> DataFrame:
 
 
 def apply_large_pr_rule(arch: DataFrame, prs: DataFrame, diff_col: str = "sanitized_diff",
-                        threshold: int = P.LARGE_PR_THRESHOLD) -> DataFrame:
+                        threshold: int = P.LARGE_PR_THRESHOLD, applies=None) -> DataFrame:
     """PRs over ``threshold`` lines turn ``pass`` into ``warn`` and get the fixed
     High Risk finding appended once. ``arch`` has ``pr_id, status, findings`` (array of
-    finding structs); ``prs`` has the masked, capped diff."""
+    finding structs); ``prs`` has the masked, capped diff; ``applies`` optionally limits
+    the rule to some rows (e.g. architecture results that did not time out). Adds
+    ``n_lines`` and ``is_large``."""
+    from .contracts import FINDINGS_TYPE
     note = F.struct(F.lit(P.LARGE_PR_NOTE).alias("description"), F.lit("N/A").alias("file_reference"),
-                    F.lit(0).alias("line_number"), F.lit(1.0).alias("confidence_score"))
+                    F.lit(0).alias("line_number"), F.lit(1.0).alias("confidence_score")).cast(FINDINGS_TYPE[6:-1])
     j = arch.join(prs.select("pr_id", line_count(F.col(diff_col)).alias("n_lines")), "pr_id", "left")
     large = F.coalesce(F.col("n_lines"), F.lit(0)) > threshold
-    findings = F.coalesce(F.col("findings"), F.array().cast("array<struct<description:string,"
-                                                           "file_reference:string,line_number:int,"
-                                                           "confidence_score:double>>"))
-    return j.select(
-        "*",
-    ).withColumn("status", F.when(large & (F.col("status") == "pass"), F.lit("warn")).otherwise(F.col("status"))
-    ).withColumn("findings", F.when(large & ~F.array_contains(findings, note),
-                                    F.array_append(findings, note)).otherwise(findings)
-    ).withColumn("is_large", large)
+    if applies is not None:
+        large = large & applies
+    findings = F.coalesce(F.col("findings"), F.array().cast(FINDINGS_TYPE))
+    return (j.withColumn("status", F.when(large & (F.col("status") == "pass"), F.lit("warn")).otherwise(F.col("status")))
+            .withColumn("findings", F.when(large & ~F.array_contains(findings, note), F.array_append(findings, note))
+                        .otherwise(F.col("findings")))
+            .withColumn("is_large", large))
