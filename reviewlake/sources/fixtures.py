@@ -46,8 +46,9 @@ def prs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     doc_id = F.col("doc_id")
     pr_id = F.expr("doc_id div 4")
-    pa = F.when(F.expr("(doc_id div 4) div 2 % 2 = 0"), F.lit("a/")).otherwise(F.lit(""))
-    pb = F.when(F.expr("(doc_id div 4) div 2 % 2 = 0"), F.lit("b/")).otherwise(F.lit(""))
+    prefixed = F.expr("(doc_id div 4) div 2 % 2 = 0")  # half of the PRs use a/ b/ prefixes
+    pa = F.when(prefixed, F.lit("a/")).otherwise(F.lit(""))
+    pb = F.when(prefixed, F.lit("b/")).otherwise(F.lit(""))
     path = fixture_path(doc_id)
     nl = F.lit("\n")
     n_lines = (F.length("text") - F.length(F.replace(F.col("text"), nl, F.lit(""))) + 1).cast("string")
@@ -59,13 +60,13 @@ def prs(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = d.select(pr_id.alias("pr_id"), doc_id, hunk.alias("hunk"))
     agg = g.groupBy("pr_id").agg(
         F.expr("listagg(hunk, '') WITHIN GROUP (ORDER BY doc_id)").alias("diff"))
-    spark_ = agg.sparkSession
-    big = spark_.range(1).select(
+    # The fixture's two fixed rows: one 450-line PR (large-PR rule) and one empty diff.
+    big = spark.range(1).select(
         F.lit(BIG_PR_ID).cast("bigint").alias("pr_id"),
         F.concat(F.lit("diff --git a/big.py b/big.py\n@@ -0,0 +1,450 @@\n"),
                  F.repeat(F.lit("+x\n"), BIG_PR_LINES)).alias("diff"))
-    empty = spark_.range(1).select(F.lit(EMPTY_PR_ID).cast("bigint").alias("pr_id"),
-                                   F.lit("").alias("diff"))
+    empty = spark.range(1).select(F.lit(EMPTY_PR_ID).cast("bigint").alias("pr_id"),
+                                  F.lit("").alias("diff"))
     return agg.select(F.col("pr_id").cast("bigint"), "diff").unionByName(big).unionByName(empty)
 
 
