@@ -60,75 +60,14 @@ def is_object(v: str, path: str = "$") -> str:
     return f"coalesce(startswith({vtype(v, path)}, 'OBJECT'), false)"
 
 
-def is_str(v: str, path: str) -> str:
-    return f"coalesce({vtype(v, path)} = 'STRING', false)"
-
-
 def str_val(v: str, path: str) -> str:
     return f"try_variant_get({v}, '{path}', 'string')"
 
 
-def _num_type(t: str) -> str:
-    return f"({t} IN ('BIGINT', 'INT', 'SMALLINT', 'TINYINT', 'DOUBLE', 'FLOAT') OR startswith({t}, 'DECIMAL'))"
-
-
-def is_int(v: str, path: str) -> str:
-    t = vtype(v, path)
-    d = f"try_variant_get({v}, '{path}', 'double')"
-    s = str_val(v, path)
-    return (f"coalesce(({t} IN ('BIGINT', 'INT', 'SMALLINT', 'TINYINT', 'BOOLEAN')) OR "
-            f"({_num_type(t)} AND {d} = floor({d})) OR "
-            f"({t} = 'STRING' AND trim({s}) rlike '^[+-]?[0-9]+$'), false)")
-
-
-def int_val(v: str, path: str) -> str:
-    t = vtype(v, path)
-    return (f"CASE WHEN {t} = 'BOOLEAN' THEN CAST(try_variant_get({v}, '{path}', 'boolean') AS BIGINT) "
-            f"ELSE CAST(try_variant_get({v}, '{path}', 'double') AS BIGINT) END")
-
-
-def is_float(v: str, path: str) -> str:
-    t = vtype(v, path)
-    s = str_val(v, path)
-    return (f"coalesce({_num_type(t)} OR {t} = 'BOOLEAN' OR "
-            f"({t} = 'STRING' AND try_cast(trim({s}) AS DOUBLE) IS NOT NULL), false)")
-
-
-def float_val(v: str, path: str) -> str:
-    t = vtype(v, path)
-    return (f"CASE WHEN {t} = 'BOOLEAN' THEN CAST(CAST(try_variant_get({v}, '{path}', 'boolean') AS INT) AS DOUBLE) "
-            f"ELSE try_variant_get({v}, '{path}', 'double') END")
-
-
 _TRUE_WORDS = "('true', '1', 'yes', 'on', 't', 'y')"
 _FALSE_WORDS = "('false', '0', 'no', 'off', 'f', 'n')"
 
 
-def is_bool(v: str, path: str) -> str:
-    t = vtype(v, path)
-    s = f"lower(trim({str_val(v, path)}))"
-    return (f"coalesce({t} = 'BOOLEAN' OR ({t} = 'BIGINT' AND {int_val(v, path)} IN (0, 1)) OR "
-            f"({t} = 'STRING' AND ({s} IN {_TRUE_WORDS} OR {s} IN {_FALSE_WORDS})), false)")
-
-
-def bool_val(v: str, path: str) -> str:
-    t = vtype(v, path)
-    s = f"lower(trim({str_val(v, path)}))"
-    return (f"CASE WHEN {t} = 'BOOLEAN' THEN try_variant_get({v}, '{path}', 'boolean') "
-            f"WHEN {t} = 'BIGINT' THEN {int_val(v, path)} = 1 WHEN {t} = 'STRING' THEN {s} IN {_TRUE_WORDS} END")
-
-
-def list_state(v: str, path: str) -> str:
-    """'missing' | 'list' | 'bad' for a list field with an empty default."""
-    t = vtype(v, path)
-    return f"CASE WHEN {t} IS NULL THEN 'missing' WHEN startswith({t}, 'ARRAY') THEN 'list' ELSE 'bad' END"
-
-
-def list_items(v: str, path: str) -> str:
-    """``array<variant>`` of a list field ([] when missing)."""
-    return f"coalesce(try_variant_get({v}, '{path}', 'array<variant>'), array())"
-
-
 # ---------------------------------------------------------------------------
 # Field extraction once, checks on the extracted columns (keeps plans small).
 # ---------------------------------------------------------------------------
