@@ -102,3 +102,31 @@ def test_large_pr_rule(spark):
     assert got == [(1, "warn", True, 1), (2, "fail", True, 1), (3, "pass", False, 0)]
     again = D.apply_large_pr_rule(out.drop("n_lines", "is_large"), prs).orderBy("pr_id")
     assert rows(again, F.size("findings")) == [(1,), (1,), (0,)]  # the note is added once
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_NAMES = ["src/a.py", "package-lock.json", "x/yarn.lock", "dist/app.js", "vendor/v.go", "img/logo.svg", "a.min.js",
+          "gen/x_pb2.py", "doc.generated.ts", "my file.map", "ünïcode.py"]
+_BODY = st.text(alphabet="ab +-\r é\n", max_size=30)
+
+
+@st.composite
+def _diff(draw):
+    parts = []
+    if draw(st.booleans()):
+        parts.append(draw(_BODY))  # text before the first header
+    for _ in range(draw(st.integers(0, 4))):
+        name = draw(st.sampled_from(_NAMES))
+        a, b = ("a/", "b/") if draw(st.booleans()) else ("", "")
+        parts.append(f"diff --git {a}{name} {b}{name}{draw(st.sampled_from(['', chr(13)]))}\n{draw(_BODY)}\n")
+    return "".join(parts)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(_diff(), min_size=1, max_size=8))
+def test_literal_guard_matches_python_model(spark, diffs):
+    df = spark.createDataFrame(list(enumerate(diffs)), "pr_id long, diff string")
+    got = dict(rows(D.guard_diff(df, mode="literal"), "pr_id", "capped_diff"))
+    assert got == {i: model_filter(d, P.BLOAT_HEADER_PATTERNS) for i, d in enumerate(diffs)}
