@@ -3,6 +3,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import rows
+from reviewlake.functions import patterns as P
 from reviewlake.functions.text import luhn_ok_sql
 from reviewlake.operators import privacy as PV
 
@@ -90,3 +91,25 @@ def test_secret_assignment_unicode_space(spark):
     # the service's \s is Unicode: a no-break space between key and value still matches
     df = spark.createDataFrame([("token\u00a0=\u00a0abcdef12 end",)], "t string")
     assert rows(PV.mask_secrets(df, "t"), "t")[0][0] == "<REDACTED_SECRET> end"
+
+
+import re  # noqa: E402
+
+_SECRET_BITS = ["password", "Token", "api_key", "secret", " ", "\u00a0", "\u2003", "\t", "=", ":", "'", '"', "abc",
+                "XYZ12", "AKIA", "ABCDEFGHIJKLMNOP", "0", "-----BEGIN RSA PRIVATE KEY-----",
+                "-----END RSA PRIVATE KEY-----", "\n", "é"]
+
+
+def _python_secrets(t):
+    for pat, lab in [(P.PEM_PATTERN, P.PEM_LABEL), (P.AWS_KEY_PATTERN, P.AWS_KEY_LABEL),
+                     (P.SECRET_ASSIGN_PATTERN, P.SECRET_LABEL)]:
+        t = re.sub(pat, lab, t, flags=re.DOTALL)
+    return t
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(_SECRET_BITS), max_size=12).map("".join), min_size=1, max_size=10))
+def test_secret_masks_match_python_re(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in PV.mask_secrets(df, "t").select("t").collect()]
+    assert got == [_python_secrets(t) for t in texts]
