@@ -113,3 +113,14 @@ def test_secret_masks_match_python_re(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in PV.mask_secrets(df, "t").select("t").collect()]
     assert got == [_python_secrets(t) for t in texts]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["4111", "1111", "4242", "0000", "79927398713", " ", "-", "x", "12"]),
+                         max_size=10).map("".join), min_size=1, max_size=10))
+def test_card_mask_matches_python_model(spark, texts):
+    pat = dict(P.ENTITY_PATTERNS)["CREDIT_CARD"]
+    model = [re.sub(pat, lambda m: "<CREDIT_CARD>" if luhn(m.group(0)) else m.group(0), t) for t in texts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    got = [r[0] for r in PV.mask_entities(df, "t", ["CREDIT_CARD"]).orderBy("id").select("t").collect()]
+    assert got == model
