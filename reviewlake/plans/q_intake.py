@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import intake as I
+from ..session import spread
 from ..sources import fixtures as fx
 from . import oracle_fixtures as O
 from .catalog import register
@@ -32,7 +33,7 @@ pr AS (SELECT delivery_id,
 
 
 def _routed(spark, sf_dir):
-    return I.route_deliveries(fx.deliveries(spark, sf_dir), KEY)
+    return I.route_deliveries(spread(fx.deliveries(spark, sf_dir)), KEY)
 
 
 @register("delivery_routing", f"""WITH {_ROUTE_SQL}

@@ -50,8 +50,9 @@ def sanitized_mask_counts(spark, sf_dir):
 
 
 def _read(spark, sf_dir, name):
+    from ..session import spread
     from ..sources.tables import read_table
-    return read_table(spark, sf_dir, name)
+    return spread(read_table(spark, sf_dir, name))
 
 
 @register("doc_mask_email_ip", f"""WITH m AS (SELECT doc_id,

@@ -58,3 +58,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df):
+    """Give a CPU-heavy per-row stage every core when its (batch) input arrives in fewer
+    partitions than the cluster's default parallelism (e.g. one small parquet file).
+    A no-op for inputs that are already split wider, as at cluster scale."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
