@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from reviewlake.session import scratch_path
 from reviewlake.sources.tables import read_table
 
-from . import packing, simhash, token_counts, topk, wavelet
+from . import curriculum, imatch, line_dedup, packing, quality, secret_scan, simhash, token_counts, topk, wavelet
 from .common import documents
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -27,18 +27,50 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labels of three quarters of the ids."""
+    scored = quality.classify(documents(spark, sf_dir).select("doc_id", "text"), read_table(spark, sf_dir, "labels"), 0.7)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 ids, each document ended by id 0."""
     packed = packing.pack(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), 2048, 0)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of all documents and of their edited texts."""
+    return imatch.fingerprints(documents(spark, sf_dir))
+
+
+def op5_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in a mix of 150 % of their words, ordered by their time in training."""
+    planned = curriculum.by_position(curriculum.plan(documents(spark, sf_dir)))
+    return planned.select("doc_id", "size", "source_size", "target", "taken", "position", "again")
+
+
 def op6_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids (each ended by id 2), written as wavelet shards and read back."""
     path = wavelet.write_shards(documents(spark, sf_dir), scratch_path(spark, "wavelet"), public_tokenizers.path(WORD_BPE), 2)
     return wavelet.read_shards(spark, path).select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: the base patterns' spans and owner-specific keys besides."""
+    found = secret_scan.scan(documents(spark, sf_dir))
+    base = F.col("base")
+    return found.select(
+        "doc_id", *(secret_scan.count_of(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(secret_scan.written(base), 256).alias("base_sha256"),
+        secret_scan.written(F.array_sort(F.concat("base", "added"))).alias("spans"), "n_example", "n_live_base")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the later copies of line runs of 50 words or more."""
+    return line_dedup.dedup_lines(documents(spark, sf_dir), 50).select("doc_id", "n_lines", "n_deleted", "deleted", "text")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 4-word shingles, at most 4 differing bits."""
     found = simhash.near_duplicates(documents(spark, sf_dir), 4, 4, 42)
@@ -61,5 +93,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_best_fit_packing, op6_wavelet_files, op9_simhash, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (
+    op1_token_counts, op2_quality, op3_best_fit_packing, op4_imatch, op5_curriculum, op6_wavelet_files, op7_secrets,
+    op8_line_dedup, op9_simhash, op10_exact_top_k)}
 ORACLES = {"op10_exact_top_k": OP10_SQL}
