@@ -12,18 +12,19 @@ small-star steps over the edge table make the components.
 Defined cases: null text and text without words have fingerprint zero and link like any other;
 texts of fewer words than a shingle hash the whole word sequence; null ids take part and get the
 component of their fingerprint (null where no id in it is known); repeated rows each get their row;
-an empty table gives no rows; other columns are kept by ``near_duplicates`` (its own result columns
-win over columns of their names).
+an empty table gives no rows; ``near_duplicates`` reads no other columns, ``keep_one`` keeps them
+(but for names that begin with ``_d``, ``_th``, ``_n`` as its helpers do).
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, text_or_empty, with_workers
 
+NO_ID = -(1 << 63)
 BLOCK_SCHEMA = "block BIGINT, low INT, high INT, lows ARRAY<INT>, highs ARRAY<INT>, fps BINARY"
 _SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 #: the bits of a byte as eight counters of one byte each, most significant bit first
@@ -71,10 +72,11 @@ def _fingerprint_batches(size: int, seed: int):
 
 
 def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the 64-bit fingerprint as a signed long."""
+    """(id, th, fp): id, text hash, and the 64-bit fingerprint as a signed long."""
     with_workers(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("_text"))
-    return rows.mapInArrow(_fingerprint_batches(size, seed), "id BIGINT, fp BIGINT")
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("_text"))
+    return rows.mapInArrow(_fingerprint_batches(size, seed), "id BIGINT, th BIGINT, fp BIGINT")
 
 
 def quarters(fps: np.ndarray) -> np.ndarray:
@@ -212,16 +214,30 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, seed: int = 42, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id): the smallest id that links of at most ``radius`` bits reach."""
+    """(id, th, fp, root, component_id) per row: its component's smallest fingerprint and the
+    smallest id that links of at most ``radius`` bits reach."""
     rows = stored(fingerprints(docs, size, seed, id_col, text_col), "simhash")
     distinct = rows.groupBy("fp").agg(F.min("id").alias("id"))
-    roots = components(link_forest(distinct.select("fp"), radius), "simhash-stars")
-    least = roots.join(distinct.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("id").alias("linked"))
-    by_fp = stored(distinct.join(
-        roots.join(least, "root").select(F.col("node").alias("fp"), "linked"), "fp", "left")
-        .select("fp", F.coalesce(F.col("linked"), F.col("id")).alias("component_id")), "simhash-components")
-    return rows.join(by_fp, "fp").select("id", "fp", "component_id")
+    roots = components(link_forest(distinct.select("fp"), radius), "simhash-stars").withColumnRenamed("node", "fp")
+    by_fp = stored(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-roots")
+    least = by_fp.groupBy("root").agg(F.min("id").alias("component_id"))
+    return rows.join(by_fp.select("fp", "root").join(least, "root"), "fp").select("id", "th", "fp", "root", "component_id")
 
 
 def hex_fingerprint(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+
+def keep_one(docs: DataFrame, size: int = 4, radius: int = 4, seed: int = 42, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the smallest id's (a null id last), of equal ids
+    the smallest text hash, of rows equal in both any one."""
+    found = near_duplicates(docs, size, radius, seed, id_col, text_col)
+    stay = stored(found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("m"))
+                  .select(F.coalesce("m.id", F.lit(NO_ID)).alias("_d"), F.col("m.th").alias("_th")), "simhash-stay")
+    keyed = (docs.withColumn("_d", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
+             .withColumn("_th", F.xxhash64(text_or_empty(text_col))))
+    one = Window.partitionBy("_d", "_th").orderBy("_th")
+    return (keyed.join(stay.hint("shuffle_hash"), ["_d", "_th"], "left_semi").withColumn("_n", F.row_number().over(one))
+            .where("_n = 1").select(*docs.columns))
