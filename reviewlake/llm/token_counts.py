@@ -5,6 +5,9 @@ and digested (SHA-256). The digests are joined to the cache, a Parquet table of
 (digest, n_tokens) per tokenizer version; only one text of each digest that the cache misses is
 encoded, and its count appended. A later call on the same or grown data encodes what is new.
 
+The cache has one writer at a time: what it appends is what the cache lacked, each digest once, so a
+digest stands in it once and the last join needs no grouping.
+
 The text itself is shuffled once, keyed by document, so that a text with very many copies makes no
 hot task; the joins on the digest carry 40-byte rows, and Spark splits their skewed partitions.
 
@@ -33,7 +36,7 @@ def read_cache(spark, cache_path: str, version: str) -> DataFrame:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], CACHE_SCHEMA)
-    return cache.where(F.col("version") == version).dropDuplicates(["digest"])
+    return cache.where(F.col("version") == version)
 
 
 def _count_batches(tokenizer_path: str):
