@@ -9,8 +9,10 @@ yes/no words; a missing list defaults to empty, an explicit null list is invalid
 
 from __future__ import annotations
 
+from . import patterns as P
+
 # ```json ... ``` (tag optional, any case): first fenced body.
-FENCE = r"(?i)```(?:json)?\s*([\s\S]*?)\s*```"
+FENCE = P.FENCE_PATTERN
 
 
 def python_json_semantics(spark) -> None:
@@ -33,18 +35,14 @@ def strip_fence_sql(x: str) -> str:
             f"regexp_replace(regexp_replace({x}, '(?U)^\\\\s+', ''), '(?U)\\\\s+\\\\z', ''))")
 
 
-def strict_valid_sql(x: str) -> str:
-    """Text is exactly one JSON value (``try_parse_json`` alone accepts trailing text)."""
+def strict_parse_sql(x: str) -> str:
+    """VARIANT of ``x`` when the text is exactly one JSON value, else NULL
+    (``try_parse_json`` alone accepts trailing text)."""
     arr = f"try_parse_json(concat('[', {x}, ']'))"
     obj = f"try_parse_json(concat('{{\"x\":', {x}, '}}'))"
-    return (f"({arr} IS NOT NULL AND {obj} IS NOT NULL "
+    return (f"CASE WHEN {arr} IS NOT NULL AND {obj} IS NOT NULL "
             f"AND try_variant_get({arr}, '$[0]', 'variant') IS NOT NULL "
-            f"AND try_variant_get({arr}, '$[1]', 'variant') IS NULL)")
-
-
-def strict_parse_sql(x: str) -> str:
-    """VARIANT of ``x`` when it is strictly valid JSON, else NULL."""
-    return f"CASE WHEN {strict_valid_sql(x)} THEN try_parse_json({x}) END"
+            f"AND try_variant_get({arr}, '$[1]', 'variant') IS NULL THEN try_variant_get({arr}, '$[0]', 'variant') END")
 
 
 def vget(v: str, path: str) -> str:
@@ -92,12 +90,16 @@ def _f_num(x: str) -> str:
 
 
 def f_is_int(x: str) -> str:
-    return (f"coalesce({x}.t IN ('BIGINT', 'INT', 'SMALLINT', 'TINYINT', 'BOOLEAN') OR "
-            f"({_f_num(x)} AND {x}.d = floor({x}.d)) OR ({x}.t = 'STRING' AND trim({x}.s) rlike '^[+-]?[0-9]+$'), false)")
+    return (f"coalesce(({x}.t IN ('BIGINT', 'INT', 'SMALLINT', 'TINYINT', 'BOOLEAN') OR "
+            f"({_f_num(x)} AND {x}.d = CAST(try_cast({x}.d AS BIGINT) AS DOUBLE)) OR "
+            f"({x}.t = 'STRING' AND trim({x}.s) rlike '^[+-]?[0-9]+$')) AND ({f_int(x)}) IS NOT NULL, false)")
 
 
 def f_int(x: str) -> str:
-    return f"CASE WHEN {x}.t = 'BOOLEAN' THEN CAST({x}.b AS BIGINT) ELSE CAST({x}.d AS BIGINT) END"
+    """The integer value, NULL where it fits no 64-bit number (never an error)."""
+    return (f"CASE WHEN {x}.t = 'BOOLEAN' THEN CAST({x}.b AS BIGINT) WHEN {x}.t IN ('BIGINT', 'INT', 'SMALLINT', 'TINYINT') "
+            f"THEN try_cast({x}.s AS BIGINT) WHEN {x}.t = 'STRING' THEN try_cast(trim({x}.s) AS BIGINT) "
+            f"ELSE try_cast({x}.d AS BIGINT) END")
 
 
 def f_is_float(x: str) -> str:

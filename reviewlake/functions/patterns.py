@@ -80,6 +80,22 @@ REVIEW_ACTIONS = ["opened", "synchronize"]
 REVIEW_AGENTS = ["security", "architecture", "testing"]
 ALL_AGENTS = ["security", "architecture", "testing", "critic"]
 
+# A fenced block in model output.
+FENCE_PATTERN = r"(?i)```(?:json)?\s*([\s\S]*?)\s*```"
+
+# Sentences of the requests and of the fixed fallbacks.
+SCAN_PREAMBLE = ("\n\n---\nThe following findings were produced by deterministic security tools "
+                 "(Gitleaks / Trivy) before you were invoked. "
+                 "You MUST incorporate these into your final JSON response:\n\n")
+CRITIC_INTRO = "Cross-reference the following subagent outputs and apply the zero-noise policy.\n\n"
+CRITIC_DIFF_INTRO = ("\n\n---\nThe original diff is provided below for verification. "
+                     "Use it to confirm or veto subagent claims.\n\n")
+SECURITY_SCAN_FALLBACK = "LLM call failed; deterministic scan results follow: "
+SECURITY_FALLBACK = "Security scan failed: "
+ARCHITECTURE_FALLBACK = "Architecture review failed: "
+TESTING_FALLBACK = "Testing evaluation failed: "
+CRITIC_FALLBACK = "Critic validation failed: "
+
 # Payload wrapping.
 PAYLOAD_OPEN = "<UNTRUSTED_PAYLOAD>"
 PAYLOAD_CLOSE = "</UNTRUSTED_PAYLOAD>"

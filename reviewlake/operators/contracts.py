@@ -10,13 +10,13 @@ partitioning, so the log is shuffled once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsonx as J
 from ..functions import patterns as P
 
-FINDING_TYPE = "struct<description:string,file_reference:string,line_number:int,confidence_score:double>"
+FINDING_TYPE = "struct<description:string,file_reference:string,line_number:bigint,confidence_score:double>"
 FINDINGS_TYPE = f"array<{FINDING_TYPE}>"
 
 # Report fields per agent: (findings list field, status field).
@@ -113,19 +113,14 @@ def _extract(df: DataFrame, v: str = "payload") -> DataFrame:
                     F.expr(items).alias("__items"))
 
 
-def parse_reports(df: DataFrame, text: str = "raw_text") -> DataFrame:
+def parse_reports(df: DataFrame, text: str = "raw_text", quoted: int = 200) -> DataFrame:
     """D1 + D2: strip the fence, parse strictly. Adds ``cleaned``, ``payload`` (VARIANT,
-    NULL when not JSON) and ``parse_error`` (with the first 200 characters)."""
+    NULL when not JSON) and ``parse_error`` (whose message quotes the first ``quoted`` characters;
+    the text itself stays whole in its column)."""
     J.python_json_semantics(df.sparkSession)
     x = df.withColumn("cleaned", F.expr(J.strip_fence_sql(text)))
-    # Parse the bracket-wrapped text once; the value is its only element. The object
-    # wrap is a second, independent check against trailing text.
-    x = x.withColumn("__arr", F.expr("try_parse_json(concat('[', cleaned, ']'))"))
-    ok = ("__arr IS NOT NULL AND try_variant_get(__arr, '$[0]', 'variant') IS NOT NULL "
-          "AND try_variant_get(__arr, '$[1]', 'variant') IS NULL "
-          "AND try_parse_json(concat('{\"x\":', cleaned, '}')) IS NOT NULL")
-    payload = F.expr(f"CASE WHEN {ok} THEN try_variant_get(__arr, '$[0]', 'variant') END")
-    err = F.when(payload.isNull(), F.concat(F.lit("LLM returned non-JSON content\n---\n"), F.substring("cleaned", 1, 200)))
+    payload = F.expr(J.strict_parse_sql("cleaned"))
+    err = F.when(payload.isNull(), F.concat(F.lit("LLM returned non-JSON content\n---\n"), F.substring("cleaned", 1, quoted)))
     # The parse result leaves through a one-row generator so that the many later
     # references to ``payload`` read one computed value instead of re-parsing.
     return x.select(*df.columns, "cleaned", F.inline(F.array(F.struct(payload.alias("payload"), err.alias("parse_error")))))
@@ -141,7 +136,7 @@ def validate_reports(df: DataFrame) -> DataFrame:
         F.concat(F.lit("LLM output failed validation ("), F.col("agent"), F.lit("): "), F.col("__contract")))
     x = x.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
     findings = ("transform(__items, fx -> named_struct('description', fx.desc.s, 'file_reference', fx.file.s, "
-                f"'line_number', CAST({J.f_int('fx.line')} AS INT), 'confidence_score', {J.f_float('fx.conf')}))")
+                f"'line_number', {J.f_int('fx.line')}, 'confidence_score', {J.f_float('fx.conf')}))")
     st, oc = _fv("status"), _fv("overall_status")
     m = _fv("mean_confidence_score")
     # The typed columns leave through a one-row ``inline`` generator: later filters on
@@ -151,20 +146,15 @@ def validate_reports(df: DataFrame) -> DataFrame:
         F.col("reason"), F.col("valid"),
         F.expr(f"CASE WHEN agent = 'critic' THEN {oc}.s ELSE {st}.s END").alias("status"),
         F.expr(f"{_fv('severity_level')}.s").alias("severity_level"),
-        F.expr(f"CAST({J.f_int(_fv('complexity_score'))} AS INT)").alias("complexity_score"),
+        F.expr(J.f_int(_fv('complexity_score'))).alias("complexity_score"),
         F.expr(J.f_bool(_fv("test_coverage_adequate"))).alias("test_coverage_adequate"),
-        F.expr(f"CAST({J.f_int(_fv('vetoed_count'))} AS INT)").alias("vetoed_count"),
+        F.expr(J.f_int(_fv('vetoed_count'))).alias("vetoed_count"),
         F.expr(f"{_fv('summary')}.s").alias("summary"),
         F.expr(f"CASE WHEN {m}.t = 'VOID' THEN NULL ELSE {J.f_float(m)} END").alias("mean_confidence_score"),
         F.expr(f"CAST({findings} AS {FINDINGS_TYPE})").alias("findings"))
     return x.select(*[c for c in df.columns], F.inline(F.array(out)))
 
 
-def typed_report(df: DataFrame) -> DataFrame:
-    """Kept for symmetry: :func:`validate_reports` already returns typed columns."""
-    return df
-
-
 def classify_errors(df: DataFrame, error_type: str = "error_type", message: str = "error") -> DataFrame:
     """retryable = timeout / validation error, or an HTTP 429/5xx code anywhere in
     the message."""
@@ -240,7 +230,7 @@ def with_defaults(resolved: DataFrame, scans: DataFrame | None = None, prs: Data
     ok -> the validated report; timeout -> status fail, error 'Timeout', no report
     fields; failed -> the agent's fixed fallback (security fail / high when the scan
     found something else unknown; architecture fail, 1; testing warn, false; critic
-    fail, no findings, 0). Expects typed report columns (see :func:`typed_report`).
+    fail, no findings, 0). Expects typed report columns.
     """
     if prs is not None:
         # Every PR gets every agent: a generated (pr, agent) grid, left-joined to what
@@ -260,11 +250,11 @@ def with_defaults(resolved: DataFrame, scans: DataFrame | None = None, prs: Data
     ag, oc = F.col("agent"), F.col("outcome")
     failed = oc == "failed"
     e = F.col("error")
-    sec_desc = F.when(has_scan, F.concat(F.lit("LLM call failed; deterministic scan results follow: "),
-                                         F.col("scan_summary"))).otherwise(F.concat(F.lit("Security scan failed: "), e))
+    sec_desc = F.when(has_scan, F.concat(F.lit(P.SECURITY_SCAN_FALLBACK),
+                                         F.col("scan_summary"))).otherwise(F.concat(F.lit(P.SECURITY_FALLBACK), e))
     default_findings = (F.when(ag == "security", _na_finding(sec_desc))
-                        .when(ag == "architecture", _na_finding(F.concat(F.lit("Architecture review failed: "), e)))
-                        .when(ag == "testing", _na_finding(F.concat(F.lit("Testing evaluation failed: "), e)))
+                        .when(ag == "architecture", _na_finding(F.concat(F.lit(P.ARCHITECTURE_FALLBACK), e)))
+                        .when(ag == "testing", _na_finding(F.concat(F.lit(P.TESTING_FALLBACK), e)))
                         .otherwise(F.array().cast(FINDINGS_TYPE)))
     default_status = F.when(ag == "testing", F.lit("warn")).otherwise(F.lit("fail"))
     return x.select(
@@ -277,7 +267,7 @@ def with_defaults(resolved: DataFrame, scans: DataFrame | None = None, prs: Data
         F.when(failed & (ag == "testing"), F.lit(False)).when(oc == "ok", F.col("test_coverage_adequate"))
         .alias("test_coverage_adequate"),
         F.when(failed & (ag == "critic"), F.lit(0)).when(oc == "ok", F.col("vetoed_count")).alias("vetoed_count"),
-        F.when(failed & (ag == "critic"), F.concat(F.lit("Critic validation failed: "), e))
+        F.when(failed & (ag == "critic"), F.concat(F.lit(P.CRITIC_FALLBACK), e))
         .when(oc == "ok", F.col("summary")).alias("summary"),
         F.when(failed, default_findings).when(oc == "ok", F.col("findings"))
         .otherwise(F.lit(None).cast(FINDINGS_TYPE)).alias("findings"))
@@ -292,16 +282,51 @@ def explode_findings(results: DataFrame) -> DataFrame:
                     F.col("f.confidence_score").alias("confidence_score"))
 
 
-def wrap_payload(c) -> F.Column:
+def wrap_payload(c) -> Column:
     return F.concat(F.lit(P.PAYLOAD_OPEN + "\n"), c, F.lit("\n" + P.PAYLOAD_CLOSE))
 
 
-SCAN_PREAMBLE = ("\n\n---\nThe following findings were produced by deterministic security tools "
-                 "(Gitleaks / Trivy) before you were invoked. "
-                 "You MUST incorporate these into your final JSON response:\n\n")
-CRITIC_INTRO = "Cross-reference the following subagent outputs and apply the zero-noise policy.\n\n"
-CRITIC_DIFF_INTRO = ("\n\n---\nThe original diff is provided below for verification. "
-                     "Use it to confirm or veto subagent claims.\n\n")
+def agent_json(agent: str) -> Column:
+    """One agent's result as the service shapes it: its contract fields (or the fallback with the
+    same fields), or ``{error, status, agent}`` after a timeout."""
+    f = F.col("findings")
+    shapes = {
+        "security": [F.col("status"), F.col("severity_level"), f.alias("findings_summary")],
+        "architecture": [F.col("status"), F.col("complexity_score"), f.alias("refactor_suggestions")],
+        "testing": [F.col("status"), F.col("test_coverage_adequate"), f.alias("qa_notes")],
+        "critic": [F.col("status"), f.alias("approved_findings"), F.col("vetoed_count"), F.col("summary")],
+    }
+    timeout = F.to_json(F.struct(F.col("error"), F.col("status"), F.col("agent")))
+    return F.when(F.col("outcome") == "timeout", timeout).otherwise(F.to_json(F.struct(*shapes[agent])))
+
+
+def json_object(members: dict[str, Column]) -> Column:
+    """A JSON object of members that are JSON texts already (NULL: ``{}``)."""
+    return F.concat(F.lit("{"), F.concat_ws(",", *[
+        F.concat(F.lit(f'"{name}":'), F.coalesce(value, F.lit("{}"))) for name, value in members.items()]), F.lit("}"))
+
+
+def as_findings(items: Column, kind: str) -> Column:
+    """Findings of any shape as an array of finding structs.
+
+    ``kind='string'``: plain texts, each a description without place or confidence.
+    ``kind='variant'``: objects by their fields (a confidence that is no number is 0, a missing one
+    NULL), texts as descriptions, anything else by its JSON text."""
+    if kind == "string":
+        return F.transform(items, lambda t: F.struct(
+            t.alias("description"), F.lit(None).cast("string").alias("file_reference"),
+            F.lit(None).cast("bigint").alias("line_number"), F.lit(None).cast("double").alias("confidence_score")))
+    if kind != "variant":
+        raise ValueError(f"unknown kind {kind!r}")
+    get = lambda v, path, t: F.try_variant_get(v, path, t)
+    is_obj = lambda v: F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+    return F.transform(items, lambda v: F.when(is_obj(v), F.struct(
+        F.coalesce(get(v, "$.description", "string"), F.lit("")).alias("description"),
+        get(v, "$.file_reference", "string").alias("file_reference"), get(v, "$.line_number", "bigint").alias("line_number"),
+        F.when(get(v, "$.confidence_score", "variant").isNotNull(),
+               F.coalesce(get(v, "$.confidence_score", "double"), F.lit(0.0))).alias("confidence_score")))
+        .otherwise(F.struct(get(v, "$", "string").alias("description"), F.lit(None).cast("string").alias("file_reference"),
+                            F.lit(None).cast("bigint").alias("line_number"), F.lit(None).cast("double").alias("confidence_score"))))
 
 
 def build_requests(prs: DataFrame, prompts: DataFrame, scans: DataFrame | None = None,
@@ -309,31 +334,31 @@ def build_requests(prs: DataFrame, prompts: DataFrame, scans: DataFrame | None =
     """One chat request per (PR, agent): ``pr_id, agent, system, user, breakout``.
 
     The three reviewers get the masked diff inside the untrusted-payload tags; security
-    also gets the scan summary; the critic gets the three reports as JSON and the diff
-    when non-empty. ``breakout`` flags a diff that contains the closing tag. The prompt
-    table has one row per agent, so it is broadcast after a size check.
+    also gets the scan summary; the critic gets the three reports as one JSON object, each
+    with its agent's own fields (``{}`` where none landed), and the diff when non-empty.
+    ``breakout`` flags a diff that contains the closing tag.
     """
-    n = prompts.limit(len(P.ALL_AGENTS) + 1).count()
-    pt = F.broadcast(prompts) if n <= len(P.ALL_AGENTS) else prompts
+    # one row per known agent, whatever the table holds: that bounds the broadcast
+    pt = F.broadcast(prompts.filter(F.col("agent").isin(*P.ALL_AGENTS)).dropDuplicates(["agent"]))
     base = prs.select("pr_id", F.coalesce(F.col(diff_col), F.lit("")).alias("d"))
     if scans is not None:
         base = base.join(scans.select("pr_id", "scan_summary"), "pr_id", "left")
     else:
         base = base.withColumn("scan_summary", F.lit(""))
     if reports is not None:
-        rep = reports.groupBy("pr_id").agg(F.to_json(F.struct(*[
-            F.first(F.when(F.col("agent") == a, F.to_json(F.struct("status", "severity_level", "complexity_score",
-                                                                   "test_coverage_adequate", "findings", "error"))),
-                    ignorenulls=True).alias(f"{a}_agent_output") for a in P.REVIEW_AGENTS])).alias("reports_json"))
+        rep = reports.groupBy("pr_id").agg(*[
+            F.first(F.when(F.col("agent") == a, agent_json(a)), ignorenulls=True).alias(f"__{a}") for a in P.REVIEW_AGENTS])
+        rep = rep.select("pr_id", json_object({f"{a}_agent_output": F.col(f"__{a}") for a in P.REVIEW_AGENTS}).alias("reports_json"))
         base = base.join(rep, "pr_id", "left")
     else:
-        base = base.withColumn("reports_json", F.lit("{}"))
+        base = base.withColumn("reports_json", F.lit(None).cast("string"))
     agents = base.withColumn("agent", F.explode(F.array(*[F.lit(a) for a in P.ALL_AGENTS])))
     scan = F.coalesce(F.col("scan_summary"), F.lit(""))
     user = (F.when(F.col("agent") == "critic", F.concat(
-                F.lit(CRITIC_INTRO), F.coalesce(F.col("reports_json"), F.lit("{}")),
-                F.when(F.col("d") != "", F.concat(F.lit(CRITIC_DIFF_INTRO), wrap_payload(F.col("d")))).otherwise(F.lit(""))))
-            .when((F.col("agent") == "security") & (scan != ""), F.concat(wrap_payload(F.col("d")), F.lit(SCAN_PREAMBLE), scan))
+                F.lit(P.CRITIC_INTRO), F.coalesce(F.col("reports_json"), json_object(
+                    {f"{a}_agent_output": F.lit("{}") for a in P.REVIEW_AGENTS})),
+                F.when(F.col("d") != "", F.concat(F.lit(P.CRITIC_DIFF_INTRO), wrap_payload(F.col("d")))).otherwise(F.lit(""))))
+            .when((F.col("agent") == "security") & (scan != ""), F.concat(wrap_payload(F.col("d")), F.lit(P.SCAN_PREAMBLE), scan))
             .otherwise(wrap_payload(F.col("d"))))
     j = agents.join(pt, "agent", "left")
     return j.select("pr_id", "agent", F.coalesce(F.col("system"), F.lit("")).alias("system"), user.alias("user"),

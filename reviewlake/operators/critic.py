@@ -2,9 +2,8 @@
 not support, merge duplicates and overlapping findings, downgrade unsupported
 severities, count approvals and tier confidences.
 
-Vetoes are joins against the diff tables (semi / anti on ``(pr_id, path[, line])``);
-the optional line tolerance is an equi-join on candidate lines (each finding expands to
-``2k+1`` keys), never a range or cross join.
+Vetoes are one join against the changed files on ``(pr_id, path)``; a file's row carries its
+new-side line ranges, so the line test, with or without tolerance, is made in the row.
 """
 
 from __future__ import annotations
@@ -29,34 +28,24 @@ def normalise_text(c) -> F.Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"\s+", " ")
 
 
-def veto(findings: DataFrame, files: DataFrame, lines: DataFrame, tolerance: int = 0,
-         key=("pr_id", "agent", "ord")) -> DataFrame:
+def veto(findings: DataFrame, files: DataFrame, tolerance: int = 0) -> DataFrame:
     """E2 + E3: tag each finding ``approved`` / ``absent_file`` / ``unlinked_line``.
 
-    A finding naming a file (not ''/'N/A') that the PR did not change is vetoed; a
-    finding with ``line_number > 0`` in a changed file must hit a new-side line of the
-    diff (context or added), within ``tolerance`` lines. ``files``: ``pr_id, path``;
-    ``lines``: ``pr_id, path, new_line`` (added / context lines only). ``key`` names the
-    columns that identify a finding (deterministic, unlike generated row ids).
+    A finding naming a file (not ''/'N/A') that the PR did not change is vetoed; a finding
+    with ``line_number > 0`` in a changed file must hit a new-side line of the diff (context
+    or added), within ``tolerance`` lines. ``files``: ``pr_id, path, ranges`` (changed files
+    with their new-side line ranges), one row per file, so one join on (pr, file) decides both.
     """
-    key = list(key)
-    has_file = ~F.col("file_reference").isin(*NO_FILE) & F.col("file_reference").isNotNull()
-    fk = files.select("pr_id", F.col("path").alias("file_reference")).distinct().withColumn("__in_diff", F.lit(True))
+    has_file = F.col("file_reference").isNotNull() & ~F.col("file_reference").isin(*NO_FILE)
+    fk = files.select("pr_id", F.col("path").alias("file_reference"), F.col("ranges").alias("__ranges"))
     x = findings.join(fk, ["pr_id", "file_reference"], "left")
-    need_line = has_file & F.col("__in_diff").isNotNull() & (F.coalesce(F.col("line_number"), F.lit(0)) > 0)
-    cand = x.filter(need_line).select(*key, F.col("file_reference").alias("__file"),
-                                      F.explode(F.sequence(F.col("line_number") - tolerance,
-                                                           F.col("line_number") + tolerance)).alias("__line"))
-    lk = lines.select(F.col("pr_id").alias("__pr"), F.col("path").alias("__file"),
-                      F.col("new_line").alias("__line")).distinct()
-    cand = cand.withColumn("__pr", F.col("pr_id"))
-    linked = cand.join(lk, ["__pr", "__file", "__line"], "left_semi").select(*key).distinct() \
-        .withColumn("__linked", F.lit(True))
-    y = x.join(linked, key, "left")
-    status = (F.when(has_file & F.col("__in_diff").isNull(), F.lit("absent_file"))
-              .when(need_line & F.col("__linked").isNull(), F.lit("unlinked_line"))
+    line = F.col("line_number")
+    near = F.exists("__ranges", lambda r: (line >= r["lo"] - tolerance) & (line <= r["hi"] + tolerance))
+    status = (F.when(~has_file, F.lit("approved"))
+              .when(F.col("__ranges").isNull(), F.lit("absent_file"))
+              .when((F.coalesce(line, F.lit(0)) > 0) & ~near, F.lit("unlinked_line"))
               .otherwise(F.lit("approved")))
-    return y.withColumn("veto", status).drop("__in_diff", "__linked")
+    return x.withColumn("veto", status).drop("__ranges")
 
 
 def merge_duplicates(findings: DataFrame) -> DataFrame:
@@ -90,9 +79,6 @@ def merge_overlapping(findings: DataFrame, k: int = 3) -> DataFrame:
         F.sum("__n").cast("bigint").alias("n_findings"), F.max("__conf").alias("confidence_score"))
 
 
-_DOWN = {"critical": "high", "high": "medium"}
-
-
 def downgrade(security: DataFrame, scans: DataFrame) -> DataFrame:
     """A high / critical security severity without any HIGH / CRITICAL scan hit for
     the PR drops one level. ``scans``: ``pr_id, severity`` rule hits."""
@@ -107,10 +93,12 @@ def downgrade(security: DataFrame, scans: DataFrame) -> DataFrame:
 
 
 def critic_counts(vetted: DataFrame) -> DataFrame:
-    """Approved and vetoed findings per PR."""
+    """E7 + E8: approved and vetoed findings and approved hints (confidence below 0.5) per PR."""
     return vetted.groupBy("pr_id").agg(
         F.count_if(F.col("veto") == "approved").cast("bigint").alias("approved_count"),
-        F.count_if(F.col("veto") != "approved").cast("bigint").alias("vetoed_count"))
+        F.count_if(F.col("veto") != "approved").cast("bigint").alias("vetoed_count"),
+        F.count_if((F.col("veto") == "approved") & (confidence_tier(F.col("confidence_score")) == "hint"))
+        .cast("bigint").alias("n_hints"))
 
 
 def confidence_tier(c) -> F.Column:

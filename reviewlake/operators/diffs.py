@@ -19,54 +19,67 @@ HUNK_SPLIT = "(?md)(?=^diff --git )"
 _LITERAL_BLOAT = "(?id)" + "|".join("(?:" + p + ")" for p in P.BLOAT_HEADER_PATTERNS)
 
 
-def header_path(line: Column) -> Column:
-    """New-side path of a ``diff --git`` header: the last space-separated token, minus
-    ``b/`` when the header uses ``a/ b/`` prefixes. '' for a non-header line."""
-    last = F.regexp_extract(line, "([^ ]+)$", 1)
-    prefixed = line.rlike("^diff --git a/.* b/")
-    return (F.when(~line.startswith("diff --git "), F.lit(""))
-            .when(prefixed, F.regexp_replace(last, "^b/", "")).otherwise(last))
+def path_sql(hunk: str) -> str:
+    """SQL for the new-side path of a file's hunk; '' when it doesn't begin with a header.
+
+    ``+++ b/path`` above the first ``@@`` says it; for files without one (deleted, binary,
+    renamed) ``rename to``, else the header, whose two halves are equal but for their
+    prefixes, else its last word. A carriage return, a tab and what follows, and the quotes
+    of a quoted name are not part of it (octal escapes in such a name stay as written).
+    """
+    first = f"regexp_replace(substring_index({hunk}, '\\n', 1), '\\r$', '')"
+    top = f"substring_index({hunk}, '\\n@@', 1)"
+    line = lambda lead: f"regexp_extract({top}, '(?m)^{lead} ([^\\t\\r\\n]+)', 1)"
+    bare = lambda x: f"regexp_replace({x}, '^\"(.*)\"$', '$1')"
+    plus, renamed = bare(line("[+][+][+]")), bare(line("rename to"))
+    rest = f"substring({first}, 12)"
+    half = f"((length({rest}) - 1) div 2)"
+    left, right = bare(f"substring({rest}, 1, {half})"), bare(f"substring({rest}, {half} + 2)")
+    no_a, no_b = (f"regexp_replace({x}, '^{c}/', '')" for c, x in (("a", left), ("b", right)))
+    ab = f"({first} rlike '^diff --git \"?a/.* \"?b/')"
+    last = f"regexp_replace({bare(f"regexp_extract({rest}, '([^ ]+)$', 1)")}, '^b/', '')"
+    return (f"(CASE WHEN NOT startswith({hunk}, 'diff --git ') THEN '' "
+            f"WHEN {plus} NOT IN ('', '/dev/null') THEN CASE WHEN {ab} THEN regexp_replace({plus}, '^b/', '') ELSE {plus} END "
+            f"WHEN {renamed} <> '' THEN {renamed} "
+            f"WHEN {ab} AND {no_a} = {no_b} THEN {no_b} WHEN {left} = {right} THEN {right} "
+            f"WHEN {ab} THEN {last} ELSE {bare(f"regexp_extract({rest}, '([^ ]+)$', 1)")} END)")
+
+
+def hunk_path(hunk: str = "hunk") -> Column:
+    return F.expr(path_sql(hunk))
 
 
-def is_bloat_header(line: Column, mode: str = "path") -> Column:
-    """True when a hunk's first line names a generated / vendored / lock file.
+def _bloat_sql(x: str, mode: str) -> str:
+    """SQL: does the hunk touch a generated / vendored / lock file?
 
     ``mode='literal'`` applies the service's header patterns as written (they need a
     space right before the name); ``mode='path'`` applies the same rules to the path.
     """
     if mode == "literal":
-        return line.rlike(_LITERAL_BLOAT)
+        return f"(substring_index({x}, '\\n', 1) rlike {lit_str(_LITERAL_BLOAT)})"
     if mode == "path":
-        return header_path(line).rlike(P.BLOAT_PATH_PATTERN)
+        return f"({path_sql(x)} rlike {lit_str(P.BLOAT_PATH_PATTERN)})"
     raise ValueError(f"unknown bloat mode {mode!r}")
 
 
-def _bloat_sql(x: str, mode: str) -> str:
-    fl = f"substring_index({x}, '\\n', 1)"
-    if mode == "literal":
-        return f"({fl} rlike {lit_str(_LITERAL_BLOAT)})"
-    last = f"regexp_extract({fl}, '([^ ]+)$', 1)"
-    path = (f"(CASE WHEN NOT startswith({fl}, 'diff --git ') THEN '' "
-            f"WHEN {fl} rlike '^diff --git a/.* b/' THEN regexp_replace({last}, '^b/', '') "
-            f"ELSE {last} END)")
-    return f"({path} rlike {lit_str(P.BLOAT_PATH_PATTERN)})"
-
-
 def filtered_diff(col_sql: str = "diff", mode: str = "path") -> Column:
     """Split into hunks, drop bloat hunks and rejoin, all inside the row."""
     return F.expr(f"array_join(filter(split({col_sql}, {lit_str(HUNK_SPLIT)}, -1), "
                   f"h -> NOT {_bloat_sql('h', mode)}), '')")
 
 
-def cap_text(c: Column, max_len: int = P.MAX_DIFF_LENGTH) -> Column:
-    """First ``max_len`` characters plus the truncation marker when longer."""
+def cap_text(c: Column, max_len: int | None) -> Column:
+    """First ``max_len`` characters plus the truncation marker when longer; None: all."""
+    if max_len is None:
+        return c
     return F.when(F.length(c) > max_len,
                   F.concat(F.substring(c, 1, max_len), F.lit(P.TRUNCATION_MARKER))).otherwise(c)
 
 
 def guard_diff(df: DataFrame, diff_col: str = "diff", out: str = "capped_diff",
-               mode: str = "path", max_len: int = P.MAX_DIFF_LENGTH) -> DataFrame:
-    """Token guardrail on each PR row: drop bloat hunks, then cap (B1+B2+B3, map-side)."""
+               mode: str = "path", max_len: int | None = None) -> DataFrame:
+    """Token guardrail on each PR row: drop bloat hunks (B1+B2) and, if ``max_len`` is
+    given, cap the text (B3). Map-side."""
     return df.withColumn(out, cap_text(filtered_diff(diff_col, mode), max_len))
 
 
@@ -95,7 +108,7 @@ def split_hunks(df: DataFrame, diff_col: str = "diff", mode: str = "path") -> Da
     h = h.filter(F.col("hunk") != "")
     fl = first_line(F.col("hunk"))
     return h.select("pr_id", F.col("hunk_no").cast("int"), fl.alias("first_line"),
-                    header_path(fl).alias("path"), is_bloat_header(fl, mode).alias("is_bloat"), "hunk")
+                    hunk_path().alias("path"), F.expr(_bloat_sql("hunk", mode)).alias("is_bloat"), "hunk")
 
 
 def drop_bloat(hunks: DataFrame) -> DataFrame:
@@ -132,39 +145,66 @@ def line_count(c: Column) -> Column:
     return count_splitlines(c)
 
 
+SECTION_SPLIT = "(?md)(?=^@@)"
+SECTION_START = r"^@@ -[0-9]+(?:,[0-9]+)? \+([0-9]+)"
+
+
+def _sections(hunks: DataFrame) -> DataFrame:
+    """Each hunk with ``secs``: its sections in order (the part above the first ``@@`` is one),
+    with the number of lines before it, the new-side number it starts at (NULL where that is no
+    64-bit number) and its signed lines. Row-local."""
+    x = hunks.withColumn("secs", F.split("hunk", SECTION_SPLIT, -1))
+    x = x.withColumn("__n", F.expr("transform(secs, s -> length(s) - length(replace(s, '\\n', '')))"))
+    # every section but the last ends with a line feed, which belongs to its last line
+    x = x.withColumn("secs", F.expr(
+        "transform(secs, (s, i) -> named_struct('before', aggregate(slice(__n, 1, i), 0, (a, k) -> a + k), "
+        "'last', i = size(secs) - 1, 'counts', startswith(s, '@@'), "
+        f"'base', try_cast(regexp_extract(s, {lit_str(SECTION_START)}, 1) AS bigint), "
+        "'ls', split(IF(i = size(secs) - 1, s, substring(s, 1, length(s) - 1)), '\\n', -1)))")).drop("__n")
+    return x.withColumn("secs", F.expr(
+        "transform(secs, s -> named_struct('before', s.before, 'counts', s.counts, 'base', s.base, 'ls', "
+        "transform(s.ls, (l, k) -> named_struct('k', k, 'line', l, 'sign', CASE WHEN NOT s.counts OR k = 0 THEN 'h' "
+        "WHEN left(l, 1) IN ('+', '-', ' ', '\\\\') THEN left(l, 1) "
+        "WHEN l = '\\r' OR (l = '' AND NOT (s.last AND k = size(s.ls) - 1)) THEN ' ' ELSE '?' END))))"))
+
+
+_NEW_SIDE = "sign IN ('+', ' ')"
+
+
+def _numbered(hunks: DataFrame) -> DataFrame:
+    """Hunks with ``ls``: all lines as structs (pos, sign, new_line, text). The k-th new-side line
+    of a section has number base + k."""
+    text = "CASE WHEN y.sign IN ('+', '-', ' ') THEN substring(y.line, 2) ELSE y.line END"
+    pos = "'pos', s.before + y.k, 'sign', y.sign"
+    return _sections(hunks).withColumn("ls", F.expr(
+        f"flatten(transform(secs, s -> concat(transform(filter(s.ls, y -> y.{_NEW_SIDE}), (y, k) -> named_struct({pos}, "
+        f"'new_line', try_add(s.base, cast(k AS bigint)), 'text', {text})), transform(filter(s.ls, y -> NOT y.{_NEW_SIDE}), "
+        f"y -> named_struct({pos}, 'new_line', cast(NULL AS bigint), 'text', {text})))))")).drop("secs")
+
+
 def diff_lines(hunks: DataFrame) -> DataFrame:
     """One row per diff line (B6): ``pr_id, hunk_no, pos, path, sign, new_line, text``.
 
     ``new_line`` is counted, not read from the ``@@`` header's length: each ``@@ … +N``
-    starts a section at N, and context/added lines take the next number. Removed lines
-    and ``\\ No newline`` markers get no new-side number. The window groups one hunk,
-    i.e. lines that came from a single input row.
+    starts a section at N, and context/added lines take the next number (an empty line is a
+    context line whose blank was stripped). Removed lines and ``\\ No newline`` markers get
+    none, nor do lines of a section whose N is no 64-bit number. All of it is computed inside
+    the hunk's row: no window, no shuffle.
     """
-    x = hunks.select("pr_id", "hunk_no", "path",
-                     F.posexplode(F.split(F.col("hunk"), "\n", -1)).alias("pos", "line"))
-    is_hdr = F.col("line").startswith("@@")
-    start_n = F.regexp_extract("line", r"^@@ -[0-9]+(?:,[0-9]+)? \+([0-9]+)", 1)
-    x = x.withColumn("sec_start", F.when(is_hdr & (start_n != ""), start_n.cast("int")))
-    w = Window.partitionBy("pr_id", "hunk_no").orderBy("pos")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("sec", F.sum(is_hdr.cast("int")).over(run))
-    x = x.withColumn("base", F.last("sec_start", ignorenulls=True).over(run))
-    first = F.substring("line", 1, 1)
-    in_body = (F.col("sec") > 0) & ~is_hdr
-    sign = (F.when(~in_body, F.lit("h")).when(first == "+", "+").when(first == "-", "-")
-            .when(first == "\\", "\\").when(first == " ", " ").otherwise(F.lit("?")))
-    x = x.withColumn("sign", sign)
-    is_new = F.col("sign").isin("+", " ")
-    # Running count of new-side lines over the hunk, minus its value at the last "@@"
-    # header, numbers lines within a section. One window spec throughout, so the line
-    # table is shuffled and sorted once.
-    x = x.withColumn("cum_new", F.sum(is_new.cast("int")).over(run))
-    x = x.withColumn("cum_at_hdr", F.max(F.when(is_hdr, F.col("cum_new"))).over(run))
-    new_line = F.when(is_new, F.col("base") + F.col("cum_new") - F.col("cum_at_hdr") - 1)
-    return x.select("pr_id", "hunk_no", F.col("pos").cast("int"), "path", "sign",
-                    new_line.cast("int").alias("new_line"),
-                    F.when(F.col("sign").isin("+", "-", " "), F.expr("substring(line, 2)"))
-                    .otherwise(F.col("line")).alias("text"))
+    return _numbered(hunks.select("pr_id", "hunk_no", "path", "hunk")).select(
+        "pr_id", "hunk_no", "path", F.inline("ls")).select("pr_id", "hunk_no", "pos", "path", "sign", "new_line", "text")
+
+
+def line_ranges(hunks: DataFrame) -> DataFrame:
+    """Changed files (B7) with their new-side line numbers: ``pr_id, path, is_test, ranges``.
+    A section's context and added lines are numbered without gaps, so one range (lo, hi) per
+    section holds them all; the ranges are made in the row and only they are grouped by file."""
+    x = _sections(hunks.filter(F.col("path") != "").select("pr_id", "path", "hunk"))
+    x = x.select("pr_id", "path", F.expr(
+        f"filter(transform(filter(secs, s -> s.base IS NOT NULL), s -> named_struct('lo', s.base, 'hi', "
+        f"try_add(s.base, cast(size(filter(s.ls, y -> y.{_NEW_SIDE})) AS bigint) - 1))), r -> r.hi >= r.lo)").alias("ranges"))
+    return (x.groupBy("pr_id", "path").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+            .withColumn("is_test", F.col("path").rlike(TEST_PATH)))
 
 
 TEST_PATH = r"(?i)(^|/)(tests?|spec|__tests__)/|(^|/)test_[^/]*$|_test\.[a-z]+$|\.spec\.[a-z]+$|\.test\.[a-z]+$"

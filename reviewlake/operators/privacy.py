@@ -141,32 +141,21 @@ def person_names(spark: SparkSession, names=None) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "name string")
 
 
-def mask_persons(df: DataFrame, col: str, key: str, names: DataFrame,
-                 broadcast_limit: int = 100_000) -> DataFrame:
+def mask_persons(df: DataFrame, col: str, key: str, names: DataFrame) -> DataFrame:
     """Replace dictionary names with ``<PERSON>``.
 
-    Tokens (word runs, kept with their separators) are exploded with positions, joined
-    to the name table, and the text is rebuilt per row in order. The name table is
-    broadcast only when its row count is under ``broadcast_limit``; past that the
-    planner's shuffle join is used. Rows with no capitalised word skip the work.
+    Each row's distinct word tokens are joined to the name table; the names found come back
+    as one small array per row, and the text is rebuilt inside its row. One way for a name
+    table of any size: the planner picks the join.
     """
-    n_names = names.limit(broadcast_limit + 1).count()
-    nt = names.select(F.col("name").alias("__tok")).distinct()
-    nt = F.broadcast(nt) if n_names <= broadcast_limit else nt
-    rows = df.select(key, F.col(col).alias("__text"))
-    if n_names <= 1000:
-        # Small dictionary: a single rlike skips rows without any candidate name, so
-        # only those rows are exploded, joined and regrouped.
-        import re as _re
-        alts = "|".join(_re.escape(r["name"]) for r in names.select("name").distinct().collect())
-        rows = rows.filter(F.col("__text").rlike(f"(?U)\\b(?:{alts})\\b")) if alts else rows.limit(0)
-    toks = rows.select(key, F.posexplode(F.split("__text", r"(?U)\b", -1)).alias("__pos", "__tok"))
-    hit = toks.join(nt.withColumn("__hit", F.lit(True)), "__tok", "left")
-    piece = F.when(F.col("__hit"), F.lit("<PERSON>")).otherwise(F.col("__tok"))
-    rebuilt = hit.withColumn("__piece", piece).groupBy(key).agg(
-        F.expr("listagg(__piece, '') WITHIN GROUP (ORDER BY __pos)").alias("__masked"))
-    return df.join(rebuilt, key, "left").withColumn(
-        col, F.coalesce(F.col("__masked"), F.col(col))).drop("__masked")
+    words = F.array_distinct(F.split(F.col(col), r"(?U)\b", -1))
+    found = (df.select(key, F.explode(words).alias("__tok"))
+             .join(names.select(F.col("name").alias("__tok")).distinct(), "__tok", "left_semi")
+             .groupBy(key).agg(F.collect_set("__tok").alias("__names")))
+    masked = F.array_join(F.transform(F.split(F.col(col), r"(?U)\b", -1), lambda t: F.when(
+        F.array_contains("__names", t), F.lit("<PERSON>")).otherwise(t)), "")
+    return df.join(found, key, "left").withColumn(
+        col, F.when(F.col("__names").isNull(), F.col(col)).otherwise(masked)).drop("__names")
 
 
 def mask_secrets_col(c: Column) -> Column:
@@ -232,7 +221,7 @@ def secret_findings(lines: DataFrame, rules=None) -> DataFrame:
     x = body.select("pr_id", "path", F.coalesce("new_line", F.lit(0)).alias("line"),
                     F.explode(hits).alias("h"))
     return x.select("pr_id", F.col("h.tool").alias("tool"), F.col("h.rule_id").alias("rule_id"),
-                    F.col("h.severity").alias("severity"), "path", F.col("line").cast("int").alias("line"))
+                    F.col("h.severity").alias("severity"), "path", F.col("line").cast("bigint").alias("line"))
 
 
 def hunk_prefilter(patterns) -> str:
@@ -265,8 +254,15 @@ def _drop_anchors(p: str) -> str:
     return "".join(out)
 
 
+#: what a pattern may look at beside its match: on a whole hunk it could refuse a line's hit
+_LOOKS_AROUND = ("(?!", "(?=", "(?<", "\\b", "\\B", "\\A", "\\z", "\\Z", "\\G")
+
+
 def screen_hunks(hunks: DataFrame, patterns) -> DataFrame:
-    """Hunks that may hold a rule hit (map-side ``rlike``); only these are exploded."""
+    """Hunks that may hold a rule hit (map-side ``rlike``); only these are exploded. Rules that
+    look around their match can't be screened: with one of them every hunk stays."""
+    if any(mark in p for p in patterns for mark in _LOOKS_AROUND):
+        return hunks
     return hunks.filter(F.col("hunk").rlike(hunk_prefilter(patterns)))
 
 

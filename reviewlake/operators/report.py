@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from .contracts import agent_json, json_object
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: report layout of the reviewed service. The footer's generator name is
@@ -29,6 +30,7 @@ METRICS_MARKER = "Governance Metrics"
 COVERAGE_OK = "✅ Adequate"
 COVERAGE_BAD = "❌ Inadequate"
 DEFAULT_GENERATOR = "reviewlake"
+DEFAULT_SUMMARY = "Code review completed."
 
 
 def badge(status: Column, lower_fallback: bool = False) -> Column:
@@ -46,9 +48,44 @@ def pct(x: Column) -> Column:
     return F.concat(F.bround(x * 100, 0).cast("bigint").cast("string"), F.lit("%"))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """'{:.nf}' of a number from 0 below 2^53: rounds the exact binary value, ties to even.
+
+    The fraction of a double is a whole number of 2^-80ths here, held in two 40-bit halves, so
+    its decimal digits and what remains below them are exact whole numbers."""
+    scale, unit = 10 ** digits, 1 << 80
+    half = F.expr(f"cast('{unit // 2}' AS decimal(25,0))")
+    unit_lit = F.expr(f"cast('{unit}' AS decimal(25,0))")
+    to = lambda c, p: c.cast(f"decimal({p},0)")
+
+    def rounded(whole: Column, scaled: Column, down: Column) -> Column:
+        rest = scaled - to(to(down, 8) * unit_lit, 38)
+        up = F.when((rest > half) | ((rest == half) & (down % 2 == 1)), F.lit(1)).otherwise(F.lit(0))
+        return to(to(whole, 20) * to(F.lit(scale), 6) + down + up, 38).cast("string")
+
+    def text(t: Column) -> Column:
+        padded = F.lpad(t, F.greatest(F.length(t), F.lit(digits + 1)), F.lit("0"))
+        return F.concat(F.substring(padded, F.lit(1), F.greatest(F.length(t), F.lit(digits + 1)) - digits), F.lit("."),
+                        F.right(padded, F.lit(digits)))
+
+    def parts(v: Column) -> Column:
+        high = (v - F.floor(v)) * float(1 << 40)
+        bits = to(F.floor(high), 13) * to(F.lit(1 << 40), 13) + to(F.floor((high - F.floor(high)) * float(1 << 40)), 13)
+        return _bound(to(bits * to(F.lit(scale), 6), 38), lambda s: _bound(
+            F.call_function("div", s, unit_lit), lambda d: rounded(F.floor(v), s, d)))
+
+    return _bound(_bound(x, parts), text)
+
+
 def format_finding(f: Column) -> Column:
     """``desc — `file` line n — confidence: p%``; the location is left out without
-    a file, the line without a number, the confidence when missing."""
+    a file, the line without a number, the confidence when missing. A finding that was a
+    plain text (see ``contracts.as_findings``) has a description only."""
     loc = F.when(F.coalesce(f["file_reference"], F.lit("")) != "", F.concat(
         F.lit("`"), f["file_reference"], F.lit("`"),
         F.when(F.coalesce(f["line_number"], F.lit(0)) != 0,
@@ -106,15 +143,15 @@ def agent_report(pr_id: Column, sec, arch, test, ts: str, mean_conf: Column | No
         F.lit("\n\n| Field | Value |\n|---|---|\n| **Status** | "), b[0],
         F.lit(" |\n| **Severity Level** | `"), F.coalesce(sec["severity_level"], F.lit("unknown")),
         F.lit("` |\n\n**Findings:**\n"), bullet_list(sec["findings"]),
-        F.lit("---\n\n### 🏛️ Architecture Review &nbsp;"), b[1],
+        F.lit("\n---\n\n### 🏛️ Architecture Review &nbsp;"), b[1],
         F.lit("\n\n| Field | Value |\n|---|---|\n| **Status** | "), b[1],
         F.lit(" |\n| **Complexity Score** | `"), F.coalesce(arch["complexity_score"].cast("string"), F.lit("N/A")),
         F.lit(" / 10` |\n\n**Refactor Suggestions:**\n"), bullet_list(arch["findings"]),
-        F.lit("---\n\n### 🧪 Testing Evaluation &nbsp;"), b[2],
+        F.lit("\n---\n\n### 🧪 Testing Evaluation &nbsp;"), b[2],
         F.lit("\n\n| Field | Value |\n|---|---|\n| **Status** | "), b[2],
         F.lit(" |\n| **Coverage** | "), cov,
         F.lit(" |\n\n**QA Notes:**\n"), bullet_list(test["findings"]),
-        F.lit(f"---\n\n<sub>Generated by {generator} · {ts}</sub>\n"))
+        F.lit(f"\n---\n\n<sub>Generated by {generator} · {ts}</sub>\n"))
     if mean_conf is None:
         return body
     return F.when(mean_conf.isNull(), body).otherwise(F.concat(
@@ -125,8 +162,8 @@ def append_metrics(md: Column, latency: Column, mean_conf: Column) -> Column:
     """Add the governance footer unless the text already has one; the text is
     right-stripped of Unicode whitespace first (``rtrim`` strips spaces only)."""
     rows = F.concat(
-        F.lit("| **Pipeline Latency** | `"), F.format_string("%.2f", latency), F.lit("s` |\n"),
-        F.lit("| **Estimated LLM Cost** | `$"), F.format_string("%.4f", latency * F.lit(P.COST_PER_SECOND_USD)),
+        F.lit("| **Pipeline Latency** | `"), fixed(latency, 2), F.lit("s` |\n"),
+        F.lit("| **Estimated LLM Cost** | `$"), fixed(latency * F.lit(P.COST_PER_SECOND_USD), 4),
         F.lit("` |"),
         F.when(mean_conf.isNotNull(), F.concat(F.lit("\n| **Mean Confidence Score** | `"), pct(mean_conf), F.lit("` |")))
         .otherwise(F.lit("")), F.lit("\n"))
@@ -140,15 +177,17 @@ def assemble_reports(results: DataFrame, latency: DataFrame | None, ts: str,
     """G4-G7 per PR: pivot the agent results (one group-by on ``pr_id``, which also
     computes the pipeline latency unless ``latency`` is given), render the critic report
     or, when the critic timed out, the fallback layout; then append the metrics footer.
-    Output: ``pr_id, critic_outcome, mean_confidence, markdown_report``."""
-    from .verdict import latency_agg
+    Output: ``pr_id, critic_outcome, mean_confidence, latency_s, worst_status, documents
+    (agent -> JSON of its result), markdown_report``."""
+    from .verdict import latency_agg, worst_agg
     cols = ["status", "severity_level", "complexity_score", "test_coverage_adequate", "findings",
             "outcome", "error", "vetoed_count", "summary"]
     aggs = [F.first(F.when(F.col("agent") == a, F.struct(*cols)), ignorenulls=True).alias(a) for a in P.ALL_AGENTS]
+    aggs += [F.first(F.when(F.col("agent") == a, agent_json(a)), ignorenulls=True).alias(f"__{a}") for a in P.ALL_AGENTS]
     if latency is None:
-        x = results.groupBy("pr_id").agg(*aggs, latency_agg().alias("latency_s"))
+        x = results.groupBy("pr_id").agg(*aggs, latency_agg().alias("latency_s"), worst_agg().alias("worst"))
     else:
-        x = results.groupBy("pr_id").agg(*aggs).join(latency, "pr_id", "left")
+        x = results.groupBy("pr_id").agg(*aggs, worst_agg().alias("worst")).join(latency, "pr_id", "left")
     cr = F.col("critic")
     approved = F.when(cr["outcome"] == "ok", cr["findings"])
     mean_conf = F.when(F.coalesce(F.size(approved), F.lit(0)) > 0, F.aggregate(
@@ -162,37 +201,21 @@ def assemble_reports(results: DataFrame, latency: DataFrame | None, ts: str,
               .otherwise(fallback))
     x = x.withColumn("md", chosen)
     return x.select("pr_id", cr["outcome"].alias("critic_outcome"), "mean_confidence",
+                    F.coalesce(F.col("latency_s"), F.lit(0.0)).alias("latency_s"), F.col("worst.status").alias("worst_status"),
+                    json_object({a: F.col(f"__{a}") for a in P.ALL_AGENTS}).alias("documents"),
                     append_metrics(F.col("md"), F.coalesce(F.col("latency_s"), F.lit(0.0)), F.col("mean_confidence"))
                     .alias("markdown_report"))
 
 
-SUMMARY_TEXT = "Code Review Orchestrator completed."
-
-
-def _agent_json(agent: str) -> Column:
-    """One agent's result as the service shapes it: its contract fields (or the
-    fallback with the same fields), or ``{error, status, agent}`` after a timeout."""
-    f = F.col("findings")
-    shapes = {
-        "security": [F.col("status"), F.col("severity_level"), f.alias("findings_summary")],
-        "architecture": [F.col("status"), F.col("complexity_score"), f.alias("refactor_suggestions")],
-        "testing": [F.col("status"), F.col("test_coverage_adequate"), f.alias("qa_notes")],
-        "critic": [F.col("status"), f.alias("approved_findings"), F.col("vetoed_count"), F.col("summary")],
-    }
-    timeout = F.to_json(F.struct(F.col("error"), F.col("status"), F.col("agent")))
-    return F.when(F.col("outcome") == "timeout", timeout).otherwise(F.to_json(F.struct(*shapes[agent])))
-
-
-def result_document(reports: DataFrame, results: DataFrame) -> DataFrame:
+def result_document(reports: DataFrame, results: DataFrame | None = None, summary: str = DEFAULT_SUMMARY) -> DataFrame:
     """One nested JSON document per PR ``{pr_id, summary, markdown_report, results}``;
-    a missing agent result is ``{}``."""
-    piv = results.groupBy("pr_id").agg(*[
-        F.first(F.when(F.col("agent") == a, _agent_json(a)), ignorenulls=True).alias(a) for a in P.ALL_AGENTS])
-    x = reports.join(piv, "pr_id", "left")
-    res = F.concat(F.lit("{"), F.concat_ws(",", *[
-        F.concat(F.lit(f'"{a}":'), F.coalesce(F.col(a), F.lit("{}"))) for a in P.ALL_AGENTS]), F.lit("}"))
-    head = F.to_json(F.struct(F.col("pr_id").cast("string").alias("pr_id"), F.lit(SUMMARY_TEXT).alias("summary"),
-                              F.col("markdown_report")))
-    full = F.concat(F.expr("substring(__doc, 1, length(__doc) - 1)"), F.lit(',"results":'), res, F.lit("}"))
-    return x.withColumn("__doc", head).select("pr_id", F.lit(SUMMARY_TEXT).alias("summary"), "markdown_report",
-                                              full.alias("document"))
+    ``pr_id`` keeps its type, a missing agent result is ``{}``. Assembled reports carry their
+    ``documents``; for reports from elsewhere ``results`` has the agents' rows."""
+    if results is not None:
+        piv = results.groupBy("pr_id").agg(*[
+            F.first(F.when(F.col("agent") == a, agent_json(a)), ignorenulls=True).alias(f"__{a}") for a in P.ALL_AGENTS])
+        reports = reports.join(piv, "pr_id", "left").withColumn("documents", json_object({a: F.col(f"__{a}") for a in P.ALL_AGENTS}))
+    head = F.to_json(F.struct(F.col("pr_id"), F.lit(summary).alias("summary"), F.col("markdown_report")))
+    full = F.concat(F.expr("substring(__doc, 1, length(__doc) - 1)"), F.lit(',"results":'), F.col("documents"), F.lit("}"))
+    return reports.withColumn("__doc", head).select("pr_id", F.lit(summary).alias("summary"), "markdown_report",
+                                                    full.alias("document"))

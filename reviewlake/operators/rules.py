@@ -9,10 +9,10 @@ by the hash with partial aggregation, so a block repeated everywhere stays cheap
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .diffs import TEST_PATH
+from .diffs import TEST_PATH, _numbered
 
 # (rule_id, agent, confidence, description, pattern) for single-line rules on added lines.
 LINE_RULES = [
@@ -60,7 +60,7 @@ def rule_findings(lines: DataFrame, rules=None) -> DataFrame:
     x = added.select("pr_id", "path", "new_line", F.explode(hits).alias("h"))
     return x.select("pr_id", F.col("h.agent").alias("agent"), F.col("h.rule_id").alias("rule_id"),
                     F.col("h.description").alias("description"), F.col("path").alias("file_reference"),
-                    F.coalesce("new_line", F.lit(0)).cast("int").alias("line_number"),
+                    F.coalesce("new_line", F.lit(0)).cast("bigint").alias("line_number"),
                     F.col("h.confidence_score").alias("confidence_score"))
 
 
@@ -76,7 +76,7 @@ def unmocked_network(lines: DataFrame) -> DataFrame:
     return g.filter(F.col("has_net") & ~F.col("has_mock")).select(
         "pr_id", F.lit("testing").alias("agent"), F.lit("unmocked-network-in-test").alias("rule_id"),
         F.lit("Network call in a test without a mock").alias("description"), F.col("path").alias("file_reference"),
-        F.coalesce("line", F.lit(0)).cast("int").alias("line_number"), F.lit(0.7).alias("confidence_score"))
+        F.coalesce("line", F.lit(0)).cast("bigint").alias("line_number"), F.lit(0.7).alias("confidence_score"))
 
 
 def coverage_gap(files: DataFrame) -> DataFrame:
@@ -93,16 +93,18 @@ def normalise_line(c) -> F.Column:
     return F.regexp_replace(F.trim(c), r"\s+", " ")
 
 
-def duplicate_blocks(lines: DataFrame, k: int = 5, min_chars: int = 4) -> DataFrame:
+def duplicate_blocks(hunks: DataFrame, k: int = 5, min_chars: int = 1) -> DataFrame:
     """H4: the same run of ``k`` normalised added lines in two or more places, across all
-    PRs. Lines shorter than ``min_chars`` after normalising are skipped. Each window of
-    k lines is keyed by the md5 of its text; the group-by on that key aggregates
-    partially, so a block that repeats everywhere never gathers in one task."""
-    a = lines.filter(F.col("sign") == "+").withColumn("norm", normalise_line(F.col("text"))) \
-        .filter(F.length("norm") >= min_chars)
-    w = Window.partitionBy("pr_id", "hunk_no").orderBy("pos").rowsBetween(0, k - 1)
-    b = a.withColumn("block", F.collect_list("norm").over(w)).filter(F.size("block") == k)
-    b = b.withColumn("block_md5", F.md5(F.array_join("block", "\n")))
+    PRs. Lines shorter than ``min_chars`` after normalising (by default empty ones) are
+    skipped. The blocks of a hunk are hashed inside its row and only the hashes leave it; the
+    group-by on them aggregates partially, so a block that repeats everywhere never gathers
+    in one task."""
+    added = (f"array_sort(filter(transform(filter(ls, y -> y.sign = '+'), y -> named_struct('pos', y.pos, 'norm', "
+             f"regexp_replace(trim(y.text), '\\\\s+', ' '), 'new_line', y.new_line)), y -> length(y.norm) >= {int(min_chars)}))")
+    x = _numbered(hunks.select("pr_id", "path", "hunk")).withColumn("added", F.expr(added)).filter(F.size("added") >= k)
+    blocks = (f"transform(sequence(1, size(added) - {k - 1}), i -> named_struct('block_md5', "
+              f"md5(array_join(transform(slice(added, i, {k}), y -> y.norm), '\\n')), 'new_line', added[i - 1].new_line))")
+    b = x.select("pr_id", "path", F.inline(F.expr(blocks)))
     g = b.groupBy("block_md5").agg(
         F.count("*").cast("bigint").alias("n_occurrences"),
         F.min(F.struct("pr_id", "path", "new_line")).alias("first"))
@@ -117,5 +119,5 @@ def added_dependencies(lines: DataFrame) -> DataFrame:
     name = F.coalesce(*[F.when(F.col("text").rlike(p), F.regexp_extract("text", p, 1)) for p in DEP_PATTERNS])
     x = m.select("pr_id", "path", "new_line", name.alias("dependency")).filter(
         F.col("dependency").isNotNull() & (F.col("dependency") != ""))
-    return x.select("pr_id", F.col("path").alias("file_reference"), F.col("new_line").cast("int").alias("line_number"),
+    return x.select("pr_id", F.col("path").alias("file_reference"), F.col("new_line").cast("bigint").alias("line_number"),
                     "dependency")

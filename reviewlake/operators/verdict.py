@@ -15,19 +15,26 @@ def status_rank(c) -> F.Column:
     return F.when(lc == "pass", 0).when(lc == "warn", 1).otherwise(2)
 
 
+def worst_agg() -> F.Column:
+    """Aggregate over one PR's agent rows: struct (rank, tie, status) of the worst of the security /
+    architecture / testing statuses. A missing agent counts as 'fail'; ties keep the first agent
+    in that order; the status keeps its original spelling."""
+    ranked = []
+    for i, agent in enumerate(P.REVIEW_AGENTS):
+        st = F.coalesce(F.first(F.when(F.col("agent") == agent, F.col("status")), ignorenulls=True), F.lit("fail"))
+        ranked.append(F.struct(status_rank(st).alias("rank"), F.lit(-i).alias("tie"), st.alias("status")))
+    return F.array_max(F.array(*ranked))
+
+
 def worst_status(results: DataFrame, prs: DataFrame | None = None) -> DataFrame:
-    """per PR, the worst of the security / architecture / testing statuses. A
-    missing agent counts as 'fail'; ties keep the first agent in that order; the status
-    keeps its original spelling."""
-    base = results.filter(F.col("agent").isin(*P.REVIEW_AGENTS))
-    keys = (prs.select("pr_id") if prs is not None else base.select("pr_id")).distinct()
-    grid = keys.withColumn("agent", F.explode(F.array(*[F.lit(a) for a in P.REVIEW_AGENTS])))
-    x = grid.join(base.select("pr_id", "agent", "status"), ["pr_id", "agent"], "left")
-    st = F.coalesce(F.col("status"), F.lit("fail"))
-    order = F.array_position(F.array(*[F.lit(a) for a in P.REVIEW_AGENTS]), F.col("agent"))
-    return x.groupBy("pr_id").agg(
-        F.max_by(st, F.struct(status_rank(st), -order)).alias("worst_status"),
-        F.max(status_rank(st)).alias("worst_rank"))
+    """per PR, the worst reviewer status (see :func:`worst_agg`), in one group-by; a PR of
+    ``prs`` without any result is 'fail'."""
+    w = results.filter(F.col("agent").isin(*P.REVIEW_AGENTS)).groupBy("pr_id").agg(worst_agg().alias("w"))
+    w = w.select("pr_id", F.col("w.status").alias("worst_status"), F.col("w.rank").alias("worst_rank"))
+    if prs is None:
+        return w
+    return prs.select("pr_id").distinct().join(w, "pr_id", "left").select(
+        "pr_id", F.coalesce("worst_status", F.lit("fail")).alias("worst_status"), F.coalesce("worst_rank", F.lit(2)).alias("worst_rank"))
 
 
 def mean_confidence(critic: DataFrame) -> DataFrame:

@@ -20,11 +20,5 @@ def register(name: str, oracle: str | None = None):
 
 def load_all():
     """Import every query module so that its ``register`` calls run."""
-    from . import q_diffs, q_privacy  # noqa: F401
-    for mod in ("q_intake", "q_contracts", "q_critic", "q_reports", "q_rules", "q_streams"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"{__package__}.{mod}":
-                raise
+    from . import q_contracts, q_critic, q_diffs, q_intake, q_privacy, q_reports, q_rules, q_streams  # noqa: F401
     return QUERIES, ORACLES

@@ -51,12 +51,8 @@ class ReviewContext:
         return PV.sanitize(D.guard_diff(self.prs))
 
     @cached_property
-    def changed_files(self) -> DataFrame:
-        return D.hunk_files(self.hunks)
-
-    @cached_property
-    def new_lines(self) -> DataFrame:
-        return self.lines.filter(F.col("sign").isin("+", " ")).select("pr_id", "path", "new_line")
+    def line_ranges(self) -> DataFrame:
+        return D.line_ranges(self.hunks)
 
     @cached_property
     def validated(self) -> DataFrame:

@@ -26,9 +26,9 @@ f0_g AS (SELECT pr_id, doc_id, concat('diff --git ', pa, path, ' ', pb, path, ch
   chr(10), '@@ -0,0 +1,', length(text) - length(replace(text, chr(10), '')) + 1, ' @@', chr(10), '+',
   replace(text, chr(10), concat(chr(10), '+')), chr(10)) AS hunk FROM f0_p),
 prs AS (SELECT pr_id, string_agg(hunk, '' ORDER BY doc_id) AS diff FROM f0_g GROUP BY pr_id
-  UNION ALL SELECT CAST(1000000 AS BIGINT), concat('diff --git a/big.py b/big.py', chr(10), '@@ -0,0 +1,450 @@', chr(10),
+  UNION ALL SELECT CAST(-1 AS BIGINT), concat('diff --git a/big.py b/big.py', chr(10), '@@ -0,0 +1,450 @@', chr(10),
   repeat(concat('+x', chr(10)), 450))
-  UNION ALL SELECT CAST(1000001 AS BIGINT), '')
+  UNION ALL SELECT CAST(-2 AS BIGINT), '')
 """
 
 _IPAD, _OPAD = hmac_pads(FIXTURE_KEY)
@@ -73,15 +73,26 @@ def first_line(x: str) -> str:
     return f"split_part({x}, chr(10), 1)"
 
 
-def header_path(fl: str) -> str:
-    last = f"regexp_extract({fl}, '([^ ]+)$', 1)"
-    return (f"(CASE WHEN NOT starts_with({fl}, 'diff --git ') THEN '' "
-            f"WHEN regexp_matches({fl}, '^diff --git a/.* b/') THEN regexp_replace({last}, '^b/', '') "
+def hunk_path(h: str) -> str:
+    """A hunk's new-side path, from its ``+++`` line, its ``rename to`` line or its header."""
+    top = f"split_part({h}, chr(10) || '@@', 1)"
+    rest = f"substr(rtrim({first_line(h)}, chr(13)), 12)"
+    plus = f"regexp_extract({top}, '(?m)^[+][+][+] \"?([^\\t\\r\\n\"]+)', 1)"
+    renamed = f"regexp_extract({top}, '(?m)^rename to \"?([^\\t\\r\\n\"]+)', 1)"
+    prefixed = f"regexp_matches({rest}, '^\"?a/.* \"?b/')"
+    mid = f"((length({rest}) - 1) // 2)"
+    left, right = (f"trim({x}, '\"')" for x in (f"substr({rest}, 1, {mid})", f"substr({rest}, {mid} + 2)"))
+    last = f"trim(regexp_extract({rest}, '([^ ]+)$', 1), '\"')"
+    return (f"(CASE WHEN NOT starts_with({h}, 'diff --git ') THEN '' "
+            f"WHEN {plus} NOT IN ('', '/dev/null') THEN CASE WHEN {prefixed} AND starts_with({plus}, 'b/') "
+            f"THEN substr({plus}, 3) ELSE {plus} END WHEN {renamed} <> '' THEN {renamed} "
+            f"WHEN {prefixed} AND substr({left}, 3) = substr({right}, 3) THEN substr({right}, 3) "
+            f"WHEN {left} = {right} THEN {right} WHEN {prefixed} AND starts_with({last}, 'b/') THEN substr({last}, 3) "
             f"ELSE {last} END)")
 
 
 def is_bloat(h: str) -> str:
-    return f"regexp_matches({header_path(first_line(h))}, {q(P.BLOAT_PATH_PATTERN)})"
+    return f"regexp_matches({hunk_path(h)}, {q(P.BLOAT_PATH_PATTERN)})"
 
 
 def hunks_of(diff: str) -> str:

@@ -178,11 +178,11 @@ results AS (SELECT c.pr_id, c.agent, c.outcome,
   CASE WHEN outcome = 'failed' AND agent = 'security' THEN CASE WHEN hf.pr_id IS NOT NULL THEN 'high' ELSE 'unknown' END
     WHEN outcome = 'ok' THEN json_extract_string(j, '$.severity_level') END AS severity_level,
   CAST(CASE WHEN outcome = 'failed' AND agent = 'architecture' THEN 1
-    WHEN outcome = 'ok' THEN CAST(json_extract(j, '$.complexity_score') AS DOUBLE) END AS INTEGER) AS complexity_score,
+    WHEN outcome = 'ok' THEN CAST(json_extract(j, '$.complexity_score') AS DOUBLE) END AS BIGINT) AS complexity_score,
   CASE WHEN outcome = 'failed' AND agent = 'testing' THEN false
     WHEN outcome = 'ok' THEN CAST(json_extract(j, '$.test_coverage_adequate') AS BOOLEAN) END AS test_coverage_adequate,
   CAST(CASE WHEN outcome = 'failed' AND agent = 'critic' THEN 0
-    WHEN outcome = 'ok' THEN CAST(json_extract(j, '$.vetoed_count') AS DOUBLE) END AS INTEGER) AS vetoed_count,
+    WHEN outcome = 'ok' THEN CAST(json_extract(j, '$.vetoed_count') AS DOUBLE) END AS BIGINT) AS vetoed_count,
   CASE WHEN outcome = 'timeout' THEN 'Timeout' WHEN outcome = 'failed' THEN coalesce(last_error, 'no output') END AS error,
   CASE WHEN outcome = 'ok' THEN CASE agent WHEN 'security' THEN json_extract(j, '$.findings_summary[*]')
     WHEN 'architecture' THEN json_extract(j, '$.refactor_suggestions[*]') WHEN 'testing' THEN json_extract(j, '$.qa_notes[*]')
@@ -211,7 +211,7 @@ ok AS (SELECT pr_id, agent, CAST(i AS INTEGER) AS ord, fl[i + 1] AS f FROM resul
   WHERE outcome = 'ok')
 SELECT pr_id, agent, ord, json_extract_string(f, '$.description') AS description,
   json_extract_string(f, '$.file_reference') AS file_reference,
-  CAST(CAST(json_extract(f, '$.line_number') AS DOUBLE) AS INTEGER) AS line_number,
+  CAST(CAST(json_extract(f, '$.line_number') AS DOUBLE) AS BIGINT) AS line_number,
   CAST(json_extract(f, '$.confidence_score') AS DOUBLE) AS confidence_score FROM ok
 UNION ALL
 SELECT pr_id, agent, 0, CASE agent WHEN 'security' THEN concat('Security scan failed: ', error)
@@ -245,13 +245,13 @@ pt AS (SELECT pr_id, tool, CASE tool WHEN 'Gitleaks' THEN 1 WHEN 'Trivy' THEN 2
     ORDER BY path, line, rule_id, severity) AS body FROM fnd WHERE upper(severity) IN ('HIGH', 'CRITICAL') GROUP BY pr_id, tool),
 pp AS (SELECT pr_id, string_agg(concat('=== ', tool, ' findings ===', chr(10), body), chr(10) || chr(10) ORDER BY o)
   AS scan FROM pt GROUP BY pr_id),
-src AS (SELECT pr_id, {O.capped(O.filtered('diff'))} AS capped FROM prs),
+src AS (SELECT pr_id, {O.filtered('diff')} AS capped FROM prs),
 {O.mask_chain_ctes('src', 'pr_id, capped', 'capped', 'm')},
 s AS (SELECT pr_id, CASE WHEN capped = '' THEN '' ELSE {O.mask_secrets('t7')} END AS d FROM m),
 a AS (SELECT s.*, coalesce(pp.scan, '') AS scan, agent FROM s LEFT JOIN pp ON s.pr_id = pp.pr_id,
   (VALUES ('security'), ('architecture'), ('testing')) AS t(agent)),
 u AS (SELECT pr_id, agent, concat({O.q(P.PAYLOAD_OPEN + chr(10))}, d, {O.q(chr(10) + P.PAYLOAD_CLOSE)},
-  CASE WHEN agent = 'security' AND scan <> '' THEN concat({O.q(C.SCAN_PREAMBLE)}, scan) ELSE '' END) AS "user",
+  CASE WHEN agent = 'security' AND scan <> '' THEN concat({O.q(P.SCAN_PREAMBLE)}, scan) ELSE '' END) AS "user",
   contains(d, {O.q(P.PAYLOAD_CLOSE)}) AS breakout FROM a)
 SELECT pr_id, agent, md5("user") AS user_md5, CAST(length("user") AS BIGINT) AS user_len, breakout FROM u""")
 def review_requests(spark, sf_dir):
@@ -267,9 +267,9 @@ SELECT pr_id, agent, attempt,
   CASE WHEN agent = 'critic' THEN json_extract_string(j, '$.overall_status') ELSE json_extract_string(j, '$.status') END
     AS status,
   json_extract_string(j, '$.severity_level') AS severity_level,
-  CAST(CAST(json_extract(j, '$.complexity_score') AS DOUBLE) AS INTEGER) AS complexity_score,
+  CAST(CAST(json_extract(j, '$.complexity_score') AS DOUBLE) AS BIGINT) AS complexity_score,
   CAST(json_extract(j, '$.test_coverage_adequate') AS BOOLEAN) AS test_coverage_adequate,
-  CAST(CAST(json_extract(j, '$.vetoed_count') AS DOUBLE) AS INTEGER) AS vetoed_count,
+  CAST(CAST(json_extract(j, '$.vetoed_count') AS DOUBLE) AS BIGINT) AS vetoed_count,
   CAST(coalesce(json_array_length(j, CASE agent WHEN 'security' THEN '$.findings_summary'
     WHEN 'architecture' THEN '$.refactor_suggestions' WHEN 'testing' THEN '$.qa_notes' ELSE '$.approved_findings' END), 0)
     AS INTEGER) AS n_findings

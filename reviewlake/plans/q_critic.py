@@ -21,7 +21,7 @@ def _ok_findings(results):
 
 def vetted(spark, sf_dir):
     ctx = ReviewContext(spark, sf_dir)
-    return E.veto(_ok_findings(ctx.results), ctx.changed_files.select("pr_id", "path"), ctx.new_lines)
+    return E.veto(_ok_findings(ctx.results), ctx.line_ranges)
 
 
 # The results CTE chain of the contract oracle (it already holds the F0 line table),
@@ -31,7 +31,7 @@ fo AS (SELECT pr_id, agent, CAST(i AS INTEGER) AS ord, fl[i + 1] AS f FROM resul
   WHERE outcome = 'ok' AND agent IN ('security', 'architecture', 'testing')),
 fnd2 AS (SELECT pr_id, agent, ord, json_extract_string(f, '$.description') AS description,
   json_extract_string(f, '$.file_reference') AS file_reference,
-  CAST(CAST(json_extract(f, '$.line_number') AS DOUBLE) AS INTEGER) AS line_number,
+  CAST(CAST(json_extract(f, '$.line_number') AS DOUBLE) AS BIGINT) AS line_number,
   CAST(json_extract(f, '$.confidence_score') AS DOUBLE) AS confidence_score FROM fo),
 files AS (SELECT DISTINCT pr_id, path FROM lines WHERE path <> ''),
 nl AS (SELECT DISTINCT pr_id, path, new_line FROM lines WHERE sign IN ('+', ' ')),
@@ -82,12 +82,7 @@ def overlap_islands(spark, sf_dir):
   CAST(count(*) FILTER (WHERE veto = 'approved' AND confidence_score < 0.5) AS BIGINT) AS n_hints FROM vetted GROUP BY pr_id"""))
 def critic_counts(spark, sf_dir):
     """E7 + E8: approved / vetoed findings per PR and approved hints (confidence < 0.5)."""
-    v = vetted(spark, sf_dir)
-    c = E.critic_counts(v)
-    hints = v.filter((F.col("veto") == "approved") & (E.confidence_tier(F.col("confidence_score")) == "hint")) \
-        .groupBy("pr_id").agg(F.count("*").cast("bigint").alias("n_hints"))
-    return c.join(hints, "pr_id", "left").select("pr_id", "approved_count", "vetoed_count",
-                                                 F.coalesce("n_hints", F.lit(0)).cast("bigint").alias("n_hints"))
+    return E.critic_counts(vetted(spark, sf_dir))
 
 
 @register("downgraded_security", f"""WITH {_RESULTS_SQL}

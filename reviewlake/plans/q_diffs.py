@@ -13,7 +13,7 @@ from .catalog import register
 _HUNKS_SQL = f"""h0 AS (SELECT pr_id, {O.hunks_of('diff')} AS l FROM prs),
 h AS (SELECT pr_id, CAST(i AS INTEGER) AS hunk_no, l[i + 1] AS hunk FROM h0, unnest(range(len(l))) AS t(i)
   WHERE l[i + 1] <> ''),
-hk AS (SELECT *, {O.first_line('hunk')} AS first_line, {O.header_path(O.first_line('hunk'))} AS path,
+hk AS (SELECT *, {O.first_line('hunk')} AS first_line, {O.hunk_path('hunk')} AS path,
   {O.is_bloat('hunk')} AS is_bloat FROM h)"""
 
 
@@ -47,29 +47,28 @@ def guardrail_stats(spark, sf_dir):
 c AS (SELECT pr_id, {O.capped(O.filtered('diff'))} AS capped FROM prs)
 SELECT pr_id, CAST(length(capped) AS BIGINT) AS capped_len, md5(capped) AS capped_md5 FROM c""")
 def capped_diffs(spark, sf_dir):
-    """B3 table form: kept hunks regrouped per PR with a bounded running-length cap."""
-    prs = fx.prs(spark, sf_dir)
-    kept = D.drop_bloat(D.split_hunks(prs))
-    c = D.cap_diff(kept, prs)
+    """The capped diff, the one query whose feature the cap is (row form, map-side)."""
+    c = D.guard_diff(fx.prs(spark, sf_dir), max_len=P.MAX_DIFF_LENGTH)
     return c.select("pr_id", F.length("capped_diff").cast("bigint").alias("capped_len"),
                     F.md5("capped_diff").alias("capped_md5"))
 
 
 _LINES_SQL = f"""{_HUNKS_SQL},
 l0 AS (SELECT pr_id, hunk_no, path, string_split(hunk, chr(10)) AS ls FROM hk),
-l1 AS (SELECT pr_id, hunk_no, path, CAST(i AS INTEGER) AS pos, ls[i + 1] AS line FROM l0, unnest(range(len(ls))) AS t(i)),
+l1 AS (SELECT pr_id, hunk_no, path, CAST(i AS INTEGER) AS pos, ls[i + 1] AS line, i = len(ls) - 1 AS is_last FROM l0, unnest(range(len(ls))) AS t(i)),
 l2 AS (SELECT *, starts_with(line, '@@') AS is_hdr,
   CASE WHEN regexp_matches(line, '^@@ -[0-9]+(?:,[0-9]+)? \\+([0-9]+)')
-    THEN CAST(regexp_extract(line, '^@@ -[0-9]+(?:,[0-9]+)? \\+([0-9]+)', 1) AS INTEGER) END AS sec_start FROM l1),
-l3 AS (SELECT *, sum(CAST(is_hdr AS INTEGER)) OVER w AS sec, last_value(sec_start IGNORE NULLS) OVER w AS base FROM l2
+    THEN TRY_CAST(regexp_extract(line, '^@@ -[0-9]+(?:,[0-9]+)? \\+([0-9]+)', 1) AS BIGINT) END AS sec_start FROM l1),
+l3 AS (SELECT *, sum(CAST(is_hdr AS INTEGER)) OVER w AS sec FROM l2
   WINDOW w AS (PARTITION BY pr_id, hunk_no ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 l4 AS (SELECT *, CASE WHEN NOT (sec > 0 AND NOT is_hdr) THEN 'h' WHEN substr(line, 1, 1) = '+' THEN '+'
   WHEN substr(line, 1, 1) = '-' THEN '-' WHEN substr(line, 1, 1) = '\\' THEN '\\' WHEN substr(line, 1, 1) = ' ' THEN ' '
-  ELSE '?' END AS sign FROM l3),
+  WHEN line = chr(13) OR (line = '' AND NOT is_last) THEN ' ' ELSE '?' END AS sign,
+  max(sec_start) OVER (PARTITION BY pr_id, hunk_no, sec) AS base FROM l3),
 l5 AS (SELECT *, sum(CASE WHEN sign IN ('+', ' ') THEN 1 ELSE 0 END) OVER (PARTITION BY pr_id, hunk_no, sec ORDER BY pos
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n_new FROM l4),
 lines AS (SELECT pr_id, hunk_no, pos, path, sign,
-  CAST(CASE WHEN sign IN ('+', ' ') THEN base + n_new - 1 END AS INTEGER) AS new_line,
+  CAST(CASE WHEN sign IN ('+', ' ') THEN base + n_new - 1 END AS BIGINT) AS new_line,
   CASE WHEN sign IN ('+', '-', ' ') THEN substr(line, 2) ELSE line END AS text FROM l5)"""
 
 

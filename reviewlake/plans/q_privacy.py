@@ -20,21 +20,21 @@ SECRET_SPARK = "(?sU)" + P.SECRET_ASSIGN_PATTERN     # Java: Unicode \s like the
 
 
 def _mask_counts_oracle() -> str:
-    c = O.capped(O.filtered("diff"))
+    c = O.filtered("diff")
     return f"""WITH {O.F0},
-c AS (SELECT pr_id, {c} AS capped FROM prs),
-m1 AS (SELECT *, {O.n_matches('capped', EMAIL)} AS n_email,
-  {O.replace_all('capped', EMAIL, '<EMAIL_ADDRESS>')} AS t1 FROM c),
+c AS (SELECT pr_id, {c} AS kept FROM prs),
+m1 AS (SELECT *, {O.n_matches('kept', EMAIL)} AS n_email,
+  {O.replace_all('kept', EMAIL, '<EMAIL_ADDRESS>')} AS t1 FROM c),
 m2 AS (SELECT *, {O.n_matches('t1', IP)} AS n_ip, {O.replace_all('t1', IP, '<IP_ADDRESS>')} AS t2 FROM m1),
 m3 AS (SELECT *, {O.n_matches('t2', SECRET)} AS n_secret,
   {O.replace_all('t2', SECRET, P.SECRET_LABEL)} AS t3 FROM m2)
-SELECT pr_id, CAST(length(capped) AS BIGINT) AS capped_len, n_email, n_ip, n_secret,
+SELECT pr_id, CAST(length(kept) AS BIGINT) AS diff_len, n_email, n_ip, n_secret,
   CAST(length(t3) AS BIGINT) AS sanitized_len, md5(t3) AS sanitized_md5 FROM m3"""
 
 
 @register("sanitized_mask_counts", _mask_counts_oracle())
 def sanitized_mask_counts(spark, sf_dir):
-    """Flagship: F0 -> split, drop bloat, rejoin, cap -> e-mail, IP, secret masking ->
+    """Flagship: F0 -> split, drop bloat, rejoin -> e-mail, IP, secret masking ->
     per-PR mask counts and a digest of the sanitized diff. All map-side after F0."""
     g = D.guard_diff(fx.prs(spark, sf_dir))
     x = g.select("pr_id", F.col("capped_diff").alias("capped"))
@@ -44,7 +44,7 @@ def sanitized_mask_counts(spark, sf_dir):
          .withColumn("t2", F.regexp_replace("t1", IP, "<IP_ADDRESS>"))
     x = x.withColumn("n_secret", count_matches(F.col("t2"), SECRET_SPARK)) \
          .withColumn("t3", F.regexp_replace("t2", SECRET_SPARK, P.SECRET_LABEL))
-    return x.select("pr_id", F.length("capped").cast("bigint").alias("capped_len"), "n_email", "n_ip",
+    return x.select("pr_id", F.length("capped").cast("bigint").alias("diff_len"), "n_email", "n_ip",
                     "n_secret", F.length("t3").cast("bigint").alias("sanitized_len"),
                     F.md5("t3").alias("sanitized_md5"))
 
@@ -140,7 +140,7 @@ def doc_mask_persons(spark, sf_dir):
 
 
 @register("sanitized_diffs", f"""WITH {O.F0},
-src AS (SELECT pr_id, {O.capped(O.filtered('diff'))} AS capped FROM prs),
+src AS (SELECT pr_id, {O.filtered('diff')} AS capped FROM prs),
 {O.mask_chain_ctes('src', 'pr_id, capped', 'capped', 'm')},
 s AS (SELECT pr_id, CASE WHEN capped = '' THEN '' ELSE {O.mask_secrets('t7')} END AS sanitized FROM m)
 SELECT pr_id, CAST(length(sanitized) AS BIGINT) AS sanitized_len, md5(sanitized) AS sanitized_md5 FROM s""")
@@ -156,7 +156,7 @@ def _rules_values() -> str:
 
 
 _FINDINGS_SQL = f"""rules AS (SELECT * FROM (VALUES {_rules_values()}) AS t(rule_id, tool, severity, pattern)),
-fnd AS (SELECT pr_id, tool, rule_id, severity, path, CAST(coalesce(new_line, 0) AS INTEGER) AS line
+fnd AS (SELECT pr_id, tool, rule_id, severity, path, CAST(coalesce(new_line, 0) AS BIGINT) AS line
   FROM lines, rules WHERE sign IN ('+', '-', ' ') AND regexp_matches(text, pattern))"""
 
 

@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..operators import intake as I
 from ..operators import report as G
-from ..operators import verdict as V
 from . import oracle_fixtures as O
 from .catalog import ORACLES, register
 from .context import ReviewContext
 
 REPORT_TS = "2024-01-01 00:00 UTC"
+#: every field of the nested results, by agent
+RESULT_FIELDS = {
+    "security": ["error", "status", "agent", "severity_level", "findings_summary"],
+    "architecture": ["error", "status", "agent", "complexity_score", "refactor_suggestions"],
+    "testing": ["error", "status", "agent", "test_coverage_adequate", "qa_notes"],
+    "critic": ["error", "status", "agent", "approved_findings", "vetoed_count", "summary"],
+}
 
 
 def final(spark, sf_dir):
@@ -21,8 +27,7 @@ def final(spark, sf_dir):
 
 
 def reports_df(spark, sf_dir):
-    r = final(spark, sf_dir)
-    return G.assemble_reports(r, None, REPORT_TS), r
+    return G.assemble_reports(final(spark, sf_dir), None, REPORT_TS)
 
 
 @register("large_pr")
@@ -37,7 +42,7 @@ def large_pr(spark, sf_dir):
 def reports(spark, sf_dir):
     """One Markdown report per PR (critic layout, or the fallback when the critic
     timed out) with the governance footer; fixed timestamp for reproducible text."""
-    rep, _ = reports_df(spark, sf_dir)
+    rep = reports_df(spark, sf_dir)
     return rep.select("pr_id", "critic_outcome", F.length("markdown_report").cast("bigint").alias("report_len"),
                       F.md5("markdown_report").alias("report_md5"))
 
@@ -45,22 +50,19 @@ def reports(spark, sf_dir):
 @register("result_documents")
 def result_documents(spark, sf_dir):
     """The nested result document per PR (missing agent -> {})."""
-    rep, r = reports_df(spark, sf_dir)
-    d = G.result_document(rep, r)
-    return d.select("pr_id", F.get_json_object("document", "$.summary").alias("summary"),
-                    F.md5(F.get_json_object("document", "$.markdown_report")).alias("report_md5"),
-                    F.get_json_object("document", "$.results.critic.status").alias("critic_status"),
-                    F.get_json_object("document", "$.results.security.status").alias("security_status"))
+    rep = reports_df(spark, sf_dir)
+    d = G.result_document(rep)
+    at = lambda path: F.get_json_object("document", f"$.{path}")
+    return d.select("pr_id", at("pr_id").alias("pr_id_json"), at("summary").alias("summary"),
+                    F.md5(at("markdown_report")).alias("report_md5"),
+                    *[at(f"results.{a}.{f}").alias(f"{a}_{f}") for a, fs in RESULT_FIELDS.items() for f in fs])
 
 
 @register("audit_rows")
 def audit_rows(spark, sf_dir):
     """One audit row per finished review, without any diff column."""
-    rep, r = reports_df(spark, sf_dir)
-    w = V.worst_status(r)
-    a = rep.join(w, "pr_id", "left").join(V.pipeline_latency(r), "pr_id", "left")
-    a = I.audit_rows(a.withColumn("diff", F.lit("x")))
-    return a.select("pr_id", "critic_outcome", "worst_status", "latency_s",
+    rep = reports_df(spark, sf_dir)
+    return I.audit_rows(rep).select("pr_id", "critic_outcome", "worst_status", "latency_s",
                     F.md5("markdown_report").alias("report_md5"))
 
 
@@ -72,7 +74,7 @@ def _oracle_results_sql() -> str:
     from .q_contracts import _RESULTS_SQL
     f_ok = ("list_transform(fl, lambda f: {'description': json_extract_string(f, '$.description'), "
             "'file_reference': json_extract_string(f, '$.file_reference'), "
-            "'line_number': CAST(CAST(json_extract(f, '$.line_number') AS DOUBLE) AS INTEGER), "
+            "'line_number': CAST(CAST(json_extract(f, '$.line_number') AS DOUBLE) AS BIGINT), "
             "'confidence_score': CAST(json_extract(f, '$.confidence_score') AS DOUBLE)})")
     na = ("[{'description': %s, 'file_reference': 'N/A', 'line_number': 0, 'confidence_score': 1.0}]")
     return f"""{_RESULTS_SQL},
@@ -94,11 +96,11 @@ fr AS (SELECT cj.*, spp.scan,
   CASE WHEN outcome = 'failed' AND agent = 'security' THEN CASE WHEN spp.scan IS NOT NULL THEN 'high' ELSE 'unknown' END
     WHEN outcome = 'ok' THEN json_extract_string(j, '$.severity_level') END AS severity_level,
   CASE WHEN outcome = 'failed' AND agent = 'architecture' THEN 1
-    WHEN outcome = 'ok' THEN CAST(CAST(json_extract(j, '$.complexity_score') AS DOUBLE) AS INTEGER) END AS complexity_score,
+    WHEN outcome = 'ok' THEN CAST(CAST(json_extract(j, '$.complexity_score') AS DOUBLE) AS BIGINT) END AS complexity_score,
   CASE WHEN outcome = 'failed' AND agent = 'testing' THEN false
     WHEN outcome = 'ok' THEN CAST(json_extract(j, '$.test_coverage_adequate') AS BOOLEAN) END AS coverage,
   CASE WHEN outcome = 'failed' AND agent = 'critic' THEN 0
-    WHEN outcome = 'ok' THEN CAST(CAST(json_extract(j, '$.vetoed_count') AS DOUBLE) AS INTEGER) END AS vetoed_count,
+    WHEN outcome = 'ok' THEN CAST(CAST(json_extract(j, '$.vetoed_count') AS DOUBLE) AS BIGINT) END AS vetoed_count,
   CASE WHEN outcome = 'failed' AND agent = 'critic' THEN concat('Critic validation failed: ', error)
     WHEN outcome = 'ok' THEN json_extract_string(j, '$.summary') END AS summary,
   CASE WHEN outcome = 'ok' THEN CASE agent WHEN 'security' THEN json_extract(j, '$.findings_summary[*]')
@@ -111,7 +113,7 @@ fr2 AS (SELECT *, CASE WHEN outcome = 'ok' THEN {f_ok}
     WHEN 'architecture' THEN {na % "concat('Architecture review failed: ', error)"}
     WHEN 'testing' THEN {na % "concat('Testing evaluation failed: ', error)"}
     ELSE [] END END AS findings FROM fr),
-src AS (SELECT pr_id, {O.capped(O.filtered('diff'))} AS capped FROM prs),
+src AS (SELECT pr_id, {O.filtered('diff')} AS capped FROM prs),
 {O.mask_chain_ctes('src', 'pr_id, capped', 'capped', 'm')},
 san AS (SELECT pr_id, CASE WHEN capped = '' THEN '' ELSE {O.mask_secrets('t7')} END AS d FROM m),
 nlines AS (SELECT pr_id, CAST(CASE WHEN d = '' THEN 0 ELSE len(string_split(regexp_replace(d, '\\n$', ''), chr(10))) END
@@ -153,15 +155,15 @@ def _oracle_reports_sql() -> str:
   {badge.format(s=s1)}, {q(chr(10) + chr(10) + '| Field | Value |' + chr(10) + '|---|---|' + chr(10) + '| **Status** | ')}, {badge.format(s=s1)},
   {q(' |' + chr(10) + '| **Severity Level** | `')}, coalesce(sec.severity_level, 'unknown'),
   {q('` |' + chr(10) + chr(10) + '**Findings:**' + chr(10))}, {bullets.format(a='sec.findings')},
-  {q('---' + chr(10) + chr(10) + '### 🏛️ Architecture Review &nbsp;')}, {badge.format(s=s2)},
+  {q(chr(10) + '---' + chr(10) + chr(10) + '### 🏛️ Architecture Review &nbsp;')}, {badge.format(s=s2)},
   {q(chr(10) + chr(10) + '| Field | Value |' + chr(10) + '|---|---|' + chr(10) + '| **Status** | ')}, {badge.format(s=s2)},
   {q(' |' + chr(10) + '| **Complexity Score** | `')}, coalesce(CAST(arch.complexity_score AS VARCHAR), 'N/A'),
   {q(' / 10` |' + chr(10) + chr(10) + '**Refactor Suggestions:**' + chr(10))}, {bullets.format(a='arch.findings')},
-  {q('---' + chr(10) + chr(10) + '### 🧪 Testing Evaluation &nbsp;')}, {badge.format(s=s3)},
+  {q(chr(10) + '---' + chr(10) + chr(10) + '### 🧪 Testing Evaluation &nbsp;')}, {badge.format(s=s3)},
   {q(chr(10) + chr(10) + '| Field | Value |' + chr(10) + '|---|---|' + chr(10) + '| **Status** | ')}, {badge.format(s=s3)},
   {q(' |' + chr(10) + '| **Coverage** | ')}, CASE WHEN coalesce(tst.coverage, false) THEN {q(G.COVERAGE_OK)} ELSE {q(G.COVERAGE_BAD)} END,
   {q(' |' + chr(10) + chr(10) + '**QA Notes:**' + chr(10))}, {bullets.format(a='tst.findings')},
-  {q('---' + chr(10) + chr(10) + '<sub>Generated by ' + gen + ' · ' + ts + '</sub>' + chr(10))},
+  {q(chr(10) + '---' + chr(10) + chr(10) + '<sub>Generated by ' + gen + ' · ' + ts + '</sub>' + chr(10))},
   CASE WHEN mc.mean_confidence IS NOT NULL THEN concat({q(G.METRICS_HEAD)}, '| **Mean Confidence Score** | `',
     {pct.format(m='mc.mean_confidence')}, '` |', {nl}) ELSE '' END)"""
     critic = f"""concat({q(G.TITLE)}, CAST(p.pr_id AS VARCHAR), {q(chr(10) + chr(10) + '> **Overall verdict: ')},
@@ -208,7 +210,28 @@ w AS (SELECT pr_id, arg_max(status, (CASE lower(status) WHEN 'pass' THEN 0 WHEN
   WHERE agent IN ('security', 'architecture', 'testing') GROUP BY pr_id)
 SELECT md.pr_id, critic_outcome, worst_status, latency_s, md5(markdown_report) AS report_md5 FROM md JOIN w ON md.pr_id = w.pr_id"""
 
+def _result_fields_sql() -> str:
+    """The nested fields as JSON texts, from the final results' columns."""
+    own = {"severity_level": "{t}.severity_level", "complexity_score": "CAST({t}.complexity_score AS VARCHAR)",
+           "test_coverage_adequate": "CAST({t}.coverage AS VARCHAR)", "vetoed_count": "CAST({t}.vetoed_count AS VARCHAR)",
+           "summary": "{t}.summary"}
+    cols = []
+    for agent, fields in RESULT_FIELDS.items():
+        t = {"security": "s", "architecture": "a", "testing": "t", "critic": "c"}[agent]
+        late = f"{t}.outcome = 'timeout'"
+        for f in fields:
+            if f == "status":
+                x = f"{t}.status"
+            elif f in ("error", "agent"):
+                x = f"CASE WHEN {late} THEN {t}.{f} END"
+            else:
+                x = f"CASE WHEN NOT {late} THEN {own.get(f, 'CAST(to_json({t}.findings) AS VARCHAR)').format(t=t)} END"
+            cols.append(f"{x} AS {agent}_{f}")
+    return ", ".join(cols)
+
+
 ORACLES["result_documents"] = f"""{_oracle_reports_sql()}
-SELECT md.pr_id, {O.q(G.SUMMARY_TEXT)} AS summary, md5(markdown_report) AS report_md5, c.status AS critic_status,
-  s.status AS security_status
-FROM md JOIN final c ON c.pr_id = md.pr_id AND c.agent = 'critic' JOIN final s ON s.pr_id = md.pr_id AND s.agent = 'security'"""
+SELECT md.pr_id, CAST(md.pr_id AS VARCHAR) AS pr_id_json, {O.q(G.DEFAULT_SUMMARY)} AS summary, md5(markdown_report) AS report_md5,
+  {_result_fields_sql()}
+FROM md JOIN final c ON c.pr_id = md.pr_id AND c.agent = 'critic' JOIN final s ON s.pr_id = md.pr_id AND s.agent = 'security'
+  JOIN final a ON a.pr_id = md.pr_id AND a.agent = 'architecture' JOIN final t ON t.pr_id = md.pr_id AND t.agent = 'testing'"""

@@ -13,10 +13,6 @@ from .catalog import register
 from .q_diffs import _LINES_SQL
 
 
-def _lines(spark, sf_dir):
-    return D.diff_lines(D.split_hunks(fx.prs(spark, sf_dir)))
-
-
 _TEST = O.q(D.TEST_PATH)
 
 
@@ -29,12 +25,12 @@ def _rule_values() -> str:
 
 @register("rule_findings", f"""WITH {O.F0}, {_LINES_SQL},
 rules AS (SELECT * FROM (VALUES {_rule_values()}) AS t(rule_id, agent, confidence_score, description, pattern, test_only))
-SELECT pr_id, agent, rule_id, description, path AS file_reference, CAST(coalesce(new_line, 0) AS INTEGER) AS line_number,
+SELECT pr_id, agent, rule_id, description, path AS file_reference, CAST(coalesce(new_line, 0) AS BIGINT) AS line_number,
   CAST(confidence_score AS DOUBLE) AS confidence_score
 FROM lines, rules WHERE sign = '+' AND regexp_matches(text, pattern) AND (NOT test_only OR regexp_matches(path, {_TEST}))
 UNION ALL
 SELECT pr_id, 'testing', 'unmocked-network-in-test', 'Network call in a test without a mock', path,
-  CAST(coalesce(min(CASE WHEN sign = '+' AND regexp_matches(text, {O.q(H.NETWORK)}) THEN new_line END), 0) AS INTEGER), 0.7
+  CAST(coalesce(min(CASE WHEN sign = '+' AND regexp_matches(text, {O.q(H.NETWORK)}) THEN new_line END), 0) AS BIGINT), 0.7
 FROM lines WHERE regexp_matches(path, {_TEST}) AND sign IN ('+', ' ') GROUP BY pr_id, path
 HAVING bool_or(sign = '+' AND regexp_matches(text, {O.q(H.NETWORK)})) AND NOT bool_or(regexp_matches(text, {O.q(H.MOCKING)}))""")
 def rule_findings(spark, sf_dir):
@@ -59,7 +55,7 @@ def coverage_gap(spark, sf_dir):
 
 @register("duplicate_blocks", f"""WITH {O.F0}, {_LINES_SQL},
 a AS (SELECT *, regexp_replace(trim(text), '\\s+', ' ', 'g') AS norm FROM lines WHERE sign = '+'),
-a2 AS (SELECT * FROM a WHERE length(norm) >= 4),
+a2 AS (SELECT * FROM a WHERE length(norm) >= 1),
 b AS (SELECT *, list(norm) OVER (PARTITION BY pr_id, hunk_no ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS block FROM a2),
 k AS (SELECT md5(array_to_string(block, chr(10))) AS block_md5, pr_id, path, new_line FROM b WHERE len(block) = 5)
 SELECT block_md5, n_occurrences, fst.pr_id AS first_pr_id, fst.path AS first_path, fst.new_line AS first_line
@@ -67,7 +63,7 @@ FROM (SELECT block_md5, CAST(count(*) AS BIGINT) AS n_occurrences,
   min({{'pr_id': pr_id, 'path': path, 'new_line': new_line}}) AS fst FROM k GROUP BY block_md5 HAVING count(*) >= 2)""")
 def duplicate_blocks(spark, sf_dir):
     """H4: 5-line blocks of added code repeated anywhere across all PRs."""
-    return H.duplicate_blocks(_lines(spark, sf_dir), k=5)
+    return H.duplicate_blocks(D.split_hunks(fx.prs(spark, sf_dir)), k=5)
 
 
 def _dep_sql() -> str:
@@ -76,7 +72,7 @@ def _dep_sql() -> str:
 
 
 @register("added_dependencies", f"""WITH {O.F0}, {_LINES_SQL},
-d AS (SELECT pr_id, path AS file_reference, CAST(new_line AS INTEGER) AS line_number, {_dep_sql()} AS dependency
+d AS (SELECT pr_id, path AS file_reference, CAST(new_line AS BIGINT) AS line_number, {_dep_sql()} AS dependency
   FROM lines WHERE sign = '+' AND regexp_matches(path, {O.q(H.MANIFESTS)}))
 SELECT * FROM d WHERE dependency IS NOT NULL AND dependency <> ''""")
 def added_dependencies(spark, sf_dir):

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .tables import read_table
 
 FIXTURE_KEY = "fixture-key"
-BIG_PR_ID = 1000000
-EMPTY_PR_ID = 1000001
+BIG_PR_ID = -1  # below any id that documents give
+EMPTY_PR_ID = -2
 BIG_PR_LINES = 450
 
 

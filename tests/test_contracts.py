@@ -1,3 +1,4 @@
+import json
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ def test_strip_fence(spark, text, expected):
                                      ("1], [2", False), ("", False), ("null", True), ("{'a':1}", False)])
 def test_strict_json(spark, text, ok):
     df = spark.createDataFrame([(text,)], "t string")
-    assert rows(df.select(F.expr(J.strict_valid_sql("t"))))[0][0] is ok
+    assert rows(df.select(F.expr(f"({J.strict_parse_sql('t')}) IS NOT NULL")))[0][0] is ok
 
 
 def validate(spark, agent, text):
@@ -100,8 +101,8 @@ def test_build_requests_shapes(spark):
     prs = spark.createDataFrame([(1, "diff text"), (2, "")], "pr_id long, sanitized_diff string")
     prompts = spark.createDataFrame([(a, f"sys {a}") for a in P.ALL_AGENTS], "agent string, system string")
     scans = spark.createDataFrame([(1, "=== Gitleaks findings ===\nHIGH r a.py:1"), (2, "")], "pr_id long, scan_summary string")
-    rep = spark.createDataFrame([(1, "security", "fail", "high", None, None, None, None)],
-                                f"pr_id long, agent string, status string, severity_level string, complexity_score int, "
+    rep = spark.createDataFrame([(1, "security", "ok", "fail", "high", None, None, None, None)],
+                                f"pr_id long, agent string, outcome string, status string, severity_level string, complexity_score int, "
                                 f"test_coverage_adequate boolean, findings {C.FINDINGS_TYPE}, error string")
     r = {(a, b): (c, d, e) for a, b, c, d, e in rows(C.build_requests(prs, prompts, scans, rep),
                                                      "pr_id", "agent", "system", "user", "breakout")}
@@ -110,7 +111,10 @@ def test_build_requests_shapes(spark):
     assert r[(1, "security")][1].endswith("HIGH r a.py:1")
     assert r[(2, "security")][1] == "<UNTRUSTED_PAYLOAD>\n\n</UNTRUSTED_PAYLOAD>"
     critic = r[(1, "critic")][1]
-    assert critic.startswith(C.CRITIC_INTRO) and '"security_agent_output"' in critic and "diff text" in critic
+    assert critic.startswith(P.CRITIC_INTRO) and critic.endswith("\n\n<UNTRUSTED_PAYLOAD>\ndiff text\n</UNTRUSTED_PAYLOAD>")
+    sent = json.loads(critic[len(P.CRITIC_INTRO):critic.index("\n\n---\n")])
+    assert sent == {"security_agent_output": {"status": "fail", "severity_level": "high"},
+                    "architecture_agent_output": {}, "testing_agent_output": {}}
     assert "<UNTRUSTED_PAYLOAD>" not in r[(2, "critic")][1]  # no diff, no payload block
 
 
@@ -132,3 +136,25 @@ def test_final_results_large_pr_skips_timeouts(spark):
     assert got[1] == ("ok", "warn", 1)          # pass -> warn + High Risk note
     assert got[2] == ("timeout", "fail", None)  # a timeout carries no report and no note
     assert got[3] == ("failed", "fail", 2)      # no output: fallback finding + note
+
+
+def test_huge_numbers_reject_a_report_and_leave_its_neighbours(spark):
+    finding = '{"description":"d","file_reference":"f","line_number":%s,"confidence_score":0.5}'
+    arch = '{"status":"pass","complexity_score":%s,"refactor_suggestions":[%s]}'
+    texts = [arch % (3, finding % 3000000000), arch % (3, finding % "1e300"), arch % (3, finding % ("9" * 20)),
+             arch % (3, finding % ('"' + "9" * 30 + '"')), arch % (3000000000, ""), arch % ("1e300", ""), arch % (4, finding % 7)]
+    df = spark.createDataFrame([(i, "architecture", t) for i, t in enumerate(texts)], "pr_id long, agent string, raw_text string")
+    got = {r["pr_id"]: r for r in C.validate_reports(C.parse_reports(df)).collect()}
+    assert [got[i]["valid"] for i in range(7)] == [True, False, False, False, False, False, True]
+    assert got[0]["findings"][0]["line_number"] == 3000000000 and got[6]["complexity_score"] == 4
+
+
+def test_findings_of_any_shape(spark):
+    df = spark.createDataFrame([(["plain text"],)], "f array<string>")
+    (found,) = df.select(C.as_findings(F.col("f"), "string")).first()
+    assert [tuple(x) for x in found] == [("plain text", None, None, None)]
+    raw = '[{"description":"a","confidence_score":"high"},{"description":"b","file_reference":"x.py","line_number":4},"c",5]'
+    df = spark.createDataFrame([(raw,)], "t string").select(F.expr("cast(parse_json(t) AS array<variant>)").alias("f"))
+    (found,) = df.select(C.as_findings(F.col("f"), "variant")).first()
+    assert [tuple(x) for x in found] == [("a", None, None, 0.0), ("b", "x.py", 4, None), ("c", None, None, None),
+                                         ("5", None, None, None)]

@@ -51,7 +51,7 @@ def test_cap_appends_marker_and_counts_code_points(spark):
     body = "+" + "é" * 13000 + "\n"
     d = hunk("src/big.py", body)
     df = spark.createDataFrame([(1, d)], "pr_id long, diff string")
-    got = rows(D.guard_diff(df), "capped_diff")[0][0]
+    got = rows(D.guard_diff(df, max_len=P.MAX_DIFF_LENGTH), "capped_diff")[0][0]
     assert got == d[:12000] + P.TRUNCATION_MARKER
     assert len(got) > P.MAX_DIFF_LENGTH
 
@@ -65,7 +65,7 @@ def test_empty_diff_stays_empty(spark):
 def test_table_cap_equals_row_cap(spark):
     big = "".join(hunk(f"src/m{i}.py", "+" + "z" * 3000 + "\n") for i in range(6)) + hunk("yarn.lock", "+l\n")
     df = spark.createDataFrame([(1, big), (2, hunk("yarn.lock", "+l\n")), (3, "")], "pr_id long, diff string")
-    a = dict(rows(D.guard_diff(df), "pr_id", "capped_diff"))
+    a = dict(rows(D.guard_diff(df, max_len=P.MAX_DIFF_LENGTH), "pr_id", "capped_diff"))
     b = dict(rows(D.cap_diff(D.drop_bloat(D.split_hunks(df)), df), "pr_id", "capped_diff"))
     assert a == b
     assert b[2] == "" and b[1].endswith(P.TRUNCATION_MARKER)
@@ -130,3 +130,50 @@ def test_literal_guard_matches_python_model(spark, diffs):
     df = spark.createDataFrame(list(enumerate(diffs)), "pr_id long, diff string")
     got = dict(rows(D.guard_diff(df, mode="literal"), "pr_id", "capped_diff"))
     assert got == {i: model_filter(d, P.BLOAT_HEADER_PATTERNS) for i, d in enumerate(diffs)}
+
+
+def _lines(spark, diff):
+    df = spark.createDataFrame([(1, diff)], "pr_id long, diff string")
+    return D.diff_lines(D.split_hunks(df))
+
+
+@pytest.mark.parametrize("text,path", [
+    ("diff --git a/x.py b/x.py\r\n--- a/x.py\r\n+++ b/x.py\r\n@@ -1 +1 @@\r\n+y\r\n", "x.py"),
+    ("diff --git a/a/my file.py b/a/my file.py\n--- a/a/my file.py\t\n+++ b/a/my file.py\t\n@@ -1 +1 @@\n+y\n", "a/my file.py"),
+    ("diff --git a/a/my file.py b/a/my file.py\nBinary files differ\n", "a/my file.py"),
+    ('diff --git "a/q b.py" "b/q b.py"\n--- "a/q b.py"\n+++ "b/q b.py"\n@@ -1 +1 @@\n+y\n', "q b.py"),
+    ("diff --git a/old.py b/new.py\nsimilarity index 90%\nrename from old.py\nrename to new.py\n", "new.py"),
+    ("diff --git a/gone.py b/gone.py\n--- a/gone.py\n+++ /dev/null\n@@ -1 +0,0 @@\n-y\n", "gone.py"),
+    ("diff --git src/x.py src/x.py\n--- src/x.py\n+++ src/x.py\n@@ -1 +1 @@\n+++ b/other.py\n", "src/x.py"),
+    ("no header\n", "")])
+def test_paths(spark, text, path):
+    df = spark.createDataFrame([(1, text)], "pr_id long, diff string")
+    assert rows(D.split_hunks(df), "path") == [(path,)]
+
+
+def test_empty_context_lines_count_and_huge_numbers_are_null(spark):
+    d = "diff --git a/f b/f\n+++ b/f\n@@ -1,3 +7,4 @@\n one\n\n+two\n"
+    got = rows(_lines(spark, d).filter("sign <> 'h'").orderBy("pos"), "sign", "new_line", "text")
+    assert got == [(" ", 7, "one"), (" ", 8, ""), ("+", 9, "two"), ("?", None, "")]
+    big = "diff --git a/f b/f\n+++ b/f\n@@ -0,0 +99999999999,1 @@\n+x\n@@ -0,0 +99999999999999999999,1 @@\n+y\n@@ -0,0 +5 @@\n+z\n"
+    got = rows(_lines(spark, big).filter("sign = '+'").orderBy("pos"), "new_line", "text")
+    assert got == [(99999999999, "x"), (None, "y"), (5, "z")]
+
+
+def test_line_table_has_no_shuffle(spark):
+    plan = _lines(spark, "diff --git a/f b/f\n@@ -1 +1 @@\n+x\n")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_line_ranges_hold_every_new_side_line(spark):
+    d = "diff --git a/f b/f\n+++ b/f\n@@ -1,2 +3,3 @@\n a\n-b\n+c\n\n@@ -9 +20 @@\n+d\n@@ -30 +30,0 @@\n-e\n"
+    df = D.split_hunks(spark.createDataFrame([(1, d)], "pr_id long, diff string"))
+    (ranges,) = rows(D.line_ranges(df), "ranges")[0]
+    held = {n for r in ranges for n in range(r["lo"], r["hi"] + 1)}
+    assert held == {n for (n,) in rows(D.diff_lines(df).filter("new_line IS NOT NULL"), "new_line")} == {3, 4, 5, 20}
+
+
+def test_whole_diffs_by_default(spark):
+    d = hunk("src/big.py", "+" + "z" * 13000 + "\n")
+    df = spark.createDataFrame([(1, d)], "pr_id long, diff string")
+    assert rows(D.guard_diff(df), "capped_diff") == [(d,)]

@@ -98,7 +98,7 @@ def test_result_document_shapes(spark):
        f"test_coverage_adequate boolean, vetoed_count int, summary string, error string, findings {FT}")
     rep = spark.createDataFrame([(3, "# md")], "pr_id long, markdown_report string")
     doc = json.loads(G.result_document(rep, res).first()["document"])
-    assert doc["pr_id"] == "3" and doc["summary"] == G.SUMMARY_TEXT and doc["markdown_report"] == "# md"
+    assert doc["pr_id"] == 3 and doc["summary"] == G.DEFAULT_SUMMARY and doc["markdown_report"] == "# md"
     assert doc["results"]["security"] == {"status": "pass", "severity_level": "low", "findings_summary": []}
     assert doc["results"]["architecture"] == {"error": "Timeout", "status": "fail", "agent": "architecture"}
     assert doc["results"]["testing"]["qa_notes"][0]["file_reference"] == "N/A"
@@ -118,3 +118,66 @@ def test_fallback_report_like_the_service_tests(spark):
     assert "PR #42" in md and "**Overall result: ✅ Pass**" in md and md.count("_None_") == 3
     for section in ("Security Analysis", "Architecture Review", "Testing Evaluation"):
         assert section in md
+
+
+def test_numbers_round_as_python_prints_them(spark):
+    xs = [0.125, 1.005, 1.015, 2.675, 0.0, 0.005, 79.995, 123456.78905, 0.00005, 1e-9, 39.99999]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", G.fixed(F.col("x"), 2), G.fixed(F.col("x"), 4))
+    assert [tuple(r)[1:] for r in df.collect()] == [(f"{x:.2f}", f"{x:.4f}") for x in xs]
+
+
+def test_fallback_report_full_text(spark):
+    res = spark.createDataFrame([
+        (9, "security", "warn", "medium", None, None, [("leak", "a.py", 3, 0.5), ("plain", None, None, None)]),
+        (9, "architecture", "pass", None, 3, None, []), (9, "testing", "fail", None, None, True, [])],
+        f"pr_id long, agent string, status string, severity_level string, complexity_score int, "
+        f"test_coverage_adequate boolean, findings array<{FIND}>")
+    piv = res.groupBy("pr_id").agg(*[F.first(F.when(F.col("agent") == a, F.struct(
+        "status", "severity_level", "complexity_score", "test_coverage_adequate", "findings")), ignorenulls=True).alias(a)
+        for a in ["security", "architecture", "testing"]])
+    md = piv.select(G.agent_report(F.col("pr_id"), F.col("security"), F.col("architecture"), F.col("testing"), "T")).first()[0]
+    assert md == """## 🤖 Automated Code Review — PR #9
+
+> **Overall result: ❌ Fail** &nbsp;|&nbsp; _T_
+
+---
+
+### 🔒 Security Analysis &nbsp;⚠️ Warn
+
+| Field | Value |
+|---|---|
+| **Status** | ⚠️ Warn |
+| **Severity Level** | `medium` |
+
+**Findings:**
+- leak — `a.py` line 3 — confidence: 50%
+- plain
+
+---
+
+### 🏛️ Architecture Review &nbsp;✅ Pass
+
+| Field | Value |
+|---|---|
+| **Status** | ✅ Pass |
+| **Complexity Score** | `3 / 10` |
+
+**Refactor Suggestions:**
+_None_
+
+---
+
+### 🧪 Testing Evaluation &nbsp;❌ Fail
+
+| Field | Value |
+|---|---|
+| **Status** | ❌ Fail |
+| **Coverage** | ✅ Adequate |
+
+**QA Notes:**
+_None_
+
+---
+
+<sub>Generated by reviewlake · T</sub>
+"""

@@ -22,10 +22,10 @@ def test_line_rules_and_network(spark):
 
 def test_duplicate_blocks_across_prs(spark):
     block = ["alpha = 1", "beta = 2", "gamma = 3", "delta = 4", "omega = 5"]
-    data = [(p, 0, i, f"f{p}.py", "+", i + 1, t) for p in (1, 2) for i, t in enumerate(block)]
-    data.append((3, 0, 0, "g.py", "+", 1, "alpha = 1"))
-    lines = spark.createDataFrame(data, SCHEMA)
-    got = rows(H.duplicate_blocks(lines), "n_occurrences", "first_pr_id", "first_line")
+    added = "@@ -0,0 +1,5 @@\n" + "".join(f"+{t}\n" for t in block)
+    hunks = spark.createDataFrame([(1, "f1.py", added), (2, "f2.py", added), (3, "g.py", "@@ -0,0 +1 @@\n+alpha = 1\n")],
+                                  "pr_id long, path string, hunk string")
+    got = rows(H.duplicate_blocks(hunks), "n_occurrences", "first_pr_id", "first_line")
     assert got == [(2, 1, 1)]
 
 
@@ -49,12 +49,11 @@ def test_veto_and_merge(spark):
         (1, "architecture", 1, "z", "N/A", 0, 1.0), (1, "architecture", 2, "w", "a.py", 5, 0.3)],
         "pr_id long, agent string, ord int, description string, file_reference string, line_number int, "
         "confidence_score double")
-    files = spark.createDataFrame([(1, "a.py")], "pr_id long, path string")
-    nl = spark.createDataFrame([(1, "a.py", i) for i in range(1, 10)], "pr_id long, path string, new_line int")
-    v = dict(((a, b), c) for a, b, c in rows(E.veto(f, files, nl), "agent", "ord", "veto"))
+    files = spark.createDataFrame([(1, "a.py", [(1, 9)])], "pr_id long, path string, ranges array<struct<lo:bigint,hi:bigint>>")
+    v = dict(((a, b), c) for a, b, c in rows(E.veto(f, files), "agent", "ord", "veto"))
     assert v == {("security", 0): "approved", ("testing", 0): "approved", ("testing", 1): "absent_file",
                  ("architecture", 0): "unlinked_line", ("architecture", 1): "approved", ("architecture", 2): "approved"}
-    assert dict(((a, b), c) for a, b, c in rows(E.veto(f, files, nl, tolerance=41), "agent", "ord", "veto"))[
+    assert dict(((a, b), c) for a, b, c in rows(E.veto(f, files, tolerance=41), "agent", "ord", "veto"))[
         ("architecture", 0)] == "approved"
     m = rows(E.merge_duplicates(f.filter("file_reference = 'a.py' and line_number = 2")), "agents", "confidence_score")
     assert m == [("security,testing", 0.9)]
