@@ -142,12 +142,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **setti
                   F.struct(F.col("position").alias("at"), F.least("_size", "taken").alias("words")),
                   F.struct(F.col("again").alias("at"), (F.col("taken") - F.col("_size")).alias("words"))),
                   lambda p: p["at"].isNotNull() & (p["words"] > 0)))).drop("position", "again", "taken"))
-    rows = (docs.withColumn("_id", F.col(id_col)).withColumn("_th", F.xxhash64(F.col(text_col)))
-            .withColumn("_source", F.col("source")).withColumn("_n", F.row_number().over(alike)))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th"),
+                       F.col("source").alias("_source")).withColumn("_n", F.row_number().over(alike))
     on = [passes[c].eqNullSafe(rows[c]) for c in ("_id", "_th", "_source", "_n")]
-    taken = rows.join(passes, on).drop("_id", "_th", "_source", "_n")
-    cut = F.concat_ws("", F.slice(F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1),
+    own = F.col("row")[text_col]
+    cut = F.concat_ws("", F.slice(F.split(own, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1),
                                   F.col("_pass.words").cast("int")))
-    text = F.when(F.col("_pass.words") < F.col("_size"), cut).otherwise(F.col(text_col))
-    ordered = taken.withColumn(text_col, text).orderBy("_pass.at")
-    return ordered.select(*docs.columns)
+    text = F.when(F.col("_pass.words") < F.col("_size"), cut).otherwise(own)
+    taken = rows.join(passes, on).select(F.col("row").withField(text_col, text).alias("row"), F.col("_pass.at").alias("at"))
+    return taken.orderBy("at").select("row.*")

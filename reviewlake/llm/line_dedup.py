@@ -134,8 +134,9 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     lines = stored(line_table(docs, id_col, text_col), "lines")
     repeated, levels = suffix_levels(lines)
     gone = stored(merged(later_copies(shortest_runs(repeated, min_words), levels)), "line-deletions")
-    kept = docs.drop("n_lines", "n_deleted", "deleted")
-    rows = kept.select("*", *_key(id_col, text_col)).join(gone.hint("shuffle_hash"), KEY, "left")
+    # the input's row as one column: its names can't meet the helpers'
+    whole = F.struct(*(F.col(c) for c in docs.columns if c not in ("n_lines", "n_deleted", "deleted")))
+    rows = docs.select(whole.alias("row"), *_key(id_col, text_col)).join(gone.hint("shuffle_hash"), KEY, "left")
     runs = F.coalesce("deleted", F.from_json(F.lit("[]"), "array<struct<s:int,e:int>>"))
 
     def keep(ls: Column) -> Column:
@@ -144,10 +145,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
                             lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         return F.array_join(F.flatten(F.transform(slices, lambda k: F.slice(ls, k["a"] + 1, k["b"] - k["a"]))), "\n")
 
-    split = F.split(F.col(text_col), "\n", -1)
-    text = F.when(F.col("deleted").isNull(), F.col(text_col)).otherwise(F.transform(F.array(split), keep)[0])
-    n_lines = F.coalesce(F.size(split), F.lit(0))
+    own = F.col("row")[text_col]
+    text = F.when(F.col("deleted").isNull(), own).otherwise(F.transform(F.array(F.split(own, "\n", -1)), keep)[0])
+    n_lines = F.when(own.isNull(), 0).otherwise(F.length(own) - F.length(F.replace(own, F.lit("\n"), F.lit(""))) + 1)
     n_deleted = F.aggregate(runs, F.lit(0), lambda n, r: n + r["e"] - r["s"])
-    return rows.select(*(text.alias(c) if c == text_col else F.col(c) for c in kept.columns),
-                       F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
-                       n_deleted.cast("long").alias("n_deleted"), runs.alias("deleted"))
+    return rows.select(F.col("row").withField(text_col, text).alias("row"), n_lines.cast("long").alias("n_lines"),
+                       n_deleted.cast("long").alias("n_deleted"), runs.alias("deleted")).select(
+        "row.*", "n_lines", "n_deleted", "deleted")

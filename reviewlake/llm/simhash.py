@@ -13,7 +13,7 @@ Defined cases: null text and text without words have fingerprint zero and link l
 texts of fewer words than a shingle hash the whole word sequence; null ids take part and get the
 component of their fingerprint (null where no id in it is known); repeated rows each get their row;
 an empty table gives no rows; ``near_duplicates`` reads no other columns, ``keep_one`` keeps them
-(but for names that begin with ``_d``, ``_th``, ``_n`` as its helpers do).
+whatever their names.
 """
 
 from __future__ import annotations
@@ -236,8 +236,8 @@ def keep_one(docs: DataFrame, size: int = 4, radius: int = 4, seed: int = 42, id
     found = near_duplicates(docs, size, radius, seed, id_col, text_col)
     stay = stored(found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("m"))
                   .select(F.coalesce("m.id", F.lit(NO_ID)).alias("_d"), F.col("m.th").alias("_th")), "simhash-stay")
-    keyed = (docs.withColumn("_d", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
-             .withColumn("_th", F.xxhash64(text_or_empty(text_col))))
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_d"),
+                        F.xxhash64(text_or_empty(text_col)).alias("_th"))
     one = Window.partitionBy("_d", "_th").orderBy("_th")
-    return (keyed.join(stay.hint("shuffle_hash"), ["_d", "_th"], "left_semi").withColumn("_n", F.row_number().over(one))
-            .where("_n = 1").select(*docs.columns))
+    return (keyed.join(stay.hint("shuffle_hash"), ["_d", "_th"], "left_semi").withColumn("n", F.row_number().over(one))
+            .where("n = 1").select("row.*"))
