@@ -114,6 +114,7 @@ def later_copies(runs: DataFrame, levels: list[DataFrame]) -> DataFrame:
     named = stored(named, "line-runs")
     earliest = (named.groupBy("m", "a", "b").agg(F.min(F.struct(*KEY, "s")).alias("least"), F.count("*").alias("n"))
                 .where("n > 1").drop("n"))
+    earliest = stored(earliest, "line-earliest")  # so the join stands alone in its stage and a hot interval can be split
     return named.join(earliest, ["m", "a", "b"]).where(F.struct(*KEY, "s") != F.col("least")).select(*KEY, "s", "e")
 
 
