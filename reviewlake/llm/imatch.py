@@ -1,12 +1,13 @@
 """Operator 4, I-Match document fingerprints over randomised lexicon subsets.
 
-The lexicon is the corpus's terms (lower-cased runs of letters and digits) whose document
+The lexicon is the corpus's terms (lower-cased runs of characters other than ASCII white space and
+punctuation) whose document
 frequency lies in a band: at least ``min_df`` documents (idf at most ln(N / min_df)) and at most
 ``max_share`` of them (idf at least ln(1 / max_share)). A signature is a hash of the sorted
 distinct terms of a text that lie in one subset of the lexicon; a subset is a sample by hash, and
 the fingerprint lists the signatures of several such subsets.
 
-Each of ``families`` samples nests: level l keeps a 2^-l part of the lexicon. A text uses three
+Each of up to eight families nests: its level l keeps a 2^-l part of the lexicon. A text uses three
 levels, from the one that leaves it two to four of its terms on, so that a signature stands or
 falls with few terms and the share of equal signatures measures how much two texts share, at
 any length. Likeness is that share among the signatures that either text has, on the levels
@@ -34,12 +35,13 @@ from pyspark.sql import functions as F
 from .common import stored, text_or_empty
 
 LEVELS = 3
+LANE = 16  #: bits of a term's hash that one family has
 NO_ID = -(1 << 63)
 
 
 def terms(text: Column) -> Column:
     """Hashes of the distinct terms of a text."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(text), r"[\s\p{Punct}]+"), "")
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
@@ -64,42 +66,61 @@ def successors(ids: DataFrame) -> DataFrame:
         "next", F.coalesce("after", "next")).drop("after")
 
 
-def _mask(distinct: Column) -> Column:
+def _level(distinct: Column) -> Column:
     """First level of a text of so many terms: the highest that leaves two to four of them."""
-    return F.greatest(F.lit(0), F.floor(F.log2(F.greatest(distinct, F.lit(1)) / 2.0)).cast("int"))
+    return F.least(F.lit(LANE - LEVELS), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(distinct, F.lit(1)) / 2.0)).cast("int")))
 
 
-def _zeros(term: Column, family: int, level: Column) -> Column:
-    """Does the family's level keep the term? Its hash, rotated by the family, ends in so many 0s."""
-    by = 8 * family
-    turned = term if not by else F.shiftrightunsigned(term, by).bitwiseOR(F.shiftleft(term, 64 - by))
-    return turned.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), level) - F.lit(1).cast("long")) == 0
+def _lanes(level: Column) -> Column:
+    """The low ``level`` bits of each of a long's four 16-bit lanes."""
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), level) - F.lit(1).cast("long")
+    return low.bitwiseOR(F.shiftleft(low, 16)).bitwiseOR(F.shiftleft(low, 32)).bitwiseOR(F.shiftleft(low, 48))
 
 
-def _picked(rows: DataFrame, families: int) -> DataFrame:
-    """One row per sampled (document, term) with the families that keep it, for the text (low bits)
-    and the edited text (high bits), and one row (term null) per document with what it keeps."""
+def _zero_lanes(v: Column) -> Column:
+    """1 in the lowest bit of each lane that is zero."""
+    ones = F.lit(0x0001000100010001)
+    for by in (8, 4, 2, 1):
+        v = v.bitwiseOR(F.shiftrightunsigned(v, by))
+    return v.bitwiseAND(ones).bitwiseXOR(ones)
+
+
+def _picked(rows: DataFrame) -> DataFrame:
+    """One row per sampled (document, term) with the families that keep it, and one row (term
+    null) per document with what it keeps.
+
+    Family f's level l keeps the terms of whose hash lane f ends in l zeros: lanes 0-3 of the
+    term's hash, 4-7 of a second hash. ``bits`` has, for lane k of hash h and the text (side 0) or the
+    edited text (side 1), bit 16 k + 2 h + side."""
     flagged = lambda a, k: F.transform(a, lambda t: F.struct(t.alias("term"), F.lit(k).alias("which")))
     head = F.array(F.struct(F.lit(None).cast("long").alias("term"), F.lit(0).alias("which")))
     every = F.concat(head, flagged(F.array_intersect("o", "e"), 3), flagged(F.array_except("o", "e"), 1), flagged(F.array_except("e", "o"), 2))
     kept = ["num", "next", "d", "copies", "n_chars", "edited_sha256", "level", "edited_level", "all_terms", "edited_terms"]
-    out = rows.select(*kept, F.explode(every).alias("p")).select(*kept, F.col("p.term").alias("term"), F.col("p.which").alias("which"))
-    bits = F.lit(0)
-    for f in range(families):
-        for side, level in ((0, "level"), (1, "edited_level")):
-            hit = (F.col("which").bitwiseAND(F.lit(1 << side)) != 0) & _zeros(F.col("term"), f, F.col(level))
-            bits = bits + F.when(hit, 1 << (f + families * side)).otherwise(0)
+    out = rows.select(*kept, _lanes(F.col("level")).alias("m0"), _lanes(F.col("edited_level")).alias("m1"), F.explode(every).alias("p"))
+    out = out.select(*kept, "m0", "m1", F.col("p.term").alias("term"), F.col("p.which").alias("which"),
+                     F.xxhash64("p.term").alias("second"))
+    bits = F.lit(0).cast("long")
+    for side in (0, 1):
+        here = F.when(F.col("which").bitwiseAND(F.lit(1 << side)) != 0, F.lit(-1).cast("long")).otherwise(F.lit(0).cast("long"))
+        for h, hashed in enumerate(("term", "second")):
+            zero = _zero_lanes(F.col(hashed).bitwiseAND(F.col(f"m{side}")))
+            bits = bits.bitwiseOR(F.shiftleft(zero, 2 * h + side).bitwiseAND(here))
     first = F.col("term").isNull()
-    out = out.withColumn("bits", F.when(first, 0).otherwise(bits)).where(first | (F.col("bits") != 0)).drop("which")
+    out = out.withColumn("bits", F.when(first, 0).otherwise(bits)).where(first | (F.col("bits") != 0)).drop("which", "m0", "m1", "second")
     return out.select("num", "term", "bits", *(F.when(first, F.col(c)).alias(c) for c in kept[1:]))
 
 
 def _signatures(picks: str, level: str, whole: str, families: int, side: int) -> Column:
     """The fingerprint: its level, then family.level.hash of every subset that holds a term."""
     def subset(family: int, step: int) -> Column:
-        ours = F.lit(1 << (family + families * side))
-        held = F.filter(picks, lambda p: (p["bits"].bitwiseAND(ours) != 0) & _zeros(p["term"], family, F.col(level) + step))
-        return F.array_sort(F.transform(held, lambda p: p["term"]))
+        lane, second = family % 4, family // 4
+        ours = F.lit(1 << (16 * lane + 2 * second + side))
+        low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(level) + step) - F.lit(1).cast("long")
+
+        def kept(p: Column) -> Column:
+            hashed = F.xxhash64(p["term"]) if second else p["term"]
+            return (p["bits"].bitwiseAND(ours) != 0) & (F.shiftrightunsigned(hashed, 16 * lane).bitwiseAND(low) == 0)
+        return F.array_sort(F.transform(F.filter(picks, kept), lambda p: p["term"]))
 
     entries = []
     for f in range(families):
@@ -128,6 +149,8 @@ def fingerprints(docs: DataFrame, families: int = 8, min_df: int = 2, max_share:
                  text_col: str = "text") -> DataFrame:
     """Per document its fingerprint, that of its edited text (the second half replaced by the
     successor's beginning), and its likeness to that and to the successor's."""
+    if not 1 <= families <= 8:
+        raise ValueError("there are lanes for one to eight families")
     text = text_or_empty(text_col)
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("th"), text.alias("t"))
     ids = keyed.groupBy("d", "th").agg(F.count("*").alias("copies"), F.max(F.char_length("t")).alias("n_chars"))
@@ -145,13 +168,13 @@ def fingerprints(docs: DataFrame, families: int = 8, min_df: int = 2, max_share:
     both = (own.join(heads.hint("shuffle_hash"), ["d", "th"]).withColumn("x", edited)
             .select("num", "next", "d", "copies", "n_chars", F.sha2("x", 256).alias("edited_sha256"),
                     terms(F.col("t")).alias("o"), terms(F.col("x")).alias("e"))
-            .withColumn("level", _mask(F.size("o"))).withColumn("edited_level", _mask(F.size("e")))
+            .withColumn("level", _level(F.size("o"))).withColumn("edited_level", _level(F.size("e")))
             .withColumn("all_terms", F.xxhash64(F.array_sort("o"))).withColumn("edited_terms", F.xxhash64(F.array_sort("e"))))
-    rows = stored(_picked(both, families), "imatch-picks")
+    rows = stored(_picked(both), "imatch-picks")
     band = lexicon(keyed.select(terms(F.col("t")).alias("terms")), min_df, max_share)
     picks = (rows.where("term IS NOT NULL").select("num", "term", "bits").join(band, "term")
              .groupBy("num").agg(F.collect_list(F.struct("term", "bits")).alias("picks")))
-    none = F.from_json(F.lit("[]"), "array<struct<term:bigint,bits:int>>")
+    none = F.from_json(F.lit("[]"), "array<struct<term:bigint,bits:bigint>>")
     signed = (rows.where("term IS NULL").drop("term", "bits").join(picks, "num", "left").withColumn("picks", F.coalesce("picks", none))
               .select("num", "next", "d", "copies", "n_chars", "edited_sha256",
                       _signatures("picks", "level", "all_terms", families, 0).alias("fingerprint"),
