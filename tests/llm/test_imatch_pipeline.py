@@ -13,7 +13,7 @@ from reviewlake.llm import imatch, quality
 
 
 def terms(text):
-    return {w for w in re.split(r"[\W_]+", text.lower()) if w}
+    return {w for w in re.split(r"[\s!-/:-@\[-`{-~]+", text.lower(), flags=re.A) if w}
 
 
 def check(df, docs):
