@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_methods(spark: SparkSession):
+    """Plans of stages whose generated method would be over 8000 bytes, which the JVM never
+    compiles, run operator by operator meanwhile."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def with_workers(spark: SparkSession) -> SparkSession:
     """Let Python workers on this machine import the package when it isn't installed. On a
     cluster the package is shipped with ``--py-files`` or installed on the nodes."""

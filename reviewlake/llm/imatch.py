@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import small_methods, stored, text_or_empty
 
 LEVELS = 3
 LANE = 16  #: bits of a term's hash that one family has
@@ -92,13 +92,14 @@ def _picked(rows: DataFrame) -> DataFrame:
     Family f's level l keeps the terms of whose hash lane f ends in l zeros: lanes 0-3 of the
     term's hash, 4-7 of a second hash. ``bits`` has, for lane k of hash h and the text (side 0) or the
     edited text (side 1), bit 16 k + 2 h + side."""
-    flagged = lambda a, k: F.transform(a, lambda t: F.struct(t.alias("term"), F.lit(k).alias("which")))
-    head = F.array(F.struct(F.lit(None).cast("long").alias("term"), F.lit(0).alias("which")))
-    every = F.concat(head, flagged(F.array_intersect("o", "e"), 3), flagged(F.array_except("o", "e"), 1), flagged(F.array_except("e", "o"), 2))
     kept = ["num", "next", "d", "copies", "n_chars", "edited_sha256", "level", "edited_level", "all_terms", "edited_terms"]
-    out = rows.select(*kept, _lanes(F.col("level")).alias("m0"), _lanes(F.col("edited_level")).alias("m1"), F.explode(every).alias("p"))
-    out = out.select(*kept, "m0", "m1", F.col("p.term").alias("term"), F.col("p.which").alias("which"),
-                     F.xxhash64("p.term").alias("second"))
+    sets = rows.select(*kept, _lanes(F.col("level")).alias("m0"), _lanes(F.col("edited_level")).alias("m1"),
+                       F.array_intersect("o", "e").alias("both"), F.array_except("o", "e").alias("left"),
+                       F.array_except("e", "o").alias("gained"))
+    out = sets.select(*kept, "m0", "m1", F.size("both").alias("n_both"), F.size("left").alias("n_left"), F.posexplode(
+        F.concat(F.array(F.lit(None).cast("long")), "both", "left", "gained")).alias("at", "term"))
+    which = F.when(F.col("at") <= F.col("n_both"), 3).when(F.col("at") <= F.col("n_both") + F.col("n_left"), 1).otherwise(2)
+    out = out.select(*kept, "m0", "m1", "term", which.alias("which"), F.xxhash64("term").alias("second"))
     bits = F.lit(0).cast("long")
     for side in (0, 1):
         here = F.when(F.col("which").bitwiseAND(F.lit(1 << side)) != 0, F.lit(-1).cast("long")).otherwise(F.lit(0).cast("long"))
@@ -170,7 +171,8 @@ def fingerprints(docs: DataFrame, families: int = 8, min_df: int = 2, max_share:
                     terms(F.col("t")).alias("o"), terms(F.col("x")).alias("e"))
             .withColumn("level", _level(F.size("o"))).withColumn("edited_level", _level(F.size("e")))
             .withColumn("all_terms", F.xxhash64(F.array_sort("o"))).withColumn("edited_terms", F.xxhash64(F.array_sort("e"))))
-    rows = stored(_picked(both), "imatch-picks")
+    with small_methods(docs.sparkSession):
+        rows = stored(_picked(both), "imatch-picks")
     band = lexicon(keyed.select(terms(F.col("t")).alias("terms")), min_df, max_share)
     picks = (rows.where("term IS NOT NULL").select("num", "term", "bits").join(band, "term")
              .groupBy("num").agg(F.collect_list(F.struct("term", "bits")).alias("picks")))
@@ -179,7 +181,8 @@ def fingerprints(docs: DataFrame, families: int = 8, min_df: int = 2, max_share:
               .select("num", "next", "d", "copies", "n_chars", "edited_sha256",
                       _signatures("picks", "level", "all_terms", families, 0).alias("fingerprint"),
                       _signatures("picks", "edited_level", "edited_terms", families, 1).alias("edited_fingerprint")))
-    signed = stored(signed, "imatch-signatures")
+    with small_methods(docs.sparkSession):
+        signed = stored(signed, "imatch-signatures")
     after = signed.select(F.col("num").alias("next"), F.col("fingerprint").alias("next_fingerprint"))
     return (signed.join(after, "next")
             .select(F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"),
