@@ -113,20 +113,31 @@ BLOAT_PATH_PATTERN = (
     r"|(^|/)(dist|vendor|node_modules)/|\.generated\."
 )
 
-# Entity patterns, in masking priority order. Written without look-arounds so that
-# Java regex and RE2 find the same leftmost-first matches.
+# Entity patterns, in masking priority order. ``\b`` and ``\B`` are ASCII word boundaries here;
+# ``java_pattern`` spells them out, since Java's own know more letters.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _H4 = r"[0-9A-Fa-f]{1,4}"
 ENTITY_PATTERNS = [
     ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    ("IBAN_CODE", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),
-    ("CREDIT_CARD", r"[0-9](?:[ -]?[0-9]){12,18}"),
-    ("CRYPTO", r"bc1[a-z0-9]{25,39}|[13][a-km-zA-HJ-NP-Z1-9]{25,34}|0x[0-9a-fA-F]{40}"),
-    ("US_SSN", r"(?:00[1-9]|0[1-9][0-9]|[1-578][0-9]{2}|6[0-57-9][0-9]|66[0-57-9])-"
-               r"(?:0[1-9]|[1-9][0-9])-(?:000[1-9]|00[1-9][0-9]|0[1-9][0-9]{2}|[1-9][0-9]{3})"),
-    ("IP_ADDRESS", rf"(?:{_H4}:){{7}}{_H4}|{_H4}(?::{_H4})*::{_H4}(?::{_H4})*|(?:{_OCTET}\.){{3}}{_OCTET}"),
-    ("PHONE_NUMBER", r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}"),
+    ("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
+    ("CREDIT_CARD", r"\b[0-9](?:[ -]?[0-9]){12,}\b"),
+    ("CRYPTO", r"\b(?:bc1[a-z0-9]{25,39}|[13][a-km-zA-HJ-NP-Z1-9]{25,34}|0x[0-9a-fA-F]{40})\b"),
+    ("US_SSN", r"\b(?:00[1-9]|0[1-9][0-9]|[1-578][0-9]{2}|6[0-57-9][0-9]|66[0-57-9])-"
+               r"(?:0[1-9]|[1-9][0-9])-(?:000[1-9]|00[1-9][0-9]|0[1-9][0-9]{2}|[1-9][0-9]{3})\b"),
+    ("IP_ADDRESS", rf"\b(?:{_H4}:){{7}}{_H4}\b|\b{_H4}(?::{_H4}){{0,5}}::(?:{_H4}(?::{_H4}){{0,5}}\b|\B)"
+                   rf"|\B::{_H4}(?::{_H4}){{0,6}}\b|\b(?:{_OCTET}\.){{3}}{_OCTET}\b"),
+    ("PHONE_NUMBER", r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|\b[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b"),
 ]
+_W = "[0-9A-Za-z_]"
+
+
+def java_pattern(p: str) -> str:
+    """The pattern with its word boundaries written as ASCII look-arounds."""
+    edge = f"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))"
+    inside = f"(?:(?<={_W})(?={_W})|(?<!{_W})(?!{_W}))"
+    return p.replace(r"\b", edge).replace(r"\B", inside)
+
+
 ENTITY_PRIORITY = {name: i for i, (name, _) in enumerate(ENTITY_PATTERNS)}
 
 # Cheap necessary conditions: a row can only match an entity pattern when its guard
@@ -136,11 +147,24 @@ ENTITY_GUARDS = {
     "EMAIL_ADDRESS": ("contains", "@"),
     "IBAN_CODE": ("rlike", "[A-Z]{2}[0-9]{2}"),
     "US_SSN": ("rlike", "[0-9]{3}-[0-9]{2}-[0-9]{4}"),
-    "IP_ADDRESS": ("rlike", "[0-9][.][0-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]"),
+    "IP_ADDRESS": ("rlike", "[0-9][.][0-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]|::[0-9A-Fa-f]"),
     "PHONE_NUMBER": ("rlike", "[0-9]{3}[ .-][0-9]{4}"),
 }
 ENTITY_PRIORITY["PERSON"] = len(ENTITY_PATTERNS)
-VALIDATED_ENTITIES = {"CREDIT_CARD": "luhn", "IBAN_CODE": "mod97"}
+# What of a match is the entity: the longest part from its begin to a gap that passes the check
+# (a number may be followed by other digits or capitals that the pattern takes along).
+VALIDATED_ENTITIES = {"CREDIT_CARD": "luhn", "IBAN_CODE": "mod97", "IP_ADDRESS": "digit"}
+CARD_DIGITS = range(19, 12, -1)
+IBAN_GAPS = range(9, -1, -1)
+
+
+def card_part(n: int) -> str:
+    """A card number of ``n`` digits at the begin of a match, up to a gap."""
+    return rf"^([0-9](?:[ -]?[0-9]){{{n - 1}}})(?:[ -]|$)"
+
+
+def iban_part(gaps: int) -> str:
+    return rf"^((?:[^ ]+ ){{{gaps}}}[^ ]+)(?: |$)"
 
 # Small dictionary of given names for dictionary PERSON masking (our stand-in for an
 # NLP model). Callers may pass their own, larger table.

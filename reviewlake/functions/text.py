@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import patterns as P
+
 # Python's str.splitlines() boundaries, as one Java regex.
 LINE_BREAKS = "\\r\\n|[\\n\\r\\x0b\\f\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 
@@ -57,8 +59,18 @@ def mod97_ok_sql(x: str) -> str:
             f"ELSE (macc * 100 + ascii({ch}) - 55) % 97 END) = 1)")
 
 
-def validated_replace(col_sql: str, pattern: str, label: str, check_sql) -> Column:
-    """Replace only the matches of ``pattern`` that pass ``check_sql``.
+def part_sql(hit: str, check: str) -> str:
+    """SQL: the part of a match that is the entity, NULL when there is none."""
+    if check == "digit":
+        return f"CASE WHEN {hit} rlike '[0-9]' THEN {hit} END"
+    ok = {"luhn": luhn_ok_sql, "mod97": mod97_ok_sql}[check]
+    shapes = ([P.card_part(n) for n in P.CARD_DIGITS] if check == "luhn" else [P.iban_part(g) for g in P.IBAN_GAPS])
+    parts = ", ".join(f"regexp_extract({hit}, {lit_str(x)}, 1)" for x in shapes)
+    return f"try_element_at(filter(array({parts}), pp -> pp <> '' AND {ok('pp')}), 1)"
+
+
+def validated_replace(col_sql: str, pattern: str, label: str, check: str) -> Column:
+    """Replace what of the matches of ``pattern`` passes ``check``.
 
     ``split`` and ``regexp_extract_all`` walk the same leftmost matches, so piece i of
     the split is followed by hit i. Both arrays are computed once (bound through a
@@ -67,16 +79,17 @@ def validated_replace(col_sql: str, pattern: str, label: str, check_sql) -> Colu
     """
     pat = lit_str(pattern)
     lab = lit_str(label)
+    masked = (f"element_at(transform(array({part_sql('s.h[i]', check)}), e -> CASE WHEN e IS NULL THEN s.h[i] "
+              f"ELSE concat({lab}, substring(s.h[i], length(e) + 1)) END), 1)")
     return F.expr(
         f"CASE WHEN {col_sql} rlike {pat} THEN element_at(transform(array(named_struct("
         f"'p', split({col_sql}, {pat}, -1), 'h', regexp_extract_all({col_sql}, {pat}, 0))), "
-        f"s -> concat(array_join(transform(slice(s.p, 1, size(s.h)), "
-        f"(q, i) -> concat(q, CASE WHEN {check_sql('s.h[i]')} THEN {lab} ELSE s.h[i] END)), ''), "
+        f"s -> concat(array_join(transform(slice(s.p, 1, size(s.h)), (q, i) -> concat(q, {masked})), ''), "
         f"element_at(s.p, -1))), 1) ELSE {col_sql} END")
 
 
-def count_validated(col_sql: str, pattern: str, check_sql) -> Column:
-    """Number of matches of ``pattern`` passing ``check_sql`` (BIGINT)."""
+def count_validated(col_sql: str, pattern: str, check: str) -> Column:
+    """Number of matches of ``pattern`` that hold an entity (BIGINT)."""
     pat = lit_str(pattern)
     return F.expr(f"CASE WHEN {col_sql} rlike {pat} THEN size(filter(regexp_extract_all("
-                  f"{col_sql}, {pat}, 0), h -> {check_sql('h')})) ELSE 0 END").cast("bigint")
+                  f"{col_sql}, {pat}, 0), h -> ({part_sql('h', check)}) IS NOT NULL)) ELSE 0 END").cast("bigint")

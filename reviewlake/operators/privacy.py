@@ -12,10 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import (count_matches, count_validated, lit_str, luhn_ok_sql, mod97_ok_sql,
-                              validated_replace)
+from ..functions.text import count_matches, count_validated, lit_str, part_sql, validated_replace
 
-_CHECKS = {"luhn": luhn_ok_sql, "mod97": mod97_ok_sql}
 _PEM_GUARD = "-----BEGIN"
 
 
@@ -25,7 +23,7 @@ def entity_label(name: str) -> str:
 
 def _entity_list(entities):
     wanted = [e for e, _ in P.ENTITY_PATTERNS] if entities is None else list(entities)
-    return [(e, p) for e, p in P.ENTITY_PATTERNS if e in wanted]
+    return [(e, P.java_pattern(p)) for e, p in P.ENTITY_PATTERNS if e in wanted]
 
 
 _SENTINEL = "\ue000"  # private-use character standing in for one match while counting
@@ -45,7 +43,7 @@ def mask_entity_col(col_sql: str, name: str, pattern: str) -> Column:
     holds); rows failing the entity's cheap guard are passed through untouched."""
     check = P.VALIDATED_ENTITIES.get(name)
     if check:
-        masked = validated_replace(col_sql, pattern, entity_label(name), _CHECKS[check])
+        masked = validated_replace(col_sql, pattern, entity_label(name), check)
     else:
         masked = F.regexp_replace(F.col(col_sql), pattern, entity_label(name))
     return F.when(F.expr(guard_sql(col_sql, name)), masked).otherwise(F.col(col_sql))
@@ -63,22 +61,23 @@ def mask_entities(df: DataFrame, col: str, entities=None, out: str | None = None
     return df.withColumn(out, F.col(tmp)).drop(tmp) if out != tmp else df
 
 
-def entity_counts(df: DataFrame, col: str, key: str, entities=None) -> DataFrame:
+def entity_counts(df: DataFrame, col: str, key: str, entities=None, masked: str | None = None, keep=()) -> DataFrame:
     """Per row: how many spans of each entity the priority-ordered masking replaces.
 
     Each entity is counted on the text where higher-priority entities are already
     masked, so a span is counted once, under its winning entity. BIGINT counts named
-    ``n_<entity lower>``.
+    ``n_<entity lower>``. ``masked`` names a column for the masked text that the counting
+    makes anyway; ``keep`` lists columns to carry along.
     """
     tmp = "__ec_text"
-    df = df.select(key, F.col(col).alias(tmp))
+    df = df.select(key, *keep, F.col(col).alias(tmp))
     counts = []
     for name, pat in _entity_list(entities):
         cname = f"n_{name.lower()}"
         check = P.VALIDATED_ENTITIES.get(name)
         guard = F.expr(guard_sql(tmp, name))
         if check:
-            df = df.withColumn(cname, F.when(guard, count_validated(tmp, pat, _CHECKS[check])).otherwise(F.lit(0))
+            df = df.withColumn(cname, F.when(guard, count_validated(tmp, pat, check)).otherwise(F.lit(0))
                                .cast("bigint")).withColumn(tmp, mask_entity_col(tmp, name, pat))
         else:
             # One regex pass: matches become a sentinel character, counted by length
@@ -94,7 +93,7 @@ def entity_counts(df: DataFrame, col: str, key: str, entities=None) -> DataFrame
             df = df.withColumn(tmp, F.when(~guard, t).when(safe, F.replace(m, F.lit(_SENTINEL), F.lit(entity_label(name))))
                                .otherwise(F.regexp_replace(t, pat, entity_label(name)))).drop("__marked")
         counts.append(cname)
-    return df.select(key, *counts)
+    return df.select(key, *keep, *counts, *([F.col(tmp).alias(masked)] if masked else []))
 
 
 def _spans_expr(col_sql: str, name: str, pattern: str) -> str:
@@ -105,13 +104,13 @@ def _spans_expr(col_sql: str, name: str, pattern: str) -> str:
     pat = lit_str(pattern)
     prio = P.ENTITY_PRIORITY[name]
     check = P.VALIDATED_ENTITIES.get(name)
-    keep = _CHECKS[check]("s.h[i]") if check else "true"
-    return (f"element_at(transform(array(named_struct('p', split({col_sql}, {pat}, -1), "
-            f"'h', regexp_extract_all({col_sql}, {pat}, 0))), s -> filter(transform(s.h, (x, i) -> "
-            f"named_struct('entity', '{name}', 'prio', {prio}, "
-            f"'s', aggregate(slice(s.p, 1, i + 1), 0, (a, q) -> a + length(q)) + "
-            f"aggregate(slice(s.h, 1, i), 0, (a, q) -> a + length(q)), 'len', length(x), 'ok', {keep})), "
-            f"z -> z.ok)), 1)")
+    part = part_sql("m.h", check) if check else "m.h"
+    # starts: one pass over (gap, hit) pairs, carrying the place reached so far
+    return (f"filter(aggregate(zip_with(slice(split({col_sql}, {pat}, -1), 1, size(regexp_extract_all({col_sql}, {pat}, 0))), "
+            f"regexp_extract_all({col_sql}, {pat}, 0), (g, h) -> named_struct('g', length(g), 'h', h)), "
+            f"named_struct('at', 0, 'out', cast(array() AS array<struct<entity:string,prio:int,s:int,len:int>>)), "
+            f"(a, m) -> named_struct('at', a.at + m.g + length(m.h), 'out', array_append(a.out, "
+            f"named_struct('entity', '{name}', 'prio', {prio}, 's', a.at + m.g, 'len', length({part}))))).out, z -> z.len IS NOT NULL)")
 
 
 def entity_spans(df: DataFrame, col: str, key: str, entities=None) -> DataFrame:
@@ -124,7 +123,7 @@ def entity_spans(df: DataFrame, col: str, key: str, entities=None) -> DataFrame:
     """
     ents = _entity_list(entities)
     guarded = [f"CASE WHEN {guard_sql(col, n)} AND {col} rlike {lit_str(p)} THEN {_spans_expr(col, n, p)} "
-               f"ELSE array() END" for n, p in ents]
+               f"ELSE cast(array() AS array<struct<entity:string,prio:int,s:int,len:int>>) END" for n, p in ents]
     all_spans = "flatten(array(" + ", ".join(guarded) + "))"
     better = ("(b.prio < a.prio OR (b.prio = a.prio AND (b.len > a.len OR "
               "(b.len = a.len AND b.s < a.s))))")

@@ -134,33 +134,45 @@ def mod97_ok(x: str) -> str:
             f"ELSE (macc * 100 + v) % 97 END, CAST(0 AS BIGINT)) = 1)")
 
 
-CHECKS = {"luhn": luhn_ok, "mod97": mod97_ok}
+def part(h: str, check: str) -> str:
+    """The part of a match that is the entity, NULL when there is none."""
+    if check == "digit":
+        return f"(CASE WHEN regexp_matches({h}, '[0-9]') THEN {h} END)"
+    ok = luhn_ok if check == "luhn" else mod97_ok
+    shapes = [P.card_part(n) for n in P.CARD_DIGITS] if check == "luhn" else [P.iban_part(g) for g in P.IBAN_GAPS]
+    parts = ", ".join(f"regexp_extract({h}, {q(x)}, 1)" for x in shapes)
+    return f"(list_filter([{parts}], lambda pp: pp <> '' AND {ok('pp')})[1])"
 
 
-def validated_replace(x: str, pat: str, label: str, check) -> str:
+def validated_replace(x: str, pat: str, label: str, check: str) -> str:
     p, h = f"string_split_regex({x}, {q(pat)})", f"regexp_extract_all({x}, {q(pat)})"
+    found = part(f"{h}[vi]", check)
     return (f"(CASE WHEN regexp_matches({x}, {q(pat)}) THEN concat(array_to_string(list_transform("
-            f"list_slice({p}, 1, len({h})), lambda vq, vi: concat(vq, CASE WHEN {check(f'{h}[vi]')} THEN {q(label)} "
-            f"ELSE {h}[vi] END)), ''), {p}[len({p})]) ELSE {x} END)")
+            f"list_slice({p}, 1, len({h})), lambda vq, vi: concat(vq, CASE WHEN {found} IS NULL THEN {h}[vi] "
+            f"ELSE concat({q(label)}, substr({h}[vi], length({found}) + 1)) END)), ''), {p}[len({p})]) ELSE {x} END)")
 
 
-def count_validated(x: str, pat: str, check) -> str:
-    return f"CAST(len(list_filter(regexp_extract_all({x}, {q(pat)}), lambda vh: {check('vh')})) AS BIGINT)"
+def count_validated(x: str, pat: str, check: str) -> str:
+    return f"CAST(len(list_filter(regexp_extract_all({x}, {q(pat)}), lambda vh: {part('vh', check)} IS NOT NULL)) AS BIGINT)"
 
 
 def mask_entity(x: str, name: str, pat: str) -> str:
     chk = P.VALIDATED_ENTITIES.get(name)
     if chk:
-        return validated_replace(x, pat, f"<{name}>", CHECKS[chk])
+        return validated_replace(x, pat, f"<{name}>", chk)
     return replace_all(x, pat, f"<{name}>")
 
 
+def count_entity(x: str, name: str, pat: str) -> str:
+    chk = P.VALIDATED_ENTITIES.get(name)
+    return count_validated(x, pat, chk) if chk else n_matches(x, pat)
+
+
 def mask_chain_ctes(src_cte: str, key_cols: str, col: str, out_cte: str, with_counts: bool = False) -> str:
     """CTEs masking ``col`` entity by entity (priority order) -> ``out_cte(key_cols, t7, n_*)``."""
     parts, prev, prev_col, counts = [], src_cte, col, []
     for i, (name, pat) in enumerate(P.ENTITY_PATTERNS, 1):
-        chk = P.VALIDATED_ENTITIES.get(name)
-        cnt = count_validated(prev_col, pat, CHECKS[chk]) if chk else n_matches(prev_col, pat)
+        cnt = count_entity(prev_col, name, pat)
         cname = f"n_{name.lower()}"
         cte = f"{out_cte}_{i}" if i < len(P.ENTITY_PATTERNS) else out_cte
         keep = ", ".join([key_cols] + counts)

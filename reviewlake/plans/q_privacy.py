@@ -25,7 +25,7 @@ def _mask_counts_oracle() -> str:
 c AS (SELECT pr_id, {c} AS kept FROM prs),
 m1 AS (SELECT *, {O.n_matches('kept', EMAIL)} AS n_email,
   {O.replace_all('kept', EMAIL, '<EMAIL_ADDRESS>')} AS t1 FROM c),
-m2 AS (SELECT *, {O.n_matches('t1', IP)} AS n_ip, {O.replace_all('t1', IP, '<IP_ADDRESS>')} AS t2 FROM m1),
+m2 AS (SELECT *, {O.count_entity('t1', 'IP_ADDRESS', IP)} AS n_ip, {O.mask_entity('t1', 'IP_ADDRESS', IP)} AS t2 FROM m1),
 m3 AS (SELECT *, {O.n_matches('t2', SECRET)} AS n_secret,
   {O.replace_all('t2', SECRET, P.SECRET_LABEL)} AS t3 FROM m2)
 SELECT pr_id, CAST(length(kept) AS BIGINT) AS diff_len, n_email, n_ip, n_secret,
@@ -37,14 +37,12 @@ def sanitized_mask_counts(spark, sf_dir):
     """Flagship: F0 -> split, drop bloat, rejoin -> e-mail, IP, secret masking ->
     per-PR mask counts and a digest of the sanitized diff. All map-side after F0."""
     g = D.guard_diff(fx.prs(spark, sf_dir))
-    x = g.select("pr_id", F.col("capped_diff").alias("capped"))
-    x = x.withColumn("n_email", count_matches(F.col("capped"), EMAIL)) \
-         .withColumn("t1", F.regexp_replace("capped", EMAIL, "<EMAIL_ADDRESS>"))
-    x = x.withColumn("n_ip", count_matches(F.col("t1"), IP)) \
-         .withColumn("t2", F.regexp_replace("t1", IP, "<IP_ADDRESS>"))
+    x = g.select("pr_id", F.col("capped_diff").alias("kept"))
+    counts = PV.entity_counts(x, "kept", "pr_id", ["EMAIL_ADDRESS", "IP_ADDRESS"], masked="t2", keep=["kept"])
+    x = counts.select("pr_id", "kept", F.col("n_email_address").alias("n_email"), F.col("n_ip_address").alias("n_ip"), "t2")
     x = x.withColumn("n_secret", count_matches(F.col("t2"), SECRET_SPARK)) \
          .withColumn("t3", F.regexp_replace("t2", SECRET_SPARK, P.SECRET_LABEL))
-    return x.select("pr_id", F.length("capped").cast("bigint").alias("diff_len"), "n_email", "n_ip",
+    return x.select("pr_id", F.length("kept").cast("bigint").alias("diff_len"), "n_email", "n_ip",
                     "n_secret", F.length("t3").cast("bigint").alias("sanitized_len"),
                     F.md5("t3").alias("sanitized_md5"))
 
@@ -56,7 +54,7 @@ def _read(spark, sf_dir, name):
 
 
 @register("doc_mask_email_ip", f"""WITH m AS (SELECT doc_id,
-  {O.replace_all(O.replace_all('text', EMAIL, '<EMAIL_ADDRESS>'), IP, '<IP_ADDRESS>')} AS masked FROM documents)
+  {O.mask_entity(O.replace_all('text', EMAIL, '<EMAIL_ADDRESS>'), 'IP_ADDRESS', IP)} AS masked FROM documents)
 SELECT doc_id, CAST(length(masked) AS BIGINT) AS masked_len, md5(masked) AS masked_md5 FROM m""")
 def doc_mask_email_ip(spark, sf_dir):
     """C1 + C3 straight on ``documents.text`` (map-side)."""
@@ -100,16 +98,16 @@ def _spans_oracle() -> str:
     ctes = []
     for name, pat in P.ENTITY_PATTERNS:
         chk = P.VALIDATED_ENTITIES.get(name)
-        ok = O.CHECKS[chk]("x") if chk else "true"
+        part = O.part("x", chk) if chk else "x"
         pp, hh = f"string_split_regex(text, {O.q(pat)})", f"regexp_extract_all(text, {O.q(pat)})"
         ctes.append(
             f"SELECT doc_id, '{name}' AS entity, {P.ENTITY_PRIORITY[name]} AS prio, unnest(list_transform({hh}, "
             f"lambda x, i: {{'s': coalesce(list_sum(list_transform(list_slice({pp}, 1, i), lambda q: length(q))), 0) + "
             f"coalesce(list_sum(list_transform(list_slice({hh}, 1, i - 1), lambda q: length(q))), 0), "
-            f"'len': length(x), 'ok': {ok}}})) AS sp FROM documents")
+            f"'len': length({part})}})) AS sp FROM documents")
     allsp = " UNION ALL ".join(ctes)
     return f"""WITH a0 AS ({allsp}),
-a AS (SELECT doc_id, entity, prio, sp.s AS s, sp.len AS len FROM a0 WHERE sp.ok)
+a AS (SELECT doc_id, entity, prio, sp.s AS s, sp.len AS len FROM a0 WHERE sp.len IS NOT NULL)
 SELECT doc_id, entity, CAST(s AS BIGINT) AS start, CAST(s + len AS BIGINT) AS "end" FROM a
 WHERE NOT EXISTS (SELECT 1 FROM a b WHERE b.doc_id = a.doc_id AND b.s < a.s + a.len AND a.s < b.s + b.len
   AND (b.prio < a.prio OR (b.prio = a.prio AND (b.len > a.len OR (b.len = a.len AND b.s < a.s)))))"""
