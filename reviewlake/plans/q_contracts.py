@@ -208,23 +208,23 @@ def agent_results(spark, sf_dir):
 
 @register("exploded_findings", f"""WITH {_RESULTS_SQL},
 ok AS (SELECT pr_id, agent, CAST(i AS INTEGER) AS ord, fl[i + 1] AS f FROM results, unnest(range(len(fl))) AS t(i)
-  WHERE outcome = 'ok')
+  WHERE outcome = 'ok'),
+xt AS (SELECT pr_id, tool, string_agg(concat_ws(' ', severity, rule_id, concat(path, ':', CAST(line AS VARCHAR))), chr(10)
+    ORDER BY path, line, rule_id, severity) AS body FROM fnd WHERE upper(severity) IN ('HIGH', 'CRITICAL') GROUP BY pr_id, tool),
+xs AS (SELECT pr_id, string_agg(concat('=== ', tool, ' findings ===', chr(10), body), chr(10) || chr(10)
+    ORDER BY CASE tool WHEN 'Gitleaks' THEN 1 WHEN 'Trivy' THEN 2 ELSE 0 END) AS scan FROM xt GROUP BY pr_id)
 SELECT pr_id, agent, ord, json_extract_string(f, '$.description') AS description,
   json_extract_string(f, '$.file_reference') AS file_reference,
   CAST(CAST(json_extract(f, '$.line_number') AS DOUBLE) AS BIGINT) AS line_number,
   CAST(json_extract(f, '$.confidence_score') AS DOUBLE) AS confidence_score FROM ok
 UNION ALL
-SELECT pr_id, agent, 0, CASE agent WHEN 'security' THEN concat('Security scan failed: ', error)
+SELECT results.pr_id, agent, 0, CASE agent WHEN 'security' THEN CASE WHEN scan IS NOT NULL
+    THEN concat({O.q(P.SECURITY_SCAN_FALLBACK)}, scan) ELSE concat('Security scan failed: ', error) END
   WHEN 'architecture' THEN concat('Architecture review failed: ', error) ELSE concat('Testing evaluation failed: ', error) END,
-  'N/A', 0, 1.0 FROM results WHERE outcome = 'failed' AND agent <> 'critic' AND NOT (agent = 'security' AND has_scan)""")
+  'N/A', 0, 1.0 FROM results LEFT JOIN xs ON results.pr_id = xs.pr_id WHERE outcome = 'failed' AND agent <> 'critic'""")
 def exploded_findings(spark, sf_dir):
-    """Findings of the final results as a long table (security rows whose fallback
-    quotes a scan summary are left to ``agent_results``)."""
-    r = agent_results_df(spark, sf_dir)
-    x = C.explode_findings(r)
-    return x.join(r.filter((F.col("outcome") == "failed") & (F.col("agent") == "security") &
-                           (F.col("severity_level") == "high")).select("pr_id", "agent"),
-                  ["pr_id", "agent"], "left_anti")
+    """Findings of the final results as a long table, fallbacks included."""
+    return C.explode_findings(agent_results_df(spark, sf_dir))
 
 
 DEFAULT_PROMPTS = [
@@ -239,29 +239,6 @@ def prompt_table(spark):
     return spark.createDataFrame(DEFAULT_PROMPTS, "agent string, system string")
 
 
-@register("review_requests", f"""WITH {_scan_sql()},
-pt AS (SELECT pr_id, tool, CASE tool WHEN 'Gitleaks' THEN 1 WHEN 'Trivy' THEN 2 ELSE 0 END AS o,
-  string_agg(concat_ws(' ', severity, rule_id, concat(path, ':', CAST(line AS VARCHAR))), chr(10)
-    ORDER BY path, line, rule_id, severity) AS body FROM fnd WHERE upper(severity) IN ('HIGH', 'CRITICAL') GROUP BY pr_id, tool),
-pp AS (SELECT pr_id, string_agg(concat('=== ', tool, ' findings ===', chr(10), body), chr(10) || chr(10) ORDER BY o)
-  AS scan FROM pt GROUP BY pr_id),
-src AS (SELECT pr_id, {O.filtered('diff')} AS capped FROM prs),
-{O.mask_chain_ctes('src', 'pr_id, capped', 'capped', 'm')},
-s AS (SELECT pr_id, CASE WHEN capped = '' THEN '' ELSE {O.mask_secrets('t7')} END AS d FROM m),
-a AS (SELECT s.*, coalesce(pp.scan, '') AS scan, agent FROM s LEFT JOIN pp ON s.pr_id = pp.pr_id,
-  (VALUES ('security'), ('architecture'), ('testing')) AS t(agent)),
-u AS (SELECT pr_id, agent, concat({O.q(P.PAYLOAD_OPEN + chr(10))}, d, {O.q(chr(10) + P.PAYLOAD_CLOSE)},
-  CASE WHEN agent = 'security' AND scan <> '' THEN concat({O.q(P.SCAN_PREAMBLE)}, scan) ELSE '' END) AS "user",
-  contains(d, {O.q(P.PAYLOAD_CLOSE)}) AS breakout FROM a)
-SELECT pr_id, agent, md5("user") AS user_md5, CAST(length("user") AS BIGINT) AS user_len, breakout FROM u""")
-def review_requests(spark, sf_dir):
-    """D15 for the three reviewers: masked diff in payload tags, scan text for security."""
-    ctx = ReviewContext(spark, sf_dir)
-    r = C.build_requests(ctx.sanitized, prompt_table(spark), ctx.scans).filter(F.col("agent") != "critic")
-    return r.select("pr_id", "agent", F.md5("user").alias("user_md5"), F.length("user").cast("bigint").alias("user_len"),
-                    "breakout")
-
-
 @register("valid_reports", f"""WITH {VALIDATED_SQL}
 SELECT pr_id, agent, attempt,
   CASE WHEN agent = 'critic' THEN json_extract_string(j, '$.overall_status') ELSE json_extract_string(j, '$.status') END

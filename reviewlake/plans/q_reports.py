@@ -6,11 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..operators import contracts as C
 from ..operators import intake as I
 from ..operators import report as G
 from . import oracle_fixtures as O
 from .catalog import ORACLES, register
 from .context import ReviewContext
+from .q_contracts import prompt_table
 
 REPORT_TS = "2024-01-01 00:00 UTC"
 #: every field of the nested results, by agent
@@ -58,6 +60,16 @@ def result_documents(spark, sf_dir):
                     *[at(f"results.{a}.{f}").alias(f"{a}_{f}") for a, fs in RESULT_FIELDS.items() for f in fs])
 
 
+@register("review_requests")
+def review_requests(spark, sf_dir):
+    """One request per PR and agent: the whole masked diff in payload tags, the scan text for
+    security, the three reports as nested JSON for the critic."""
+    ctx = ReviewContext(spark, sf_dir)
+    r = C.build_requests(ctx.sanitized, prompt_table(spark), ctx.scans, ctx.final)
+    return r.select("pr_id", "agent", F.md5("user").alias("user_md5"), F.length("user").cast("bigint").alias("user_len"),
+                    "breakout")
+
+
 @register("audit_rows")
 def audit_rows(spark, sf_dir):
     """One audit row per finished review, without any diff column."""
@@ -235,3 +247,27 @@ SELECT md.pr_id, CAST(md.pr_id AS VARCHAR) AS pr_id_json, {O.q(G.DEFAULT_SUMMARY
   {_result_fields_sql()}
 FROM md JOIN final c ON c.pr_id = md.pr_id AND c.agent = 'critic' JOIN final s ON s.pr_id = md.pr_id AND s.agent = 'security'
   JOIN final a ON a.pr_id = md.pr_id AND a.agent = 'architecture' JOIN final t ON t.pr_id = md.pr_id AND t.agent = 'testing'"""
+
+
+def _requests_sql() -> str:
+    late = "to_json({'error': {t}.error, 'status': {t}.status, 'agent': {t}.agent})"
+    own = {"sec": "to_json({'status': sec.status, 'severity_level': sec.severity_level, 'findings_summary': sec.findings})",
+           "arch": "to_json({'status': arch.status, 'complexity_score': arch.complexity_score, 'refactor_suggestions': arch.findings})",
+           "tst": "to_json({'status': tst.status, 'test_coverage_adequate': tst.coverage, 'qa_notes': tst.findings})"}
+    js = {t: f"CAST(CASE WHEN {t}.outcome = 'timeout' THEN {late.replace('{t}', t)} ELSE {x} END AS VARCHAR)" for t, x in own.items()}
+    payload = f"concat({O.q(P.PAYLOAD_OPEN + chr(10))}, san.d, {O.q(chr(10) + P.PAYLOAD_CLOSE)})"
+    critic = (f"concat({O.q(P.CRITIC_INTRO)}, '{{\"security_agent_output\":', {js['sec']}, ',\"architecture_agent_output\":', "
+              f"{js['arch']}, ',\"testing_agent_output\":', {js['tst']}, '}}', "
+              f"CASE WHEN san.d <> '' THEN concat({O.q(P.CRITIC_DIFF_INTRO)}, {payload}) ELSE '' END)")
+    return f"""WITH {_oracle_results_sql()},
+u AS (SELECT san.pr_id, ag.agent, CASE WHEN ag.agent = 'critic' THEN {critic}
+  WHEN ag.agent = 'security' AND spp.scan IS NOT NULL THEN concat({payload}, {O.q(P.SCAN_PREAMBLE)}, spp.scan)
+  ELSE {payload} END AS "user", contains(san.d, {O.q(P.PAYLOAD_CLOSE)}) AS breakout
+  FROM san JOIN final sec ON sec.pr_id = san.pr_id AND sec.agent = 'security'
+  JOIN final arch ON arch.pr_id = san.pr_id AND arch.agent = 'architecture'
+  JOIN final tst ON tst.pr_id = san.pr_id AND tst.agent = 'testing' LEFT JOIN spp ON spp.pr_id = san.pr_id,
+  (VALUES ('security'), ('architecture'), ('testing'), ('critic')) AS ag(agent))
+SELECT pr_id, agent, md5("user") AS user_md5, CAST(length("user") AS BIGINT) AS user_len, breakout FROM u"""
+
+
+ORACLES["review_requests"] = _requests_sql()
