@@ -6,6 +6,8 @@ result's digest columns from the operator's own output.
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,7 +95,42 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+def _sql_pattern(kind: str) -> str:
+    """The pattern with either case of the keywords' letters spelled out."""
+    def both(word: str) -> str:
+        return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    pattern = secret_scan.LONG.get(kind, secret_scan.KINDS[kind][0]).replace("'", "''")
+    head, words, tail = re.match(r"^(\(?)(?:\(\?i:(.*?)\))?(.*)$", pattern, re.S).groups()
+    return pattern if words is None else head + "|".join(map(both, words.split("|"))) + tail
+
+
+def _op7_sql() -> str:
+    found = []
+    for place, (kind, (_, group, least)) in enumerate(secret_scan.KINDS.items()):
+        pat = _sql_pattern(kind)
+        found.append(
+            f"SELECT doc_id, source, {place} AS place, '{kind}' AS kind, unnest(list_transform(hits, lambda x, i: {{'start': "
+            "list_sum(list_transform(gaps[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda y: length(y))), 0), "
+            f"'len': length(x), 'value': vals[i]}})) AS m, {least} AS least FROM (SELECT doc_id, source, "
+            f"string_split_regex(t, '{pat}') AS gaps, regexp_extract_all(t, '{pat}') AS hits, regexp_extract_all(t, '{pat}', {group}) AS vals FROM d)")
+    return f"""WITH d AS (SELECT doc_id, coalesce(source, chr(1)) AS source, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(found)}),
+s AS (SELECT doc_id, source, place, kind, CAST(m.start AS BIGINT) AS a, CAST(m.start + m.len AS BIGINT) AS z, m.value AS v
+  FROM f WHERE length(m.value) >= least AND (kind <> 'key' OR (regexp_matches(m.value, '[0-9]') AND regexp_matches(m.value, '[A-Za-z]')))),
+k AS (SELECT * FROM s WHERE kind <> 'key' OR NOT EXISTS (SELECT 1 FROM s b WHERE b.doc_id = s.doc_id AND b.kind <> 'key' AND b.a <= s.a AND s.z <= b.z)),
+o AS (SELECT v, count(DISTINCT source) >= 3 AS shared FROM k GROUP BY v),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+  count(*) FILTER (kind = 'hex') AS n_hex, string_agg(concat(kind, ':', a, ':', z), ',' ORDER BY a, place) FILTER (kind <> 'key') AS base,
+  string_agg(concat(kind, ':', a, ':', z), ',' ORDER BY a, place) FILTER (kind <> 'key' OR NOT shared) AS spans,
+  count(*) FILTER (kind <> 'key' AND shared) AS n_example, count(*) FILTER (kind <> 'key' AND NOT shared) AS n_live_base
+  FROM k JOIN o USING (v) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_example, 0) AS n_example,
+  coalesce(n_live_base, 0) AS n_live_base
+FROM d LEFT JOIN g USING (doc_id)"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_quality, op3_best_fit_packing, op4_imatch, op5_curriculum, op6_wavelet_files, op7_secrets,
     op8_line_dedup, op9_simhash, op10_exact_top_k)}
-ORACLES = {"op10_exact_top_k": OP10_SQL}
+ORACLES = {"op7_secrets": _op7_sql(), "op10_exact_top_k": OP10_SQL}
