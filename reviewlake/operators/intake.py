@@ -74,10 +74,11 @@ def project_pr(accepted: DataFrame) -> DataFrame:
 def attach_diff(prs: DataFrame, diffs: DataFrame, url_col: str = "diff_url") -> DataFrame:
     """A5: bring the diff text to each PR by its URL; no diff -> '' and processing goes on.
 
-    An equi left join: Spark picks broadcast only when the diff side is small by its
-    statistics; otherwise sort-merge, with AQE splitting a hot URL's partition.
+    A diff that landed more than once counts once (of different texts the greatest). An equi
+    left join: Spark picks broadcast only when the diff side is small by its statistics;
+    otherwise sort-merge, with AQE splitting a hot URL's partition.
     """
-    d = diffs.select(F.col(url_col).alias("__url"), F.col("diff").alias("__diff"))
+    d = diffs.groupBy(F.col(url_col).alias("__url")).agg(F.max("diff").alias("__diff"))
     j = prs.join(d, prs[url_col] == d["__url"], "left")
     return j.drop("__url").withColumn("diff", F.coalesce(F.col("__diff"), F.lit(""))).drop("__diff")
 

@@ -4,7 +4,7 @@ shared SQL fragments, used by the oracle queries in ``oracle.py``."""
 from __future__ import annotations
 
 from ..functions import patterns as P
-from ..sources.fixtures import FIXTURE_KEY, hmac_pads
+from ..sources.fixtures import ADDED_LINES, FIXTURE_KEY, hmac_pads
 
 
 def q(s: str) -> str:
@@ -15,11 +15,17 @@ def q(s: str) -> str:
 def path_case(x: str = "doc_id") -> str:
     return (f"CASE {x} % 8 WHEN 0 THEN concat('src/mod_', {x}, '.py') WHEN 1 THEN concat('tests/test_', {x}, '.py') "
             f"WHEN 2 THEN 'package-lock.json' WHEN 3 THEN 'dist/app.min.js' WHEN 4 THEN concat('vendor/lib_', {x}, '.py') "
+            f"WHEN 6 THEN concat('app_', {x}, '/requirements.txt') "
             f"ELSE concat('src/pkg/f_', {x}, '.py') END")
 
 
+def added_lines(x: str = "doc_id") -> str:
+    arms = " ".join(f"WHEN {x} % {m} = {r} THEN chr(10) || {q(lines)}" for m, r, lines in ADDED_LINES)
+    return f"CASE {arms} ELSE '' END"
+
+
 F0 = f"""
-f0_f AS (SELECT doc_id, doc_id // 4 AS pr_id, text, {path_case()} AS path FROM documents),
+f0_f AS (SELECT doc_id, doc_id // 4 AS pr_id, text || {added_lines()} AS text, {path_case()} AS path FROM documents),
 f0_p AS (SELECT *, CASE WHEN (pr_id // 2) % 2 = 0 THEN 'a/' ELSE '' END AS pa,
   CASE WHEN (pr_id // 2) % 2 = 0 THEN 'b/' ELSE '' END AS pb FROM f0_f),
 f0_g AS (SELECT pr_id, doc_id, concat('diff --git ', pa, path, ' ', pb, path, chr(10), '--- /dev/null', chr(10), '+++ ', pb, path,
@@ -36,9 +42,9 @@ _IPAD, _OPAD = hmac_pads(FIXTURE_KEY)
 F1 = f"""
 f1_b AS (SELECT event_id AS delivery_id, CASE WHEN event_id % 97 = 0 THEN '{{"action":' ELSE
   concat('{{"action":"', CASE event_type WHEN 'signup' THEN 'opened' WHEN 'click' THEN 'synchronize' ELSE 'closed' END,
-  '","pull_request":{{', CASE WHEN event_id % 31 = 0 THEN '' ELSE concat('"number":', event_id % 250, ',') END,
+  '","pull_request":{{', CASE WHEN event_id % 31 = 0 THEN '' ELSE concat('"number":', event_id // 40, ',') END,
   '"title":', CASE WHEN event_id % 5 = 0 THEN 'null' ELSE concat('"', event_type, ' ', event_id, '"') END,
-  ',"diff_url":"https://example.invalid/', event_id % 250, '.diff"}},"repository":{{"full_name":',
+  ',"diff_url":"https://example.invalid/', CASE WHEN event_id % 37 = 0 THEN 'none' ELSE CAST(event_id // 40 AS VARCHAR) END, '.diff"}},"repository":{{"full_name":',
   CASE WHEN event_id % 41 = 0 THEN '""' ELSE '"org/repo"' END, '}}}}') END AS raw_body FROM events),
 deliveries AS (SELECT delivery_id, raw_body, CASE WHEN delivery_id % 53 = 0 THEN NULL WHEN delivery_id % 59 = 0 THEN 'sha256=bad'
   ELSE concat('sha256=', sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}') || encode(raw_body))))) END

@@ -137,6 +137,15 @@ def doc_mask_persons(spark, sf_dir):
     return m.select("doc_id", F.length("text").cast("bigint").alias("masked_len"), F.md5("text").alias("masked_md5"))
 
 
+@register("diff_mask_persons", f"""WITH {O.F0},
+m AS (SELECT pr_id, regexp_replace(diff, {O.q('\\b(' + '|'.join(P.DEFAULT_PERSON_NAMES) + ')\\b')}, '<PERSON>', 'g') AS masked FROM prs)
+SELECT pr_id, CAST(length(masked) AS BIGINT) AS masked_len, md5(masked) AS masked_md5 FROM m""")
+def diff_mask_persons(spark, sf_dir):
+    """C8 on whole diffs, whose added lines hold names."""
+    m = PV.mask_persons(fx.prs(spark, sf_dir), "diff", "pr_id", PV.person_names(spark))
+    return m.select("pr_id", F.length("diff").cast("bigint").alias("masked_len"), F.md5("diff").alias("masked_md5"))
+
+
 @register("sanitized_diffs", f"""WITH {O.F0},
 src AS (SELECT pr_id, {O.filtered('diff')} AS capped FROM prs),
 {O.mask_chain_ctes('src', 'pr_id, capped', 'capped', 'm')},
