@@ -55,7 +55,7 @@ def op5_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids (each ended by id 2), written as wavelet shards and read back."""
     path = wavelet.write_shards(documents(spark, sf_dir), scratch_path(spark, "wavelet"), public_tokenizers.path(WORD_BPE), 2)
-    return wavelet.read_shards(spark, path).select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
+    return wavelet.read_shards(spark, path, ids_crc32=F.crc32("token_ids"))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import struct
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import text_or_empty, with_workers
@@ -47,13 +47,15 @@ class WaveletMatrix:
         a = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         planes, counts, zeros = [], [], []
         for level in range(bits - 1, -1, -1):
-            one = (a & a.dtype.type(1 << level)) != 0
+            one = (a & a.dtype.type(1 << level)).astype(bool)
             planes.append(np.packbits(one))
-            ones = np.add.reduceat(one, np.arange(0, len(a), BLOCK), dtype=np.uint32) if len(a) else np.zeros(0, np.uint32)
+            words = np.zeros(-(-len(a) // BLOCK) * BLOCK // 64, dtype=np.uint64)
+            words.view(np.uint8)[:len(planes[-1])] = planes[-1]
+            ones = np.bitwise_count(words).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint32)
             counts.append(np.concatenate([[0], np.cumsum(ones)]).astype("<u4"))
-            zero = a[~one]
+            zero = np.compress(~one, a)
             zeros.append(len(zero))
-            a = np.concatenate([zero, a[one]])
+            a = np.concatenate([zero, np.compress(one, a)])
         return cls(len(ids), planes, counts, zeros)
 
     def ids(self) -> np.ndarray:
@@ -217,14 +219,19 @@ def _read_batches(batches):
                     ["shard", "doc_id", "own_start", "n_tokens", "token_ids"])
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
+def read_shards(spark: SparkSession, path: str, **derived: Column) -> DataFrame:
     """Per document of the files under ``path``: ``doc_id``, ``start`` (ids of all documents
-    before), ``n_tokens`` and ``token_ids`` (unsigned 32-bit, little-endian)."""
+    before), ``n_tokens`` and ``token_ids`` (unsigned 32-bit, little-endian).
+
+    ``derived`` columns over ``token_ids`` replace it: they are made where the shard is read, so
+    that only they move to meet the shards' starts."""
     with_workers(spark)
     files = spark.read.schema(SHARD_SCHEMA).parquet(path)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("shard_start"))
     read = files.select("shard", "data").mapInArrow(
         _read_batches, "shard BIGINT, doc_id BIGINT, own_start BIGINT, n_tokens BIGINT, token_ids BINARY")
+    wanted = [c.alias(n) for n, c in derived.items()] or [F.col("token_ids")]
+    read = read.select("shard", "doc_id", "own_start", "n_tokens", *wanted)
     return read.join(starts, "shard").select(
-        "doc_id", (F.col("shard_start") + F.col("own_start")).alias("start"), "n_tokens", "token_ids")
+        "doc_id", (F.col("shard_start") + F.col("own_start")).alias("start"), "n_tokens", *read.columns[4:])
