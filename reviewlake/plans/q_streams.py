@@ -14,19 +14,31 @@ from .context import ReviewContext
 from .q_reports import REPORT_TS
 
 
-def _land(df, path, parts=None, by=None):
-    (df.repartition(parts, by) if by is not None else df).write.mode("overwrite").parquet(path)
+def _land(df, path, mode="overwrite"):
+    df.write.mode(mode).parquet(path)
     return path
 
 
+def _intake(spark, sf_dir):
+    base = scratch_path(spark, "stream-intake")
+    deliveries, landing = fx.deliveries(spark, sf_dir), f"{base}/landing"
+    for half in (0, 1):  # two landings, so that at least two micro-batches run
+        _land(deliveries.filter(F.col("delivery_id") % 2 == half), landing, "append")
+    files = max(1, len(spark.read.parquet(landing).inputFiles()) // 2)
+    S.stream_intake(spark, landing, f"{base}/out", f"{base}/ckpt", fx.FIXTURE_KEY, max_files_per_trigger=files).awaitTermination()
+    return f"{base}/out"
+
+
 @register("stream_intake")
 def stream_intake(spark, sf_dir):
     """Webhook deliveries as a file stream -> routed; accepted PR rows read back."""
-    base = scratch_path(spark, "stream-intake")
-    landing = _land(fx.deliveries(spark, sf_dir), f"{base}/landing", 4, F.col("delivery_id") % 4)
-    q = S.stream_intake(spark, landing, f"{base}/out", f"{base}/ckpt", fx.FIXTURE_KEY, max_files_per_trigger=2)
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/out/accepted").drop("batch_id")
+    return spark.read.parquet(f"{_intake(spark, sf_dir)}/accepted").drop("batch_id")
+
+
+@register("stream_rejects")
+def stream_rejects(spark, sf_dir):
+    """What the same stream turned away, with its reasons."""
+    return spark.read.parquet(f"{_intake(spark, sf_dir)}/rejects").drop("batch_id")
 
 
 @register("stream_sanitize")
@@ -49,9 +61,13 @@ def stream_reports(spark, sf_dir):
     ctx = ReviewContext(spark, sf_dir)
     san_path = _land(ctx.sanitized.select("pr_id", "sanitized_diff"), f"{base}/prs")
     scan_path = _land(ctx.scans, f"{base}/scans")
-    landing = _land(fx.agent_outputs(spark, sf_dir), f"{base}/landing", 3, F.col("attempt"))
+    outputs, landing = fx.agent_outputs(spark, sf_dir), f"{base}/landing"
+    for attempt in (1, 2, 3):  # as they come in, attempt after attempt
+        _land(outputs.filter(F.col("attempt") == attempt), landing, "append")
+    files = max(1, len(spark.read.parquet(landing).inputFiles()) // 3)
     q = S.stream_reports(spark, landing, spark.read.parquet(san_path), spark.read.parquet(scan_path),
-                         f"{base}/out", f"{base}/ckpt", REPORT_TS, max_files_per_trigger=1)
+                         f"{base}/out", f"{base}/ckpt", REPORT_TS, max_files_per_trigger=files,
+                         buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
     q.awaitTermination()
     rep = S.latest_reports(spark, f"{base}/out")
     return rep.select("pr_id", "critic_outcome", F.length("markdown_report").cast("bigint").alias("report_len"),
@@ -61,6 +77,8 @@ def stream_reports(spark, sf_dir):
 def _share_oracles():
     from . import q_intake, q_privacy, q_reports  # noqa: F401
     ORACLES["stream_intake"] = ORACLES["pr_intake"]
+    ORACLES["stream_rejects"] = f"""WITH {q_intake._ROUTE_SQL}
+SELECT delivery_id, outcome, reason FROM routed2 WHERE outcome <> 'accepted'"""
     ORACLES["stream_sanitize"] = ORACLES["sanitized_diffs"]
     ORACLES["stream_reports"] = (ORACLES["reports"].rsplit("FROM md", 1)[0]
                                  + "FROM md WHERE pr_id IN (SELECT DISTINCT doc_id // 4 FROM documents)")

@@ -17,7 +17,7 @@ from ..operators import diffs as D
 from ..operators import intake as I
 from ..operators import privacy as PV
 from ..operators import report as G
-from ..sources.io import DELIVERY_SCHEMA
+from ..sources.io import scan_deliveries
 
 PRS_SCHEMA = "pr_id BIGINT, diff STRING"
 AGENT_OUTPUT_SCHEMA = ("pr_id BIGINT, agent STRING, attempt INT, provider STRING, latency_s DOUBLE, "
@@ -42,10 +42,7 @@ def stream_intake(spark: SparkSession, in_path: str, out_path: str, ckpt: str, s
                   available_now: bool = True, interval: str = "30 seconds", max_files_per_trigger: int | None = None):
     """A1-A4 on a file stream of deliveries; accepted PR rows to ``out/accepted``,
     everything else to ``out/rejects``. Stateless append; returns the StreamingQuery."""
-    r = spark.readStream.schema(DELIVERY_SCHEMA)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    src = r.parquet(in_path)
+    src = scan_deliveries(spark, in_path, streaming=True, max_files_per_trigger=max_files_per_trigger)
 
     def batch(df: DataFrame, batch_id: int) -> None:
         routed = I.route_deliveries(df, secret).persist()
@@ -80,11 +77,13 @@ def start_sanitize(spark: SparkSession, in_path: str, out_path: str, ckpt: str,
 
 def stream_reports(spark: SparkSession, in_path: str, prs: DataFrame, scans: DataFrame, out_path: str, ckpt: str,
                    ts: str, available_now: bool = True, interval: str = "30 seconds",
-                   max_files_per_trigger: int | None = None, buckets: int = 64):
+                   max_files_per_trigger: int | None = None, buckets: int = 1024):
     """S3: landed agent outputs -> validated attempts (appended per batch) -> for the PRs
     a batch touched, all their attempts so far are resolved, defaulted and rendered, and
     the reports written under the batch id. ``prs`` holds the sanitized diffs (static),
-    ``scans`` the scan summaries. Read the newest report per PR with :func:`latest_reports`."""
+    ``scans`` the scan summaries. ``buckets`` partitions the attempts table and bounds the width of
+    the write; it stays the same for the life of ``out_path``. Read the newest report per PR with
+    :func:`latest_reports`."""
     r = spark.readStream.schema(AGENT_OUTPUT_SCHEMA)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -92,6 +91,13 @@ def stream_reports(spark: SparkSession, in_path: str, prs: DataFrame, scans: Dat
     attempts_path = f"{out_path}/attempts"
 
     def batch(df: DataFrame, batch_id: int) -> None:
+        df = df.persist()
+        try:
+            one_batch(df, batch_id)
+        finally:
+            df.unpersist()
+
+    def one_batch(df: DataFrame, batch_id: int) -> None:
         v = C.validate_reports(C.parse_reports(df)).drop("payload", "cleaned", "parse_error")
         # one file per touched bucket instead of one per (task, bucket)
         v = v.withColumn("pr_bucket", pr_bucket("pr_id", buckets)).repartition("pr_bucket")
