@@ -121,6 +121,8 @@ def parse_reports(df: DataFrame, text: str = "raw_text", quoted: int = 200) -> D
     x = df.withColumn("cleaned", F.expr(J.strip_fence_sql(text)))
     payload = F.expr(J.strict_parse_sql("cleaned"))
     err = F.when(payload.isNull(), F.concat(F.lit("LLM returned non-JSON content\n---\n"), F.substring("cleaned", 1, quoted)))
+    if "error" in df.columns:  # the call failed, there is no text
+        err = F.coalesce(F.col("error"), err)
     # The parse result leaves through a one-row generator so that the many later
     # references to ``payload`` read one computed value instead of re-parsing.
     return x.select(*df.columns, "cleaned", F.inline(F.array(F.struct(payload.alias("payload"), err.alias("parse_error")))))
@@ -164,6 +166,18 @@ def classify_errors(df: DataFrame, error_type: str = "error_type", message: str
     return df.withColumn("retryable", retry)
 
 
+#: columns of a validated attempt that only validation needs; shed them before the log is shuffled
+ATTEMPT_TEXTS = ("raw_text", "cleaned", "payload", "parse_error", "error", "error_type")
+
+
+def classify_attempts(validated: DataFrame) -> DataFrame:
+    """D9 on validated attempts: ``error_type`` (the failed call's, or a validation error) and
+    ``retryable`` of those that are not valid."""
+    kind = F.when(F.col("valid"), F.lit(None)).when(F.col("error").isNotNull(), F.lit("http")).otherwise(F.lit("validation"))
+    return classify_errors(validated.withColumn("error_type", kind), "error_type", "error").withColumn(
+        "retryable", F.col("valid") | F.col("retryable"))
+
+
 def resolve_attempts(log: DataFrame, max_retries: int = P.MAX_RETRIES, fallback_enabled: bool = True,
                      sla_seconds: float = P.SUBAGENT_TIMEOUT_SECONDS) -> DataFrame:
     """D10 + D11 + D13: per (pr_id, agent), the attempt whose report is used.

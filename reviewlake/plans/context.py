@@ -62,11 +62,11 @@ class ReviewContext:
         # this small, highly compressible shuffle into one CPU-bound task.
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         log = fx.agent_outputs(self.spark, self.sf_dir).repartition(n, "pr_id", "agent")
-        return C.validate_reports(C.parse_reports(log))
+        return C.classify_attempts(C.validate_reports(C.parse_reports(log)))
 
     @cached_property
     def resolved(self) -> DataFrame:
-        return C.resolve_attempts(self.validated)
+        return C.resolve_attempts(self.validated.drop(*C.ATTEMPT_TEXTS))
 
     @cached_property
     def results(self) -> DataFrame:

@@ -63,7 +63,10 @@ f2_e AS (SELECT *, CASE WHEN attempt = 1 AND doc_id % 13 = 0 THEN 'maybe' WHEN d
     ELSE concat('0.', lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0')) END, '}}]') AS fnd FROM f2_a),
 agent_outputs AS (SELECT pr_id, agent, CAST(attempt AS INTEGER) AS attempt,
   CASE WHEN attempt = 3 THEN 'fallback' ELSE 'primary' END AS provider,
-  CAST(doc_id % 50 AS DOUBLE) AS latency_s, CASE WHEN attempt = 1 AND doc_id % 7 = 0 THEN 'not json'
+  CAST(doc_id % 50 AS DOUBLE) AS latency_s, CASE WHEN attempt <= 2 AND doc_id % 17 = 3 THEN 'HTTP 503 Service Unavailable'
+  WHEN attempt = 1 AND doc_id % 19 = 4 THEN 'HTTP 401 Unauthorized' END AS error,
+  CASE WHEN (attempt <= 2 AND doc_id % 17 = 3) OR (attempt = 1 AND doc_id % 19 = 4) THEN NULL
+  WHEN attempt = 1 AND doc_id % 7 = 0 THEN 'not json'
   WHEN doc_id % 91 = 0 THEN '{{"status":' ELSE concat('```json', chr(10), CASE agent
     WHEN 'security' THEN concat('{{"status":"', st, '","severity_level":"', CASE WHEN doc_id % 8 = 0 THEN 'high' ELSE 'low' END,
       '","findings_summary":', fnd, '}}')

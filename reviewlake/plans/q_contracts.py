@@ -94,7 +94,8 @@ VALIDATED_SQL = f"""{O.F2},
 v0 AS (SELECT *, CASE WHEN regexp_matches(raw_text, {_FENCE}) THEN regexp_extract(raw_text, {_FENCE}, 1)
   ELSE regexp_replace(raw_text, '^\\s+|\\s+$', '', 'g') END AS cleaned FROM agent_outputs),
 v1 AS (SELECT *, CASE WHEN json_valid(cleaned) THEN CAST(cleaned AS JSON) END AS j FROM v0),
-v2 AS (SELECT *, CASE WHEN j IS NULL THEN concat('LLM returned non-JSON content', chr(10), '---', chr(10), substr(cleaned, 1, 200))
+v2 AS (SELECT *, error IS NULL OR regexp_matches(error, '429|500|502|503|504') AS retryable,
+  CASE WHEN error IS NOT NULL THEN error WHEN j IS NULL THEN concat('LLM returned non-JSON content', chr(10), '---', chr(10), substr(cleaned, 1, 200))
   WHEN ({_d_reason()}) IS NOT NULL THEN concat('LLM output failed validation (', agent, '): ', {_d_reason()}) END AS reason FROM v1),
 validated AS (SELECT *, reason IS NULL AS valid FROM v2)"""
 
@@ -121,8 +122,9 @@ def report_rejects(spark, sf_dir):
 
 
 _RESOLVED_SQL = f"""{VALIDATED_SQL},
-r0 AS (SELECT *, attempt <= {P.MAX_RETRIES} AND provider = 'primary' AS primary_made,
-  CASE WHEN provider = 'primary' THEN 0 ELSE 1 END AS prank FROM validated),
+ra AS (SELECT *, CASE WHEN provider = 'primary' THEN 0 ELSE 1 END AS prank FROM validated),
+r0 AS (SELECT *, attempt <= {P.MAX_RETRIES} AND provider = 'primary' AND NOT coalesce(bool_or(NOT valid AND NOT retryable) OVER
+  (PARTITION BY pr_id, agent ORDER BY prank, attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS primary_made FROM ra),
 r1 AS (SELECT *,
   coalesce(max(CASE WHEN primary_made AND valid THEN 1 ELSE 0 END) OVER w, 0) = 1 AS valid_before,
   coalesce(max(prank) OVER w, 0) = 1 AS fb_before FROM r0
@@ -154,12 +156,12 @@ def resolved_reports(spark, sf_dir):
 
 
 @register("attempt_errors", f"""WITH {VALIDATED_SQL}
-SELECT pr_id, agent, attempt, CASE WHEN j IS NULL THEN 'validation' ELSE 'validation' END AS error_type,
-  true AS retryable FROM validated WHERE NOT valid""")
+SELECT pr_id, agent, attempt, CASE WHEN error IS NULL THEN 'validation' ELSE 'http' END AS error_type, retryable
+FROM validated WHERE NOT valid""")
 def attempt_errors(spark, sf_dir):
-    """Failed attempts classified (parse and contract failures are validation errors)."""
-    v = validated(spark, sf_dir).filter(~F.col("valid")).withColumn("error_type", F.lit("validation"))
-    return C.classify_errors(v, "error_type", "reason").select("pr_id", "agent", "attempt", "error_type", "retryable")
+    """Failed attempts classified: parse and contract failures are validation errors, which
+    retry; failed calls retry by their HTTP code."""
+    return validated(spark, sf_dir).filter(~F.col("valid")).select("pr_id", "agent", "attempt", "error_type", "retryable")
 
 
 def _scan_sql():

@@ -124,8 +124,9 @@ def deliveries(spark: SparkSession, sf_dir: str, key: str = FIXTURE_KEY) -> Data
 
 
 def agent_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F2 ``agent_outputs(pr_id, agent, attempt, provider, latency_s, raw_text)``: three
-    attempts per (PR, agent), attempt 3 on the fallback provider."""
+    """F2 ``agent_outputs(pr_id, agent, attempt, provider, latency_s, raw_text, error)``: three
+    attempts per (PR, agent), attempt 3 on the fallback provider; a call that failed has an error
+    and no text."""
     d = read_table(spark, sf_dir, "documents").select("doc_id")
     doc_id = F.col("doc_id")
     s = lambda c: c.cast("string")
@@ -161,7 +162,10 @@ def agent_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = (F.when((att == 1) & (doc_id % 7 == 0), F.lit("not json"))
            .when(doc_id % 91 == 0, F.lit('{"status":'))
            .otherwise(F.concat(F.lit("```json\n"), body, F.lit("\n```"))))
+    error = (F.when((att <= 2) & (doc_id % 17 == 3), F.lit("HTTP 503 Service Unavailable"))
+             .when((att == 1) & (doc_id % 19 == 4), F.lit("HTTP 401 Unauthorized")))
+    raw = F.when(error.isNull(), raw)
     return e.select(
         F.col("pr_id").cast("bigint"), "agent", att.cast("int").alias("attempt"),
         F.when(att == 3, "fallback").otherwise("primary").alias("provider"),
-        (doc_id % 50).cast("double").alias("latency_s"), raw.alias("raw_text"))
+        (doc_id % 50).cast("double").alias("latency_s"), raw.alias("raw_text"), error.alias("error"))

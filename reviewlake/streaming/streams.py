@@ -21,7 +21,7 @@ from ..sources.io import scan_deliveries
 
 PRS_SCHEMA = "pr_id BIGINT, diff STRING"
 AGENT_OUTPUT_SCHEMA = ("pr_id BIGINT, agent STRING, attempt INT, provider STRING, latency_s DOUBLE, "
-                       "raw_text STRING")
+                       "raw_text STRING, error STRING")
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int, extra_partitions=()) -> None:
@@ -98,7 +98,7 @@ def stream_reports(spark: SparkSession, in_path: str, prs: DataFrame, scans: Dat
             df.unpersist()
 
     def one_batch(df: DataFrame, batch_id: int) -> None:
-        v = C.validate_reports(C.parse_reports(df)).drop("payload", "cleaned", "parse_error")
+        v = C.classify_attempts(C.validate_reports(C.parse_reports(df))).drop(*C.ATTEMPT_TEXTS)
         # one file per touched bucket instead of one per (task, bucket)
         v = v.withColumn("pr_bucket", pr_bucket("pr_id", buckets)).repartition("pr_bucket")
         _write_batch(v, attempts_path, batch_id, ("pr_bucket",))
