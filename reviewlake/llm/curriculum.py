@@ -124,9 +124,10 @@ def plan(docs: DataFrame, weights=(3, 1, 2), total: float = 1.5, most: float = 2
         F.when(got(F.col("source_size")) > 0, when_due(second)).alias("again"), F.col("th"))
 
 
-def by_position(planned: DataFrame) -> DataFrame:
-    """The plan, range-sorted by time; what the mix leaves out stands last."""
-    return planned.orderBy(F.col("position").asc_nulls_last())
+def by_position(planned: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The plan, range-sorted by time; what the mix leaves out stands last, by id, so that it too
+    is dealt over many ranges."""
+    return planned.orderBy(F.col("position").asc_nulls_last(), F.col(id_col))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
