@@ -36,6 +36,7 @@ from .common import small_methods, stored, text_or_empty
 
 LEVELS = 3
 LANE = 16  #: bits of a term's hash that one family has
+SCARCE = 0.25  #: share of a text's sampled terms in the band below which all its terms describe it
 NO_ID = -(1 << 63)
 
 
@@ -45,9 +46,9 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def lexicon(term_sets: DataFrame, min_df: int, max_share: float) -> DataFrame:
-    """(term) in the band; ``term_sets`` has one array ``terms`` per document."""
-    n = term_sets.count()
+def lexicon(term_sets: DataFrame, min_df: int, max_share: float, n: int | None = None) -> DataFrame:
+    """(term) in the band; ``term_sets`` has one array ``terms`` for each of ``n`` texts."""
+    n = term_sets.count() if n is None else n
     df = term_sets.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return df.where((F.col("df") >= min_df) & (F.col("df") <= max(min_df, int(max_share * n)))).select("term")
 
@@ -135,6 +136,13 @@ def _signatures(picks: str, level: str, whole: str, families: int, side: int) ->
                     F.when(F.size(found) > 0, F.array_join(found, ",")).otherwise(F.concat(F.lit("all."), F.lower(F.hex(whole)))))
 
 
+def _described(picks: str) -> Column:
+    """The sampled terms that describe a text: those in the band, or all where these are scarce."""
+    own = F.filter(picks, lambda p: p["bits"].bitwiseAND(F.lit(0x0005000500050005)) != 0)  # side 0, the unedited text
+    scarce = F.size(F.filter(own, lambda p: p["known"])) < F.size(own) * SCARCE
+    return F.when(scarce, F.col(picks)).otherwise(F.filter(picks, lambda p: p["known"]))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal signatures among those that either fingerprint has on common levels."""
     level = lambda x: F.regexp_extract(x, "^L([0-9]+)", 1).cast("int")
@@ -173,10 +181,14 @@ def fingerprints(docs: DataFrame, families: int = 8, min_df: int = 2, max_share:
             .withColumn("all_terms", F.xxhash64(F.array_sort("o"))).withColumn("edited_terms", F.xxhash64(F.array_sort("e"))))
     with small_methods(docs.sparkSession):
         rows = stored(_picked(both), "imatch-picks")
-    band = lexicon(keyed.select(terms(F.col("t")).alias("terms")), min_df, max_share)
-    picks = (rows.where("term IS NOT NULL").select("num", "term", "bits").join(band, "term")
-             .groupBy("num").agg(F.collect_list(F.struct("term", "bits")).alias("picks")))
-    none = F.from_json(F.lit("[]"), "array<struct<term:bigint,bits:bigint>>")
+    firsts = order.groupBy("th").agg(F.min("d").alias("d"))  # one document of each text
+    band = lexicon(texts.join(firsts, ["d", "th"], "left_semi").select(terms(F.col("t")).alias("terms")),
+                   min_df, max_share, firsts.count())
+    known = F.col("known").isNotNull().alias("known")
+    picks = (rows.where("term IS NOT NULL").select("num", "term", "bits")
+             .join(band.withColumn("known", F.lit(True)), "term", "left").select("num", F.struct("term", "bits", known).alias("pick"))
+             .groupBy("num").agg(F.collect_list("pick").alias("picks")).withColumn("picks", _described("picks")))
+    none = F.from_json(F.lit("[]"), "array<struct<term:bigint,bits:bigint,known:boolean>>")
     signed = (rows.where("term IS NULL").drop("term", "bits").join(picks, "num", "left").withColumn("picks", F.coalesce("picks", none))
               .select("num", "next", "d", "copies", "n_chars", "edited_sha256",
                       _signatures("picks", "level", "all_terms", families, 0).alias("fingerprint"),

@@ -121,3 +121,23 @@ def test_every_operator_has_one_query():
     for n in range(1, 11):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
+
+
+def test_a_near_copy_group_of_a_third_keeps_its_likeness(spark):
+    words = [f"t{i}" for i in range(80)]
+    docs = [(i, " ".join([*words[:i % 80], f"c{i % 7}", *words[i % 80 + 1:]]) if i % 3 == 0 else
+             " ".join(f"o{(i * 31 + j * 17) % 997}" for j in range(80))) for i in range(300)]
+    got = check(frame(spark, docs), docs)
+    group = [got[i][0].near_edited for i, _ in docs if i % 3 == 0]  # the next document is none of the group
+    assert sum(group) / len(group) > 0.1 and sum(x > 0 for x in group) > 0.8 * len(group)
+    ahead = [(2 * i, t) for i, t in docs if i % 3 == 0] + [(10_000 + i, t) for i, t in docs if i % 3]
+    near = [r[0].near_next for i, r in check(frame(spark, ahead), ahead).items() if i < 590]  # followed by a near copy
+    assert sum(near) / len(near) > 0.5 and sum(x > 0 for x in near) > 0.9 * len(near)
+
+
+def test_the_band_counts_distinct_texts(spark):
+    copies = [(i, "alpha beta gamma delta") for i in range(30)]
+    others = [(100 + i, f"alpha w{i % 20} v{i % 15}") for i in range(60)]
+    got = check(frame(spark, copies + others), copies + others)
+    alone = check(frame(spark, copies[:1] + others), copies[:1] + others)
+    assert all(got[i][0].fingerprint == alone[i][0].fingerprint for i, _ in copies[:1] + others)
