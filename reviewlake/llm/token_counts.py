@@ -5,11 +5,14 @@ and digested (SHA-256). The digests are joined to the cache, a Parquet table of
 (digest, n_tokens) per tokenizer version; only one text of each digest that the cache misses is
 encoded, and its count appended. A later call on the same or grown data encodes what is new.
 
-The cache has one writer at a time: what it appends is what the cache lacked, each digest once, so a
-digest stands in it once and the last join needs no grouping.
+Rows of equal id and text all match the one (digest, id) that stands for a text, and a skewed
+partition that Spark splits hands them to several tasks, each of which encodes the text once. So the
+counts are grouped by digest before they are appended, and the cache again when it is read, since
+two writers at a time may append the same digest; equal digests have equal counts.
 
 The text itself is shuffled once, keyed by document, so that a text with very many copies makes no
-hot task; the joins on the digest carry 40-byte rows, and Spark splits their skewed partitions.
+hot task; the joins on the digest carry 40-byte rows, and Spark splits their skewed partitions (of
+the last join too, since the grouped counts are written before it).
 
 Defined cases: null text counts as empty (0 bytes, 0 tokens); repeated rows each get their row;
 an empty table gives no rows; other columns are kept by ``token_counts`` (its own result columns
@@ -36,7 +39,8 @@ def read_cache(spark, cache_path: str, version: str) -> DataFrame:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], CACHE_SCHEMA)
-    return cache.where(F.col("version") == version)
+    return (cache.where(F.col("version") == version).groupBy("digest")
+            .agg(F.min("n_tokens").alias("n_tokens")).withColumn("version", F.lit(version)))
 
 
 def _count_batches(tokenizer_path: str):
@@ -70,6 +74,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     to_encode = texts.join(missing.hint("shuffle_hash"),
                            F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_digest") == F.col("digest")))
     (to_encode.select("digest", "t").mapInArrow(_count_batches(tokenizer_path), "digest BINARY, n_tokens BIGINT")
+     .groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
      .withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(cache_path))
-    counts = read_cache(spark, cache_path, version).drop("version")
+    counts = stored(read_cache(spark, cache_path, version).drop("version"), "token-counts")
     return keyed.join(counts, "digest", "left").select(*kept, "n_bytes", "n_tokens")

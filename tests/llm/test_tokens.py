@@ -49,6 +49,28 @@ def test_counts_and_cache(spark, edges, nothing):
     assert token_counts.token_counts(nothing, BYTE, scratch_path(spark, "cache-test")).count() == 0
 
 
+def test_a_repeated_row_in_several_tasks_counts_once(spark):
+    rnd = random.Random(7)
+    text = " ".join(f"w{rnd.randrange(10 ** 6)}" for _ in range(2000))
+    rows = [(3, text)] * 300 + [(i, f"own text {i}") for i in range(10, 60)]
+    split = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in split}
+    try:
+        for k, v in split.items():
+            spark.conf.set(k, v)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+        path = scratch_path(spark, "cache-test")
+        assert token_counts.token_counts(docs, BYTE, path).count() == len(rows)
+        cache = spark.read.parquet(path)
+        assert cache.count() == cache.select("digest").distinct().count() == 51
+        cache.write.mode("append").partitionBy("version").parquet(path)  # as a second writer might
+        assert token_counts.token_counts(docs, BYTE, path).count() == len(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def check_packing(rows, docs, capacity, end):
     pieces, seqs = {}, {}
     for r in rows:
