@@ -3,7 +3,8 @@
 Vectors become integers, floor(scale * x), and are packed into tiles of some thousand rows; the
 queries into blocks likewise. Every block meets every tile once (the stated query set against all
 rows, block by block; tiles and blocks are dealt over a grid of tasks): one matrix product, then a partial selection of each query's k best of the
-tile. The lists meet in two levels, first per group of tiles, then per query, so that no task
+tile. The rows are sorted before they are cut into tiles, so that a task that runs again, whose shuffle
+read comes in another order, packs the same tiles. The lists meet in two levels, first per group of tiles, then per query, so that no task
 holds more than a group's lists.
 
 Scores are exact: a product is made in doubles while no sum can pass 2^53, in 64-bit integers
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import with_workers
 
+TILE_SCHEMA = "tile BIGINT, width INT, ids BINARY, m BINARY"
 HIT_SCHEMA = "tile BIGINT, query_id BIGINT, vec_id BIGINT, score BIGINT"
 
 
@@ -74,6 +76,11 @@ def _tiles(size: int):
     return run
 
 
+def tiled(whole: DataFrame, size: int) -> DataFrame:
+    """Tiles of at most ``size`` rows, the same whatever the order of the rows in a partition."""
+    return whole.sortWithinPartitions("vec_id", "v").mapInArrow(_tiles(size), TILE_SCHEMA)
+
+
 def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Exact products of whole-number matrices; the narrower is filled up with zeros."""
     width = min(q.shape[1], v.shape[1])
@@ -129,9 +136,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id_col: st
     over ``vec_id``) picks."""
     spark = with_workers(vectors.sparkSession)
     whole = integer_vectors(vectors, id_col, vec_col, scale)
-    tile_schema = "tile BIGINT, width INT, ids BINARY, m BINARY"
-    tiles = whole.mapInArrow(_tiles(tile_rows), tile_schema)
-    blocks = whole.where(is_query).mapInArrow(_tiles(block_rows), tile_schema)
+    tiles, blocks = tiled(whole, tile_rows), tiled(whole.where(is_query), block_rows)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     across = max(1, round((width / 20) ** 0.5))  # queries are far fewer than rows
     down = -(-width // across)

@@ -36,6 +36,12 @@ def test_top_k_equals_brute_force(spark):
     assert run(few, 1, 20) == brute([r for r in rows if r[0] is not None and r[0] < 3], 1, 20)
 
 
+def test_tiles_are_the_same_in_any_order_of_rows(spark):
+    rows = [(i // 2, [float(i), 1.0]) for i in range(50)]
+    made = [topk.tiled(spark.createDataFrame(r, "vec_id long, v array<double>").coalesce(1), 8).collect() for r in (rows, rows[::-1])]
+    assert len(made[0]) == 7 and sorted(made[0]) == sorted(made[1])
+
+
 def test_products_stay_exact_at_any_size():
     for top in (2 ** 20, 2 ** 28, 2 ** 31):
         q = np.array([[top, 1.0], [-top, 3.0]])
