@@ -7,8 +7,9 @@ each add a feature for that, whatever the words are. The score is the logistic f
 sparse dot product with the weights.
 
 Weights come from follow-the-regularised-leader updates (per-coordinate rates, L1 and L2 terms)
-over a bounded sample of the labelled rows: at most ``sample_rows`` of them, those with the
-smallest hashed ids, in that order, ``epochs`` times, in one task whose size the bound fixes. The
+over a bounded sample of the labelled ids: at most ``sample_rows`` of them, those with the
+smallest hashes, in that order, ``epochs`` times, in one task whose size the bound fixes: each id
+teaches once, by its text of the smallest hash, however often it is listed. The
 result, at most 2^18 weights, goes with the scoring function; scoring reads every text once and
 shuffles nothing.
 
@@ -119,7 +120,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     order = F.xxhash64("own_id")
     sample = usable.orderBy(order, "own_id").limit(sample_rows)  # at most sample_rows pairs of numbers
     rows = (docs.select(F.col(id_col).alias("own_id"), text_or_empty(text_col).alias("t"))
-            .join(F.broadcast(sample), "own_id").repartition(1).sortWithinPartitions(order, "own_id", "t"))
+            .join(F.broadcast(sample), "own_id")
+            .groupBy("own_id", "label").agg(F.min(F.struct(F.xxhash64("t"), "t"))["t"].alias("t"))
+            .repartition(1).sortWithinPartitions(order, "own_id", "t"))
     found = rows.select("t", "label").mapInArrow(_train(epochs), "place INT, weight DOUBLE").collect()
     if not found:
         return np.zeros(0)

@@ -71,6 +71,17 @@ def test_labels_of_held_out_rows_teach_nothing(spark, sample):
     assert np.array_equal(quality.fit(df, labels), quality.fit(df, turned))
 
 
+def test_a_repeated_labelled_id_teaches_once(spark):
+    rows = [(i, f"{'good clean words' if i % 2 else 'bad junk !!!'} number {i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    fit = lambda r: quality.fit(spark.createDataFrame(r, "doc_id long, text string").repartition(5), labels)
+    alone = fit(rows)
+    hot = next(i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2)
+    assert len(alone) and np.array_equal(alone, fit(rows + [rows[hot]] * 60))
+    rest, own = [r for r in rows if r[0] != hot], [(hot, f"another text {k}") for k in range(3)]
+    assert sum(np.array_equal(fit(rest + own * 20), fit(rest + [r])) for r in own) == 1
+
+
 def test_ftrl_follows_its_definition():
     m, z, n, w = quality.Ftrl(0.5, 1.0, 0.1, 0.2), {}, {}, {}
     data = [([1, 5], [0.6, 0.8], 1), ([5, 9], [0.5, 0.5], 0), ([1], [1.0], 0), ([9, 1], [0.3, 0.1], 1)]
