@@ -1,7 +1,7 @@
 """Operator 4, I-Match document fingerprints over randomised lexicon subsets.
 
-The lexicon is the corpus's terms (lower-cased runs of characters other than ASCII white space and
-punctuation) whose document
+The lexicon is the corpus's terms (lower-cased runs of letters, their marks and digits of any
+script) whose document
 frequency lies in a band: at least ``min_df`` documents (idf at most ln(N / min_df)) and at most
 ``max_share`` of them (idf at least ln(1 / max_share)). A signature is a hash of the sorted
 distinct terms of a text that lie in one subset of the lexicon; a subset is a sample by hash, and
@@ -42,7 +42,7 @@ NO_ID = -(1 << 63)
 
 def terms(text: Column) -> Column:
     """Hashes of the distinct terms of a text."""
-    words = F.array_remove(F.split(F.lower(text), r"[\s\p{Punct}]+"), "")
+    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), "")
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 

@@ -7,6 +7,7 @@ import corpus_pipeline
 import public_tokenizers
 from llm_cases import EDGES, edges, frame, nothing, sample  # noqa: F401
 from test_duplicates import deleted_lines, fingerprint, groups
+from pyspark.sql import functions as F
 from test_tokens import check_packing
 
 from reviewlake.llm import imatch, quality
@@ -57,6 +58,14 @@ def test_band_leaves_out_rare_and_common_terms(spark):
     assert sorted(got) == sorted(hashes)
 
 
+def test_terms_end_at_signs_of_any_script(spark):
+    texts = ["one two three", "«one» “two”—three…", "one\u00a0two\u3000three", "ONE、two。three！", "one_two $three~"]
+    sets = frame(spark, list(enumerate(texts))).select(imatch.terms(F.col("text")).alias("terms")).collect()
+    assert len({tuple(sorted(r.terms)) for r in sets}) == 1
+    (r,) = frame(spark, [(1, "cafe\u0301 हिन्दी x1")]).select(imatch.terms(F.col("text")).alias("terms")).collect()
+    assert len(r.terms) == 3
+
+
 def run_stages(spark, df, sf_dir):
     out = [df]
     for _, stage in corpus_pipeline.STAGES:
