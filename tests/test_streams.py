@@ -32,3 +32,13 @@ def test_stream_intake_replay_is_idempotent(spark):
     for _ in range(2):  # second run resumes from the checkpoint: nothing new, nothing duplicated
         S.stream_intake(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", "k").awaitTermination()
     assert rows(spark.read.parquet(f"{base}/out/accepted"), "pr_id") == [("1",)]
+
+
+def test_every_delivery_lands_in_one_half(spark, tmp_path, monkeypatch):
+    from reviewlake.plans import q_streams as Q
+    df = spark.createDataFrame([(i,) for i in (None, None, -3, -2, -1, 0, 1, 2, 3)], "delivery_id long")
+    landed = []
+    monkeypatch.setattr(Q.fx, "deliveries", lambda spark, sf_dir: df)
+    monkeypatch.setattr(Q.S, "stream_intake", lambda spark, landing, *a, **k: landed.append(landing) or type("Q", (), {"awaitTermination": lambda self: None})())
+    Q._intake(spark, str(tmp_path))
+    assert sorted(map(str, rows(spark.read.parquet(landed[0])))) == sorted(map(str, rows(df)))
