@@ -3,8 +3,9 @@
 Base spans are found by three patterns, leftmost and non-overlapping per kind. Besides, every run
 of 20 or more key-like characters with a letter and a digit that lies in no base span is a
 candidate. The digests of all values, base and candidate, are counted over the corpus by distinct
-documents (repositories) and distinct sources (owners): a value that ``example_owners`` or more
-owners hold is a widely copied example; any other is owner-specific and looks live. Candidates
+documents (repositories) and distinct sources (owners). Only owners decide: a value that
+``example_owners`` or more owners hold is a widely copied example; any other is owner-specific and
+looks live, in however many repositories of one or two owners it lies. Candidates
 that are owner-specific are added as spans of kind ``key``; base spans always stay.
 
 Positions are code points: a text split at a pattern gives the lengths between the matches, so
