@@ -1,7 +1,7 @@
 """Operator 12, phrase collocations by Rabin-Karp fingerprints.
 
 1. Texts become chunks of about ``chunk_bytes`` of one language: lower case, words apart by blanks,
-   pieces by line feeds. Chunks are written once.
+   pieces by line feeds. Chunks are compressed and written once.
 2. In a chunk, each word has a hash, and prefix polynomials over the words (numpy, modulo 2^64; an
    odd base has an inverse, so that a run's value doesn't depend on its place) give every n-gram's
    fingerprint. Equal fingerprints are counted; whether their words are equal too is seen at once
@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty, with_workers
+from .common import small_batches, stored, text_or_empty, with_workers
 
 CHUNKS = "chunk BIGINT, lang STRING, words BIGINT, text BINARY"
 ENTRIES = "bucket BIGINT, chunk BIGINT, data BINARY"
@@ -59,9 +59,11 @@ LETTERS = _letters()
 def _chunk_batches(chunk_bytes: int):
     def run(batches):
         import pyarrow as pa
+        import zstandard
         from pyspark import TaskContext
 
         made = TaskContext.get().partitionId() << 32
+        pack = zstandard.ZstdCompressor()
         held: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
 
@@ -74,7 +76,7 @@ def _chunk_batches(chunk_bytes: int):
             words = int(inside[:1].sum() + np.count_nonzero(inside[1:] & ~inside[:-1]))
             made += 1
             return pa.RecordBatch.from_arrays(
-                [pa.array([made - 1]), pa.array([lang]), pa.array([words]), pa.array([text], pa.binary())],
+                [pa.array([made - 1]), pa.array([lang]), pa.array([words]), pa.array([pack.compress(text)], pa.binary())],
                 ["chunk", "lang", "words", "text"])
 
         for batch in batches:
@@ -91,8 +93,11 @@ def _chunk_batches(chunk_bytes: int):
     return run
 
 
-def split_words(text: bytes) -> list[bytes]:
+def split_words(packed: bytes) -> list[bytes]:
     """A chunk's words in order; a line feed stands for the end of a piece."""
+    import zstandard
+
+    text = zstandard.ZstdDecompressor().decompress(packed)
     return [w for w in text.replace(b"\n", b" \n ").split(b" ") if w]
 
 
@@ -160,17 +165,30 @@ def counted(ids: np.ndarray, at: np.ndarray, fp: np.ndarray, n: int) -> np.ndarr
     return out
 
 
-def _columns(a: np.ndarray) -> bytes:
-    """An array of records as its columns one after another, which compress better."""
-    return b"".join(np.ascontiguousarray(a[c]).tobytes() for c in a.dtype.names)
+def _packed(a: np.ndarray) -> bytes:
+    """Records as byte planes, column by column, compressed; the (sorted) fingerprints as
+    differences. The high bytes of these and of counts and places are mostly zero."""
+    import zstandard
+
+    planes = []
+    for c in a.dtype.names:
+        v = np.diff(a[c], prepend=a[c].dtype.type(0)) if c == "fp" else np.ascontiguousarray(a[c])
+        planes.append(v.view(np.uint8).reshape(len(v), -1).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
 def _records(data: bytes, dtype: np.dtype) -> np.ndarray:
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(data)
     n, at = len(data) // dtype.itemsize, 0
     out = np.empty(n, dtype=dtype)
     for c in dtype.names:
-        out[c] = np.frombuffer(data, dtype[c], n, at)
-        at += n * dtype[c].itemsize
+        width = dtype[c].itemsize
+        v = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
+        v = np.ascontiguousarray(v).view(dtype[c]).ravel()
+        out[c] = np.cumsum(v, dtype=v.dtype) if c == "fp" else v
+        at += n * width
     return out
 
 
@@ -191,7 +209,7 @@ def _entry_batches(most: int, buckets: int, bits: int):
                         own = used[part:part + 4096]
                         yield pa.RecordBatch.from_arrays([
                             pa.array([k * most + n - 1 for k in own], pa.int64()), pa.array([chunk] * len(own), pa.int64()),
-                            pa.array([_columns(entries[cuts[k]:cuts[k + 1]]) for k in own], pa.binary())],
+                            pa.array([_packed(entries[cuts[k]:cuts[k + 1]]) for k in own], pa.binary())],
                             ["bucket", "chunk", "data"])
     return run
 
@@ -218,7 +236,7 @@ def _merge_batches(most: int, min_count: int):
                 own = np.flatnonzero(frequent[starts[c]:starts[c + 1]]) + starts[c]
                 hits = np.empty(len(own), dtype=HIT)
                 hits["f"], hits["at"], hits["n"] = f[own], at[own], bucket % most + 1
-                out.append((chunks[c], _columns(hits)))
+                out.append((chunks[c], _packed(hits)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([d for _, d in out], pa.binary())],
                                                  ["chunk", "data"])
@@ -254,7 +272,7 @@ def _phrase_batches(batches):
                         pa.array(own["f"].astype(np.int64))], ["lang", "n", "phrase", "f"])
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = 4 << 20, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def chunked(docs: DataFrame, chunk_bytes: int = 6 << 20, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The texts as written chunks, with their numbers of words."""
     with_workers(docs.sparkSession)
     read = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
@@ -263,12 +281,14 @@ def chunked(docs: DataFrame, chunk_bytes: int = 4 << 20, text_col: str = "text",
 
 
 def frequent_phrases(chunks: DataFrame, min_count: int = 10, most: int = 3, bucket_bytes: int = 16 << 20,
-                     bits: int = 64) -> DataFrame:
+                     bits: int | None = None) -> DataFrame:
     """``lang``, ``n``, ``phrase``, ``f``: every run of up to ``most`` words that occurs at least
-    ``min_count`` times in its language. ``bits``: of a fingerprint (fewer make more collisions)."""
+    ``min_count`` times in its language. ``bits``: of a fingerprint; fewer make more collisions, which
+    cost time and change nothing. By default one n-gram in 2^16 collides."""
+    size = chunks.agg(F.sum("words")).first()[0] or 0
+    bits = min(64, (size * most).bit_length() + 16) if bits is None else bits
     if not 1 <= most <= 255 or not 1 <= bits <= 64:
         raise ValueError("phrases have 1 to 255 words, fingerprints 1 to 64 bits")
-    size = chunks.agg(F.sum("words")).first()[0] or 0
     buckets = max(1, -(-size * ENTRY.itemsize // bucket_bytes))
     entries = chunks.select("chunk", "lang", "text").mapInArrow(_entry_batches(most, buckets, bits), ENTRIES)
     hits = (entries.repartition("bucket").sortWithinPartitions("bucket", "chunk")
@@ -325,12 +345,13 @@ def without_parts(candidates: DataFrame, percent: int) -> DataFrame:
 
 
 def collocations(docs: DataFrame, min_count: int = 10, most: int = 3, percent: int = 50, top: int = 2000,
-                 chunk_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, bits: int = 64,
+                 chunk_bytes: int = 6 << 20, bucket_bytes: int = 16 << 20, bits: int | None = None,
                  text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Each language's ``top`` phrases by score: ``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``,
     ``n`` (words of the language), ``score``."""
-    chunks = chunked(docs, chunk_bytes, text_col, lang_col)
-    frequent = stored(frequent_phrases(chunks, min_count, most, bucket_bytes, bits), "collocation-phrases")
+    with small_batches(docs.sparkSession, 128):
+        chunks = chunked(docs, chunk_bytes, text_col, lang_col)
+        frequent = stored(frequent_phrases(chunks, min_count, most, bucket_bytes, bits), "collocation-phrases")
     candidates = stored(scored(frequent), "collocation-scores")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     words = chunks.groupBy("lang").agg(F.sum("words").alias("n"))

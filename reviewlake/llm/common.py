@@ -44,6 +44,18 @@ def small_methods(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Queries that run meanwhile hand Python at most ``rows`` rows at once (rows that are large)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def with_workers(spark: SparkSession) -> SparkSession:
     """Let Python workers on this machine import the package when it isn't installed. On a
     cluster the package is shipped with ``--py-files`` or installed on the nodes."""
