@@ -7,7 +7,8 @@ be encoded word by word wherever a cut is certain:
   white space, and between a letter and a following ``.``, ``,`` or the like;
 * BPE with word ends: at blanks and line feeds, which it drops, and in the same second place.
 
-Each word is encoded by the library once and remembered per worker process (bounded). A text that
+Each word is encoded by the library once and remembered per worker process (800 000 words of at
+most 64 characters). A text that
 has other white space at such a place, or the string of an added token, is encoded whole; so is
 every text under a tokenizer of another make. The ids are those of ``Tokenizer.encode`` on the
 whole text either way; tests hold both against each other.
@@ -19,10 +20,11 @@ import hashlib
 import json
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
 
 MAX_WORDS = 800_000
+MAX_LENGTH = 64  #: of a remembered word, so that the number of words bounds the bytes too
 _STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?%$&*#|;:]*)\Z")
 _ENCODERS: dict = {}
 
@@ -49,10 +51,20 @@ class _Words(dict):
         self.make = make
 
     def __missing__(self, word):
-        ids = self[word] = self.make(word)
+        ids = self.make(word)
+        if len(word) <= MAX_LENGTH:
+            self[word] = ids
         return ids
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder:
     """``encode(texts)`` gives each text's ids as bytes (unsigned 32-bit, little-endian)."""
 
@@ -70,6 +82,7 @@ class Encoder:
         self.letters = byte_letters()
         self.first = _Words(lambda w: self._word("", w))
         self.words = _Words(self._piece)
+        self.signs = _Words(self._ids)  # what follows a run of letters
 
     @staticmethod
     def _kind(spec: dict) -> str:
@@ -86,13 +99,16 @@ class Encoder:
         return "whole"
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _stem(self, blank: str, stem: str) -> bytes:
         """A run of Latin letters goes to the BPE model as it is: no rule would cut it."""
-        text = (blank + stem).encode() if self.kind == "byte" else stem.lower().encode()
-        shown = "".join([self.letters[b] for b in text])
-        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], dtype="<u4").tobytes()
+        if self.kind != "byte":
+            blank, stem = "", stem.lower()
+        if not stem.isascii():  # ASCII letters stand for themselves
+            stem = "".join([self.letters[b] for b in stem.encode()])
+        shown = self.letters[ord(blank)] + stem if blank else stem
+        return as_bytes([t.id for t in self.tokenizer.model.tokenize(shown)])
 
     def _word(self, blank: str, word: str) -> bytes | None:
         """Ids of a word after ``blank`` ('' or ' '); None if white space at its edges joins what
@@ -103,7 +119,7 @@ class Encoder:
             if not m[2]:
                 return self._stem(blank, word)
             stem = self.words[m[1]] if blank and self.kind == "byte" or self.kind == "word" else self._stem(blank, m[1])
-            return stem + self._ids(m[2])
+            return stem + self.signs[m[2]]
         if self.kind == "byte" and (word[0].isspace() or word[-1].isspace()):
             return None
         return self._ids(blank + word)
@@ -129,9 +145,10 @@ class Encoder:
         out = []
         for text in texts:
             out.append(self._one(text))
-            if len(self.words) + len(self.first) > MAX_WORDS:
+            if len(self.words) + len(self.first) + len(self.signs) > MAX_WORDS:
                 self.words.clear()
                 self.first.clear()
+                self.signs.clear()
         return out
 
 

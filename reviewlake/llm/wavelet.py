@@ -14,7 +14,7 @@ in it, so ascending shard is ascending document id; a document's start is its st
 plus the ids of all shards before (one row per shard is summed, never rows of documents).
 
 Defined cases: null text is the empty text (only the end id); documents of equal id stand side by
-side, ordered by text; null ids come first; an empty table makes no files and gives no rows; other
+side, in the order they were read in, in as many shards as they fill; an id past ``bits`` raises; null ids come first; an empty table makes no files and gives no rows; other
 columns aren't read.
 """
 
@@ -44,6 +44,8 @@ class WaveletMatrix:
 
     @classmethod
     def from_ids(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
+        if len(ids) and int(ids.max()) >> bits:
+            raise ValueError(f"id {int(ids.max())} needs more than {bits} bits")
         a = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         planes, counts, zeros = [], [], []
         for level in range(bits - 1, -1, -1):
@@ -194,8 +196,10 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, b
     session's shuffle partitions)."""
     spark = with_workers(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("t"))
-    ordered = (texts.repartitionByRange(shards, "doc_id") if shards else texts.repartitionByRange("doc_id"))
-    (ordered.sortWithinPartitions("doc_id", "t")
+    numbered = texts.withColumn("row", F.monotonically_increasing_id())  # splits the rows of one id
+    by = ("doc_id", "row")
+    ordered = numbered.repartitionByRange(shards, *by) if shards else numbered.repartitionByRange(*by)
+    (ordered.sortWithinPartitions("doc_id", "row").drop("row")
      .mapInArrow(_shard_batches(tokenizer_path, end_id, bits, shard_tokens), SHARD_SCHEMA)
      .write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(path))
     return path

@@ -122,6 +122,30 @@ def test_wavelet_matrix_answers(spark):
             assert [w.select(token, k) for k in range(len(at))] == at and w.select(token, len(at)) == -1
 
 
+def test_ids_beyond_the_planes_raise():
+    with pytest.raises(ValueError):
+        wavelet.WaveletMatrix.from_ids(np.array([3, 70_000]), 16)
+    assert wavelet.WaveletMatrix.from_ids(np.array([3, 70_000]), 17).ids().tolist() == [3, 70_000]
+
+
+def test_a_third_of_all_rows_is_one_id(spark):
+    docs = [(None if i % 3 == 0 else i, f"text {i % 3 and i} with some words") for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    path = wavelet.write_shards(df, scratch_path(spark, "wavelet-test"), WORDS, 2, shards=6)
+    own = spark.read.parquet(path).select("n_docs").collect()
+    assert len(own) >= 6 and max(r.n_docs for r in own) <= 200
+    got = sorted(wavelet.read_shards(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((i for i, _ in docs), key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in got] == list(np.cumsum([0] + [r.n_tokens for r in got])[:-1])
+
+
+def test_long_words_are_not_remembered():
+    enc = encoder(BYTE)
+    word = "x" * 5000
+    assert np.frombuffer(enc.encode([f"a {word} b"])[0], "<u4").tolist() == whole(BYTE, [f"a {word} b"])[0]
+    assert word not in enc.words and max(map(len, enc.words)) <= 64
+
+
 def test_wavelet_files(spark, edges, nothing):
     path = wavelet.write_shards(edges, scratch_path(spark, "wavelet-test"), WORDS, 2, shard_tokens=50, shards=3)
     got = [(r.doc_id, r.start, r.n_tokens, zlib.crc32(r.token_ids)) for r in wavelet.read_shards(spark, path).collect()]
