@@ -14,7 +14,13 @@ any length. Likeness is that share among the signatures that either text has, on
 that both use. A text without a term in any of its subsets is named by all its terms instead, and
 is like only those with the same terms.
 
-Frequencies count all documents. Only sampled (document, term) pairs are shuffled to meet the
+One departure from plain I-Match: a text with fewer than half of its sampled terms in the band (``SCARCE``:
+one of a large near-copy group, whose own terms are above it, or of a corpus too small for a band) is
+described by all its sampled terms, as it would otherwise be like nothing but its copies. Text and edited
+text are each judged by their own terms alone, so equal texts have equal fingerprints on either side;
+the share is as high as a half because an edited text may hold as many terms of another one.
+
+Frequencies count distinct texts, so that copies move no term out of the band. A signature shows 40 bits of its hash. Only sampled (document, term) pairs are shuffled to meet the
 band, at most a few dozen for a document of any length; common terms are no hot tasks, since pairs
 are joined as plain rows whose skewed partitions Spark splits, and the grouping key afterwards is
 the document. The edited texts need each document's successor: successors are found on rows of ids
@@ -36,7 +42,7 @@ from .common import small_methods, stored, text_or_empty
 
 LEVELS = 3
 LANE = 16  #: bits of a term's hash that one family has
-SCARCE = 0.25  #: share of a text's sampled terms in the band below which all its terms describe it
+SCARCE = 0.5  #: share of a text's sampled terms in the band below which all its terms describe it
 NO_ID = -(1 << 63)
 
 
@@ -57,7 +63,7 @@ def successors(ids: DataFrame) -> DataFrame:
     """``ids`` (distinct d, th, ...) with ``num``, a number in order, and the next row's num; the
     last is followed by the first."""
     ordered = stored(ids.repartitionByRange("d", "th").sortWithinPartitions("d", "th")
-                     .withColumn("num", F.monotonically_increasing_id()), "imatch-order")
+                     .withColumn("num", F.monotonically_increasing_id()), "imatch-order", "zstd")
     part = F.shiftright("num", 33).alias("part")  # the partition that numbered the row
     ends = ordered.groupBy(part).agg(F.min("num").alias("low"), F.max("num").alias("high"))
     every = Window.orderBy("low")  # one row per partition
@@ -136,11 +142,12 @@ def _signatures(picks: str, level: str, whole: str, families: int, side: int) ->
                     F.when(F.size(found) > 0, F.array_join(found, ",")).otherwise(F.concat(F.lit("all."), F.lower(F.hex(whole)))))
 
 
-def _described(picks: str) -> Column:
-    """The sampled terms that describe a text: those in the band, or all where these are scarce."""
-    own = F.filter(picks, lambda p: p["bits"].bitwiseAND(F.lit(0x0005000500050005)) != 0)  # side 0, the unedited text
-    scarce = F.size(F.filter(own, lambda p: p["known"])) < F.size(own) * SCARCE
-    return F.when(scarce, F.col(picks)).otherwise(F.filter(picks, lambda p: p["known"]))
+def _described(picks: str, side: int) -> Column:
+    """The sampled terms that describe the text (side 0) or the edited text (side 1): those in the
+    band, or all where these are scarce. Decided by that side's terms alone."""
+    own = F.filter(picks, lambda p: p["bits"].bitwiseAND(F.lit(0x0005000500050005 << side)) != 0)
+    known = F.filter(own, lambda p: p["known"])
+    return F.when(F.size(known) < F.size(own) * SCARCE, own).otherwise(known)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -163,10 +170,10 @@ def fingerprints(docs: DataFrame, families: int = 8, min_df: int = 2, max_share:
     text = text_or_empty(text_col)
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("th"), text.alias("t"))
     ids = keyed.groupBy("d", "th").agg(F.count("*").alias("copies"), F.max(F.char_length("t")).alias("n_chars"))
-    order = stored(successors(ids), "imatch-next")
+    order = stored(successors(ids), "imatch-next", "zstd")
     before = order.select(F.col("next").alias("num"), F.col("num").alias("prev"), F.col("n_chars").alias("prev_chars"),
                           F.col("d").alias("prev_d"), F.col("th").alias("prev_th"))
-    links = stored(order.join(before, "num"), "imatch-links")
+    links = stored(order.join(before, "num"), "imatch-links", "zstd")
     texts = (keyed.withColumn("n", F.row_number().over(Window.partitionBy("d", "th").orderBy("th")))
              .where("n = 1").drop("n"))
     own = texts.join(links.select("d", "th", "num", "next", "copies", "n_chars").hint("shuffle_hash"), ["d", "th"])
@@ -180,21 +187,23 @@ def fingerprints(docs: DataFrame, families: int = 8, min_df: int = 2, max_share:
             .withColumn("level", _level(F.size("o"))).withColumn("edited_level", _level(F.size("e")))
             .withColumn("all_terms", F.xxhash64(F.array_sort("o"))).withColumn("edited_terms", F.xxhash64(F.array_sort("e"))))
     with small_methods(docs.sparkSession):
-        rows = stored(_picked(both), "imatch-picks")
+        rows = stored(_picked(both), "imatch-picks", "zstd")
     firsts = order.groupBy("th").agg(F.min("d").alias("d"))  # one document of each text
     band = lexicon(texts.join(firsts, ["d", "th"], "left_semi").select(terms(F.col("t")).alias("terms")),
                    min_df, max_share, firsts.count())
     known = F.col("known").isNotNull().alias("known")
     picks = (rows.where("term IS NOT NULL").select("num", "term", "bits")
              .join(band.withColumn("known", F.lit(True)), "term", "left").select("num", F.struct("term", "bits", known).alias("pick"))
-             .groupBy("num").agg(F.collect_list("pick").alias("picks")).withColumn("picks", _described("picks")))
+             .groupBy("num").agg(F.collect_list("pick").alias("picks"))
+             .select("num", _described("picks", 0).alias("own_picks"), _described("picks", 1).alias("edited_picks")))
     none = F.from_json(F.lit("[]"), "array<struct<term:bigint,bits:bigint,known:boolean>>")
-    signed = (rows.where("term IS NULL").drop("term", "bits").join(picks, "num", "left").withColumn("picks", F.coalesce("picks", none))
+    signed = (rows.where("term IS NULL").drop("term", "bits").join(picks, "num", "left")
+              .withColumn("own_picks", F.coalesce("own_picks", none)).withColumn("edited_picks", F.coalesce("edited_picks", none))
               .select("num", "next", "d", "copies", "n_chars", "edited_sha256",
-                      _signatures("picks", "level", "all_terms", families, 0).alias("fingerprint"),
-                      _signatures("picks", "edited_level", "edited_terms", families, 1).alias("edited_fingerprint")))
+                      _signatures("own_picks", "level", "all_terms", families, 0).alias("fingerprint"),
+                      _signatures("edited_picks", "edited_level", "edited_terms", families, 1).alias("edited_fingerprint")))
     with small_methods(docs.sparkSession):
-        signed = stored(signed, "imatch-signatures")
+        signed = stored(signed, "imatch-signatures", "zstd")
     after = signed.select(F.col("num").alias("next"), F.col("fingerprint").alias("next_fingerprint"))
     return (signed.join(after, "next")
             .select(F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"),

@@ -1,5 +1,6 @@
 import hashlib
-import re
+import math
+import struct
 from collections import Counter, defaultdict
 
 import __spark_entry__ as entry_mod
@@ -7,18 +8,73 @@ import corpus_pipeline
 import public_tokenizers
 from llm_cases import EDGES, edges, frame, nothing, sample  # noqa: F401
 from test_duplicates import deleted_lines, fingerprint, groups
+import regex
+import xxhash
 from pyspark.sql import functions as F
 from test_tokens import check_packing
 
 from reviewlake.llm import imatch, quality
 
 
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def long_hash(v, seed=42):
+    return signed(xxhash.xxh64_intdigest(struct.pack("<q", v), seed % (1 << 64)))
+
+
+def list_hash(values):
+    h = 42
+    for v in sorted(values):
+        h = long_hash(v, h)
+    return h % (1 << 64)
+
+
 def terms(text):
-    return {w for w in re.split(r"[\s!-/:-@\[-`{-~]+", text.lower(), flags=re.A) if w}
+    """Hashes of a text's distinct terms."""
+    return {signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in regex.split(r"[^\p{L}\p{M}\p{N}]+", text.lower()) if w}
+
+
+def in_band(texts, min_df=2, max_share=0.05):
+    texts = set(texts)
+    df = Counter(x for t in texts for x in terms(t))
+    return {x for x, n in df.items() if min_df <= n <= max(min_df, int(max_share * len(texts)))}
+
+
+def signature_list(text, band, families=8):
+    """A text's fingerprint by the rules, term by term: it depends on the text and the band alone."""
+    all_terms = terms(text)
+    level = min(13, max(0, math.floor(math.log2(max(len(all_terms), 1) / 2))))
+
+    def kept(x, family, at):
+        lane = (x if family < 4 else long_hash(x)) >> 16 * (family % 4) & 0xFFFF
+        return lane % (1 << at) == 0
+    # all eight families sample, whatever number of them is listed
+    sampled = {x for x in all_terms if any(kept(x, f, level) for f in range(8))}
+    described = sampled & band if len(sampled & band) >= 0.5 * len(sampled) else sampled
+    found = []
+    for f in range(families):
+        for at in range(level, level + 3):
+            own = [x for x in described if kept(x, f, at)]
+            if own:
+                found.append(f"{f}.{at}.{list_hash(own):016x}"[:len(f"{f}.{at}.") + 10])
+    return f"L{level}," + (",".join(found) or f"all.{list_hash(all_terms):x}")
+
+
+def alike(a, b):
+    if a == b:
+        return 1.0
+    (la, *xs), (lb, *ys) = a.split(","), b.split(",")
+    low, high = max(int(la[1:]), int(lb[1:])), min(int(la[1:]), int(lb[1:])) + 2
+    on = [{x for x in own if not x.startswith("all.") and low <= int(x.split(".")[1]) <= high} for own in (xs, ys)]
+    either = {x.rsplit(".", 1)[0] for x in on[0] | on[1]}
+    return len(on[0] & on[1]) / len(either) if either else 0.0
 
 
 def check(df, docs):
     docs = sorted({(i, t or "") for i, t in docs}, key=lambda k: (k[0] is not None, k[0] or 0))
+    band = in_band(t for _, t in docs)
     got = defaultdict(list)
     for r in imatch.fingerprints(df).collect():
         got[r.doc_id].append(r)
@@ -29,7 +85,10 @@ def check(df, docs):
         edited = t[:len(t) - h] + following[:h]
         r = got[i][0]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        own, changed, after = (signature_list(x, band) for x in (t, edited, following))
+        assert (r.fingerprint, r.edited_fingerprint) == (own, changed)
+        assert math.isclose(r.near_edited, alike(own, changed)) and math.isclose(r.near_next, alike(own, after))
+        assert by_text.setdefault(edited, r.edited_fingerprint) == r.edited_fingerprint  # as a text or as an edited one
         assert by_text.setdefault(t, r.fingerprint) == r.fingerprint  # equal texts, equal fingerprints
         if terms(edited) == terms(t):
             assert r.near_edited == 1
@@ -50,10 +109,22 @@ def test_fingerprints(spark, edges, nothing):
     assert alone.near_next == 1
 
 
+def test_equal_texts_have_equal_fingerprints_on_either_side(spark):
+    p, q, r, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "pqrz")
+    common = [(100 + i, " ".join(f"{c}{(i * 7 + k) % 60}" for c in "pr" for k in range(40))) for i in range(30)]
+    docs = [(1, f"{p} {q}"), (2, f"{r} {z}"), (3, f"{p} {r}"), (4, f"{p} other words"), *common]
+    n = len(docs[0][1])
+    docs[2] = (3, docs[0][1][:n - n // 2] + docs[1][1][:n // 2])  # the edited text of 1, once more as a text
+    got = check(frame(spark, docs), docs)
+    assert got[1][0].edited_sha256 == hashlib.sha256(docs[2][1].encode()).hexdigest()
+    assert got[1][0].edited_fingerprint == got[3][0].fingerprint != got[1][0].fingerprint
+
+
 def test_band_leaves_out_rare_and_common_terms(spark):
     docs = [(i, f"common w{i % 5} own{i}") for i in range(40)]
     sets = frame(spark, docs).select(imatch.terms(imatch.text_or_empty()).alias("terms"))
     got = imatch.lexicon(sets, 2, 0.25).collect()
+    assert {r.term for r in got} == in_band((t for _, t in docs), 2, 0.25)
     hashes = spark.createDataFrame([(f"w{i}",) for i in range(5)], "w string").selectExpr("xxhash64(w) AS term").collect()
     assert sorted(got) == sorted(hashes)
 
@@ -127,7 +198,7 @@ def test_pipeline_of_nothing_and_edges(spark, edges, nothing, tmp_path):
 
 def test_every_operator_has_one_query():
     names = list(entry_mod.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
 
