@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +16,8 @@ from reviewlake.llm import curriculum, line_dedup, packing, quality, simhash
 from reviewlake.llm.common import documents, stored
 from reviewlake.sources.tables import read_table
 
+import public_tokenizers  # after the operators, so that their absence is what is missed first
+
 
 def _with_length(new: DataFrame, columns: list[str]) -> DataFrame:
     """The input's columns, with ``n_chars`` (where it is one) counted again."""
