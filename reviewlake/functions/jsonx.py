@@ -35,14 +35,30 @@ def strip_fence_sql(x: str) -> str:
             f"regexp_replace(regexp_replace({x}, '(?U)^\\\\s+', ''), '(?U)\\\\s+\\\\z', ''))")
 
 
+#: a private-use character that marks the bare numbers while they are rewritten
+_MARK = "\ue000"
+_BARE = r'''("(?:[^"\\]|\\[\s\S])*+")|(?<![\w.+-])(?:NaN|-?Infinity)(?!\w)'''
+#: stands for a bare NaN or Infinity: a number that no contract's range takes, as theirs are none
+NO_NUMBER = "-1e308"
+
+
+def plain_numbers_sql(x: str) -> str:
+    """``x`` with the bare words ``NaN``, ``Infinity`` and ``-Infinity`` outside strings, which Python's
+    parser takes as numbers, as a number that JSON has. One pass finds strings and words; a string
+    keeps itself. Texts without either word, and those that hold the mark already, stay as they are."""
+    marked = f"regexp_replace({x}, {sql_str(_BARE)}, '$1{_MARK}')"
+    plain = f"replace(replace({marked}, '\"{_MARK}', '\"'), '{_MARK}', '{NO_NUMBER}')"
+    return f"CASE WHEN (contains({x}, 'NaN') OR contains({x}, 'Infinity')) AND NOT contains({x}, '{_MARK}') THEN {plain} ELSE {x} END"
+
+
 def strict_parse_sql(x: str) -> str:
-    """VARIANT of ``x`` when the text is exactly one JSON value, else NULL
-    (``try_parse_json`` alone accepts trailing text)."""
-    arr = f"try_parse_json(concat('[', {x}, ']'))"
-    obj = f"try_parse_json(concat('{{\"x\":', {x}, '}}'))"
-    return (f"CASE WHEN {arr} IS NOT NULL AND {obj} IS NOT NULL "
-            f"AND try_variant_get({arr}, '$[0]', 'variant') IS NOT NULL "
-            f"AND try_variant_get({arr}, '$[1]', 'variant') IS NULL THEN try_variant_get({arr}, '$[0]', 'variant') END")
+    """VARIANT of ``x`` when the text is exactly one JSON value as Python's parser takes it, else
+    NULL. ``try_parse_json`` alone accepts trailing text, so the text is parsed as the first of two
+    elements; the second, a digest of the text, stands there only if the text is one whole value."""
+    digest = f"hex(xxhash64({x}))"
+    both = f"try_parse_json(concat('[', {plain_numbers_sql(x)}, ',\"', {digest}, '\"]'))"
+    return (f"element_at(transform(array({both}), pj -> CASE WHEN try_variant_get(pj, '$[1]', 'string') = {digest} "
+            f"AND try_variant_get(pj, '$[2]', 'variant') IS NULL THEN try_variant_get(pj, '$[0]', 'variant') END), 1)")
 
 
 def vget(v: str, path: str) -> str:

@@ -4,13 +4,13 @@ finding explosion and request building.
 
 Validation is column expressions over VARIANT (``try_variant_get`` /
 ``schema_of_variant`` / ``forall``), so it runs map-side. Attempt resolution is one
-window + one aggregation on ``(pr_id, agent)``; the aggregation reuses the window's
-partitioning, so the log is shuffled once.
+aggregation on ``(pr_id, agent)`` and a fold over each key's few attempts, so the log is
+shuffled once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonx as J
@@ -157,11 +157,28 @@ def validate_reports(df: DataFrame) -> DataFrame:
     return x.select(*[c for c in df.columns], F.inline(F.array(out)))
 
 
+#: what a failed call's message shows of its kind, first match first; anything else is ``other``
+ERROR_KINDS = [
+    ("http", r"(?i)\bHTTP\b[ /0-9.]*[ :][1-5][0-9][0-9]|ClientResponseError"),
+    ("timeout", r"(?i)time(?:d[ -]?|[ -]?)out|deadline exceeded"),
+    ("validation", r"ValueError|ValidationError|JSONDecodeError"),
+    ("connection", r"(?i)connect|reset by peer|refused|unreachable|name resolution|\b(?:DNS|SSL|TLS)\b"),
+]
+
+
+def error_kind(message: Column) -> Column:
+    """The kind that a failed call's message shows (a log with kinds of its own needs no guess)."""
+    kind = F.lit("other")
+    for name, pattern in reversed(ERROR_KINDS):
+        kind = F.when(message.rlike(pattern), F.lit(name)).otherwise(kind)
+    return kind
+
+
 def classify_errors(df: DataFrame, error_type: str = "error_type", message: str = "error") -> DataFrame:
-    """retryable = timeout / validation error, or an HTTP 429/5xx code anywhere in
-    the message."""
+    """retryable = timeout / validation error, whatever its message, or an HTTP 429/5xx code
+    anywhere in the message."""
     codes = "|".join(P.RETRYABLE_HTTP_CODES)
-    retry = (F.lower(F.col(error_type)).isin(*P.RETRYABLE_ERROR_TYPES)
+    retry = (F.coalesce(F.lower(F.col(error_type)).isin(*P.RETRYABLE_ERROR_TYPES), F.lit(False))
              | F.coalesce(F.col(message).rlike(codes), F.lit(False)))
     return df.withColumn("retryable", retry)
 
@@ -171,13 +188,33 @@ ATTEMPT_TEXTS = ("raw_text", "cleaned", "payload", "parse_error", "error", "erro
 
 
 def classify_attempts(validated: DataFrame) -> DataFrame:
-    """D9 on validated attempts: ``error_type`` (the failed call's, or a validation error) and
-    ``retryable`` of those that are not valid."""
-    kind = F.when(F.col("valid"), F.lit(None)).when(F.col("error").isNotNull(), F.lit("http")).otherwise(F.lit("validation"))
+    """D9 on validated attempts: ``error_type`` and ``retryable`` of those that are not valid. A
+    failed call (``error`` is set, though it may be empty, as a timeout's often is) has the kind that
+    landed in the log's ``error_type``, else the one its message shows; a text that fails its contract
+    is a ``validation`` error."""
+    landed = F.lower(F.col("error_type")) if "error_type" in validated.columns else F.lit(None).cast("string")
+    kind = (F.when(F.col("valid"), F.lit(None)).when(F.col("error").isNotNull(), F.coalesce(landed, error_kind(F.col("error"))))
+            .otherwise(F.lit("validation")))
     return classify_errors(validated.withColumn("error_type", kind), "error_type", "error").withColumn(
         "retryable", F.col("valid") | F.col("retryable"))
 
 
+def _fold_sql(attempts: str, fallback_enabled: bool) -> str:
+    """SQL: one pass over a key's attempts in order. The state says whether the primary run has
+    ended, whether the fallback was tried, which attempt won, and what the made ones took."""
+    key = "(x.prank * 1000000 + x.attempt)"
+    go = (f"coalesce(s.won < 0 AND {key} <> s.at AND CASE WHEN x.prank = 0 THEN NOT s.ended "
+          f"ELSE {str(bool(fallback_enabled)).lower()} AND NOT s.fell_over END, false)")
+    return f"""aggregate({attempts},
+  named_struct('won', -1, 'ended', false, 'fell_over', false, 'made', 0, 'elapsed', 0.0D, 'last', CAST(NULL AS STRING), 'at', -1, 'i', 0),
+  (s, x) -> named_struct('won', CASE WHEN {go} AND x.valid THEN s.i ELSE s.won END,
+    'ended', s.ended OR ({go} AND x.prank = 0 AND NOT x.valid AND NOT x.retryable),
+    'fell_over', s.fell_over OR ({go} AND x.prank = 1),
+    'made', s.made + CASE WHEN {go} THEN 1 ELSE 0 END,
+    'elapsed', s.elapsed + CASE WHEN {go} THEN coalesce(x.latency_s, 0.0D) ELSE 0.0D END,
+    'last', CASE WHEN {go} AND NOT x.valid THEN x.reason ELSE s.last END, 'at', {key}, 'i', s.i + 1))"""
+
+
 def resolve_attempts(log: DataFrame, max_retries: int = P.MAX_RETRIES, fallback_enabled: bool = True,
                      sla_seconds: float = P.SUBAGENT_TIMEOUT_SECONDS) -> DataFrame:
     """D10 + D11 + D13: per (pr_id, agent), the attempt whose report is used.
@@ -186,42 +223,31 @@ def resolve_attempts(log: DataFrame, max_retries: int = P.MAX_RETRIES, fallback_
     error that is not retryable ends the primary run. Then, when a fallback provider is
     configured, exactly one fallback attempt. ``elapsed_s`` sums the latency of the
     attempts actually made; past ``sla_seconds`` the agent times out whatever the
-    outcome. Needs ``pr_id, agent, attempt, provider, latency_s, valid`` and optionally
+    outcome. An attempt that landed repeatedly counts once (its quickest copy). Needs
+    ``pr_id, agent, attempt, provider, latency_s, valid, reason`` and optionally
     ``retryable`` (missing -> every failure retryable, as validation errors are).
     Output: ``pr_id, agent, outcome ('ok'|'timeout'|'failed'), attempt_used,
     attempts_made, elapsed_s, last_error`` plus the chosen row's report columns.
+
+    A key's attempts (no more than the retry budget and the fallback's, equal copies merged before
+    the shuffle) meet in one array, in order, and one fold over it decides.
     """
     if "retryable" not in log.columns:
         log = log.withColumn("retryable", F.lit(True))
     prank = F.when(F.col("provider") == "primary", 0).otherwise(1)
     # Primary attempts past the retry budget are never made: drop them before the shuffle.
     x = log.withColumn("prank", prank).filter((F.col("prank") == 1) | (F.col("attempt") <= max_retries))
-    w = Window.partitionBy("pr_id", "agent").orderBy("prank", "attempt")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    nonretry = (~F.col("valid") & ~F.col("retryable")).cast("int")
-    blocked = F.coalesce(F.max(nonretry).over(before), F.lit(0)) == 1
-    x = x.withColumn("primary_made", (F.col("prank") == 0) & (F.col("attempt") <= max_retries) & ~blocked)
-    pv = (F.col("primary_made") & F.col("valid")).cast("int")
-    valid_before = F.coalesce(F.max(pv).over(before), F.lit(0)) == 1
-    fb_before = F.coalesce(F.max((F.col("prank") == 1).cast("int")).over(before), F.lit(0)) == 1
-    made = ((F.col("primary_made") & ~valid_before)
-            | (F.lit(fallback_enabled) & (F.col("prank") == 1) & ~valid_before & ~fb_before))
-    x = x.withColumn("made", made)
-    x = x.withColumn("cum_latency", F.sum(F.when(F.col("made"), F.col("latency_s")).otherwise(0.0)).over(
-        w.rowsBetween(Window.unboundedPreceding, 0)))
-    key = F.col("prank") * 1_000_000 + F.col("attempt")
+    lead = ["prank", "attempt", "latency_s", "reason", "valid", "retryable"]
     report_cols = [c for c in log.columns if c not in ("pr_id", "agent", "retryable")]
-    chosen = F.struct(*[F.col(c) for c in report_cols])
-    g = x.groupBy("pr_id", "agent").agg(
-        F.min_by(chosen, F.when(F.col("made") & F.col("valid"), key)).alias("chosen"),
-        F.max(F.when(F.col("made"), F.col("cum_latency"))).alias("elapsed_s"),
-        F.count_if(F.col("made")).cast("int").alias("attempts_made"),
-        F.max_by(F.col("reason"), F.when(F.col("made") & ~F.col("valid"), key)).alias("last_error"))
-    outcome = (F.when(F.coalesce(F.col("elapsed_s"), F.lit(0.0)) > sla_seconds, F.lit("timeout"))
+    attempt = F.struct(*lead, *[c for c in report_cols if c not in lead])
+    g = (x.groupBy("pr_id", "agent").agg(F.array_sort(F.collect_set(attempt)).alias("attempts"))
+         .select("pr_id", "agent", "attempts", F.expr(_fold_sql("attempts", fallback_enabled)).alias("f"))
+         .select("pr_id", "agent", "f", F.expr("CASE WHEN f.won >= 0 THEN attempts[f.won] END").alias("chosen")))
+    outcome = (F.when(F.col("f.elapsed") > sla_seconds, F.lit("timeout"))
                .when(F.col("chosen").isNotNull(), F.lit("ok")).otherwise(F.lit("failed")))
     return g.select("pr_id", "agent", outcome.alias("outcome"),
-                    F.col("chosen.attempt").alias("attempt_used"), "attempts_made",
-                    F.coalesce("elapsed_s", F.lit(0.0)).alias("elapsed_s"), "last_error",
+                    F.col("chosen.attempt").alias("attempt_used"), F.col("f.made").alias("attempts_made"),
+                    F.col("f.elapsed").alias("elapsed_s"), F.col("f.last").alias("last_error"),
                     *[F.col(f"chosen.{c}").alias(c) for c in report_cols if c != "attempt"])
 
 

