@@ -12,6 +12,8 @@ from this module.
 # FIXED VALUES (must match the reviewed service)
 # ---------------------------------------------------------------------------
 
+import re
+
 MAX_DIFF_LENGTH = 12000
 TRUNCATION_MARKER = "\n\n...[DIFF TRUNCATED TO PREVENT TOKEN OVERFLOW]..."
 PRIVACY_FAILURE_TEXT = "[DIFF REDACTED: Privacy subsystem failure]"
@@ -121,21 +123,22 @@ ENTITY_PATTERNS = [
     ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     ("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("CREDIT_CARD", r"\b[0-9](?:[ -]?[0-9]){12,}\b"),
-    ("CRYPTO", r"\b(?:bc1[a-z0-9]{25,39}|[13][a-km-zA-HJ-NP-Z1-9]{25,34}|0x[0-9a-fA-F]{40})\b"),
+    ("CRYPTO", r"\b(?:bc1[a-z0-9]{25,59}|[13][a-km-zA-HJ-NP-Z1-9]{25,34}|0x[0-9a-fA-F]{40})\b"),
     ("US_SSN", r"\b(?:00[1-9]|0[1-9][0-9]|[1-578][0-9]{2}|6[0-57-9][0-9]|66[0-57-9])-"
                r"(?:0[1-9]|[1-9][0-9])-(?:000[1-9]|00[1-9][0-9]|0[1-9][0-9]{2}|[1-9][0-9]{3})\b"),
     ("IP_ADDRESS", rf"\b(?:{_H4}:){{7}}{_H4}\b|\b{_H4}(?::{_H4}){{0,5}}::(?:{_H4}(?::{_H4}){{0,5}}\b|\B)"
                    rf"|\B::{_H4}(?::{_H4}){{0,6}}\b|\b(?:{_OCTET}\.){{3}}{_OCTET}\b"),
-    ("PHONE_NUMBER", r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|\b[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b"),
+    ("PHONE_NUMBER", r"\B\+[0-9](?:[ ().-]{0,2}[0-9]){6,16}|(?:\([0-9]{3}\)[ .-]?|\b[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b"),
 ]
 _W = "[0-9A-Za-z_]"
 
 
 def java_pattern(p: str) -> str:
-    """The pattern with its word boundaries written as ASCII look-arounds."""
-    edge = f"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))"
-    inside = f"(?:(?<={_W})(?={_W})|(?<!{_W})(?!{_W}))"
-    return p.replace(r"\b", edge).replace(r"\B", inside)
+    """The pattern with its word boundaries as ASCII look-arounds. Each stands beside a character of
+    known kind, so one look-around will do: back from a begin, ahead from an end."""
+    begins = re.sub(r"(^|\(\?:|\(|\|)\\b", rf"\1(?<!{_W})", p)
+    begins = re.sub(r"\\B(?=:|\\\+)", f"(?<!{_W})", begins)
+    return begins.replace(r"\b", f"(?!{_W})").replace(r"\B", f"(?!{_W})")
 
 
 ENTITY_PRIORITY = {name: i for i, (name, _) in enumerate(ENTITY_PATTERNS)}
@@ -148,12 +151,14 @@ ENTITY_GUARDS = {
     "IBAN_CODE": ("rlike", "[A-Z]{2}[0-9]{2}"),
     "US_SSN": ("rlike", "[0-9]{3}-[0-9]{2}-[0-9]{4}"),
     "IP_ADDRESS": ("rlike", "[0-9][.][0-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]|::[0-9A-Fa-f]"),
-    "PHONE_NUMBER": ("rlike", "[0-9]{3}[ .-][0-9]{4}"),
+    "PHONE_NUMBER": ("rlike", "[0-9]{3}[ .-][0-9]{4}|[+][0-9]"),
+    "CREDIT_CARD": ("rlike", "[0-9][0-9 -]{11}[0-9]"),
+    "CRYPTO": ("rlike", "bc1[a-z0-9]{25}|0x[0-9a-fA-F]{40}|[13][a-km-zA-HJ-NP-Z1-9]{25}"),
 }
 ENTITY_PRIORITY["PERSON"] = len(ENTITY_PATTERNS)
 # What of a match is the entity: the longest part from its begin to a gap that passes the check
 # (a number may be followed by other digits or capitals that the pattern takes along).
-VALIDATED_ENTITIES = {"CREDIT_CARD": "luhn", "IBAN_CODE": "mod97", "IP_ADDRESS": "digit"}
+VALIDATED_ENTITIES = {"CREDIT_CARD": "luhn", "IBAN_CODE": "mod97", "IP_ADDRESS": "digit", "CRYPTO": "wallet", "PHONE_NUMBER": "phone"}
 CARD_DIGITS = range(19, 12, -1)
 IBAN_GAPS = range(9, -1, -1)
 
@@ -166,10 +171,46 @@ def card_part(n: int) -> str:
 def iban_part(gaps: int) -> str:
     return rf"^((?:[^ ]+ ){{{gaps}}}[^ ]+)(?: |$)"
 
+
+# Calling codes with the fewest and most digits of the national number after them. No code is the
+# begin of another, so the longest that fits is the only one.
+CALLING_CODES = {
+    "1": (10, 10), "7": (10, 10), "20": (8, 10), "27": (9, 9), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9),
+    "34": (9, 9), "36": (8, 9), "39": (6, 11), "40": (9, 9), "41": (9, 9), "43": (7, 13), "44": (9, 10), "45": (8, 8),
+    "46": (7, 10), "47": (8, 8), "48": (9, 9), "49": (6, 11), "51": (8, 9), "52": (10, 10), "53": (6, 8), "54": (10, 11),
+    "55": (10, 11), "56": (9, 9), "57": (10, 10), "58": (10, 10), "60": (8, 10), "61": (9, 9), "62": (8, 12), "63": (9, 10),
+    "64": (8, 10), "65": (8, 8), "66": (8, 9), "81": (9, 10), "82": (8, 10), "84": (9, 10), "86": (10, 11), "90": (10, 10),
+    "91": (10, 10), "92": (9, 10), "93": (9, 9), "94": (9, 9), "95": (7, 10), "98": (10, 10), "212": (9, 9), "213": (8, 9),
+    "216": (8, 8), "218": (8, 9), "233": (9, 9), "234": (8, 10), "254": (9, 9), "255": (9, 9), "256": (9, 9), "351": (9, 9),
+    "352": (6, 11), "353": (7, 9), "354": (7, 7), "355": (8, 9), "356": (8, 8), "357": (8, 8), "358": (6, 12), "359": (7, 9),
+    "370": (8, 8), "371": (8, 8), "372": (7, 8), "373": (8, 8), "374": (8, 8), "375": (9, 9), "376": (6, 9), "377": (8, 9),
+    "380": (9, 9), "381": (8, 9), "385": (8, 9), "386": (8, 8), "387": (8, 8), "389": (8, 8), "420": (9, 9), "421": (9, 9),
+    "423": (7, 9), "502": (8, 8), "503": (8, 8), "504": (8, 8), "505": (8, 8), "506": (8, 8), "507": (7, 8), "591": (8, 8),
+    "593": (8, 9), "595": (8, 9), "598": (7, 8), "852": (8, 8), "853": (8, 8), "855": (8, 9), "856": (8, 10), "880": (8, 10),
+    "886": (8, 9), "960": (7, 7), "961": (7, 8), "962": (8, 9), "963": (8, 9), "964": (8, 10), "965": (8, 8), "966": (8, 9),
+    "967": (7, 9), "968": (8, 8), "971": (8, 9), "972": (8, 9), "973": (8, 8), "974": (8, 8), "976": (8, 8), "977": (8, 10),
+    "992": (9, 9), "994": (9, 9), "995": (9, 9), "996": (9, 9), "998": (9, 9),
+}
+PHONE_DIGITS = range(15, 6, -1)
+#: a date behind a plus sign (as a diff's added line may begin) is no phone number
+PHONE_DATE = r"^\+(?:19|20)[0-9]{2}[-.][0-9]{2}[-.][0-9]{2}"
+PHONE_LOCAL = r"^(\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?:[^0-9]|$)"
+
+
+def phone_part(n: int) -> str:
+    """A number of ``n`` digits at the begin of a match, up to a gap."""
+    return rf"^(\+[0-9](?:[ ().-]{{0,2}}[0-9]){{{n - 1}}})(?:[^0-9]|$)"
+
+
+BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+BECH32 = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
+BECH32_GENERATORS = (0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)
+BECH32_OK, BECH32M_OK = 1, 0x2BC830A3
+
 # Small dictionary of given names for dictionary PERSON masking (our stand-in for an
 # NLP model). Callers may pass their own, larger table.
 DEFAULT_PERSON_NAMES = [
     "Alice", "Bob", "Carol", "David", "Emma", "Frank", "Grace", "Henry", "Irene", "James",
     "Julia", "Karl", "Laura", "Maria", "Michael", "Nina", "Oliver", "Paul", "Peter", "Sarah",
-    "Thomas", "Anna", "Lucas", "Sophie", "Hans", "Pierre", "Marie", "Juan", "Carlos", "Sofia",
+    "Thomas", "Anna", "Lucas", "Mary", "Mary Ann van der Berg", "Jean Paul", "Sophie", "Hans", "Pierre", "Marie", "Juan", "Carlos", "Sofia",
 ]

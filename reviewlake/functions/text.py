@@ -59,14 +59,77 @@ def mod97_ok_sql(x: str) -> str:
             f"ELSE (macc * 100 + ascii({ch}) - 55) % 97 END) = 1)")
 
 
+def phone_ok_sql(x: str) -> str:
+    """SQL predicate (Spark's and DuckDB's alike, but for the digits): the number behind the plus sign
+    has a known calling code and as many digits as that takes."""
+    d = f"regexp_replace({x}, '[^0-9]', '')"
+    groups: dict[tuple, list[str]] = {}
+    for code, (least, most) in P.CALLING_CODES.items():
+        groups.setdefault((len(code), least, most), []).append(code)
+    ok = " OR ".join(f"(substr({d}, 1, {n}) IN ({', '.join(lit_str(c) for c in codes)}) AND length({d}) BETWEEN {n + least} AND {n + most})"
+                     for (n, least, most), codes in groups.items())
+    return f"(({ok}) AND NOT {x} rlike {lit_str(P.PHONE_DATE)})"
+
+
+def base58_ok_sql(x: str) -> str:
+    """SQL predicate: a base-58 address of 25 bytes whose last four are the checksum (the first of
+    the double SHA-256 of the others). The number is folded, digit by digit, into nine limbs of 24
+    bits, smallest first."""
+    digit = f"cast(locate(bc, '{P.BASE58}') - 1 AS bigint)"
+    limbs = (f"aggregate(regexp_extract_all({x}, '.', 0), array_repeat(0L, 9), (ba, bc) -> aggregate(ba, "
+             f"named_struct('c', {digit}, 'out', cast(array() AS array<bigint>)), (bs, bl) -> named_struct("
+             "'c', (bl * 58 + bs.c) div 16777216L, 'out', concat(bs.out, array((bl * 58 + bs.c) % 16777216L)))).out)")
+    digits = f"lower(array_join(transform(reverse({limbs}), bl -> lpad(hex(bl), 6, '0')), ''))"
+    good = ("substr(bh, 1, 4) = '0000' AND substr(bh, 5, 2) IN ('00', '05') "
+            "AND substr(sha2(unhex(sha2(unhex(substr(bh, 5, 42)), 256)), 256), 1, 8) = substr(bh, 47, 8) "
+            f"AND 2 * length(regexp_extract({x}, '^1*', 0)) = length(regexp_extract(substr(bh, 5, 50), '^(?:00)*', 0))")
+    return f"element_at(transform(array({digits}), bh -> {good}), 1)"
+
+
+def _bech32_start() -> int:
+    """The checksum's state after the human-readable part ``bc``."""
+    state = 1
+    for v in (3, 3, 0, 2, 3):
+        top, state = state >> 25, (state & 0x1FFFFFF) << 5 ^ v
+        for k, g in enumerate(P.BECH32_GENERATORS):
+            state ^= g if top >> k & 1 else 0
+    return state
+
+
+def bech32_ok_sql(x: str) -> str:
+    """SQL predicate: a ``bc1`` address whose checksum polynomial comes out as its version's constant."""
+    fold = "((es % 33554432L) * 32L) ^ cast(locate(ec, '" + P.BECH32 + "') - 1 AS bigint)"
+    for k, g in enumerate(P.BECH32_GENERATORS):
+        fold += f" ^ (CASE WHEN (es div {1 << 25 + k}L) % 2 = 1 THEN {g}L ELSE 0L END)"
+    state = f"aggregate(regexp_extract_all(substr({x}, 4), '.', 0), {_bech32_start()}L, (es, ec) -> {fold})"
+    return (f"(NOT substr({x}, 4) rlike '[1bio]' AND {state} = "
+            f"CASE WHEN substr({x}, 4, 1) = 'q' THEN {P.BECH32_OK}L ELSE {P.BECH32M_OK}L END)")
+
+
 def part_sql(hit: str, check: str) -> str:
     """SQL: the part of a match that is the entity, NULL when there is none."""
     if check == "digit":
         return f"CASE WHEN {hit} rlike '[0-9]' THEN {hit} END"
-    ok = {"luhn": luhn_ok_sql, "mod97": mod97_ok_sql}[check]
-    shapes = ([P.card_part(n) for n in P.CARD_DIGITS] if check == "luhn" else [P.iban_part(g) for g in P.IBAN_GAPS])
+    if check == "wallet":  # 0x addresses have no checksum that SQL functions could make
+        return (f"CASE WHEN startswith({hit}, '0x') THEN {hit} WHEN startswith({hit}, 'bc1') THEN CASE WHEN {bech32_ok_sql(hit)} "
+                f"THEN {hit} END WHEN {base58_ok_sql(hit)} THEN {hit} END")
+    ok = {"luhn": luhn_ok_sql, "mod97": mod97_ok_sql, "phone": phone_ok_sql}[check]
+    shapes = {"luhn": [P.card_part(n) for n in P.CARD_DIGITS], "mod97": [P.iban_part(g) for g in P.IBAN_GAPS],
+              "phone": [P.phone_part(n) for n in P.PHONE_DIGITS]}[check]
     parts = ", ".join(f"regexp_extract({hit}, {lit_str(x)}, 1)" for x in shapes)
-    return f"try_element_at(filter(array({parts}), pp -> pp <> '' AND {ok('pp')}), 1)"
+    found = f"try_element_at(filter(array({parts}), pp -> pp <> '' AND {ok('pp')}), 1)"
+    if check == "phone":
+        return (f"CASE WHEN startswith({hit}, '+') THEN coalesce({found}, nullif(regexp_extract({hit}, {lit_str(P.PHONE_LOCAL)}, 1), '')) "
+                f"ELSE {hit} END")
+    return found
+
+
+def running_sql(array: str, join: str) -> str:
+    """SQL: running totals of an array by doubling steps (n log n, nothing is appended). ``join``
+    makes one total of ``{a}``, that of the earlier half, and ``{b}``."""
+    one = join.format(a="get(ra, ri - shiftleft(1, rk))", b="rv")
+    return (f"aggregate(sequence(0, greatest(0, cast(ceil(log2(greatest(size({array}), 1))) AS int))), {array}, "
+            f"(ra, rk) -> transform(ra, (rv, ri) -> CASE WHEN ri >= shiftleft(1, rk) THEN {one} ELSE rv END))")
 
 
 def validated_replace(col_sql: str, pattern: str, label: str, check: str) -> Column:

@@ -8,11 +8,13 @@ The same operators run on any text column (documents, pages, conversations).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import count_matches, count_validated, lit_str, part_sql, validated_replace
+from ..functions.text import count_matches, count_validated, lit_str, part_sql, running_sql, validated_replace
 
 _PEM_GUARD = "-----BEGIN"
 
@@ -61,6 +63,19 @@ def mask_entities(df: DataFrame, col: str, entities=None, out: str | None = None
     return df.withColumn(out, F.col(tmp)).drop(tmp) if out != tmp else df
 
 
+def counted_replace(df: DataFrame, col: str, pattern: str, label: str, count: str, out: str, guard: Column | None = None) -> DataFrame:
+    """Replace the matches of ``pattern`` and count them (BIGINT) in one regex pass: matches become a
+    sentinel character, counted by length difference, then swapped for the label. Texts that already
+    hold the sentinel take the two-pass path; rows without ``guard`` have no match."""
+    t, m = F.col(col), F.col("__marked")
+    guard = F.lit(True) if guard is None else guard
+    safe = ~t.contains(_SENTINEL)
+    df = df.withColumn("__marked", F.when(guard & safe, F.regexp_replace(t, pattern, _SENTINEL)))
+    n = F.when(~guard, F.lit(0)).when(safe, F.length(m) - F.length(F.replace(m, F.lit(_SENTINEL), F.lit("")))).otherwise(count_matches(t, pattern))
+    masked = F.when(~guard, t).when(safe, F.replace(m, F.lit(_SENTINEL), F.lit(label))).otherwise(F.regexp_replace(t, pattern, label))
+    return df.withColumns({count: n.cast("bigint"), out: masked}).drop("__marked")
+
+
 def entity_counts(df: DataFrame, col: str, key: str, entities=None, masked: str | None = None, keep=()) -> DataFrame:
     """Per row: how many spans of each entity the priority-ordered masking replaces.
 
@@ -80,58 +95,67 @@ def entity_counts(df: DataFrame, col: str, key: str, entities=None, masked: str
             df = df.withColumn(cname, F.when(guard, count_validated(tmp, pat, check)).otherwise(F.lit(0))
                                .cast("bigint")).withColumn(tmp, mask_entity_col(tmp, name, pat))
         else:
-            # One regex pass: matches become a sentinel character, counted by length
-            # difference, then swapped for the label. Texts that already hold the
-            # sentinel take the two-pass path.
-            t = F.col(tmp)
-            marked = F.regexp_replace(t, pat, _SENTINEL)
-            safe = ~t.contains(_SENTINEL)
-            df = df.withColumn("__marked", F.when(guard & safe, marked))
-            m = F.col("__marked")
-            df = df.withColumn(cname, F.when(~guard, F.lit(0)).when(safe, F.length(m) - F.length(
-                F.replace(m, F.lit(_SENTINEL), F.lit("")))).otherwise(count_matches(t, pat)).cast("bigint"))
-            df = df.withColumn(tmp, F.when(~guard, t).when(safe, F.replace(m, F.lit(_SENTINEL), F.lit(entity_label(name))))
-                               .otherwise(F.regexp_replace(t, pat, entity_label(name)))).drop("__marked")
+            df = counted_replace(df, tmp, pat, entity_label(name), cname, tmp, guard)
         counts.append(cname)
     return df.select(key, *keep, *counts, *([F.col(tmp).alias(masked)] if masked else []))
 
 
+SPANS_TYPE = "array<struct<s:int,e:int>>"
+
+
 def _spans_expr(col_sql: str, name: str, pattern: str) -> str:
-    """SQL: array<struct<entity, prio, s, e>> of one entity's matches (0-based, end excl.).
+    """SQL: array<struct<s, e>> of one entity's matches (0-based, end excl.), in order.
 
-    Start of hit i = total length of split pieces 0..i plus hits 0..i-1.
+    A hit ends where the lengths of all pieces and hits up to it sum up to.
     """
     pat = lit_str(pattern)
-    prio = P.ENTITY_PRIORITY[name]
     check = P.VALIDATED_ENTITIES.get(name)
-    part = part_sql("m.h", check) if check else "m.h"
-    # starts: one pass over (gap, hit) pairs, carrying the place reached so far
-    return (f"filter(aggregate(zip_with(slice(split({col_sql}, {pat}, -1), 1, size(regexp_extract_all({col_sql}, {pat}, 0))), "
-            f"regexp_extract_all({col_sql}, {pat}, 0), (g, h) -> named_struct('g', length(g), 'h', h)), "
-            f"named_struct('at', 0, 'out', cast(array() AS array<struct<entity:string,prio:int,s:int,len:int>>)), "
-            f"(a, m) -> named_struct('at', a.at + m.g + length(m.h), 'out', array_append(a.out, "
-            f"named_struct('entity', '{name}', 'prio', {prio}, 's', a.at + m.g, 'len', length({part}))))).out, z -> z.len IS NOT NULL)")
+    part = part_sql("h", check) if check else "h"
+    steps = "zip_with(slice(m.gaps, 1, size(m.hits)), m.hits, (g, h) -> length(g) + length(h))"
+    spans = (f"zip_with({running_sql(steps, '{a} + {b}')}, m.hits, (z, h) -> named_struct('s', z - length(h), "
+             f"'e', z - length(h) + length({part})))")
+    return (f"element_at(transform(array(named_struct('gaps', split({col_sql}, {pat}, -1), 'hits', regexp_extract_all({col_sql}, {pat}, 0))), "
+            f"m -> filter({spans}, z -> z.e IS NOT NULL)), 1)")
+
+
+def winning_sql(own: str, better: str) -> str:
+    """SQL: the spans of ``own`` that overlap none of ``better`` (arrays of struct<s, e>).
+
+    The better spans are swept in the order of their starts with the farthest end so far; a span is
+    lost if that end, among those that start before its own end (found by halving), is behind its start.
+    """
+    ends = running_sql("t.by_start.e", "greatest({a}, {b})")
+    mid = "cast((b.lo + b.hi) div 2 AS int)"
+    before = (f"aggregate(sequence(0, cast(ceil(log2(size(w.s) + 1)) AS int)), named_struct('lo', 0, 'hi', size(w.s)), (b, k) -> "
+              f"CASE WHEN b.lo >= b.hi THEN b WHEN get(w.s, {mid}) < a.e THEN named_struct('lo', {mid} + 1, 'hi', b.hi) "
+              f"ELSE named_struct('lo', b.lo, 'hi', {mid}) END).lo")
+    kept = f"filter({own}, a -> NOT coalesce(get(w.ends, {before} - 1) > a.s, false))"
+    swept = (f"element_at(transform(transform(array(named_struct('by_start', array_sort({better}))), t -> named_struct("
+             f"'s', t.by_start.s, 'ends', {ends})), w -> {kept}), 1)")
+    return f"CASE WHEN size({own}) = 0 OR size({better}) = 0 THEN {own} ELSE {swept} END"
 
 
 def entity_spans(df: DataFrame, col: str, key: str, entities=None) -> DataFrame:
     """One row per winning entity span ``(key, entity, start, end)``.
 
     Spans of all entities are found on the original text; a span is dropped when an
-    overlapping span has a better (priority, longer, earlier) rank. The overlap pass
-    works on the row's own span array, so it needs no self-join or shuffle. Matched
-    text is never emitted.
+    overlapping span has a better (priority, longer, earlier) rank. Spans of one entity never
+    overlap, so the priority decides, and each entity's spans are held against those of
+    all better ones. This works on the row's own arrays, n log n, so it needs no
+    self-join or shuffle. Matched text is never emitted.
     """
     ents = _entity_list(entities)
-    guarded = [f"CASE WHEN {guard_sql(col, n)} AND {col} rlike {lit_str(p)} THEN {_spans_expr(col, n, p)} "
-               f"ELSE cast(array() AS array<struct<entity:string,prio:int,s:int,len:int>>) END" for n, p in ents]
-    all_spans = "flatten(array(" + ", ".join(guarded) + "))"
-    better = ("(b.prio < a.prio OR (b.prio = a.prio AND (b.len > a.len OR "
-              "(b.len = a.len AND b.s < a.s))))")
-    resolved = (f"element_at(transform(array({all_spans}), sp -> filter(sp, a -> NOT exists(sp, b -> "
-                f"b.s < a.s + a.len AND a.s < b.s + b.len AND {better}))), 1)")
-    x = df.select(key, F.explode(F.expr(resolved)).alias("sp"))
+    x = df.select(key, F.col(col).alias("__text"))
+    for name, p in ents:
+        found = f"CASE WHEN {guard_sql('__text', name)} AND __text rlike {lit_str(p)} THEN {_spans_expr('__text', name, p)} END"
+        x = x.withColumn(f"__{name}", F.expr(f"coalesce({found}, cast(array() AS {SPANS_TYPE}))"))
+    won = []
+    for k, (name, _) in enumerate(ents):
+        better = f"concat({', '.join(f'__{n}' for n, _ in ents[:k])})" if k else f"cast(array() AS {SPANS_TYPE})"
+        won.append(f"transform({winning_sql(f'__{name}', better)}, a -> named_struct('entity', '{name}', 's', a.s, 'e', a.e))")
+    x = x.select(key, F.explode(F.expr(f"concat({', '.join(won)})")).alias("sp"))
     return x.select(key, F.col("sp.entity").alias("entity"), F.col("sp.s").cast("bigint").alias("start"),
-                    (F.col("sp.s") + F.col("sp.len")).cast("bigint").alias("end"))
+                    F.col("sp.e").cast("bigint").alias("end"))
 
 
 def person_names(spark: SparkSession, names=None) -> DataFrame:
@@ -140,21 +164,72 @@ def person_names(spark: SparkSession, names=None) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "name string")
 
 
-def mask_persons(df: DataFrame, col: str, key: str, names: DataFrame) -> DataFrame:
-    """Replace dictionary names with ``<PERSON>``.
-
-    Each row's distinct word tokens are joined to the name table; the names found come back
-    as one small array per row, and the text is rebuilt inside its row. One way for a name
-    table of any size: the planner picks the join.
+#: characters of a dictionary up to which it goes into the plan as one pattern
+MAX_PATTERN_NAMES = 200_000
+_LETTER = r"[\p{L}\p{M}\p{N}_]"
+_GAP = r"[^\S\r\n]+"
+PERSON_LABEL = "<PERSON>"
+
+
+def name_trie(names) -> str:
+    """One pattern for all names: a trie of their characters, so that a text's character is looked
+    at once whatever the number of names. Each name's continuation comes before its own end, and
+    the match must end at a word's end: the longest name wins. Blanks of a name match any run of
+    blanks within the line."""
+    root: dict = {}
+    for name in names:
+        node = root
+        for c in name:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        more = sorted(c for c in node if c)
+        if not more:
+            return ""
+        branches = "|".join((_GAP if c == " " else re.escape(c)) + written(node[c]) for c in more)
+        return f"(?:{branches})" + ("?" if "" in node else "") if len(more) > 1 or "" in node else branches
+    return f"(?<!{_LETTER}){written(root)}(?!{_LETTER})"
+
+
+def _plain_names(names: DataFrame) -> DataFrame:
+    """Distinct names with single blanks; empty ones name nobody."""
+    name = F.trim(F.regexp_replace(F.col("name"), r"(?U)\s+", " "))
+    return names.select(name.alias("name")).where("name <> ''").distinct()
+
+
+def mask_persons(df: DataFrame, col: str, key: str, names: DataFrame, max_pattern: int = MAX_PATTERN_NAMES) -> DataFrame:
+    """Replace dictionary names, of one word or several, with ``<PERSON>``; the longest name at a
+    place wins.
+
+    A dictionary of up to ``max_pattern`` characters (counted first) becomes one trie pattern, and
+    each text is masked in its row: no key, no join, no shuffle. A larger one is joined to the
+    distinct word runs of each text by the text's digest (so null or repeated ``key`` values
+    change nothing), and each text is masked by a pattern of the names it may hold.
     """
-    words = F.array_distinct(F.split(F.col(col), r"(?U)\b", -1))
-    found = (df.select(key, F.explode(words).alias("__tok"))
-             .join(names.select(F.col("name").alias("__tok")).distinct(), "__tok", "left_semi")
-             .groupBy(key).agg(F.collect_set("__tok").alias("__names")))
-    masked = F.array_join(F.transform(F.split(F.col(col), r"(?U)\b", -1), lambda t: F.when(
-        F.array_contains("__names", t), F.lit("<PERSON>")).otherwise(t)), "")
-    return df.join(found, key, "left").withColumn(
-        col, F.when(F.col("__names").isNull(), F.col(col)).otherwise(masked)).drop("__names")
+    names = _plain_names(names)
+    size = names.agg(F.sum(F.length("name"))).first()[0] or 0
+    if not size:
+        return df
+    if size <= max_pattern:
+        pattern = name_trie(r.name for r in names.collect())
+        return df.withColumn(col, F.regexp_replace(F.col(col), pattern, PERSON_LABEL))
+
+    def words(c: Column) -> Column:
+        return F.regexp_extract_all(c, F.lit(f"{_LETTER}+"), F.lit(0))
+    named = names.select("name", F.array_join(words(F.col("name")), " ").alias("__run"), F.size(words(F.col("name"))).alias("__n"))
+    most = named.agg(F.max("__n")).first()[0]
+    runs = F.array_distinct(F.flatten(F.array(*(F.expr(
+        f"CASE WHEN size(__w) >= {n} THEN transform(sequence(1, size(__w) - {n - 1}), i -> array_join(slice(__w, i, {n}), ' ')) "
+        "ELSE cast(array() AS array<string>) END") for n in range(1, most + 1)))))
+    escaped = F.replace(F.regexp_replace("name", r"([\\\[\](){}.*+?^$|])", r"\\$1"), F.lit(" "), F.lit(_GAP))
+    x = df.withColumn("__text", F.xxhash64(F.col(col)))
+    found = (x.select("__text", words(F.col(col)).alias("__w")).select("__text", F.explode(runs).alias("__run")).distinct()
+             .join(named, "__run").groupBy("__text")
+             .agg(F.array_sort(F.collect_set(F.struct((-F.length("name")).alias("n"), escaped.alias("p")))).alias("__names")))
+    own = F.concat(F.lit(f"(?<!{_LETTER})(?:"), F.array_join(F.col("__names.p"), "|"), F.lit(f")(?!{_LETTER})"))
+    masked = F.when(F.col("__names").isNull(), F.col(col)).otherwise(F.regexp_replace(F.col(col), own, F.lit(PERSON_LABEL)))
+    return x.join(found, "__text", "left").select(*(masked.alias(c) if c == col else F.col(c) for c in df.columns))
 
 
 def mask_secrets_col(c: Column) -> Column:

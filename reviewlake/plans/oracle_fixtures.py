@@ -150,12 +150,31 @@ def mod97_ok(x: str) -> str:
             f"ELSE (macc * 100 + v) % 97 END, CAST(0 AS BIGINT)) = 1)")
 
 
+#: the addresses with a right checksum in the derived diffs, by the public specifications' own examples
+VALID_WALLETS = ["1BoatSLRHtKNngkdXEeobR76b53LETtpyT", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4"]
+
+
+def phone_ok(x: str) -> str:
+    d = f"regexp_replace({x}, '[^0-9]', '', 'g')"
+    codes = ", ".join(f"'{code}': [{least}, {most}]" for code, (least, most) in P.CALLING_CODES.items())
+    fits = " OR ".join(f"coalesce(length({d}) - {n} BETWEEN (MAP {{{codes}}})[substr({d}, 1, {n})][1] "
+                       f"AND (MAP {{{codes}}})[substr({d}, 1, {n})][2], false)" for n in (1, 2, 3))
+    return f"(({fits}) AND NOT regexp_matches({x}, {q(P.PHONE_DATE)}))"
+
+
 def part(h: str, check: str) -> str:
     """The part of a match that is the entity, NULL when there is none."""
     if check == "digit":
         return f"(CASE WHEN regexp_matches({h}, '[0-9]') THEN {h} END)"
-    ok = luhn_ok if check == "luhn" else mod97_ok
-    shapes = [P.card_part(n) for n in P.CARD_DIGITS] if check == "luhn" else [P.iban_part(g) for g in P.IBAN_GAPS]
+    if check == "wallet":
+        return f"(CASE WHEN starts_with({h}, '0x') OR {h} IN ({', '.join(map(q, VALID_WALLETS))}) THEN {h} END)"
+    ok = {"luhn": luhn_ok, "mod97": mod97_ok, "phone": phone_ok}[check]
+    shapes = {"luhn": [P.card_part(n) for n in P.CARD_DIGITS], "mod97": [P.iban_part(g) for g in P.IBAN_GAPS],
+              "phone": [P.phone_part(n) for n in P.PHONE_DIGITS]}[check]
+    if check == "phone":
+        parts = ", ".join(f"regexp_extract({h}, {q(x)}, 1)" for x in shapes)
+        return (f"(CASE WHEN starts_with({h}, '+') THEN coalesce(list_filter([{parts}], lambda pp: pp <> '' AND {ok('pp')})[1], "
+                f"nullif(regexp_extract({h}, {q(P.PHONE_LOCAL)}, 1), '')) ELSE {h} END)")
     parts = ", ".join(f"regexp_extract({h}, {q(x)}, 1)" for x in shapes)
     return f"(list_filter([{parts}], lambda pp: pp <> '' AND {ok('pp')})[1])"
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import count_matches
 from ..operators import diffs as D
 from ..operators import privacy as PV
 from ..sources import fixtures as fx
@@ -40,8 +39,7 @@ def sanitized_mask_counts(spark, sf_dir):
     x = g.select("pr_id", F.col("capped_diff").alias("kept"))
     counts = PV.entity_counts(x, "kept", "pr_id", ["EMAIL_ADDRESS", "IP_ADDRESS"], masked="t2", keep=["kept"])
     x = counts.select("pr_id", "kept", F.col("n_email_address").alias("n_email"), F.col("n_ip_address").alias("n_ip"), "t2")
-    x = x.withColumn("n_secret", count_matches(F.col("t2"), SECRET_SPARK)) \
-         .withColumn("t3", F.regexp_replace("t2", SECRET_SPARK, P.SECRET_LABEL))
+    x = PV.counted_replace(x, "t2", SECRET_SPARK, P.SECRET_LABEL, "n_secret", "t3")
     return x.select("pr_id", F.length("kept").cast("bigint").alias("diff_len"), "n_email", "n_ip",
                     "n_secret", F.length("t3").cast("bigint").alias("sanitized_len"),
                     F.md5("t3").alias("sanitized_md5"))
@@ -119,26 +117,29 @@ def doc_entity_spans(spark, sf_dir):
     return PV.entity_spans(_read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id")
 
 
+#: the names as one alternation, longer ones first
+_NAMES = O.q("\\b(" + "|".join(n.replace(" ", "[ \\t]+") for n in sorted(P.DEFAULT_PERSON_NAMES, key=len, reverse=True)) + ")\\b")
+
+
 def _persons_oracle() -> str:
-    alts = "|".join(P.DEFAULT_PERSON_NAMES)
-    return f"""WITH m AS (SELECT doc_id, regexp_replace(text, {O.q('\\b(' + alts + ')\\b')}, '<PERSON>', 'g') AS masked
+    return f"""WITH m AS (SELECT doc_id, regexp_replace(text, {_NAMES}, '<PERSON>', 'g') AS masked
   FROM documents)
 SELECT doc_id, CAST(length(masked) AS BIGINT) AS masked_len, md5(masked) AS masked_md5 FROM m"""
 
 
-# RE2's word boundary is ASCII-only where Spark's (?U) one is Unicode; they agree unless a
+# RE2's word boundary is ASCII-only where the operator's is Unicode; they agree unless a
 # name touches a non-ASCII letter. On the driver data no name occurs, so this pins that
-# untouched rows come back unchanged; the token regroup itself is unit-tested.
+# untouched rows come back unchanged; the diffs below hold names of one word and of several.
 @register("doc_mask_persons", _persons_oracle())
 def doc_mask_persons(spark, sf_dir):
-    """Dictionary names -> <PERSON> on documents (token join, regroup per doc)."""
+    """Dictionary names -> <PERSON> on documents (in the row)."""
     d = _read(spark, sf_dir, "documents").select("doc_id", "text")
     m = PV.mask_persons(d, "text", "doc_id", PV.person_names(spark))
     return m.select("doc_id", F.length("text").cast("bigint").alias("masked_len"), F.md5("text").alias("masked_md5"))
 
 
 @register("diff_mask_persons", f"""WITH {O.F0},
-m AS (SELECT pr_id, regexp_replace(diff, {O.q('\\b(' + '|'.join(P.DEFAULT_PERSON_NAMES) + ')\\b')}, '<PERSON>', 'g') AS masked FROM prs)
+m AS (SELECT pr_id, regexp_replace(diff, {_NAMES}, '<PERSON>', 'g') AS masked FROM prs)
 SELECT pr_id, CAST(length(masked) AS BIGINT) AS masked_len, md5(masked) AS masked_md5 FROM m""")
 def diff_mask_persons(spark, sf_dir):
     """C8 on whole diffs, whose added lines hold names."""

@@ -172,3 +172,106 @@ def test_person_names_of_any_table(spark):
 def test_rules_that_look_around_are_not_screened(spark):
     hunks = spark.createDataFrame([(1, "foo\nbar")], "pr_id long, hunk string")
     assert PV.screen_hunks(hunks, [r"foo(?!\s*bar)"]).count() == 1 and PV.screen_hunks(hunks, ["zzz"]).count() == 0
+
+
+def test_phones_of_all_countries(spark):
+    yes = ["+44 20 7946 0958", "+49 30 901820", "+1 (555) 123-4567", "+15551234567", "+33 1 23 45 67 89", "+999 555-123-4567",
+           "555-123-4567", "(555) 123-4567", "+353 1 234 5678", "+352 621 123 456", "+86 138 0013 8000"]
+    no = ["+1.2.3", "v1.2.3.4567", "12345678901234567890", "+2024-01-15 10:30", "+999 12 34 56 78", "+44 20 794", "a+4420794609581",
+          "+1234567890123456789", "+12 34"]
+    df = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(yes + no)], "i int, t string")
+    got = [r.t for r in PV.mask_entities(df, "t", ["PHONE_NUMBER"]).orderBy("i").collect()]
+    assert got == ["x <PHONE_NUMBER> y"] * len(yes) + [f"x {t} y" for t in no]
+    df = spark.createDataFrame([("+33 1 23 45 67 89 99, +44 20 7946 0958 7",)], "t string")
+    assert rows(PV.mask_entities(df, "t", ["PHONE_NUMBER"])) == [("<PHONE_NUMBER> 99, <PHONE_NUMBER> 7",)]  # 44 takes ten digits, not eleven
+
+
+def base58_address(version, payload):
+    import hashlib
+    raw = bytes([version]) + payload
+    raw += hashlib.sha256(hashlib.sha256(raw).digest()).digest()[:4]
+    n, out = int.from_bytes(raw, "big"), ""
+    while n:
+        n, d = divmod(n, 58)
+        out = P.BASE58[d] + out
+    return "1" * (len(raw) - len(raw.lstrip(b"\0"))) + out
+
+
+def bech32_address(version, program):
+    def state(values):
+        s = 1
+        for v in values:
+            top, s = s >> 25, (s & 0x1FFFFFF) << 5 ^ v
+            for k, g in enumerate(P.BECH32_GENERATORS):
+                s ^= g if top >> k & 1 else 0
+        return s
+    data = [version, *program]
+    check = state([3, 3, 0, 2, 3, *data, *[0] * 6]) ^ (P.BECH32M_OK if version else P.BECH32_OK)
+    return "bc1" + "".join(P.BECH32[v] for v in [*data, *(check >> 5 * (5 - k) & 31 for k in range(6))])
+
+
+def test_wallets_by_their_checksums(spark):
+    import random
+    rnd = random.Random(11)
+    good = [base58_address(v, rnd.randbytes(20)) for v in (0, 5) for _ in range(15)] + [base58_address(0, b"\0\0" + rnd.randbytes(18))]
+    good += [bech32_address(v, [rnd.randrange(32) for _ in range(n)]) for v, n in ((0, 32), (0, 52), (1, 52), (2, 40)) for _ in range(5)]
+    good += ["1BoatSLRHtKNngkdXEeobR76b53LETtpyT", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4",
+             "bc1p0xlxvlhemja6c4dqv22uapctqupfhlxm9h8z3k2e72q4k9hcz7vqzk5jj0", "0x" + "a1" * 20]
+    bad = []
+    for x in good[:-1]:  # one character changed
+        at = rnd.randrange(5, len(x))
+        letters = P.BECH32 if x.startswith("bc1") else P.BASE58
+        bad.append(x[:at] + rnd.choice([c for c in letters if c != x[at]]) + x[at + 1:])
+    bad += ["3" * 31, "1" * 30, "bc1" + "q" * 30, base58_address(9, b"\1" * 20)]
+    df = spark.createDataFrame([(i, f"pay {x}.") for i, x in enumerate(good + bad)], "i int, t string")
+    got = [r.t for r in PV.mask_entities(df, "t", ["CRYPTO"]).orderBy("i").collect()]
+    assert got == ["pay <CRYPTO>."] * len(good) + [f"pay {x}." for x in bad]
+
+
+def test_span_sweep_equals_all_pairs(spark):
+    import random
+    rnd = random.Random(12)
+
+    def disjoint():
+        at, out = 0, []
+        for _ in range(rnd.randint(0, 12)):
+            at += rnd.randint(0, 6)
+            out.append((at, at + rnd.randint(1, 9)))
+            at = out[-1][1]
+        return out
+    cases = [(i, disjoint(), disjoint() + disjoint()) for i in range(400)]
+    df = spark.createDataFrame(cases, f"i int, own {PV.SPANS_TYPE}, better {PV.SPANS_TYPE}")
+    got = {r.i: [tuple(x) for x in r.w] for r in df.select("i", F.expr(PV.winning_sql("own", "better")).alias("w")).collect()}
+    for i, own, better in cases:
+        assert got[i] == [a for a in own if not any(b[0] < a[1] and a[0] < b[1] for b in better)]
+
+
+def test_a_row_of_a_hundred_thousand_spans_ends_soon(spark):
+    import time
+    text = " ".join(f"a{i}@b.co 10.0.0.{i % 200}" for i in range(50_000))
+    df = spark.createDataFrame([(1, text)], "id int, t string")
+    began = time.time()
+    got = PV.entity_spans(df, "t", "id").groupBy("entity").agg(F.count("*"), F.max("end")).collect()
+    assert {r[0]: r[1] for r in got} == {"EMAIL_ADDRESS": 50_000, "IP_ADDRESS": 50_000} and max(r[2] for r in got) == len(text)
+    assert time.time() - began < 60
+
+
+def test_person_names_of_several_words(spark):
+    import random
+    import re
+    rnd = random.Random(13)
+    names = ["Mary", "Mary Ann van der Berg", "Jean Paul", "O'Neil", "Ann", "Zoë", "van der Berg", "A. B.", "  ", "Jean-Luc"]
+    parts = ["Mary", "Ann", "van", "der", "Berg", "Jean", "Paul", "O'Neil", "Zoë", "x", "Maryx", "A.", "B.", "Jean-Luc", "ß", ",", "-"]
+    texts = ["Mary Ann van der Berg met Mary Ann", None, "", "xMary Mary\nAnn Jean\nPaul"]
+    texts += ["".join(rnd.choice(parts) + rnd.choice([" ", " ", "  ", "\t", "", "\n"]) for _ in range(rnd.randint(0, 15))) for _ in range(300)]
+    own = sorted((n for n in names if n.strip()), key=len, reverse=True)
+    rule = re.compile(r"(?<!\w)(?:" + "|".join(r"[^\S\r\n]+".join(map(re.escape, n.split())) for n in own) + r")(?!\w)")
+    want = [None if t is None else rule.sub("<PERSON>", t) for t in texts]
+    df = spark.createDataFrame([(None if i % 3 else 7, i, t) for i, t in enumerate(texts)], "k int, i int, t string")
+    for most in (10_000, 0):  # one pattern for all, and a join for a large dictionary
+        got = PV.mask_persons(df, "t", "k", PV.person_names(spark, names), most)
+        assert got.columns == df.columns
+        assert [r.t for r in got.orderBy("i").collect()] == want
+        assert want[0] == "<PERSON> met <PERSON> <PERSON>"
+    plan = PV.mask_persons(df, "t", "k", PV.person_names(spark, names))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
