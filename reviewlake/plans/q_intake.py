@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import intake as I
-from ..session import spread
+from ..session import scratch_path, spread
 from ..sources import fixtures as fx
+from ..sources import io
 from . import oracle_fixtures as O
 from .catalog import register
 
@@ -83,3 +84,22 @@ def deliverable_reports(spark, sf_dir):
     r = _routed(spark, sf_dir)
     return I.deliverable(I.project_pr(r.filter(F.col("outcome") == "accepted"))).select(
         "delivery_id", "pr_id", "repo_name")
+
+
+@register("delivered_runs", f"""WITH {_ROUTE_SQL},
+ok AS (SELECT delivery_id, pr_id, repo_name FROM pr WHERE repo_name <> '' AND pr_id <> 'unknown')
+SELECT 'posted' AS target, CASE WHEN delivery_id % 2 = 0 THEN 'even' ELSE '007' END AS run_id, * FROM ok
+UNION ALL SELECT 'dry_run', 'even', * FROM ok WHERE delivery_id % 2 = 0""")
+def delivered_runs(spark, sf_dir):
+    """A6 sink: two runs posted and one dry run, the first run written three times (once with half of
+    its rows, as by a job that was started with less input); each row is read back once."""
+    path = scratch_path(spark, "delivered")
+    ok = deliverable_reports(spark, sf_dir)
+    odd = F.coalesce(F.pmod("delivery_id", F.lit(2)) == 1, F.lit(False))  # a null id goes with the even ones
+    for rows, run in ((ok.where(~odd & (F.pmod("delivery_id", F.lit(4)) == 0)), "even"), (ok.where(~odd), "even"), (ok.where(odd), "007"),
+                      (ok.where(~odd), "even")):
+        io.write_reports(rows, path, run_id=run)
+    logged = io.write_reports(ok.where(~odd), path, dry_run=True, run_id="even")
+    cols = ["run_id", "delivery_id", "pr_id", "repo_name"]
+    return (io.read_runs(spark, path).select(F.lit("posted").alias("target"), *cols)
+            .unionByName(io.read_runs(spark, logged).select(F.lit("dry_run").alias("target"), *cols)))

@@ -3,12 +3,17 @@ document (A7) and audit rows (A8)."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..operators import contracts as C
 from ..operators import intake as I
 from ..operators import report as G
+from ..session import scratch_path
+from ..sources import io
+from ..sources.tables import read_table
 from . import oracle_fixtures as O
 from .catalog import ORACLES, register
 from .context import ReviewContext
@@ -271,3 +276,48 @@ SELECT pr_id, agent, md5("user") AS user_md5, CAST(length("user") AS BIGINT) AS
 
 
 ORACLES["review_requests"] = _requests_sql()
+
+
+AUDIT_FIELDS = "pr_id BIGINT, critic_outcome STRING, worst_status STRING, latency_s DOUBLE, report_md5 STRING"
+
+
+@register("audit_log", ORACLES["audit_rows"])
+def audit_log(spark, sf_dir):
+    """A8 sink: the audit rows committed as one run, written again, and read back from their JSON."""
+    path = scratch_path(spark, "audit")
+    rows = audit_rows(spark, sf_dir)
+    for _ in range(2):
+        io.write_audit(rows, path, run_id="nightly")
+    return io.read_runs(spark, path).select(F.from_json("audit_json", AUDIT_FIELDS).alias("a")).select("a.*")
+
+
+def _loose_oracle() -> str:
+    percent = "concat(coalesce(CAST(round_even(TRY_CAST(json_extract_string(f, '$.confidence_score') AS DOUBLE) * 100, 0) AS BIGINT), 0), '%')"
+    return f"""WITH d AS (SELECT doc_id // 4 AS pr_id, doc_id, CAST({O.q(LOOSE_FINDINGS)} AS JSON) AS all_f FROM documents),
+l AS (SELECT pr_id, doc_id, i AS ord, json_extract(all_f, '$[' || ((doc_id + i) % {len(json.loads(LOOSE_FINDINGS))}) || ']') AS f
+  FROM d, range(3) AS t(i) WHERE i < doc_id % 4)
+SELECT pr_id, doc_id, CAST(ord AS INTEGER) AS ord, CASE WHEN json_type(f) = 'VARCHAR' THEN json_extract_string(f, '$')
+  WHEN json_type(f) <> 'OBJECT' THEN CAST(f AS VARCHAR)
+  ELSE concat_ws(' — ', coalesce(json_extract_string(f, '$.description'), ''),
+    CASE WHEN coalesce(json_extract_string(f, '$.file_reference'), '') <> '' THEN concat('`', json_extract_string(f, '$.file_reference'), '`',
+      CASE WHEN coalesce(CAST(json_extract(f, '$.line_number') AS BIGINT), 0) <> 0 THEN concat(' line ', CAST(json_extract(f, '$.line_number') AS BIGINT)) ELSE '' END) END,
+    CASE WHEN json_exists(f, '$.confidence_score') THEN concat('confidence: ', {percent}) END) END AS line FROM l"""
+
+
+#: findings as unvalidated results have them: plain texts, objects with parts missing, confidences that are no numbers
+LOOSE_FINDINGS = json.dumps([
+    "a plain text", {"description": "no place", "confidence_score": "high"}, {"description": "full", "file_reference": "a.py", "line_number": 3,
+    "confidence_score": 0.125}, {"file_reference": "b.py"}, {"description": "text number", "confidence_score": "0.5"}, 17,
+    {"description": "null confidence", "file_reference": "c.py", "line_number": 0, "confidence_score": None}, "", "second — text"])
+
+
+@register("loose_findings", _loose_oracle())
+def loose_findings(spark, sf_dir):
+    """D14 + G2 on results that passed no contract: findings of any shape, one line each."""
+    d = read_table(spark, sf_dir, "documents").select(F.expr("doc_id div 4").alias("pr_id"), "doc_id")
+    everything = F.try_variant_get(F.parse_json(F.lit(LOOSE_FINDINGS)), "$", "array<variant>")
+    n = len(json.loads(LOOSE_FINDINGS))
+    own = F.transform(F.expr("CASE WHEN doc_id % 4 = 0 THEN cast(array() AS array<int>) ELSE sequence(0, cast(doc_id % 4 AS int) - 1) END"),
+                      lambda i: F.get(everything, ((F.col("doc_id") + i) % n).cast("int")))
+    x = d.select("pr_id", "doc_id", F.posexplode(C.as_findings(own, "variant")).alias("ord", "f"))
+    return x.select("pr_id", "doc_id", "ord", G.format_finding(F.col("f")).alias("line"))
