@@ -36,7 +36,6 @@ from .common import stored
 WORD = r"[^\x20\x09-\x0D]+"
 #: sampling weight at time 0, 1/2, 1, dealt to the sources in turn: falling, rising, level
 SCHEDULES = ((1.5, 1.0, 0.5), (0.5, 1.0, 1.5), (1.0, 1.0, 1.0))
-HELPERS = ("h", "th", "bucket", "offset", "inside", "begin", "aim", "place", "weight", "s", "b")
 OWN = ("size", "source_size", "target", "taken", "position", "again")
 
 
@@ -85,15 +84,14 @@ def due(schedule: tuple, share: Column) -> Column:
     return F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0))
 
 
-def plan(docs: DataFrame, weights=(3, 1, 2), total: float = 1.5, most: float = 2.0, schedules=SCHEDULES,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document (without its text) with ``size``, ``source_size``, ``target``, ``taken`` and
-    the times of its first and second pass, ``position`` and ``again`` (null: not taken then)."""
+def _planned(docs: DataFrame, kept: list[str], weights, total: float, most: float, schedules, id_col: str, text_col: str) -> DataFrame:
+    """Each document's ``row`` (its ``kept`` columns, which no name here can clash with), ``id``,
+    ``source``, text hash ``th`` and the plan's own columns."""
     if most > 2:
         raise ValueError("a document is passed twice at most")
-    kept = [c for c in docs.columns if c not in (*OWN, text_col, *HELPERS)]
     h = F.xxhash64(F.lit("mix"), F.col(id_col))
-    sized = docs.select(*kept, sizes(docs, text_col).alias("size"), h.alias("h"), F.xxhash64(F.col(text_col)).alias("th"))
+    sized = docs.select(F.struct(*kept).alias("row"), F.col(id_col).alias("id"), F.col("source").alias("source"),
+                        sizes(docs, text_col).alias("size"), h.alias("h"), F.xxhash64(F.col(text_col)).alias("th"))
     sized = stored(sized, "mix-sizes")
     buckets = 2 * math.isqrt(sized.count()) + 1  # as many buckets as rows in one, within a factor
     sized = sized.withColumn("bucket", F.floor((F.shiftrightunsigned("h", 33) * F.lit(buckets)) / F.lit(1 << 31)))
@@ -103,7 +101,7 @@ def plan(docs: DataFrame, weights=(3, 1, 2), total: float = 1.5, most: float = 2
     aims = targets(per_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total, most)
     heads = (offsets.join(aims.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
              .withColumnRenamed("source", "s").withColumnRenamed("bucket", "b"))
-    inside = Window.partitionBy("source", "bucket").orderBy("h", F.col(id_col), "th", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("h", "id", "th", "size").rowsBetween(Window.unboundedPreceding, -1)
     queued = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = (queued.join(heads, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
             .withColumn("begin", F.col("offset") + F.col("inside"))
@@ -119,24 +117,35 @@ def plan(docs: DataFrame, weights=(3, 1, 2), total: float = 1.5, most: float = 2
 
     second = F.col("begin") + F.col("source_size")
     return rows.select(
-        *kept, "size", "source_size", "target", (got(F.lit(0)) + got(F.col("source_size"))).alias("taken"),
+        "row", "id", "source", "size", "source_size", "target", (got(F.lit(0)) + got(F.col("source_size"))).alias("taken"),
         F.when(got(F.lit(0)) > 0, when_due(F.col("begin"))).alias("position"),
         F.when(got(F.col("source_size")) > 0, when_due(second)).alias("again"), F.col("th"))
 
 
+def plan(docs: DataFrame, weights=(3, 1, 2), total: float = 1.5, most: float = 2.0, schedules=SCHEDULES,
+         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each document (without its text; columns named like the plan's own are replaced) with ``size``,
+    ``source_size``, ``target``, ``taken`` and the times of its first and second pass, ``position`` and
+    ``again`` (null: not taken then)."""
+    kept = [c for c in docs.columns if c.lower() not in OWN and c != text_col]
+    planned = _planned(docs, kept, weights, total, most, schedules, id_col, text_col)
+    return planned.select(*(F.col("row").getField(c).alias(c) for c in kept), *OWN)
+
+
 def by_position(planned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The plan, range-sorted by time; what the mix leaves out stands last, by id, so that it too
     is dealt over many ranges."""
     return planned.orderBy(F.col("position").asc_nulls_last(), F.col(id_col))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+def mix(docs: DataFrame, weights=(3, 1, 2), total: float = 1.5, most: float = 2.0, schedules=SCHEDULES,
+        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The mixed training set: the columns of ``docs``, one row per document and pass, in order of
     time; the last document that a source needs is cut after its last word taken."""
-    planned = plan(docs, id_col=id_col, text_col=text_col, **settings)
+    planned = _planned(docs, [id_col], weights, total, most, schedules, id_col, text_col)
     # rows of equal id, text and source pair up by number: they differ in nothing that counts here
     alike = Window.partitionBy("_id", "_th", "_source").orderBy("_source")
-    passes = (planned.select(F.col(id_col).alias("_id"), F.col("th").alias("_th"), F.col("source").alias("_source"),
+    passes = (planned.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("source").alias("_source"),
                              F.col("size").alias("_size"), "taken", "position", "again")
               .withColumn("_n", F.row_number().over(alike)).where("taken > 0")
               .withColumn("_pass", F.explode(F.filter(F.array(

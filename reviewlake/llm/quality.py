@@ -137,12 +137,10 @@ def _score_batches(weights: np.ndarray):
 
         for batch in batches:
             out = []
-            for text in batch.column("_text"):
+            for text in batch.column(batch.num_columns - 1):
                 at, x = features(text.as_py())
                 out.append(_sigmoid(float(weights[at] @ x + weights[-1])) if len(weights) else 1.0)
-            keep = [i for i, n in enumerate(batch.schema.names) if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(out, pa.float64())],
-                                             [*(batch.schema.names[i] for i in keep), "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*batch.schema.names[:-1], "score"])
     return run
 
 
@@ -154,7 +152,10 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataF
     kept = docs.drop("score")
     schema = StructType([*kept.schema.fields]).add("score", DoubleType())
     sparse = weights.astype(np.float32)
-    return kept.withColumn("_text", text_or_empty(text_col)).mapInArrow(_score_batches(sparse), schema)
+    own = "_text"  # the last column, under a name that no other has
+    while own in map(str.lower, kept.columns):
+        own += "_"
+    return kept.select("*", text_or_empty(text_col).alias(own)).mapInArrow(_score_batches(sparse), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **fitting) -> DataFrame:

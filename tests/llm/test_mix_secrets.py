@@ -141,3 +141,14 @@ def test_scan_of_the_driver_table(spark):
 def test_many_secrets_in_one_text(spark):
     text = " ".join(f"token={hashlib.md5(str(i).encode()).hexdigest()}" for i in range(1500))
     check_scan(frame(spark, [(1, text)]), [(1, text, "src1")])
+
+
+def test_the_plan_keeps_columns_of_any_name(spark):
+    names = ["h", "th", "bucket", "offset", "inside", "begin", "aim", "place", "weight", "s", "b", "row", "id"]
+    docs = spark.createDataFrame([(i, f"one two three {i}", f"src{i % 3}", *(f"{n}{i}" for n in names)) for i in range(60)],
+                                 "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    planned = curriculum.plan(docs).collect()
+    assert all(r[n] == f"{n}{r.doc_id}" for r in planned for n in names) and len(planned) == 60
+    mixed = curriculum.mix(docs)
+    assert mixed.columns == docs.columns
+    assert all(r[n] == f"{n}{r.doc_id}" for r in mixed.collect() for n in names)

@@ -110,3 +110,12 @@ def test_quality_edges(spark, edges, nothing):
     none = quality.classify(edges, labels.limit(0)).collect()
     assert {r.score for r in none} == {1.0} and {r.predicted for r in none} == {1}
     assert quality.classify(nothing, labels).count() == 0
+
+
+def test_scores_keep_columns_of_any_name(spark):
+    rows = [(i, f"some text {i} here", f"x{i}", i, "y") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text string, _TEXT_ int, Score string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = quality.classify(docs, labels).collect()
+    assert sorted((r.doc_id, r["_text"], r["_TEXT_"]) for r in got) == [(i, f"x{i}", i) for i in range(40)]
+    assert all(0 <= r.score <= 1 for r in got)
