@@ -71,16 +71,32 @@ def project_pr(accepted: DataFrame) -> DataFrame:
                            repo.alias("repo_name"), url.alias("diff_url"))
 
 
-def attach_diff(prs: DataFrame, diffs: DataFrame, url_col: str = "diff_url") -> DataFrame:
+def attach_diff(prs: DataFrame, diffs: DataFrame, url_col: str = "diff_url", hot_rows: int = 100_000) -> DataFrame:
     """A5: bring the diff text to each PR by its URL; no diff -> '' and processing goes on.
 
-    A diff that landed more than once counts once (of different texts the greatest). An equi
-    left join: Spark picks broadcast only when the diff side is small by its statistics;
-    otherwise sort-merge, with AQE splitting a hot URL's partition.
+    A diff that landed more than once counts once (of different texts the greatest). Texts are
+    exchanged once, by URL and salt: each task keeps one text per URL, the exchange brings them together and
+    the join takes the same partitioning. A URL of more than ``hot_rows`` PRs is dealt over that many
+    more salts, its text sent to each. Only the first URLs by count are, as many as there are shuffle
+    partitions; any other has fewer rows than a task's even share, so the list that is broadcast has
+    that many rows, of two numbers each. PRs without a URL meet no text and are spread.
     """
-    d = diffs.groupBy(F.col(url_col).alias("__url")).agg(F.max("diff").alias("__diff"))
-    j = prs.join(d, prs[url_col] == d["__url"], "left")
-    return j.drop("__url").withColumn("diff", F.coalesce(F.col("__diff"), F.lit(""))).drop("__diff")
+    width = int(prs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    url, h = F.col(url_col), F.xxhash64(url_col)
+    hot = (prs.where(url.isNotNull()).groupBy(h.alias("__h")).agg(F.count("*").alias("__n"))
+           .where(F.col("__n") > hot_rows).orderBy(F.desc("__n"), "__h").limit(width)
+           .select("__h", F.least(F.ceil(F.col("__n") / hot_rows), F.lit(width)).cast("int").alias("__salts")))
+    salts = F.coalesce("__salts", F.lit(1))
+
+    def with_salts(df):
+        return df.withColumn("__h", h).join(F.broadcast(hot), "__h", "left")
+
+    texts = (with_salts(diffs.where(url.isNotNull()).select(url_col, "diff"))
+             .select(url.alias("__url"), F.col("diff").alias("__diff"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("__salt"))
+             .groupBy("__url", "__salt").agg(F.max("__diff").alias("__diff")))
+    salted = with_salts(prs).withColumn("__salt", F.pmod(F.xxhash64(*prs.columns), F.when(url.isNull(), F.lit(width)).otherwise(salts)).cast("int"))
+    j = salted.join(texts.hint("merge"), (url == F.col("__url")) & (salted["__salt"] == texts["__salt"]), "left")
+    return j.select(*[prs[c] for c in prs.columns], F.coalesce(F.col("__diff"), F.lit("")).alias("diff"))
 
 
 def deliverable(df: DataFrame) -> DataFrame:

@@ -14,6 +14,9 @@ from .context import ReviewContext
 from .q_reports import REPORT_TS
 
 
+SPAN = 4096  # PR ids per folder of the S3 tables
+
+
 def _land(df, path, mode="overwrite"):
     df.write.mode(mode).parquet(path)
     return path
@@ -61,18 +64,18 @@ def stream_sanitize(spark, sf_dir):
 @register("stream_reports")
 def stream_reports(spark, sf_dir):
     """S3: agent outputs arrive over several micro-batches (one file per attempt
-    number); each batch re-resolves the PRs it touched; the newest report wins."""
+    number); each batch re-resolves the PRs it touched; the newest report wins. Two segments of
+    a level make one of the next, so that three batches merge."""
     base = scratch_path(spark, "stream-reports")
     ctx = ReviewContext(spark, sf_dir)
-    san_path = _land(ctx.sanitized.select("pr_id", "sanitized_diff"), f"{base}/prs")
-    scan_path = _land(ctx.scans, f"{base}/scans")
+    san, scans = ctx.sanitized.select("pr_id", "sanitized_diff"), ctx.scans
+    san_path, scan_path = S.write_ranged(san, f"{base}/prs", SPAN), S.write_ranged(scans, f"{base}/scans", SPAN)
     outputs, landing = fx.agent_outputs(spark, sf_dir), f"{base}/landing"
     for attempt in (1, 2, 3):  # as they come in, attempt after attempt
         _land(outputs.filter(F.col("attempt") == attempt), landing, "append")
     files = max(1, len(spark.read.parquet(landing).inputFiles()) // 3)
-    q = S.stream_reports(spark, landing, spark.read.parquet(san_path), spark.read.parquet(scan_path),
-                         f"{base}/out", f"{base}/ckpt", REPORT_TS, max_files_per_trigger=files,
-                         buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    q = S.stream_reports(spark, landing, S.read_ranged(spark, san_path, san.schema), S.read_ranged(spark, scan_path, scans.schema),
+                         f"{base}/out", f"{base}/ckpt", REPORT_TS, max_files_per_trigger=files, span=SPAN, fan=2)
     q.awaitTermination()
     rep = S.latest_reports(spark, f"{base}/out")
     return rep.select("pr_id", "critic_outcome", F.length("markdown_report").cast("bigint").alias("report_len"),

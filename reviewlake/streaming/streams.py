@@ -5,12 +5,20 @@ into folders partitioned by ``batch_id`` with dynamic partition overwrite, so a
 micro-batch replayed after a failure replaces its own output instead of duplicating
 it; the checkpoint records progress. Nothing keeps per-key state in memory: report
 updates re-read the attempts of the PRs a batch touched from the attempts table.
+
+The attempts table is a log of segments in levels, each in folders by range of PR ids. A batch
+writes a segment of level 0; when ``fan`` segments of a level are full they are merged into one of
+the next. Which segments hold the batches 0 to n follows from n + 1 written in base ``fan``, so at
+most (fan - 1) * log(n) are read, nothing is listed and a replayed batch makes the same segments.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import contracts as C
 from ..operators import diffs as D
@@ -29,9 +37,68 @@ def _write_batch(df: DataFrame, path: str, batch_id: int, extra_partitions=()) -
      .option("partitionOverwriteMode", "dynamic").partitionBy(*extra_partitions, "batch_id").parquet(path))
 
 
-def pr_bucket(col: str = "pr_id", buckets: int = 256) -> F.Column:
-    """Stable hash bucket of a PR id, used to partition the attempts table."""
-    return F.pmod(F.xxhash64(F.col(col)), F.lit(buckets)).cast("int")
+def pr_range(span: int, col: str = "pr_id") -> F.Column:
+    """Number of the range of ``span`` ids that a PR lies in. PRs come in the order of their ids, so the
+    PRs of a batch lie in few ranges, and its reads leave the others' folders alone."""
+    return F.expr(f"`{col}` div {int(span)}L").alias("pr_range")
+
+
+def write_ranged(df: DataFrame, path: str, span: int) -> str:
+    """``df`` in folders by :func:`pr_range`, each file sorted by PR; a range with many rows gets several
+    files. :func:`stream_reports` reads of such tables only the ranges that a batch touches."""
+    (df.withColumn("pr_range", pr_range(span)).hint("rebalance", "pr_range").sortWithinPartitions("pr_range", "pr_id")
+     .write.mode("overwrite").partitionBy("pr_range").parquet(path))
+    return path
+
+
+def read_ranged(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table of :func:`write_ranged`; ``schema`` has the columns besides ``pr_range``."""
+    fields = [f for f in schema.fields if f.name != "pr_range"]
+    return spark.read.schema(T.StructType([*fields, T.StructField("pr_range", T.LongType())])).parquet(path)
+
+
+def segments(n: int, fan: int) -> list[tuple[int, int]]:
+    """(level, number) of the segments that hold the first ``n`` batches, oldest first: the segment
+    ``k`` of level ``l`` holds the batches from ``k * fan ** l`` on, ``fan ** l`` of them."""
+    found, level = [], 0
+    while n:
+        found += [(level, k) for k in range(n - 1, n - n % fan - 1, -1)]
+        n, level = n // fan, level + 1
+    return found[::-1]
+
+
+def _segment(base: str, level: int, number: int) -> str:
+    return f"{base}/level={level}/segment={number}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def append_attempts(attempts: DataFrame, base: str, batch_id: int, span: int, fan: int) -> None:
+    """Add a batch to the attempts log and merge the levels that it fills. The segments that the batch
+    before merged are removed only now: until that batch was done, a replay would have needed them."""
+    spark = attempts.sparkSession
+    write_ranged(attempts, _segment(base, 0, batch_id), span)
+    level, number = 0, batch_id
+    while number % fan == fan - 1:
+        parts = [read_ranged(spark, _segment(base, level, k), attempts.schema) for k in range(number - fan + 1, number + 1)]
+        level, number = level + 1, number // fan
+        write_ranged(reduce(DataFrame.unionByName, parts).drop("pr_range"), _segment(base, level, number), span)
+    before, held = set(segments(batch_id, fan)), set(segments(max(0, batch_id - 1), fan)) | {(0, batch_id - 1)}
+    level, number = 0, batch_id - 1
+    while batch_id and number % fan == fan - 1:  # what the batch before merged, level by level
+        held |= {(level, k) for k in range(number - fan + 1, number + 1)}
+        level, number = level + 1, number // fan
+    for level, number in held - before if batch_id else ():
+        _remove(spark, _segment(base, level, number))
+
+
+def read_attempts(spark: SparkSession, base: str, batches: int, schema, fan: int, ranges: list[int] | None = None) -> DataFrame:
+    """The attempts of the first ``batches`` batches, of all PRs or those in ``ranges``."""
+    log = reduce(DataFrame.unionByName, [read_ranged(spark, _segment(base, *s), schema) for s in segments(batches, fan)])
+    return (log if ranges is None else log.filter(F.col("pr_range").isin(ranges))).drop("pr_range")
 
 
 def _trigger(w, available_now: bool, interval: str):
@@ -77,13 +144,13 @@ def start_sanitize(spark: SparkSession, in_path: str, out_path: str, ckpt: str,
 
 def stream_reports(spark: SparkSession, in_path: str, prs: DataFrame, scans: DataFrame, out_path: str, ckpt: str,
                    ts: str, available_now: bool = True, interval: str = "30 seconds",
-                   max_files_per_trigger: int | None = None, buckets: int = 1024):
-    """S3: landed agent outputs -> validated attempts (appended per batch) -> for the PRs
+                   max_files_per_trigger: int | None = None, span: int = 4096, fan: int = 8):
+    """S3: landed agent outputs -> validated attempts (a segment per batch) -> for the PRs
     a batch touched, all their attempts so far are resolved, defaulted and rendered, and
     the reports written under the batch id. ``prs`` holds the sanitized diffs (static),
-    ``scans`` the scan summaries. ``buckets`` partitions the attempts table and bounds the width of
-    the write; it stays the same for the life of ``out_path``. Read the newest report per PR with
-    :func:`latest_reports`."""
+    ``scans`` the scan summaries; where they come from :func:`write_ranged` with the same ``span``, only
+    the touched ranges of them are read, as of the attempts. ``span`` and ``fan`` stay the same for the life
+    of ``out_path``. Read the newest report per PR with :func:`latest_reports`."""
     r = spark.readStream.schema(AGENT_OUTPUT_SCHEMA)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -99,16 +166,19 @@ def stream_reports(spark: SparkSession, in_path: str, prs: DataFrame, scans: Dat
 
     def one_batch(df: DataFrame, batch_id: int) -> None:
         v = C.classify_attempts(C.validate_reports(C.parse_reports(df))).drop(*C.ATTEMPT_TEXTS)
-        # one file per touched bucket instead of one per (task, bucket)
-        v = v.withColumn("pr_bucket", pr_bucket("pr_id", buckets)).repartition("pr_bucket")
-        _write_batch(v, attempts_path, batch_id, ("pr_bucket",))
-        touched = df.select("pr_id").distinct()
-        # Only the hash buckets this batch touched are listed and read (static partition
-        # pruning; at most ``buckets`` small ints reach the driver), not the whole history.
-        hit = [r[0] for r in touched.select(pr_bucket("pr_id", buckets).alias("b")).distinct().collect()]
-        allv = (spark.read.parquet(attempts_path).filter(F.col("pr_bucket").isin(hit))
-                .drop("batch_id", "pr_bucket").join(touched, "pr_id", "left_semi"))
-        res = C.final_results(C.resolve_attempts(allv), scans, prs.join(touched, "pr_id", "left_semi"))
+        append_attempts(v, attempts_path, batch_id, span, fan)
+        touched = df.select("pr_id").where("pr_id IS NOT NULL").distinct()
+        # The numbers of the touched ranges reach the driver, one per range and not per PR: the
+        # scans of attempts, diffs and scan summaries are pruned to their folders.
+        hit = [r[0] for r in touched.select(pr_range(span)).distinct().collect()]
+
+        def of_touched(t: DataFrame) -> DataFrame:
+            if "pr_range" in t.columns:
+                t = t.filter(F.col("pr_range").isin(hit)).drop("pr_range")
+            return t.join(touched, "pr_id", "left_semi")
+
+        log = read_attempts(spark, attempts_path, batch_id + 1, v.schema, fan, hit).join(touched, "pr_id", "left_semi")
+        res = C.final_results(C.resolve_attempts(log), of_touched(scans), of_touched(prs))
         rep = G.assemble_reports(res, None, ts)
         _write_batch(rep, f"{out_path}/reports", batch_id)
 

@@ -62,6 +62,28 @@ def test_attach_diff_defaults_empty(spark):
     assert got == {1: "D1", 2: "", 3: ""}
 
 
+def test_attach_diff_salts_hot_urls(spark):
+    prs = spark.createDataFrame([(i, "hot" if i % 3 else None if i % 2 else f"u{i}") for i in range(300)] + [(300, "hot")] * 2,
+                                "delivery_id long, diff_url string")
+    diffs = spark.createDataFrame([("hot", "A"), ("hot", "B"), ("hot", "B"), (None, "N"), ("u6", "D6"), ("u12", None)],
+                                  "diff_url string, diff string")
+    got = I.attach_diff(prs, diffs, hot_rows=10)
+    want = [(i, u, {"hot": "B", "u6": "D6"}.get(u, "")) for i, u in rows(prs)]
+    assert sorted(rows(got), key=str) == sorted(want, key=str)
+    assert sorted(rows(I.attach_diff(prs, diffs)), key=str) == sorted(want, key=str)
+    assert rows(I.attach_diff(prs.limit(0), diffs)) == []
+    assert {r[2] for r in rows(I.attach_diff(prs, diffs.limit(0)))} == {""}
+
+
+def test_attach_diff_exchanges_texts_once(spark, tmp_path):
+    spark.createDataFrame([(1, "u")], "delivery_id long, diff_url string").write.parquet(f"{tmp_path}/p")
+    spark.createDataFrame([("u", "D")], "diff_url string, diff string").write.parquet(f"{tmp_path}/d")
+    j = I.attach_diff(spark.read.parquet(f"{tmp_path}/p"), spark.read.parquet(f"{tmp_path}/d"))
+    plan = j._jdf.queryExecution().executedPlan().toString()
+    lines = [ln for ln in plan.splitlines() if "Exchange hashpartitioning" in ln]
+    assert sum("__url" in ln for ln in lines) == 1 and sum("diff_url" in ln for ln in lines) == 1 and "SortMergeJoin" in plan
+
+
 def test_audit_drops_diffs(spark):
     df = spark.createDataFrame([(1, "raw", "san", "ok")], "pr_id long, raw_diff string, sanitized_diff string, s string")
     assert I.audit_rows(df).columns == ["pr_id", "s"]

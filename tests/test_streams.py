@@ -42,3 +42,54 @@ def test_every_delivery_lands_in_one_half(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(Q.S, "stream_intake", lambda spark, landing, *a, **k: landed.append(landing) or type("Q", (), {"awaitTermination": lambda self: None})())
     Q._intake(spark, str(tmp_path))
     assert sorted(map(str, rows(spark.read.parquet(landed[0])))) == sorted(map(str, rows(df)))
+
+
+def test_segments_follow_from_the_number_of_batches():
+    for fan in (2, 3, 8):
+        for n in range(200):
+            found = S.segments(n, fan)
+            assert [b for level, k in found for b in range(k * fan ** level, (k + 1) * fan ** level)] == list(range(n))
+            assert max((sum(s[0] == level for s in found) for level, _ in found), default=0) < fan
+
+
+def _scanned(df):
+    """Rows that the scans of a plan without exchanges gave."""
+    df.collect()
+    todo, n = [df._jdf.queryExecution().executedPlan()], 0
+    leaves = todo[0].collectLeaves()
+    for i in range(leaves.length()):
+        n += leaves.apply(i).metrics().apply("numOutputRows").value()
+    return n
+
+
+def test_attempts_log_merges_replays_and_reads_touched_ranges_only(spark, tmp_path):
+    base, fan, span = f"{tmp_path}/log", 2, 10
+    want = []
+    for b in range(9):
+        batch = [(b * 20 + i, f"{b}") for i in range(20)] + [(5, f"late {b}"), (None, "no id")]
+        want += batch
+        df = spark.createDataFrame(batch, "pr_id long, note string")
+        for _ in range(1 + b % 2):  # every other batch is replayed
+            S.append_attempts(df, base, b, span, fan)
+        assert sorted(rows(S.read_attempts(spark, base, b + 1, df.schema, fan)), key=str) == sorted(want, key=str)
+    kept = sorted((p.parent.name, p.name) for p in tmp_path.glob("log/level=*/segment=*"))
+    assert kept == [("level=0", "segment=8"), ("level=3", "segment=0")]
+    touched = S.read_attempts(spark, base, 9, df.schema, fan, [4, 17])
+    assert sorted(rows(touched)) == sorted(r for r in want if r[0] is not None and r[0] // span in (4, 17))
+    assert _scanned(touched) == 20  # of 198 rows
+
+
+def test_stream_reports_reads_the_batch_s_ranges_of_every_table(spark, tmp_path, monkeypatch):
+    read = []
+    whole = S.read_attempts
+    monkeypatch.setattr(S, "read_attempts", lambda *a: read.append(a[-1]) or whole(*a))
+    for pr in (3, 25, 26, 90):
+        spark.createDataFrame([(pr, "critic", 1, "primary", 1.0, "no json", None, None)], S.AGENT_OUTPUT_SCHEMA).coalesce(1) \
+            .write.mode("append").parquet(f"{tmp_path}/in")
+    prs = spark.createDataFrame([(i, f"diff {i}") for i in range(100)], "pr_id long, sanitized_diff string")
+    scans = prs.select("pr_id", F.lit("").alias("scan_summary"))
+    ranged = [S.read_ranged(spark, S.write_ranged(t, f"{tmp_path}/{n}", 10), t.schema) for n, t in (("p", prs), ("s", scans))]
+    S.stream_reports(spark, f"{tmp_path}/in", *ranged, f"{tmp_path}/out", f"{tmp_path}/ckpt", "now", max_files_per_trigger=1,
+                     span=10, fan=2).awaitTermination()
+    assert sorted(map(tuple, read)) == [(0,), (2,), (2,), (9,)]
+    assert sorted(rows(S.latest_reports(spark, f"{tmp_path}/out"), "pr_id")) == [(3,), (25,), (26,), (90,)]
