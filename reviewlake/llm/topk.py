@@ -2,10 +2,12 @@
 
 Vectors become integers, floor(scale * x), and are packed into tiles of some thousand rows; the
 queries into blocks likewise. Every block meets every tile once (the stated query set against all
-rows, block by block; tiles and blocks are dealt over a grid of tasks): one matrix product, then a partial selection of each query's k best of the
-tile. The rows are sorted before they are cut into tiles, so that a task that runs again, whose shuffle
-read comes in another order, packs the same tiles. The lists meet in two levels, first per group of tiles, then per query, so that no task
-holds more than a group's lists.
+rows, block by block; tiles and blocks are dealt over a grid of tasks): one matrix product, in which
+the rows of a query's own id rank last, then a partial selection of each query's k best of the
+tile, merged at once into the lists of the task. The rows are sorted before they are cut into tiles, so that a task that
+runs again, whose shuffle read comes in another order, packs the same tiles. A task keeps the lists of at most ``kept_blocks``
+blocks and emits them when there are more and at its end, so each query has k rows of each task that
+it is dealt to, whatever the number of tiles; these meet by query.
 
 Scores are exact: a product is made in doubles while no sum can pass 2^53, in 64-bit integers
 while none can pass 2^63, else in Python's integers, where a score outside a long raises an error.
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import with_workers
 
 TILE_SCHEMA = "tile BIGINT, width INT, ids BINARY, m BINARY"
-HIT_SCHEMA = "tile BIGINT, query_id BIGINT, vec_id BIGINT, score BIGINT"
+HIT_SCHEMA = "query_id BIGINT, vec_id BIGINT, score BIGINT"
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -107,31 +109,69 @@ def best(s: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-s.astype(object), axis=1, kind="stable")[:, :k]
 
 
-def _products(k: int):
-    def run(batches):
+def own_last(s: np.ndarray, q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``s`` with the scores of rows of the query's own id (``v`` is in order) below all others."""
+    first, end = np.searchsorted(v, q, "left"), np.searchsorted(v, q, "right")
+    met = np.flatnonzero(first < end)
+    if len(met):
+        least = int(s.min()) - 1
+        if least < -2 ** 63:
+            raise OverflowError("a score doesn't fit beside the mark below it")
+        for i in met:
+            s[i, first[i]:end[i]] = least
+    return s
+
+
+class Lists:
+    """The k best candidates of each query of a block so far."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.score = np.zeros((len(queries), 0), np.int64)
+        self.vec = np.zeros((len(queries), 0), np.int64)
+        self.good = np.zeros((len(queries), 0), bool)
+
+    def add(self, score: np.ndarray, vec: np.ndarray) -> None:
+        """Candidates of each query, one row each; those of its own id are left out."""
+        score, vec = np.concatenate([self.score, score], 1), np.concatenate([self.vec, vec], 1)
+        good = np.concatenate([self.good, vec[:, self.good.shape[1]:] != self.queries[:, None]], 1)
+        order = np.lexsort((vec, ~score, ~good), axis=1)[:, :self.k]  # ~ turns the order without an overflow
+        self.score, self.vec, self.good = (np.take_along_axis(x, order, 1) for x in (score, vec, good))
+
+    def batch(self):
         import pyarrow as pa
 
+        every = np.broadcast_to(self.queries[:, None], self.good.shape)
+        return pa.RecordBatch.from_arrays([pa.array(x[self.good], pa.int64()) for x in (every, self.vec, self.score)],
+                                          ["query_id", "vec_id", "score"])
+
+
+def _products(k: int, kept_blocks: int):
+    def run(batches):
+        lists: dict[int, Lists] = {}
         for batch in batches:
             for row in range(batch.num_rows):
                 at = lambda c: batch.column(c)[row].as_py()  # noqa: B023, E731
                 qi, vi = np.frombuffer(at("q_ids"), "<i8"), np.frombuffer(at("ids"), "<i8")
                 q = np.frombuffer(at("q_m"), "<f8").reshape(len(qi), at("q_width"))
                 v = np.frombuffer(at("m"), "<f8").reshape(len(vi), at("width"))
-                own = int(np.unique(vi, return_counts=True)[1].max())
+                if at("q_tile") not in lists:
+                    if len(lists) == kept_blocks:
+                        yield from (own.batch() for own in lists.values())
+                        lists.clear()
+                    lists[at("q_tile")] = Lists(qi, k)
+                found = []
                 for i in range(0, len(qi), 256):
-                    s = scores(q[i:i + 256], v)
-                    col = best(s, k + own)  # a query may meet rows of its own id
-                    hit_q, hit_v = np.repeat(qi[i:i + 256], col.shape[1]), vi[col].ravel()
-                    other = hit_q != hit_v
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(int(other.sum()), at("tile")), pa.int64()), pa.array(hit_q[other], pa.int64()),
-                        pa.array(hit_v[other], pa.int64()), pa.array(np.take_along_axis(s, col, 1).ravel()[other], pa.int64())],
-                        ["tile", "query_id", "vec_id", "score"])
+                    s = own_last(scores(q[i:i + 256], v), qi[i:i + 256], vi)
+                    col = best(s, k)
+                    found.append((np.take_along_axis(s, col, 1), vi[col]))
+                lists[at("q_tile")].add(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        yield from (own.batch() for own in lists.values())
     return run
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id_col: str = "vec_id",
-          vec_col: str = "embedding", tile_rows: int = 4096, block_rows: int = 1024, group_tiles: int = 32) -> DataFrame:
+          vec_col: str = "embedding", tile_rows: int = 4096, block_rows: int = 1024, kept_blocks: int = 64) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best rows for each row that ``is_query`` (a column
     over ``vec_id``) picks."""
     spark = with_workers(vectors.sparkSession)
@@ -144,12 +184,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id_col: st
              .withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
              .join(blocks.select(F.pmod(F.xxhash64("tile"), F.lit(across)).cast("int").alias("j"),
                                  F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("i"),
-                                 F.col("width").alias("q_width"), F.col("ids").alias("q_ids"),
+                                 F.col("tile").alias("q_tile"), F.col("width").alias("q_width"), F.col("ids").alias("q_ids"),
                                  F.col("m").alias("q_m")), ["i", "j"]))
-    hits = pairs.mapInArrow(_products(k), HIT_SCHEMA)
-    order = [F.col("score").desc(), F.col("vec_id").asc()]
-    first = Window.partitionBy("query_id", "part").orderBy(*order)
-    last = Window.partitionBy("query_id").orderBy(*order)
-    return (hits.withColumn("part", F.pmod(F.xxhash64("tile"), F.lit(group_tiles))).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
-            .withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
+    hits = pairs.mapInArrow(_products(k, kept_blocks), HIT_SCHEMA)
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
+    return (hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

@@ -30,12 +30,24 @@ def test_top_k_equals_brute_force(spark):
              (95, [0.25, 0.5]), (96, []), (97, [-0.01] * 5)]
     df = spark.createDataFrame([(i, e, 1) for i, e in rows], "vec_id long, embedding array<float>, tile int")
     for size in (7, 4096):
-        assert run(df, 5, 6, tile_rows=size, block_rows=4, group_tiles=3) == brute(rows, 5, 6)
+        assert run(df, 5, 6, tile_rows=size, block_rows=4, kept_blocks=2) == brute(rows, 5, 6)
     assert run(df.limit(0), 5, 6) == []
     few = df.where("vec_id < 3")
     assert run(few, 1, 20) == brute([r for r in rows if r[0] is not None and r[0] < 3], 1, 20)
 
 
+def test_an_id_of_many_rows_lists_others_and_tasks_emit_k_a_query(spark):
+    rows = [(0, [i / 64, 1.0]) for i in range(300)] + [(i, [i / 64, -1.0]) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(9)
+    assert run(df, 20, 5, tile_rows=16) == brute(rows, 20, 5)
+    lists = topk.Lists(np.array([0, 7]), 3)
+    for lo in range(0, 60, 6):
+        vec = np.broadcast_to(np.arange(lo, lo + 6) // 2, (2, 6))
+        lists.add(topk.own_last(vec * 0 + np.array([[5], [2 ** 62]]), lists.queries, vec[0]), vec)
+    got = lists.batch().to_pydict()
+    assert got == {"query_id": [0] * 3 + [7] * 3, "vec_id": [1, 1, 2, 0, 0, 1], "score": [5] * 3 + [2 ** 62] * 3}
+
+
 def test_tiles_are_the_same_in_any_order_of_rows(spark):
     rows = [(i // 2, [float(i), 1.0]) for i in range(50)]
     made = [topk.tiled(spark.createDataFrame(r, "vec_id long, v array<double>").coalesce(1), 8).collect() for r in (rows, rows[::-1])]
