@@ -96,6 +96,10 @@ def test_packing(spark, edges, nothing, sample):
     rows = packing.pack(df.coalesce(1), BYTE, 512, 0).collect()
     n = check_packing(rows, [(i, t) for i, t, _ in docs], 512, 0)
     assert n <= -(-sum(r.length for r in rows) // 512) + 2
+    least = -(-sum(r.length for r in rows) // 512)
+    for parts in (7, 60):  # many partitions cost few sequences
+        rows = packing.pack(df.repartition(parts), BYTE, 512, 0).collect()
+        assert check_packing(rows, [(i, t) for i, t, _ in docs], 512, 0) <= 1.02 * least + 2 * (1 + parts // 16)
     check_packing(packing.pack(edges, BYTE, 64, 3, open_bins=2).collect(), EDGES, 64, 3)
     assert packing.pack(nothing, BYTE).count() == 0
 
