@@ -93,14 +93,27 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _train(epochs: int):
+def _described(batches):
+    """A text's features as bytes: 32-bit places and values."""
+    import pyarrow as pa
+
+    for batch in batches:
+        found = [features(t.as_py()) for t in batch.column("t")]
+        yield pa.RecordBatch.from_arrays([
+            *(batch.column(c) for c in ("own_id", "place", "label")), pa.array([at.astype("<i4").tobytes() for at, _ in found], pa.binary()),
+            pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())], ["own_id", "place", "label", "at", "x"])
+
+
+def _train(epochs: int, sample_features: int):
     def run(batches):
         import pyarrow as pa
 
-        model, rows = Ftrl(), []
+        model, rows, held = Ftrl(), [], 0
         for batch in batches:
-            for text, label in zip(batch.column("t"), batch.column("label").to_pylist(), strict=True):
-                rows.append((*features(text.as_py()), label))
+            for at, x, label in zip(*(batch.column(c).to_pylist() for c in ("at", "x", "label")), strict=True):
+                held += len(at) // 4
+                if held <= sample_features:  # the rows come by hash: those past the bound are a fixed few
+                    rows.append((np.frombuffer(at, "<i4"), np.frombuffer(x, "<f4"), label))
         for _ in range(epochs):
             for at, x, label in rows:
                 model.learn(at, x, label)
@@ -112,8 +125,9 @@ def _train(epochs: int):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
-        sample_rows: int = 16_000, epochs: int = 3) -> np.ndarray:
-    """Weights by place, the bias last; empty if there is nothing to learn from."""
+        sample_rows: int = 16_000, epochs: int = 3, sample_features: int = 100_000_000) -> np.ndarray:
+    """Weights by place, the bias last; empty if there is nothing to learn from. The one training task holds
+    features only, of 8 bytes, at most ``sample_features`` of at most ``sample_rows`` texts."""
     with_workers(docs.sparkSession)
     usable = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
               .groupBy(F.col(id_col).alias("own_id")).agg(F.round(F.avg(label_col)).cast("int").alias("label")))
@@ -122,8 +136,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     rows = (docs.select(F.col(id_col).alias("own_id"), text_or_empty(text_col).alias("t"))
             .join(F.broadcast(sample), "own_id")
             .groupBy("own_id", "label").agg(F.min(F.struct(F.xxhash64("t"), "t"))["t"].alias("t"))
-            .repartition(1).sortWithinPartitions(order, "own_id", "t"))
-    found = rows.select("t", "label").mapInArrow(_train(epochs), "place INT, weight DOUBLE").collect()
+            .select(F.col("own_id").cast("string").alias("own_id"), order.alias("place"), "label", "t"))
+    described = rows.mapInArrow(_described, "own_id STRING, place LONG, label INT, at BINARY, x BINARY")
+    found = (described.repartition(1).sortWithinPartitions("place", "own_id")
+             .mapInArrow(_train(epochs, sample_features), "place INT, weight DOUBLE").collect())
     if not found:
         return np.zeros(0)
     weights = np.zeros((1 << BITS) + 1)
