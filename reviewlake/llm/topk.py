@@ -5,8 +5,8 @@ queries into blocks likewise. Every block meets every tile once (the stated quer
 rows, block by block; tiles and blocks are dealt over a grid of tasks): one matrix product, in which
 the rows of a query's own id rank last, then a partial selection of each query's k best of the
 tile, merged at once into the lists of the task. The rows are sorted before they are cut into tiles, so that a task that
-runs again, whose shuffle read comes in another order, packs the same tiles. A task keeps the lists of at most ``kept_blocks``
-blocks and emits them when there are more and at its end, so each query has k rows of each task that
+runs again, whose shuffle read comes in another order, packs the same tiles. A task keeps the lists of at most ``kept_queries``
+queries (24 MB with the defaults) and emits them when there are more and at its end, so each query has k rows of each task that
 it is dealt to, whatever the number of tiles; these meet by query.
 
 Scores are exact: a product is made in doubles while no sum can pass 2^53, in 64-bit integers
@@ -146,9 +146,10 @@ class Lists:
                                           ["query_id", "vec_id", "score"])
 
 
-def _products(k: int, kept_blocks: int):
+def _products(k: int, kept_queries: int):
     def run(batches):
         lists: dict[int, Lists] = {}
+        kept = 0
         for batch in batches:
             for row in range(batch.num_rows):
                 at = lambda c: batch.column(c)[row].as_py()  # noqa: B023, E731
@@ -156,10 +157,12 @@ def _products(k: int, kept_blocks: int):
                 q = np.frombuffer(at("q_m"), "<f8").reshape(len(qi), at("q_width"))
                 v = np.frombuffer(at("m"), "<f8").reshape(len(vi), at("width"))
                 if at("q_tile") not in lists:
-                    if len(lists) == kept_blocks:
+                    if kept and kept + len(qi) > kept_queries:
                         yield from (own.batch() for own in lists.values())
                         lists.clear()
+                        kept = 0
                     lists[at("q_tile")] = Lists(qi, k)
+                    kept += len(qi)
                 found = []
                 for i in range(0, len(qi), 256):
                     s = own_last(scores(q[i:i + 256], v), qi[i:i + 256], vi)
@@ -171,7 +174,7 @@ def _products(k: int, kept_blocks: int):
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id_col: str = "vec_id",
-          vec_col: str = "embedding", tile_rows: int = 4096, block_rows: int = 1024, kept_blocks: int = 64) -> DataFrame:
+          vec_col: str = "embedding", tile_rows: int = 4096, block_rows: int = 1024, kept_queries: int = 65_536) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best rows for each row that ``is_query`` (a column
     over ``vec_id``) picks."""
     spark = with_workers(vectors.sparkSession)
@@ -186,7 +189,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, id_col: st
                                  F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("i"),
                                  F.col("tile").alias("q_tile"), F.col("width").alias("q_width"), F.col("ids").alias("q_ids"),
                                  F.col("m").alias("q_m")), ["i", "j"]))
-    hits = pairs.mapInArrow(_products(k, kept_blocks), HIT_SCHEMA)
+    hits = pairs.mapInArrow(_products(k, kept_queries), HIT_SCHEMA)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     return (hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

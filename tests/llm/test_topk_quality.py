@@ -30,7 +30,7 @@ def test_top_k_equals_brute_force(spark):
              (95, [0.25, 0.5]), (96, []), (97, [-0.01] * 5)]
     df = spark.createDataFrame([(i, e, 1) for i, e in rows], "vec_id long, embedding array<float>, tile int")
     for size in (7, 4096):
-        assert run(df, 5, 6, tile_rows=size, block_rows=4, kept_blocks=2) == brute(rows, 5, 6)
+        assert run(df, 5, 6, tile_rows=size, block_rows=4, kept_queries=6) == brute(rows, 5, 6)
     assert run(df.limit(0), 5, 6) == []
     few = df.where("vec_id < 3")
     assert run(few, 1, 20) == brute([r for r in rows if r[0] is not None and r[0] < 3], 1, 20)
