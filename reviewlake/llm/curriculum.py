@@ -7,20 +7,23 @@ one row per source: each round shares the rest among the open sources and closes
 
 Positions: over training time 0..1 a source's sampling weight follows a schedule, given by its
 values at equally spaced knots and linear between them; its integral is the share of its target
-that is due by then. A source's documents queue in order of a hash of their ids, once per pass, up
-to the target; the document that begins at word u of the queue gets the time at which u words are
+that is due by then. A source's documents queue in order of a hash of their ids and texts, once per
+pass, up to the target; the document that begins at word u of the queue gets the time at which u words are
 due, the inverse of the integral: a root of a quadratic within one segment. The mix is range-sorted
 by that time.
 
 The queue is a running sum over all documents of a source, however large the source: documents are
 dealt into hash buckets, each (source, bucket) sums its words before the shuffle, the buckets'
-offsets are a running sum over one row per bucket, and only inside a bucket rows are ordered.
+offsets are a running sum over one row per bucket, and only inside a bucket entries are ordered. An
+entry is all rows of equal id, source and text in one part of the written table, so a row repeated
+in a third of all rows is one entry per part, and its copies are numbered part by part. Texts go to
+their passes by a row number that is written with them, which no two rows share.
 
 The last document that a source needs is cut at a word, so a source takes its target to the word.
 
 Defined cases: null text has size 0; size-0 documents take nothing; a null source is a source of
-its own, last in order; rows of equal id are all documents (ties by text hash; identical rows are
-interchangeable); null ids hash like any value; an empty table gives no rows; other columns are
+its own, last in order; rows of equal id are all documents (rows of equal id, source and text are
+interchangeable); null ids queue by their texts' hashes; an empty table gives no rows; other columns are
 kept, and the operator's own result columns replace columns of their names.
 """
 
@@ -84,28 +87,40 @@ def due(schedule: tuple, share: Column) -> Column:
     return F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0))
 
 
-def _planned(docs: DataFrame, kept: list[str], weights, total: float, most: float, schedules, id_col: str, text_col: str) -> DataFrame:
-    """Each document's ``row`` (its ``kept`` columns, which no name here can clash with), ``id``,
-    ``source``, text hash ``th`` and the plan's own columns."""
+def _numbered(docs: DataFrame, kept: list[str], id_col: str, text_col: str, compression: str | None = None) -> DataFrame:
+    """A written table of each document's ``row`` (its ``kept`` columns, which no name here can clash
+    with), a number ``uid`` of its own, ``id``, ``source``, ``size``, hash ``h`` and text hash ``th``."""
+    th = F.xxhash64(F.col(text_col))
+    return stored(docs.select(
+        F.struct(*kept).alias("row"), F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"),
+        F.col("source").alias("source"), sizes(docs, text_col).alias("size"), F.xxhash64(F.lit("mix"), F.col(id_col), th).alias("h"),
+        th.alias("th")), "mix-rows", compression)
+
+
+def _planned(sized: DataFrame, columns: list[str], weights, total: float, most: float, schedules) -> DataFrame:
+    """The plan of a numbered table: its ``columns`` and the plan's own."""
     if most > 2:
         raise ValueError("a document is passed twice at most")
-    h = F.xxhash64(F.lit("mix"), F.col(id_col))
-    sized = docs.select(F.struct(*kept).alias("row"), F.col(id_col).alias("id"), F.col("source").alias("source"),
-                        sizes(docs, text_col).alias("size"), h.alias("h"), F.xxhash64(F.col(text_col)).alias("th"))
-    sized = stored(sized, "mix-sizes")
     buckets = 2 * math.isqrt(sized.count()) + 1  # as many buckets as rows in one, within a factor
-    sized = sized.withColumn("bucket", F.floor((F.shiftrightunsigned("h", 33) * F.lit(buckets)) / F.lit(1 << 31)))
-    per_bucket = stored(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
+    bucket = F.floor((F.shiftrightunsigned("h", 33) * F.lit(buckets)) / F.lit(1 << 31))
+    per_bucket = stored(sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words")), "mix-buckets")
     offsets = per_bucket.withColumn("offset", F.coalesce(F.sum("words").over(
         Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("words")
     aims = targets(per_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total, most)
     heads = (offsets.join(aims.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
              .withColumnRenamed("source", "s").withColumnRenamed("bucket", "b"))
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "id", "th", "size").rowsBetween(Window.unboundedPreceding, -1)
-    queued = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = (queued.join(heads, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-            .withColumn("begin", F.col("offset") + F.col("inside"))
-            .withColumn("aim", F.round("target").cast("long")))
+    # rows alike in id, source and text queue as one entry per part of the written table (the upper bits of uid);
+    # the entry's key is a struct, whose fields may be null and still be equal
+    alike = F.struct("source", "id", "th", "size", F.shiftright("uid", 33).alias("part"))
+    entries = sized.groupBy(alike.alias("k")).agg(F.first("h").alias("h"), F.sum("size").alias("words"))
+    inside = Window.partitionBy("k.source", "bucket").orderBy("h", "k").rowsBetween(Window.unboundedPreceding, -1)
+    queued = (entries.withColumn("bucket", bucket).withColumn("inside", F.coalesce(F.sum("words").over(inside), F.lit(0)))
+              .join(heads, F.col("k.source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+              .select("k", (F.col("offset") + F.col("inside")).alias("entry"), "source_size", "target", "place",
+                      F.round("target").cast("long").alias("aim")))
+    copy = F.row_number().over(Window.partitionBy("k").orderBy("uid")) - 1
+    rows = (sized.select(*columns, *(c for c in ("uid", "size") if c not in columns), alike.alias("k")).withColumn("copy", copy).join(queued, "k")
+            .withColumn("begin", F.col("entry") + F.col("copy") * F.col("size")))
     got = lambda skip: F.greatest(F.lit(0), F.least(F.col("size"), F.col("aim") - F.col("begin") - skip)).cast("long")
 
     def when_due(begin):
@@ -117,9 +132,9 @@ def _planned(docs: DataFrame, kept: list[str], weights, total: float, most: floa
 
     second = F.col("begin") + F.col("source_size")
     return rows.select(
-        "row", "id", "source", "size", "source_size", "target", (got(F.lit(0)) + got(F.col("source_size"))).alias("taken"),
+        *columns, "size", "source_size", "target", (got(F.lit(0)) + got(F.col("source_size"))).alias("taken"),
         F.when(got(F.lit(0)) > 0, when_due(F.col("begin"))).alias("position"),
-        F.when(got(F.col("source_size")) > 0, when_due(second)).alias("again"), F.col("th"))
+        F.when(got(F.col("source_size")) > 0, when_due(second)).alias("again"))
 
 
 def plan(docs: DataFrame, weights=(3, 1, 2), total: float = 1.5, most: float = 2.0, schedules=SCHEDULES,
@@ -128,7 +143,7 @@ def plan(docs: DataFrame, weights=(3, 1, 2), total: float = 1.5, most: float = 2
     ``source_size``, ``target``, ``taken`` and the times of its first and second pass, ``position`` and
     ``again`` (null: not taken then)."""
     kept = [c for c in docs.columns if c.lower() not in OWN and c != text_col]
-    planned = _planned(docs, kept, weights, total, most, schedules, id_col, text_col)
+    planned = _planned(_numbered(docs, kept, id_col, text_col), ["row"], weights, total, most, schedules)
     return planned.select(*(F.col("row").getField(c).alias(c) for c in kept), *OWN)
 
 
@@ -142,22 +157,16 @@ def mix(docs: DataFrame, weights=(3, 1, 2), total: float = 1.5, most: float = 2.
         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The mixed training set: the columns of ``docs``, one row per document and pass, in order of
     time; the last document that a source needs is cut after its last word taken."""
-    planned = _planned(docs, [id_col], weights, total, most, schedules, id_col, text_col)
-    # rows of equal id, text and source pair up by number: they differ in nothing that counts here
-    alike = Window.partitionBy("_id", "_th", "_source").orderBy("_source")
-    passes = (planned.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("source").alias("_source"),
-                             F.col("size").alias("_size"), "taken", "position", "again")
-              .withColumn("_n", F.row_number().over(alike)).where("taken > 0")
-              .withColumn("_pass", F.explode(F.filter(F.array(
-                  F.struct(F.col("position").alias("at"), F.least("_size", "taken").alias("words")),
-                  F.struct(F.col("again").alias("at"), (F.col("taken") - F.col("_size")).alias("words"))),
-                  lambda p: p["at"].isNotNull() & (p["words"] > 0)))).drop("position", "again", "taken"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th"),
-                       F.col("source").alias("_source")).withColumn("_n", F.row_number().over(alike))
-    on = [passes[c].eqNullSafe(rows[c]) for c in ("_id", "_th", "_source", "_n")]
+    rows = _numbered(docs, docs.columns, id_col, text_col, "zstd")
+    passes = (_planned(rows, ["uid"], weights, total, most, schedules).where("taken > 0")
+              .select("uid", F.col("size").alias("words"), F.explode(F.filter(F.array(
+                  F.struct(F.col("position").alias("at"), F.least("size", "taken").alias("words")),
+                  F.struct(F.col("again").alias("at"), (F.col("taken") - F.col("size")).alias("words"))),
+                  lambda p: p["at"].isNotNull() & (p["words"] > 0))).alias("pass")))
     own = F.col("row")[text_col]
     cut = F.concat_ws("", F.slice(F.split(own, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1),
-                                  F.col("_pass.words").cast("int")))
-    text = F.when(F.col("_pass.words") < F.col("_size"), cut).otherwise(own)
-    taken = rows.join(passes, on).select(F.col("row").withField(text_col, text).alias("row"), F.col("_pass.at").alias("at"))
+                                  F.col("pass.words").cast("int")))
+    text = F.when(F.col("pass.words") < F.col("words"), cut).otherwise(own)
+    taken = (rows.select("uid", "row").join(passes, "uid")
+             .select(F.col("row").withField(text_col, text).alias("row"), F.col("pass.at").alias("at")))
     return taken.orderBy("at").select("row.*")

@@ -152,3 +152,28 @@ def test_the_plan_keeps_columns_of_any_name(spark):
     mixed = curriculum.mix(docs)
     assert mixed.columns == docs.columns
     assert all(r[n] == f"{n}{r.doc_id}" for r in mixed.collect() for n in names)
+
+
+def test_a_row_repeated_in_a_third_of_all_rows(spark):
+    rows = [(i, f"word{i} " * (i % 7 + 1), f"src{i % 4}") for i in range(400)]
+    rows += [(5, "the same five words again", "src1")] * 150 + [(None, "a text without an id", None)] * 100
+    rows += [(None, f"other {i % 20} text", "src2") for i in range(60)] + [(9, None, "src0")] * 30
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, source string, n long").repartition(7)
+    planned = check_plan(docs, rows)
+    assert sorted(r.n for r in planned) == list(range(len(rows)))
+    texts, mixed = dict(enumerate(t for _, t, _ in rows)), curriculum.mix(docs).collect()
+    got = defaultdict(int)
+    for r in mixed:
+        assert texts[r.n].startswith(r.text)
+        got[r.source] += len(WORD.findall(r.text))
+    want = defaultdict(int)
+    for r in planned:
+        want[r.source] += r.taken
+    assert dict(got) == {s: n for s, n in want.items() if n}
+    by_row = defaultdict(int)
+    for r in mixed:
+        by_row[r.n] += 1
+    assert max(by_row.values()) <= 2
+    narrow = curriculum.plan(docs.drop("n").coalesce(1)).collect()  # whatever the parts, rows alike take the same
+    key = lambda r: (str(r.doc_id), str(r.source), r.size, r.taken, str(r.position), str(r.again))
+    assert sorted(map(key, narrow)) == sorted(map(key, planned))
