@@ -136,7 +136,7 @@ f AS ({" UNION ALL ".join(found)}),
 s AS (SELECT doc_id, source, place, kind, CAST(m.start AS BIGINT) AS a, CAST(m.start + m.len AS BIGINT) AS z, m.value AS v
   FROM f WHERE length(m.value) >= least AND (kind <> 'key' OR (regexp_matches(m.value, '[0-9]') AND regexp_matches(m.value, '[A-Za-z]')))),
 k AS (SELECT * FROM s WHERE kind <> 'key' OR NOT EXISTS (SELECT 1 FROM s b WHERE b.doc_id = s.doc_id AND b.kind <> 'key' AND b.a <= s.a AND s.z <= b.z)),
-o AS (SELECT v, count(DISTINCT source) >= 3 AS shared FROM k GROUP BY v),
+o AS (SELECT v, count(DISTINCT source) >= 3 AND count(DISTINCT doc_id) >= 5 AS shared FROM k GROUP BY v),
 g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
   count(*) FILTER (kind = 'hex') AS n_hex, string_agg(concat(kind, ':', a, ':', z), ',' ORDER BY a, place) FILTER (kind <> 'key') AS base,
   string_agg(concat(kind, ':', a, ':', z), ',' ORDER BY a, place) FILTER (kind <> 'key' OR NOT shared) AS spans,

@@ -3,10 +3,10 @@
 Base spans are found by three patterns, leftmost and non-overlapping per kind. Besides, every run
 of 20 or more key-like characters with a letter and a digit that lies in no base span is a
 candidate. The digests of all values, base and candidate, are counted over the corpus by distinct
-documents (repositories) and distinct sources (owners). Only owners decide: a value that
-``example_owners`` or more owners hold is a widely copied example; any other is owner-specific and
-looks live, in however many repositories of one or two owners it lies. Candidates
-that are owner-specific are added as spans of kind ``key``; base spans always stay.
+documents (repositories) and distinct sources (owners). Both decide: a value that ``example_owners``
+or more owners hold in ``example_repositories`` or more documents is a widely copied example; any
+other is owner-specific and looks live, be it in many documents of one or two owners or in few of
+several. Candidates that are owner-specific are added as spans of kind ``key``; base spans always stay.
 
 Positions are code points: a text split at a pattern gives the lengths between the matches, so
 starts are running sums. Only rows in which a pattern occurs pay for that. Counting goes from
@@ -24,6 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlake.functions.text import lit_str, running_sql
+from reviewlake.operators.privacy import winning_sql
+
 from .common import stored, text_or_empty
 
 #: kind -> (pattern, group that holds the value, least characters of that group), in listed order
@@ -38,36 +41,33 @@ KINDS = {
 SCREENS = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}", "key": r"[A-Za-z0-9+/_-]{20}"}
 #: the same matches with fewer failing ones, where the length alone decides
 LONG = {"access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}", "key": r"[A-Za-z0-9+/_-]{20,}"}
+#: what the value of a kind must also hold
+HOLDS = {"key": ("[0-9]", "[A-Za-z]")}
 SPAN = "array<struct<start:int,place:int,kind:string,end:int,digest:string>>"
 
 
-def spans(text: Column, kind: str) -> Column:
-    """All spans of a kind in ``text``, by start."""
+def spans(col: str, kind: str) -> Column:
+    """All spans of a kind in the column ``col``, by start; linear but for the running sums, n log n."""
     pattern, group, least = KINDS[kind]
-    pattern = F.lit(LONG.get(kind, pattern))
-    place = list(KINDS).index(kind)
-    found = F.arrays_zip(F.transform(F.split(text, LONG.get(kind, KINDS[kind][0]), -1), F.length).alias("gap"),
-                         F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"),
-                         F.regexp_extract_all(text, pattern, F.lit(group)).alias("value"))
-    none = F.from_json(F.lit("[]"), SPAN)
-    walked = F.aggregate(
-        F.filter(found, lambda m: m["hit"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda s, m: F.struct(
-            (s["at"] + m["gap"] + F.length(m["hit"])).alias("at"),
-            F.when(F.length(m["value"]) >= least, F.array_append(s["out"], F.struct(
-                (s["at"] + m["gap"]).alias("start"), F.lit(place).alias("place"), F.lit(kind).alias("kind"),
-                (s["at"] + m["gap"] + F.length(m["hit"])).alias("end"), F.md5(m["value"]).alias("digest"))))
-            .otherwise(s["out"]).alias("out")),
-        lambda s: s["out"])
-    return F.when(text.rlike(SCREENS[kind]), walked).otherwise(none)
-
-
-def key_like(text: Column) -> Column:
-    """Candidates: long runs with a letter and a digit."""
-    both = lambda s: (F.substring(text, s["start"] + 1, s["end"] - s["start"]).rlike("[0-9]")
-                      & F.substring(text, s["start"] + 1, s["end"] - s["start"]).rlike("[A-Za-z]"))
-    return F.filter(spans(text, "key"), both)
+    pat, v = lit_str(LONG.get(kind, pattern)), "get(m.vals, i)"
+    steps = "zip_with(slice(p.gaps, 1, size(p.hits)), p.hits, (g, h) -> length(g) + length(h))"
+    parts = f"array(named_struct('gaps', split({col}, {pat}, -1), 'hits', regexp_extract_all({col}, {pat}, 0)))"
+    found = (f"transform({parts}, p -> named_struct('hits', p.hits, 'ends', {running_sql(steps, '{a} + {b}')}, "
+             f"'vals', {f'regexp_extract_all({col}, {pat}, {group})' if group else 'p.hits'}))")
+    span = (f"named_struct('start', get(m.ends, i) - length(h), 'place', {list(KINDS).index(kind)}, 'kind', '{kind}', "
+            f"'end', get(m.ends, i), 'digest', md5({v}))")
+    also = "".join(f" AND {v} rlike {lit_str(x)}" for x in HOLDS.get(kind, ()))
+    walked = (f"element_at(transform({found}, m -> filter(transform(m.hits, (h, i) -> CASE WHEN length({v}) >= {least}{also} "
+              f"THEN {span} END), z -> z IS NOT NULL)), 1)")
+    return F.expr(f"CASE WHEN {col} rlike {lit_str(SCREENS[kind])} THEN {walked} ELSE from_json('[]', '{SPAN}') END")
+
+
+def outside(keys: str, base: str) -> Column:
+    """The spans of column ``keys`` that lie within none of ``base``: of the base spans that start
+    before a key's start + 1, none may end behind the key's end - 1. That is the question which the
+    overlap sweep answers for a span (end - 1, start + 1)."""
+    turned = f"transform({keys}, k -> named_struct('s', k.end - 1, 'e', k.start + 1, 'span', k))"
+    return F.expr(f"""transform({winning_sql(turned, f"transform({base}, b -> named_struct('s', b.start, 'e', b.end))")}, x -> x.span)""")
 
 
 def ownership(values: DataFrame) -> DataFrame:
@@ -77,22 +77,20 @@ def ownership(values: DataFrame) -> DataFrame:
             .groupBy("digest").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners")))
 
 
-def scan(docs: DataFrame, example_owners: int = 3, id_col: str = "doc_id", text_col: str = "text",
-         owner_col: str = "source") -> DataFrame:
+def scan(docs: DataFrame, example_owners: int = 3, example_repositories: int = 5, id_col: str = "doc_id",
+         text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """Per document: ``base`` and ``added`` spans (arrays by start, then kind) and for each value
     whether it is an example."""
     text = text_or_empty(text_col)
     found = docs.select(F.col(id_col).alias("d"), F.xxhash64(text).alias("th"), F.col(owner_col).alias("owner"), text.alias("t"))
-    t = F.col("t")
-    found = found.select("d", "th", "owner", F.array_sort(F.concat(*(spans(t, k) for k in ("assign", "access", "hex")))).alias("base"),
-                         key_like(t).alias("keys"))
-    inside = lambda k: F.exists(F.col("base"), lambda b: (b["start"] <= k["start"]) & (k["end"] <= b["end"]))
-    found = stored(found.select("d", "th", "owner", "base", F.filter("keys", lambda k: ~inside(k)).alias("keys")), "secret-spans")
+    found = found.select("d", "th", "owner", F.array_sort(F.concat(*(spans("t", k) for k in ("assign", "access", "hex")))).alias("base"),
+                         spans("t", "key").alias("keys"))
+    found = stored(found.select("d", "th", "owner", "base", outside("keys", "base").alias("keys")), "secret-spans")
     values = (found.where("size(base) + size(keys) > 0")
               .select("d", "th", "owner", F.explode(F.array_distinct(F.transform(F.concat("base", "keys"), lambda s: s["digest"]))).alias("digest"))
               .distinct())
     values = stored(values, "secret-values")
-    examples = ownership(values).where(F.col("owners") >= example_owners).select("digest")
+    examples = ownership(values).where((F.col("owners") >= example_owners) & (F.col("repositories") >= example_repositories)).select("digest")
     held = (values.select("d", "th", "digest").distinct().join(examples, "digest")
             .groupBy("d", "th").agg(F.collect_list("digest").alias("examples"))
             .select(F.col("d").alias("own_d"), F.col("th").alias("own_th"), "examples"))

@@ -101,10 +101,12 @@ def key_spans(text):
 
 
 def check_scan(df, docs):
-    owners = defaultdict(set)
-    for _, t, s in docs:
+    owners, repositories = defaultdict(set), defaultdict(set)
+    for i, t, s in docs:
         for x in base_spans(t or "") + key_spans(t or ""):
             owners[x[4]].add(s)
+            repositories[x[4]].add((i, t))
+    example = lambda x: len(owners[x[4]]) >= 3 and len(repositories[x[4]]) >= 5
     got = secret_scan.scan(df).select(
         "doc_id", secret_scan.written(F.col("base")).alias("base"), secret_scan.written(F.array_sort(F.concat("base", "added"))).alias("spans"),
         "n_example", "n_live_base").collect()
@@ -112,8 +114,8 @@ def check_scan(df, docs):
     want = []
     for i, t, _ in docs:
         base = base_spans(t or "")
-        added = [x for x in key_spans(t or "") if len(owners[x[4]]) < 3]
-        shared = sum(len(owners[x[4]]) >= 3 for x in base)
+        added = [x for x in key_spans(t or "") if not example(x)]
+        shared = sum(map(example, base))
         want.append((str(i), told(base), told(base + added), shared, len(base) - shared))
     assert sorted((str(r.doc_id), *tuple(r)[1:]) for r in got) == sorted(want)
     return got
@@ -124,7 +126,7 @@ def test_scan_equals_brute_force(spark, edges, nothing):
     texts = ["password: token: abcdefgh12", "token=secret=abcdefghij", 'API_KEY = "é漢🙂" apikey:"abc.def-123" 🙂 Passwd=short',
              "AKIA" + "A" * 11, "x AKIA" + "AKIA" * 4 + " y", "0" * 31 + " " + "a1" * 20 + "g", f"own {key} here", f"{shared} and {key}",
              shared, f"SECRET={shared}", "toKen  =  'abcdefgh'", "ſecret=abcdefghijk toKen=abcdefghijk", "", None, "a" * 40, key, key + " " + key]
-    docs = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, f"token={key}"), (40, shared), (41, shared)]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, f"token={key}"), (40, shared), (41, shared), (42, f"api_key={shared}")]
     df = frame(spark, docs)
     got = check_scan(df, [(i, t, None if i is None else f"src{i % 3}") for i, t in docs])
     assert sum("key:" in r.spans for r in got) > 0 and sum(r.n_example for r in got) > 0
@@ -143,6 +145,23 @@ def test_many_secrets_in_one_text(spark):
     check_scan(frame(spark, [(1, text)]), [(1, text, "src1")])
 
 
+def test_examples_need_owners_and_repositories(spark):
+    keys = {name: f"{name}Key0" * 4 for name in ("one", "few", "many", "wide")}
+    docs = [(i, f"holds {keys['one']} here", "src0") for i in range(9)]  # nine documents of one owner
+    docs += [(20 + i, f"holds {keys['few']} here", f"src{i}") for i in range(4)]  # four owners, four documents
+    docs += [(30 + i, f"holds {keys['many']} here", f"src{i % 2}") for i in range(9)]
+    docs += [(40 + i, f"holds {keys['wide']} here", f"src{i % 3}") for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    live = {r.doc_id for r in check_scan(df, docs) if "key:" in r.spans}
+    assert live == {i for i, _, _ in docs if i < 40}
+
+
+def test_a_hundred_thousand_spans_in_one_text(spark):
+    text = " ".join(f"{i:032x} Zk{i:030d}" for i in range(50_000))
+    (r,) = secret_scan.scan(frame(spark, [(1, text)])).select(F.size("base").alias("n"), F.size("added").alias("k")).collect()
+    assert (r.n, r.k) == (len(base_spans(text)), 50_000)
+
+
 def test_the_plan_keeps_columns_of_any_name(spark):
     names = ["h", "th", "bucket", "offset", "inside", "begin", "aim", "place", "weight", "s", "b", "row", "id"]
     docs = spark.createDataFrame([(i, f"one two three {i}", f"src{i % 3}", *(f"{n}{i}" for n in names)) for i in range(60)],
