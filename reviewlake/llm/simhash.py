@@ -4,10 +4,13 @@ Fingerprints: XXH64 of each word shingle, repeats included; a bit of the fingerp
 set in over half of the hashes. Equal fingerprints collapse before anything is compared, so copies
 cost one row. The distinct fingerprints are sorted by the population counts of their four 16-bit
 quarters and cut into blocks, and blocks into tiles; a pair of tiles is skipped if the ranges of
-their counts are further apart than the radius, since differing bits are at least that many. All other tile pairs are
-compared whole: numpy exclusive-or and bit counts. Every link found is used, but a block pair
-returns only a spanning forest of its links (never all pairs of a group), from which large-star and
-small-star steps over the edge table make the components.
+their counts are further apart than the radius, since differing bits are at least that many. All
+other tile pairs are compared whole: numpy exclusive-or and bit counts. Blocks are dealt over a
+triangular grid of tasks, so each is sent about as often as the square root of twice the number of
+tasks, however many block pairs there are; a task skips block pairs too far apart before numpy sees
+them. Every link found is used, but a block pair returns only a spanning forest of its links (never
+all pairs of a group), from which large-star and small-star steps over the edge table make the
+components.
 
 Defined cases: null text and text without words have fingerprint zero and link like any other;
 texts of fewer words than a shingle hash the whole word sequence; null ids take part and get the
@@ -18,6 +21,8 @@ whatever their names.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -173,21 +178,19 @@ def link_forest(fps: DataFrame, radius: int, block_rows: int = 16384) -> DataFra
     blocks = stored(
         fps.repartitionByRange(pop, count(0), count(16), count(32), "fp").sortWithinPartitions(pop, count(0), count(16), count(32), "fp")
         .mapInArrow(_block_batches(block_rows), BLOCK_SCHEMA), "simhash-blocks")
-    # a block pair is met at the population count where the later of the two begins
-    near = blocks.drop("fps").withColumn(
-        "at", F.explode(F.sequence(F.col("low"), F.col("high") + radius)))
-    later = near.where("at = low").select("at", *(F.col(c).alias(f"other_{c}") for c in ("block", "low", "lows", "highs")))
+    # cells (i, j), i <= j, of a grid with about as many cells as tasks: a block goes to the cells of its row and column
+    groups = max(1, math.isqrt(2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    own = blocks.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    rows = own.withColumn("i", F.col("g")).withColumn("j", F.explode(F.sequence(F.col("g"), F.lit(groups - 1)))).drop("g")
+    columns = (own.select(F.col("g").alias("j"), F.explode(F.sequence(F.lit(0), F.col("g"))).alias("i"),
+                          *(F.col(c).alias(f"other_{c}") for c in blocks.columns)))
     gaps = F.zip_with(F.zip_with("other_lows", "highs", lambda x, y: x - y), F.zip_with("lows", "other_highs", lambda x, y: x - y),
                       lambda x, y: F.greatest(x, y, F.lit(0)))
-    pairs = (near.join(later, "at")
-             .where("other_low > low OR (other_low = low AND other_block >= block)")
-             .where(F.aggregate(gaps, F.lit(0), lambda s, x: s + x) <= radius)
-             .select("block", F.col("other_block").alias("other")))
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    compared = (pairs.join(blocks.select("block", "fps"), "block")
-                .join(blocks.select(F.col("block").alias("other"), F.col("fps").alias("other_fps")), "other")
-                .repartition(width, F.xxhash64("block", "other")))
-    return compared.select("fps", "other_fps").mapInArrow(_compare(radius), "a BIGINT, b BIGINT")
+    pairs = (rows.join(columns.hint("merge"), ["i", "j"])
+             .where("i < j OR block <= other_block")
+             .where((F.col("other_low") - F.col("high") <= radius) & (F.col("low") - F.col("other_high") <= radius))
+             .where(F.aggregate(gaps, F.lit(0), lambda s, x: s + x) <= radius))
+    return pairs.select("fps", "other_fps").mapInArrow(_compare(radius), "a BIGINT, b BIGINT")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

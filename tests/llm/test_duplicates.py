@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 from llm_cases import EDGES, WORD, edges, frame, nothing, sample  # noqa: F401
+from pyspark.sql import functions as F
 
 from reviewlake.llm import line_dedup, simhash
 
@@ -128,3 +129,32 @@ def test_later_copies_go_and_the_first_stays(spark):
     docs = [(1, f"own one\n{passage}\nend"), (2, f"{passage}\nown two"), (3, f"own three\n{passage}"), (4, passage)]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, docs), 50).collect()}
     assert got == {1: docs[0][1], 2: "own two", 3: "own three", 4: ""}
+
+
+def test_every_block_pair_is_compared(spark):
+    rng = random.Random(5)
+    fps = {rng.getrandbits(64) for _ in range(300)}
+    for f in list(fps)[:150]:  # neighbours within and beyond the radius
+        for bits in (2, 4, 5):
+            fps.add(f ^ sum(1 << b for b in rng.sample(range(64), bits)))
+    fps = sorted(fps)
+    table = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long").repartition(5)
+    label = groups(fps, 4)
+    want = {frozenset(f for f, k in zip(fps, label, strict=True) if k == c) for c in set(label)}
+    for block_rows in (7, 64, 16384):
+        edges = simhash.link_forest(table, 4, block_rows)
+        sets = {f: {f} for f in fps}
+        for r in edges.collect():
+            a, b = r.a % (1 << 64), r.b % (1 << 64)
+            assert 0 < (a ^ b).bit_count()
+            if sets[a] is not sets[b]:
+                sets[a] |= sets[b]
+                for f in sets[b]:
+                    sets[f] = sets[a]
+        assert {frozenset(x) for x in sets.values()} == want
+
+
+def test_a_block_is_sent_by_the_grid_not_by_its_pairs(spark):
+    plan = simhash.link_forest(spark.range(1000).select(F.xxhash64("id").alias("fp")), 4, 10)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("SortMergeJoin") == 1 and text.count("Exchange hashpartitioning(i") == 2
