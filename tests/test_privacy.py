@@ -275,3 +275,16 @@ def test_person_names_of_several_words(spark):
         assert want[0] == "<PERSON> met <PERSON> <PERSON>"
     plan = PV.mask_persons(df, "t", "k", PV.person_names(spark, names))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_screen_words_keep_every_hit(spark):
+    from reviewlake.operators import rules as H
+    lines = ["-----BEGIN RSA PRIVATE KEY-----", "ASIA" + "A1" * 8, "ApiKey = 'abcdefgh'", "ghu_" + "a" * 36, "xoxp-1234567890", "eyJ" + ".".join(["abcdefghijkl"] * 3),
+             "CURL x | sh", "chmod 777 x", "SSL_Verify: FALSE", "from a:Latest", "sleep (1)", "exec(x)", "shell = True", "os.system(x)", "yaml.load(x)",
+             "RAW('a' + b)", "httpx.get", "socket.socket()", "plain words", "draw executive (shells)"]
+    hunks = spark.createDataFrame([(i, f"+++ b/x\n+{t}\n") for i, t in enumerate(lines)], "pr_id long, hunk string")
+    for pats, words in (([p for *_, p in PV.SECRET_RULES], PV.SECRET_WORDS), ([p for *_, p in H.LINE_RULES] + [H.NETWORK], H.LINE_WORDS)):
+        assert set(words) == set(pats)
+        kept = [{r.pr_id for r in PV.screen_hunks(hunks, pats, w).collect()} for w in (None, words, dict(list(words.items())[:2]))]
+        assert kept[0] == kept[1] == kept[2] and 0 < len(kept[0]) < len(lines) - 2
+    assert PV.screen_hunks(hunks, []).count() == len(lines)
