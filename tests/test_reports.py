@@ -181,3 +181,14 @@ _None_
 
 <sub>Generated by reviewlake · T</sub>
 """
+
+
+def test_audit_log_makes_its_rows_once_for_both_commits(spark, tmp_path, monkeypatch):
+    from reviewlake.plans import q_reports as Q
+    made = spark.range(5).select(F.col("id").alias("pr_id"), F.lit("ok").alias("critic_outcome"), F.lit("pass").alias("worst_status"),
+                                 F.lit(1.0).alias("latency_s"), F.expr("uuid()").alias("report_md5"))
+    monkeypatch.setattr(Q, "audit_rows", lambda *_: made)
+    monkeypatch.setattr(Q, "scratch_path", lambda *_: str(tmp_path / "audit"))
+    assert Q.audit_log(spark, "").count() == 5
+    committed = spark.read.parquet(str(tmp_path / "audit" / "data"))
+    assert committed.count() == 10 and committed.select("audit_json").distinct().count() == 5
