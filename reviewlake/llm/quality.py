@@ -29,9 +29,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, with_workers
+from .common import small_batches, text_or_empty, with_workers
 
 BITS = 18
+BATCH_ROWS = 512  #: texts and their features held at once, beside those that training keeps
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 _HASHES: dict[str, int] = {}
 _MULT = np.uint64(0x9E3779B97F4A7C15)  #: 2^64 over the golden ratio, for multiplicative hashing
@@ -138,8 +139,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
             .groupBy("own_id", "label").agg(F.min(F.struct(F.xxhash64("t"), "t"))["t"].alias("t"))
             .select(F.col("own_id").cast("string").alias("own_id"), order.alias("place"), "label", "t"))
     described = rows.mapInArrow(_described, "own_id STRING, place LONG, label INT, at BINARY, x BINARY")
-    found = (described.repartition(1).sortWithinPartitions("place", "own_id")
-             .mapInArrow(_train(epochs, sample_features), "place INT, weight DOUBLE").collect())
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        found = (described.repartition(1).sortWithinPartitions("place", "own_id")
+                 .mapInArrow(_train(epochs, sample_features), "place INT, weight DOUBLE").collect())
     if not found:
         return np.zeros(0)
     weights = np.zeros((1 << BITS) + 1)
@@ -147,31 +149,35 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     return weights
 
 
-def _score_batches(weights: np.ndarray):
+def _score_batches(weights: np.ndarray, text_at: int, kept: int):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             out = []
-            for text in batch.column(batch.num_columns - 1):
-                at, x = features(text.as_py())
+            for text in batch.column(text_at):
+                at, x = features(text.as_py() or "")
                 out.append(_sigmoid(float(weights[at] @ x + weights[-1])) if len(weights) else 1.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(out, pa.float64())], [*batch.schema.names[:kept], "score"])
     return run
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score``, 0 to 1: higher where label 1 is likelier."""
-    from pyspark.sql.types import DoubleType, StructType
+    from pyspark.sql.types import DoubleType, StringType, StructType
 
     with_workers(docs.sparkSession)
     kept = docs.drop("score")
     schema = StructType([*kept.schema.fields]).add("score", DoubleType())
     sparse = weights.astype(np.float32)
+    n = len(kept.columns)
+    texts = [i for i, f in enumerate(kept.schema.fields) if f.name == text_col and f.dataType == StringType()]
+    if len(texts) == 1:
+        return kept.mapInArrow(_score_batches(sparse, texts[0], n), schema)  # a batch holds its texts once
     own = "_text"  # the last column, under a name that no other has
     while own in map(str.lower, kept.columns):
         own += "_"
-    return kept.select("*", text_or_empty(text_col).alias(own)).mapInArrow(_score_batches(sparse), schema)
+    return kept.select("*", text_or_empty(text_col).alias(own)).mapInArrow(_score_batches(sparse, n, n), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **fitting) -> DataFrame:

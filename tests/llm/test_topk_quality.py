@@ -131,3 +131,30 @@ def test_scores_keep_columns_of_any_name(spark):
     got = quality.classify(docs, labels).collect()
     assert sorted((r.doc_id, r["_text"], r["_TEXT_"]) for r in got) == [(i, f"x{i}", i) for i in range(40)]
     assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_texts_and_features_reach_python_in_small_batches(spark, monkeypatch):
+    ids = [i for i in range(2400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(i, f"word{i} and more") for i in ids], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int").coalesce(1)
+
+    def largest(*_):
+        def run(batches):
+            import pyarrow as pa
+            most = max(b.num_rows for b in batches)
+            yield pa.RecordBatch.from_arrays([pa.array([most], pa.int32()), pa.array([1.0])], ["place", "weight"])
+        return run
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(quality, "_train", largest)
+    assert np.flatnonzero(quality.fit(docs, labels)).tolist() <= [512]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_null_texts_score_as_empty_ones_whatever_their_column(spark):
+    weights = np.zeros((1 << quality.BITS) + 1)
+    weights[-1] = 0.5
+    rows = [(1, None, "a"), (2, "", "b"), (3, "some words", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other string")
+    got = {r.doc_id: (r.text, r.other, r.score) for r in quality.score(df, weights).collect()}
+    assert got[1][2] == got[2][2] == pytest.approx(1 / (1 + math.exp(-0.5))) and [(k, *got[k][:2]) for k in (1, 2, 3)] == rows
+    assert quality.score(df, weights, "TEXT").count() == 3
