@@ -93,3 +93,14 @@ def test_stream_reports_reads_the_batch_s_ranges_of_every_table(spark, tmp_path,
                      span=10, fan=2).awaitTermination()
     assert sorted(map(tuple, read)) == [(0,), (2,), (2,), (9,)]
     assert sorted(rows(S.latest_reports(spark, f"{tmp_path}/out"), "pr_id")) == [(3,), (25,), (26,), (90,)]
+
+
+def test_touched_diffs_are_counted_before_they_are_joined(spark):
+    prs = spark.createDataFrame([(1, "a\nb", 0), (2, None, 0), (3, "", 1), (4, "x\n", 1), (5, "y", 2)], "pr_id long, sanitized_diff string, pr_range long")
+    touched = spark.createDataFrame([(1,), (2,), (4,), (5,), (9,)], "pr_id long")
+    got = S.of_touched(S.counted(prs), touched, [0, 1])
+    assert sorted(rows(got, "pr_id", "n_lines")) == [(1, 2), (2, 0), (4, 1)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("sanitized_diff")  # no text meets the join
+    join = plan.splitlines()[[i for i, x in enumerate(plan.splitlines()) if "Join" in x][0] + 1]
+    assert "Project" in join and "CASE WHEN" in join
