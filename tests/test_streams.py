@@ -104,3 +104,31 @@ def test_touched_diffs_are_counted_before_they_are_joined(spark):
     assert plan.index("Join") < plan.index("sanitized_diff")  # no text meets the join
     join = plan.splitlines()[[i for i, x in enumerate(plan.splitlines()) if "Join" in x][0] + 1]
     assert "Project" in join and "CASE WHEN" in join
+
+
+def test_ids_far_apart_share_a_bounded_number_of_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "RANGES", 4, raising=False)
+    ids = [i * 1_000_003 * 10 for i in range(-10, 20)] + [None]
+    df = spark.createDataFrame([(i, f"note {i}") for i in ids], "pr_id long, note string")
+    S.append_attempts(df, f"{tmp_path}/log", 0, 10, 2)
+    assert len([p for p in tmp_path.glob("log/level=0/segment=0/pr_range=*") if "HIVE_DEFAULT" not in p.name]) <= 4
+    assert sorted(rows(S.read_attempts(spark, f"{tmp_path}/log", 1, df.schema, 2)), key=str) == sorted(rows(df), key=str)
+    hit = [r[0] for r in df.where("pr_id = 30000090").select(S.pr_range(10)).collect()]
+    found = S.read_attempts(spark, f"{tmp_path}/log", 1, df.schema, 2, hit)
+    assert (30000090, "note 30000090") in rows(found) and found.count() < len(ids)
+
+
+def test_tables_with_a_folder_per_range_are_still_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "RANGES", 4, raising=False)
+    old = spark.createDataFrame([(5, 0), (70, 7), (90, 9), (110, 11)], "pr_id long, pr_range long")
+    touched = spark.createDataFrame([(70,), (90,)], "pr_id long")
+    hit = [r[0] for r in touched.select(S.pr_range(10)).distinct().collect()]
+    assert sorted(rows(S.of_touched(old, touched, hit), "pr_id")) == [(70,), (90,)]
+
+
+def test_lines_counted_with_the_table_are_not_counted_from_the_diffs_again(spark):
+    prs = spark.createDataFrame([(1, "a\nb", 2, 0), (2, "c", 1, 0)], "pr_id long, sanitized_diff string, n_lines int, pr_range long")
+    got = S.counted(prs)
+    assert sorted(rows(got, "pr_id", "n_lines")) == [(1, 2), (2, 1)]
+    assert "sanitized_diff" not in got._jdf.queryExecution().analyzed().toString().splitlines()[0]
+    assert "CASE WHEN" not in got._jdf.queryExecution().optimizedPlan().toString()  # no count
